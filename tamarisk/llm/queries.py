@@ -49,3 +49,68 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_mod("doc_id", 4) == 2
     found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences and notices that whole documents, or lines of them, are."""
+    from tamarisk.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
+@query
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document lies inside windows of benchmark items."""
+    from tamarisk.llm import decontam
+
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
+
+
+ORACLE["op10_decontam"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), v AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)
+), s AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)
+), h AS (
+  SELECT DISTINCT s.doc_id, s.i, s.n, v.item_id FROM s JOIN v ON s.win = v.win AND s.n = v.n
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    from tamarisk.llm import licenses as l
+
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = [(k, v) for k, v in l.TEXTS.items()] + [(k, form.format(name)) for k, names in l.NAMES.items() for name in names for form in l.NOTICES]
+
+    def digest(x: str) -> str:
+        x = rf"regexp_replace(lower({x}), '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
+        for a, b in l.SPELLINGS:
+            x = f"replace({x}, {quote(a)}, {quote(b)})"
+        return rf"sha256(trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')))"
+
+    return f"""
+WITH k AS (SELECT digest, min(license) AS license FROM (SELECT license, {digest('text')} AS digest FROM (VALUES {', '.join(f'({quote(a)}, {quote(b)})' for a, b in rows)}) AS t(license, text)) GROUP BY digest),
+w AS (SELECT doc_id, license AS whole_license FROM (SELECT doc_id, {digest("coalesce(text, '')")} AS digest FROM documents) LEFT JOIN k USING (digest)),
+n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
+  FROM (SELECT doc_id, {digest('line')} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) JOIN k USING (digest) GROUP BY doc_id)
+SELECT doc_id, whole_license, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, coalesce(names, '') AS line_licenses FROM w LEFT JOIN n USING (doc_id)
+"""
+
+
+ORACLE["op6_licenses"] = _license_sql()
