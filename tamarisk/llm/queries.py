@@ -41,6 +41,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document."""
+    from tamarisk.llm import neardup
+
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learnt from the labelled documents outside the held-out part."""
@@ -114,3 +123,22 @@ SELECT doc_id, whole_license, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines,
 
 
 ORACLE["op6_licenses"] = _license_sql()
+
+
+ORACLE["op7_neardup"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ')) AS s, least(5, len(w)) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (SELECT doc_id AS v, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v WHERE r.root < e.b
+), m AS (SELECT v, min(root) AS component_id FROM r GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id
+"""
