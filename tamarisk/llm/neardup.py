@@ -213,7 +213,7 @@ def rare_pairs(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: `key, n_shingles, component_id, kept`, with `k1, k2` (128 bits of the shingle set).
+    """For each row of docs: `key, n_shingles, component_id, kept`, with `h` (xxhash64 of the text).
 
     `component_id` is the smallest key reachable over links, itself included, and `kept` says that the row's key
     is that. A null, empty or blank text has no shingles and is linked with nothing; a text of fewer than five
@@ -253,6 +253,6 @@ def _linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame, key: str) -> Da
     grouped = _labelled(nodes.select("node", "rep", "n_shingles", "k1", "k2"), found)
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = stage(grouped.join(smallest, "component").select("n_shingles", "k1", "k2", "component_id"), "of_set")
-    placed = rows.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["n_shingles", "k1", "k2"], "left")
+    placed = rows.select("doc_id", "h", "n_shingles", "k1", "k2").join(of_set, ["n_shingles", "k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return placed.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "k1", "k2")
+    return placed.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "h")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarisk.llm._common import LOWER, SPACED, bound_batches, mix, slices, split_words, stage
+from tamarisk.llm._common import LOWER, SPACED, bound_batches, mix, slices, split_words, stage, text_bytes
 
 #: Random features, kernel width (1 / (2 sigma^2) a statistic), ridge penalty a row, seed.
 FEATURES, GAMMA, RIDGE, SEED = 192, 0.5, 1e-4, 7
@@ -44,8 +44,6 @@ def statistics(texts: pa.Array) -> np.ndarray:
     """One row of STATISTICS for each text; a null or empty text has zeros (logs of 1) in all."""
     words = split_words(texts)
     data, first, n_docs = words.data, words.first, len(words.first) - 1
-    from tamarisk.llm._common import text_bytes
-
     at = text_bytes(texts)[1]
     n_bytes, n_words = np.diff(at).astype(float), np.diff(first).astype(float)
     per_byte, per_word = np.maximum(n_bytes, 1), np.maximum(n_words, 1)
@@ -211,6 +209,21 @@ def score(with_stats: DataFrame, model: Model, to: str = "score") -> DataFrame:
     return with_stats.mapInArrow(work, schema)
 
 
+def score_texts(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
+    """All columns of docs, texts among them, and the score, in one pass."""
+    bound_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([f for f in docs.schema.fields if f.name != to] + [T.StructField(to, T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            arrays = {n: batch.column(n) for n in batch.schema.names if n != to}
+            arrays[to] = pa.array(shipped.value.probability(statistics(batch.column(text))))
+            yield pa.RecordBatch.from_pydict(arrays)
+
+    return docs.mapInArrow(work, schema)
+
+
 def labelled_rows(stats: DataFrame, labels: DataFrame, train: F.Column, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """Training rows: statistics of documents with a label of 0 or 1 for which `train` holds; a part is held back to calibrate on.
 
@@ -221,6 +234,13 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, train: F.Column, key: str
     return stats.where(train).join(known, F.col(key) == F.col("_key")).select("statistics", "label", back.alias("calibrate"))
 
 
+def fit_on(docs: DataFrame, labels: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text") -> Model:
+    """A model from the documents with labels for which `train` holds."""
+    some = labels.where(F.col("quality").isin(0, 1)).select(F.col(key)).distinct()
+    stats = with_statistics(docs.select(key, text).where(train).join(some, key, "left_semi"), text)
+    return fit(stage(labelled_rows(stats, labels, train, key), "labelled"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:
     """Scores of all documents by a model that learns from the rows for which `train` holds. `keep`: columns passed through."""
     stats = stage(with_statistics(docs.select(*dict.fromkeys([key, *(keep or []), text]))), "statistics")

@@ -28,6 +28,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
 
 
+#: Key of the pseudonyms in these queries; in use it comes from a secret store.
+PSEUDONYM_KEY = b"tamarisk demonstration key"
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of personal data and secrets, and what was replaced."""
+    from tamarisk.llm import pii
+
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities"), "entities")
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
