@@ -54,6 +54,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
 
 
+@query
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-word passages that start in an earlier one too."""
+    from tamarisk.llm import substrings
+
+    found = substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every document."""
@@ -155,3 +164,20 @@ WITH RECURSIVE d AS MATERIALIZED (
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id
 """
+
+
+ORACLE["op5_substrings"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), f AS (SELECT win, min(doc_id) AS least FROM s GROUP BY win
+), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN f USING (win) WHERE doc_id > least
+), u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+), k AS (
+  SELECT u.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY u.p) FILTER (WHERE g.p IS NULL) AS kept
+  FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.p = u.p GROUP BY u.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
