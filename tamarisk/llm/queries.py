@@ -28,6 +28,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
 
 
+@query
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learnt from six sevenths of them."""
+    from tamarisk.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), crc32_mod("doc_id", 7) == 2)
+
+
 #: Key of the pseudonyms in these queries; in use it comes from a secret store.
 PSEUDONYM_KEY = b"tamarisk demonstration key"
 
