@@ -80,6 +80,14 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows found for every fiftieth embedding."""
+    from tamarisk.llm import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learnt from the labelled documents outside the held-out part."""
