@@ -1 +1 @@
-
+"""Column functions with explicit null, rounding and tie rules."""

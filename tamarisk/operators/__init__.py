@@ -1 +1 @@
-
+"""Relational, raster and zonal operators over DataFrames."""

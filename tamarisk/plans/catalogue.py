@@ -1,4 +1,6 @@
 """Registry of the library's own queries."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tamarisk.plans import flood
+
+QUERIES: dict = {**flood.QUERIES}
+ORACLE: dict = {**flood.ORACLE}

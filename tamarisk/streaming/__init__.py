@@ -1 +1 @@
-
+"""No stream operators: none of the analyses this library covers has any."""
