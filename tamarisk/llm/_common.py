@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -154,11 +154,37 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive words, in order, from the words' own hashes."""
+    """A hash of each k consecutive words, in order, from the words' own hashes; in two passes whatever k is."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    found = np.zeros(n, np.uint64)
-    for i in range(k):
-        found += hashes[i : i + n] * np.uint64(pow(_BASE, 2 * i + 3, 1 << 64))
-    return mix(found)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power("up", len(hashes)), out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * _power("down", n))
+
+
+def by_group(df: DataFrame, key: list[str], f: Callable, schema: str, at_least: int = 1) -> DataFrame:
+    """f over Arrow tables of whole groups, each table of `at_least` rows where there are as many; groups lie side by side."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < max(2, at_least):
+                continue
+            whole = pa.Table.from_batches(held)
+            keys = [np.asarray(whole.column(k)) for k in key]
+            last = np.ones(n, bool)
+            for k in keys:
+                last &= k == k[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield from f(whole.slice(0, cut).combine_chunks())
+                held = whole.slice(cut).to_batches()
+                n -= cut
+        if n:
+            yield from f(pa.Table.from_batches(held).combine_chunks())
+
+    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, schema)

@@ -10,7 +10,7 @@ the graph. Vectors are compared in single precision along the way and in double
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarisk.llm._common import bound_batches, mix, stage
+from tamarisk.llm._common import bound_batches, by_group, mix, stage
 
 #: Neighbours of a node and reverse ones besides; trees, nodes of a cell on average, rounds of NN-descent.
 NEIGHBOURS, REVERSE, TREES, CELL, ROUNDS = 24, 24, 8, 800, 1
@@ -53,33 +53,6 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "u": _packed((scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32))})
 
 
-def by_group(df: DataFrame, key: list[str], f: Callable, schema: str, at_least: int = 1) -> DataFrame:
-    """f over Arrow tables of whole groups, each table of `at_least` rows where there are as many; groups lie side by side."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < max(2, at_least):
-                continue
-            whole = pa.Table.from_batches(held)
-            keys = [np.asarray(whole.column(k)) for k in key]
-            last = np.ones(n, bool)
-            for k in keys:
-                last &= k == k[-1]
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if cut:
-                yield from f(whole.slice(0, cut).combine_chunks())
-                held = whole.slice(cut).to_batches()
-                n -= cut
-        if n:
-            yield from f(pa.Table.from_batches(held).combine_chunks())
-
-    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, schema)
-
-
 def _edges_of(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists, sims = found.column("others").to_pylist(), found.column("sims").to_pylist()
     lens = np.array([len(b) // 8 for b in lists])

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarisk.llm._common import bound_batches, mix, rolling, slices, split_words, stage
+from tamarisk.llm._common import bound_batches, by_group, mix, rolling, slices, split_words, stage
 
 #: Words of a shingle; links need 100 * intersection >= THRESHOLD * union.
 SHINGLE, THRESHOLD = 5, 75
@@ -32,8 +32,10 @@ MANTISSA = 10
 MARGIN = 6
 #: Rounds in which an empty bucket tries one other bucket, before all filled ones are ranked for it.
 PROBES = 24
-#: Nodes of different components in one band up to which all of them are compared; larger bands go by rare shingles.
-PAIRWISE = 64
+#: Nodes of one band up to which all pairs of different components are compared; larger bands go by rare shingles.
+PAIRWISE = 8
+#: Sets of a component that one test holds.
+CHUNK = 2000
 
 _PROBE = (mix(np.arange(PROBES * REGISTERS, dtype=np.uint64) + np.uint64(99)) % np.uint64(REGISTERS)).astype(np.int64).reshape(PROBES, REGISTERS)
 _RANK = mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(12345)).reshape(REGISTERS, REGISTERS)
@@ -187,29 +189,85 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def rare_pairs(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among crowded nodes (node, component), by an exact prefix filter.
+def crowd_links(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of crowded nodes (node, component) as all links between them would.
 
-    Shingles are ordered by how few of these nodes have them. Two sets that overlap enough share one of the first
-    n - ceil(.75 n) + 1 in that order, so passages that many share bring no pairs together.
+    Exact prefix, length and position filters name the (node, other component) pairs that need a test: shingles are
+    ordered by how few of these nodes have them; two sets that overlap enough share one of the first
+    n - ceil(.75 n) + 1, and where the first shared one stands bounds their overlap, so passages that many share
+    bring nothing together. A test compares the node's set with all of the component, chunk by chunk, and gives one link.
     """
-    held = with_texts(crowd, nodes, texts)
+    sized = crowd.join(crowd.groupBy("component").agg(F.count("*").alias("size")), "component")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
-            lens = np.array([len(s) for s in sets])
-            take = np.repeat(np.arange(len(sets)), lens)
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node").take(take), "component": batch.column("component").take(take), "n": pa.array(lens[take]), "s": _long(np.concatenate(sets)) if len(take) else pa.array([], pa.int64())})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("node", "component", "size")} | {"n": pa.array([len(x) for x in sets], pa.int64()), "set": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    sets = stage(with_texts(sized.select("node", "component", "size"), nodes, texts).mapInArrow(packed, "node long, component long, size long, n long, set binary").dropDuplicates(["node"]), "sets")
 
-    each = stage(held.mapInArrow(work, "node long, component long, n long, s long"), "crowd")
-    counted = each.groupBy("s").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 1")
-    order = F.row_number().over(Window.partitionBy("node").orderBy("c", "s")) + (F.col("n") - F.count("*").over(Window.partitionBy("node")))
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("n"))))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(take) for c in ("node", "component", "size", "n")} | {"s": pa.array(np.frombuffer(b"".join(batch.column("set").to_pylist()), np.int64))})
+
+    each = sets.mapInArrow(opened, "node long, component long, size long, n long, s long")
+    shared = each.join(stage(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "counted"), "s")
+    own = Window.partitionBy("node")
     # shingles that one node alone has come first in its order and meet nothing: they count, and are not kept
-    first = stage(each.join(counted, "s").withColumn("at", order).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1).where("lo < hi").select("s", "node", "component", "n"), "prefix")
-    x, y = first.alias("x"), first.alias("y")
-    cond = (F.col("x.s") == F.col("y.s")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") * 100 >= F.col("y.n") * THRESHOLD) & (F.col("y.n") * 100 >= F.col("x.n") * THRESHOLD)
-    return x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    place = F.row_number().over(own.orderBy("c", "s")) + (F.col("n") - F.count("*").over(own))
+    first = shared.withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1)
+    first = first.withColumn("most", F.col("n") - F.col("at") + 1).where(_reaches(F.col("most"), F.col("n") + F.ceil(F.col("n") * THRESHOLD / 100)))
+    first = stage(first.select("s", "node", "component", "size", "n", "most"), "prefix")
+    by_component = stage(first.groupBy("s", "component").agg(F.max("size").alias("size"), F.max("most").alias("most"), F.min("n").alias("least"), F.max("n").alias("greatest")), "by_component")
+    largest = stage(by_component.groupBy("s").agg(F.count("*").alias("k"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("k > 1").select("s", "largest"), "largest")
+    x, z = first.join(largest, "s").where("component <> largest").alias("x"), by_component.alias("z")
+    cond = (F.col("x.s") == F.col("z.s")) & (F.col("x.component") != F.col("z.component")) & ((F.col("z.component") == F.col("x.largest")) | (F.col("x.component") < F.col("z.component")))
+    cond &= (F.col("x.n") * 100 >= F.col("z.least") * THRESHOLD) & (F.col("z.greatest") * 100 >= F.col("x.n") * THRESHOLD)
+    cond &= _reaches(F.least("x.most", "z.most"), F.col("x.n") + F.col("z.least"))
+    tests = stage(x.join(z, cond).select("x.node", F.col("z.component").alias("other")).distinct(), "tests")
+    parts = stage(tests.groupBy("other").agg(F.ceil(F.count("*") / (4 * CHUNK)).alias("lefts")), "parts")
+    chunk = lambda of, n: F.pmod(F.xxhash64(of), n)
+    rights = sets.join(parts, sets["component"] == parts["other"]).withColumn("chunk", chunk("node", F.ceil(F.col("size") / CHUNK))).withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
+    lefts = tests.join(parts, "other").withColumn("left", chunk("node", F.col("lefts"))).join(sets.select("node", "set"), "node")
+    chunks = stage(sets.groupBy(F.col("component").alias("other")).agg(F.ceil(F.max("size") / CHUNK).alias("chunks")), "chunks")
+    lefts = lefts.join(chunks, "other").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    sides = rights.select("other", "chunk", "left", F.lit(False).alias("asks"), "node", "set").union(lefts.select("other", "chunk", "left", F.lit(True).alias("asks"), "node", "set"))
+    return by_group(sides, ["other", "chunk", "left"], _tested, "a long, b long", 500)
+
+
+def _tested(found: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For each asking set, the best link to one of its group's other sets, if there is any."""
+    keys = np.stack([np.asarray(found.column(c)) for c in ("other", "chunk", "left")])
+    edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
+    nodes, asks, packed = np.asarray(found.column("node")), np.asarray(found.column("asks")), found.column("set").to_pylist()
+    a, b = [], []
+    for begin, end in zip(edges[:-1], edges[1:]):
+        held = [i for i in range(begin, end) if not asks[i]]
+        asking = [i for i in range(begin, end) if asks[i]]
+        if not held or not asking:
+            continue
+        sets = [np.frombuffer(packed[i], np.uint64) for i in held]
+        sizes = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        for i in asking:
+            own = np.frombuffer(packed[i], np.uint64)
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            lens = hi - lo
+            at = np.repeat(lo - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            good = np.flatnonzero(100 * both >= THRESHOLD * (len(own) + sizes - both))
+            if len(good):
+                a.append(int(nodes[i]))
+                b.append(int(nodes[held[good[np.argmax(both[good])]]]))
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _reaches(overlap: Column, sizes: Column) -> Column:
+    """Whether an overlap of sets with these sizes in all is enough: 100 o >= THRESHOLD (sizes - o)."""
+    return overlap * (100 + THRESHOLD) >= sizes * THRESHOLD
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,28 +286,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return _linked(rows, nodes, texts, key)
 
 
+def _crossing(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components."""
+    ends = _labelled(pairs.withColumnRenamed("a", "node"), found).select(F.col("node").alias("a"), "b", F.col("component").alias("ca"))
+    ends = _labelled(ends.withColumnRenamed("b", "node"), found).select("a", F.col("node").alias("b"), "ca", "component")
+    return ends.where("ca <> component").select("a", "b")
+
+
+def _more(edges: DataFrame, found: DataFrame, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of the pairs that hold."""
+    if not pairs.take(1):
+        return edges, found
+    edges = edges.union(stage(confirm(pairs, nodes, texts), "links"))
+    return edges, stage(components(edges), "components")
+
+
 def _linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     banded = nodes.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("c"), F.max("node").alias("x")).where("c < x").select("band", "c")
-    shared = stage(banded.join(shared, "band"), "shared")  # bands that hold two nodes or more
-    stars = shared.where("node <> c").groupBy(F.col("node").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"))
-    best = stars.groupBy("a").agg(F.max(F.struct("n", F.negate("b").alias("minus_b"))).alias("best")).select("a", F.negate("best.minus_b").alias("b"))
-    edges = stage(confirm(stage(best, "best"), nodes, texts), "links")
+    held = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "held")
+    shared = stage(banded.join(held, "band"), "shared")  # bands that hold two nodes or more
+    # a node that shares its bands with many others is likely to be what they were copied from
+    degree = stage(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    central = F.max_by("node", F.struct("degree", F.negate("node")))
+    centre = stage(shared.join(degree, "node").groupBy("band").agg(central.alias("c")), "centre")
+    stars = stage(shared.join(centre, "band").where("node <> c").groupBy(F.col("node").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n")), "stars")
+    best = stage(stars.groupBy("a").agg(F.max_by("b", F.struct("n", F.negate("b"))).alias("b")), "best")
+    edges = stage(confirm(best, nodes, texts), "links")
     found = stage(components(edges), "components")
-    within = stage(shared.select("band", "node", "n_shingles").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "within")
-    mixed = within.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
+    others = _crossing(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
+    edges, found = _more(edges, found, stage(others, "others"), nodes, texts)
+    within = stage(_labelled(shared.select("band", "node", "n_shingles", "n"), found), "within")
+    mixed = stage(within.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "mixed")
     left = stage(within.join(mixed, "band"), "left")
     x, y = left.where(F.col("n") <= PAIRWISE).alias("x"), left.where(F.col("n") <= PAIRWISE).alias("y")
     cond = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     cond &= (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * THRESHOLD) & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * THRESHOLD)
     pairs = x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    crowd = stage(left.where(F.col("n") > PAIRWISE).select("node", "component").distinct(), "crowd")
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, found = _more(edges, found, stage(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), nodes, texts)
+    crowd = stage(_labelled(left.where(F.col("n") > PAIRWISE).select("node").distinct(), found), "crowd")
     if crowd.take(1):
-        pairs = pairs.union(rare_pairs(crowd, nodes, texts)).distinct()
-    pairs = stage(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if pairs.take(1):
-        more = stage(confirm(pairs, nodes, texts), "more")
-        found = stage(components(edges.union(more)), "joined")
+        more = stage(crowd_links(crowd, nodes, texts), "crowd_links")
+        if more.take(1):
+            found = stage(components(edges.union(more)), "components")
     grouped = _labelled(nodes.select("node", "rep", "n_shingles", "k1", "k2"), found)
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = stage(grouped.join(smallest, "component").select("n_shingles", "k1", "k2", "component_id"), "of_set")
