@@ -21,21 +21,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm._common import bound_batches, mix, rolling, slices, split_words, stage
+from tamarisk.llm._common import Words, bound_batches, mix, rolling, slices, split_words, stage
 
 #: Words of a repeat, and of the prefix that suffixes are dealt out by.
 WINDOW, PREFIX = 50, 16
 #: Occurrences of a prefix whose subtree one task holds.
 GROUP = 4000
+#: Rows of repeated windows of hot prefixes up to which they go to the tasks as one table, of 12 MB at most.
+TABLE = 500_000
 
 
-def prefixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all PREFIX-word sequences of a document, and for each window the place of its least one (the first of ties)."""
-    grams = rolling(hashes, PREFIX)
+def prefixes(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each document the hashes of its PREFIX-word sequences, and for each of its windows the place of the least one (the first of ties)."""
+    grams, first = rolling(words.hashes(), PREFIX), words.first
     span = WINDOW - PREFIX + 1
-    if len(hashes) < WINDOW:
-        return grams, np.zeros(0, np.int64)
-    return grams, np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(hashes) - WINDOW + 1)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        own = grams[a : max(a, b - PREFIX + 1)]
+        if b - a < WINDOW:
+            yield own, np.zeros(0, np.int64)
+        else:
+            yield own, np.lib.stride_tricks.sliding_window_view(own, span).argmin(axis=1) + np.arange(b - a - WINDOW + 1)
 
 
 def _index(docs: DataFrame, key_type: str) -> DataFrame:
@@ -44,10 +49,9 @@ def _index(docs: DataFrame, key_type: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = split_words(batch.column("text"))
-            hashes, first = words.hashes(), words.first
+            first = words.first
             found, at, lens = [], [], []
-            for i in range(batch.num_rows):
-                grams, least = prefixes(hashes[first[i] : first[i + 1]])
+            for grams, least in prefixes(words):
                 places = np.unique(least)
                 found.append(grams[places])
                 at.append(places)
@@ -84,12 +88,10 @@ def _occurrences(cut: DataFrame, key_type: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "words"):
             words = split_words(batch.column("words"))
-            hashes, first = words.hashes(), words.first
             rows: list[tuple] = []
             ids, hs = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-            for i, places in enumerate(batch.column("cold").to_pylist()):
-                a = int(first[i])
-                grams, least = prefixes(hashes[a : first[i + 1]])
+            for i, (places, (grams, least)) in enumerate(zip(batch.column("cold").to_pylist(), prefixes(words))):
+                a = int(words.first[i])
                 for p, lo, hi in _runs(least, np.unique(np.array(places, np.int64))):
                     piece = words.data[words.starts[a + lo] : words.ends[a + hi + WINDOW - 1]].tobytes()
                     rows.append((int(grams[p].view(np.int64)), ids[i], hs[i], lo, hi - lo + 1, piece))
@@ -161,30 +163,56 @@ def _subtrees(occurrences: DataFrame, key_type: str) -> DataFrame:
     return occurrences.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(work, f"doc_id {key_type}, h long, starts array<int>")
 
 
+def _hot_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, places, two hashes) of the windows that hot prefixes deal out, for each row with any."""
+    words = split_words(batch.column("words"))
+    hashes = words.hashes()
+    one, two = rolling(hashes, WINDOW), rolling(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
+    for i, (places, (_, least)) in enumerate(zip(batch.column("hot").to_pylist(), prefixes(words))):
+        at = np.flatnonzero(np.isin(least, np.array(places, np.int64)))
+        if len(at):
+            yield i, at, one[words.first[i] + at], two[words.first[i] + at]
+
+
 def _leaves(cut: DataFrame, key_type: str) -> DataFrame:
-    """(doc_id, h, starts): windows to remove among those of hot prefixes, which are told apart by all their words."""
+    """(doc_id, h, starts): windows to remove among those of hot prefixes, which are told apart by all their words.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The windows that come more than once go to the tasks as a table where they are counted to be few, and are joined else.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "words"):
-            words = split_words(batch.column("words"))
-            hashes, first = words.hashes(), words.first
-            take, one, two, at = [], [], [], []
-            for i, places in enumerate(batch.column("hot").to_pylist()):
-                own = hashes[first[i] : first[i + 1]]
-                _, least = prefixes(own)
-                for _, lo, hi in _runs(least, np.unique(np.array(places, np.int64))):
-                    part = own[lo : hi + WINDOW]
-                    one.append(rolling(part, WINDOW))
-                    two.append(rolling(mix(part ^ np.uint64(0x5851F42D4C957F2D)), WINDOW))
-                    at.append(np.arange(lo, hi + 1, dtype=np.int32))
-                    take.append(np.full(hi - lo + 1, i))
-            if take:
-                rows = np.concatenate(take)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(rows)), "h": batch.column("h").take(pa.array(rows)), "w1": pa.array(np.concatenate(one).view(np.int64)), "w2": pa.array(np.concatenate(two).view(np.int64)), "start": pa.array(np.concatenate(at))})
-
-    windows = cut.where(F.size("hot") > 0).mapInArrow(work, f"doc_id {key_type}, h long, w1 long, w2 long, start int")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-    return windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"))
+            found = list(_hot_windows(batch))
+            if found:
+                rows = pa.array(np.concatenate([np.full(len(at), i) for i, at, _, _ in found]))
+                one, two = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (2, 3))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(rows), "h": batch.column("h").take(rows), "w1": pa.array(one), "w2": pa.array(two), "start": pa.array(np.concatenate([f[1] for f in found]).astype(np.int32))})
+
+    hot = cut.where(F.size("hot") > 0).select("doc_id", "h", "hot", "words")
+    each = hot.mapInArrow(windows, f"doc_id {key_type}, h long, w1 long, w2 long, start int")
+    least = stage(each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("w1", "w2", "least"), "least")
+    if key_type != "bigint" or least.count() > TABLE or least.groupBy("w1").count().where("count > 1").take(1):
+        met = each.join(least, ["w1", "w2"]).where("doc_id > least")
+        return met.groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"))
+    rows = least.orderBy("w1").toPandas()  # TABLE rows at most
+    shipped = cut.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy(np.int64) for c in ("w1", "w2", "least")))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w1, w2, first = shipped.value
+        for batch in slices(batches, "words"):
+            ids = batch.column("doc_id").to_pylist()
+            out = []
+            for i, at, one, two in _hot_windows(batch):
+                place = np.minimum(np.searchsorted(w1, one.view(np.int64)), len(w1) - 1)
+                gone = (w1[place] == one.view(np.int64)) & (w2[place] == two.view(np.int64)) & (first[place] < ids[i])
+                if gone.any():
+                    out.append((i, at[gone].astype(np.int32)))
+            if out:
+                rows = pa.array([i for i, _ in out])
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(rows), "h": batch.column("h").take(rows), "starts": pa.array([x for _, x in out], pa.list_(pa.int32()))})
+
+    schema = f"doc_id {key_type}, h long, starts array<int>"
+    return hot.mapInArrow(marked, schema) if len(rows) else cut.sparkSession.createDataFrame([], schema)
 
 
 def _without(rows: DataFrame, key_type: str) -> DataFrame:
@@ -227,7 +255,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     first = index.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = stage(index.select("doc_id", "h", "digest").join(first, "digest").select("doc_id", "h", (F.col("doc_id") > F.col("first")).alias("copy")), "copies")
     anchors = index.select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.prefix", "a.at")
-    repeated = anchors.groupBy("prefix").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("prefix", (F.col("n") > GROUP).alias("is_hot"))
+    repeated = stage(anchors.groupBy("prefix").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("prefix", (F.col("n") > GROUP).alias("is_hot")), "repeated")
     places = anchors.join(repeated, "prefix").groupBy("doc_id", "h").agg(F.collect_set(F.when(F.col("is_hot"), F.col("at"))).alias("hot"), F.collect_set(F.when(~F.col("is_hot"), F.col("at"))).alias("cold"))
     originals = copies.groupBy("doc_id", "h").agg(F.max("copy").alias("copy"))
     none = F.array().cast("array<int>")
