@@ -1,6 +1,6 @@
 """Registry of the library's own queries."""
 
-from tamarisk.plans import flood
+from tamarisk.plans import drought, flood, food
 
-QUERIES: dict = {**flood.QUERIES}
-ORACLE: dict = {**flood.ORACLE}
+QUERIES: dict = {**flood.QUERIES, **drought.QUERIES, **food.QUERIES}
+ORACLE: dict = {**flood.ORACLE, **drought.ORACLE, **food.ORACLE}
