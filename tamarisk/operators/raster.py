@@ -127,12 +127,11 @@ def resample_bilinear(cells: DataFrame, source: Grid, target: Grid, value: str =
     need = at.select("r", "c", F.explode(stencil).alias("s")).select("r", "c", "s.*").where("w > 0").groupBy("r", "c", "row", "col").agg(F.sum("w").alias("w"))
     need = need.withColumn("n", F.count(F.lit(1)).over(_by("r", "c")))
     layers = _layers(cells, value)
-    known = cells.where(F.col(value).isNotNull())
-    met = known.join(need, ["row", "col"]).groupBy(*layers, "r", "c")
+    met = cells.join(need, ["row", "col"]).groupBy(*layers, "r", "c")
     if propagate:
-        out = met.agg(F.when(F.count(F.lit(1)) == F.max("n"), F.sum(F.col("w") * F.col(value))).alias(value))
+        out = met.agg(F.when(F.count(value) == F.max("n"), F.sum(F.col("w") * F.col(value))).alias(value))
     else:
-        out = met.agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+        out = met.agg((F.sum(F.col("w") * F.col(value)) / F.sum(F.when(F.col(value).isNotNull(), F.col("w")))).alias(value))
     return out.select(*layers, F.col("r").alias("row"), F.col("c").alias("col"), value)
 
 

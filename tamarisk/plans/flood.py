@@ -203,7 +203,7 @@ _BILINEAR = f"""{_LAYERS}, {_FINE_CELLS}, pts AS (
   SELECT "row", col, least(4, greatest(0, j + b)) AS sj, least(9, greatest(0, i + a)) AS si, sum((CASE WHEN a = 0 THEN 1 - wx ELSE wx END) * (CASE WHEN b = 0 THEN 1 - wy ELSE wy END)) AS w FROM pts, range(2) x(a), range(2) y(b) GROUP BY ALL
 ), counted AS (SELECT *, count(*) OVER (PARTITION BY "row", col) AS n FROM need WHERE w > 0
 ), fine AS (
-  SELECT l.date, c."row", c.col, CASE WHEN count(*) = max(n) THEN sum(w * l.value) END AS value FROM counted c JOIN layers l ON l."row" = c.sj AND l.col = c.si WHERE l.value IS NOT NULL GROUP BY ALL
+  SELECT l.date, c."row", c.col, CASE WHEN count(l.value) = max(n) THEN sum(w * l.value) END AS value FROM counted c JOIN layers l ON l."row" = c.sj AND l.col = c.si GROUP BY ALL
 )"""
 
 
