@@ -68,10 +68,10 @@ def _with_words(docs: DataFrame, key_type: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            joined = [None if t is None else b" ".join(t.as_buffer().to_pybytes().split()).decode() for t in batch.column("text").cast(pa.binary())]
+            joined = [b" ".join((t or b"").split()).decode() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             counts = np.diff(split_words(batch.column("text")).first)
             arrays = {n: batch.column(n) for n in ("doc_id", "h", "copy", "hot", "cold")}
-            yield pa.RecordBatch.from_pydict(arrays | {"n_words": pa.array(counts), "words": pa.array([x or "" for x in joined], pa.string())})
+            yield pa.RecordBatch.from_pydict(arrays | {"n_words": pa.array(counts), "words": pa.array(joined, pa.string())})
 
     return docs.mapInArrow(work, f"doc_id {key_type}, h long, copy boolean, hot array<int>, cold array<int>, n_words long, words string")
 
