@@ -174,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
     while now[0]:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = stage(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
@@ -293,14 +293,6 @@ def _crossing(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return ends.where("ca <> component").select("a", "b")
 
 
-def _more(edges: DataFrame, found: DataFrame, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components with those of the pairs that hold."""
-    if not pairs.take(1):
-        return edges, found
-    edges = edges.union(stage(confirm(pairs, nodes, texts), "links"))
-    return edges, stage(components(edges), "components")
-
-
 def _linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     banded = nodes.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("bands").alias("band"))
     held = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "held")
@@ -311,24 +303,22 @@ def _linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame, key: str) -> Da
     centre = stage(shared.join(degree, "node").groupBy("band").agg(central.alias("c")), "centre")
     stars = stage(shared.join(centre, "band").where("node <> c").groupBy(F.col("node").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n")), "stars")
     best = stage(stars.groupBy("a").agg(F.max_by("b", F.struct("n", F.negate("b"))).alias("b")), "best")
-    edges = stage(confirm(best, nodes, texts), "links")
-    found = stage(components(edges), "components")
+    found = stage(components(stage(confirm(best, nodes, texts), "links")), "components")
     others = _crossing(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    edges, found = _more(edges, found, stage(others, "others"), nodes, texts)
     within = stage(_labelled(shared.select("band", "node", "n_shingles", "n"), found), "within")
-    mixed = stage(within.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "mixed")
-    left = stage(within.join(mixed, "band"), "left")
+    mixed = within.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    left = stage(within.join(stage(mixed, "mixed"), "band"), "left")
     x, y = left.where(F.col("n") <= PAIRWISE).alias("x"), left.where(F.col("n") <= PAIRWISE).alias("y")
     cond = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     cond &= (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * THRESHOLD) & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * THRESHOLD)
-    pairs = x.join(y, cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges, found = _more(edges, found, stage(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), nodes, texts)
-    crowd = stage(_labelled(left.where(F.col("n") > PAIRWISE).select("node").distinct(), found), "crowd")
-    if crowd.take(1):
-        more = stage(crowd_links(crowd, nodes, texts), "crowd_links")
-        if more.take(1):
-            found = stage(components(edges.union(more)), "components")
+    pairs = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(x.join(y, cond).select(F.col("x.node"), F.col("y.node"))).distinct()
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = confirm(stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), nodes, texts)
+    crowd = stage(left.where(F.col("n") > PAIRWISE).groupBy("node").agg(F.min("component").alias("component")), "crowd")
+    links = stage(links.union(crowd_links(crowd, nodes, texts)) if crowd.take(1) else links, "more")
+    if links.take(1):
+        # each node's edge to its component stands for all links that were there
+        found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
     grouped = _labelled(nodes.select("node", "rep", "n_shingles", "k1", "k2"), found)
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = stage(grouped.join(smallest, "component").select("n_shingles", "k1", "k2", "component_id"), "of_set")
