@@ -29,6 +29,8 @@ WINDOW, PREFIX = 50, 16
 GROUP = 4000
 #: Rows of repeated windows of hot prefixes up to which they go to the tasks as one table, of 12 MB at most.
 TABLE = 500_000
+#: Windows of hot prefixes that a task sums up at once.
+SUMMED = 1 << 20
 
 
 def prefixes(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -174,6 +176,21 @@ def _hot_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
             yield i, at, one[words.first[i] + at], two[words.first[i] + at]
 
 
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(w1, w2, least, greatest), each pair of hashes once."""
+    w1, w2, least, greatest = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((w2, w1))
+    w1, w2 = w1[order], w2[order]
+    begins = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])) if len(w1) else np.zeros(0, np.int64)
+    if not len(begins):
+        return w1, w2, least, greatest
+    return w1[begins], w2[begins], np.minimum.reduceat(least[order], begins), np.maximum.reduceat(greatest[order], begins)
+
+
+def _ends_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in zip(("w1", "w2", "least", "greatest"), found)})
+
+
 def _leaves(cut: DataFrame, key_type: str) -> DataFrame:
     """(doc_id, h, starts): windows to remove among those of hot prefixes, which are told apart by all their words.
 
@@ -188,9 +205,28 @@ def _leaves(cut: DataFrame, key_type: str) -> DataFrame:
                 one, two = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (2, 3))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(rows), "h": batch.column("h").take(rows), "w1": pa.array(one), "w2": pa.array(two), "start": pa.array(np.concatenate([f[1] for f in found]).astype(np.int32))})
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each window once for every SUMMED of them, with its smallest and greatest document."""
+        held: list[tuple] = []
+        n = 0
+        for batch in windows(batches):
+            known = batch.filter(batch.column("doc_id").is_valid())
+            ids = np.asarray(known.column("doc_id"))
+            held.append((np.asarray(known.column("w1")), np.asarray(known.column("w2")), ids, ids))
+            n += len(ids)
+            if n > SUMMED:
+                held = [_summed(held)]
+                n = len(held[0][0])
+                if n > SUMMED // 2:
+                    yield _ends_batch(held.pop())
+                    n = 0
+        if held:
+            yield _ends_batch(_summed(held))
+
     hot = cut.where(F.size("hot") > 0).select("doc_id", "h", "hot", "words")
     each = hot.mapInArrow(windows, f"doc_id {key_type}, h long, w1 long, w2 long, start int")
-    least = stage(each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("w1", "w2", "least"), "least")
+    first_last = hot.mapInArrow(ends, "w1 long, w2 long, least long, greatest long") if key_type == "bigint" else each.select("w1", "w2", F.col("doc_id").alias("least"), F.col("doc_id").alias("greatest"))
+    least = stage(first_last.groupBy("w1", "w2").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest")).where("least < greatest").select("w1", "w2", "least"), "least")
     if key_type != "bigint" or least.count() > TABLE or least.groupBy("w1").count().where("count > 1").take(1):
         met = each.join(least, ["w1", "w2"]).where("doc_id > least")
         return met.groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"))
