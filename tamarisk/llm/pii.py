@@ -9,6 +9,7 @@ check its original passed and is as long.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -215,7 +216,9 @@ RULES: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
 #: Kinds that are looked for on their own, as their beginnings are common.
 _APART = ("email", "secret")
 _NUMERIC = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, (pattern, _) in RULES.items() if kind not in _APART), re.ASCII)
+#: What every secret holds in lower case, and every key as it is; one of them is asked for before the search.
 _SECRET_WORDS = ("token", "secret", "password", "passwd", "api")
+_KEY_WORDS = ("AKIA", "ASIA")
 _EMAIL = re.compile(RULES["email"][0], re.ASCII)
 _DIGIT = re.compile("[0-9]")
 _SINGLE = {kind: re.compile(pattern, re.ASCII) for kind, (pattern, _) in RULES.items()}
@@ -242,9 +245,18 @@ def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
                 at = m.end()
             else:
                 at = sign + 1
-    if any(word in text for word in _SECRET_WORDS):
-        found += [("secret", m.start(), m.end(), surrogate("secret", m[0], key)) for m in _SINGLE["secret"].finditer(text)]
-    if _DIGIT.search(text):
+    lower = text.lower()
+    if any(word in lower for word in _SECRET_WORDS):
+        emails, inside, secrets = found, set(), []
+        begins = [x[1] for x in emails]
+        for m in _SINGLE["secret"].finditer(text):
+            # an address inside a secret goes with it; a name of a secret that ends an address stays with the address
+            i = bisect_right(begins, m.start())
+            begin = max(m.start(), emails[i - 1][2] if i else 0)
+            secrets.append(("secret", begin, m.end(), surrogate("secret", m[0], key)[begin - m.start() :]))
+            inside.update(range(i, bisect_right(begins, m.end())))
+        found = [x for i, x in enumerate(emails) if i not in inside] + secrets
+    if _DIGIT.search(text) or any(word in text for word in _KEY_WORDS):
         taken = {(b, e) for _, b, e, _ in found}
         spans = sorted(taken)
         pos = 0
