@@ -221,6 +221,8 @@ _SECRET_WORDS = ("token", "secret", "password", "passwd", "api")
 _KEY_WORDS = ("AKIA", "ASIA")
 _EMAIL = re.compile(RULES["email"][0], re.ASCII)
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9]+")
+_PRINTED = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})(?![0-9])")
 _SINGLE = {kind: re.compile(pattern, re.ASCII) for kind, (pattern, _) in RULES.items()}
 
 
@@ -230,6 +232,23 @@ def surrogate(kind: str, text: str, key: bytes) -> str | None:
     return RULES[kind][1](text, key)
 
 
+def _tries(text: str, at: int) -> Iterator[tuple[str, int, int]]:
+    """What may begin here: each kind at its longest, then cards of fewer digit groups, as other numbers may follow a card."""
+    for kind in RULES:
+        if kind not in _APART and (m := _SINGLE[kind].match(text, at)):
+            yield kind, at, m.end()
+    if m := _SINGLE["card"].match(text, at):
+        ends = [x.end() for x in _GROUP.finditer(text, at, m.end())]
+        n = len(_digits(m[0]))
+        for end, after in zip(ends[-2::-1], ends[:0:-1]):
+            n -= len(_digits(text[end:after]))
+            if n < 13:
+                break
+            later = (_PRINTED.match(text, x.start()) for x in _GROUP.finditer(text, at + 1, end))
+            if _PRINTED.fullmatch(text, at, end) or not any(x and x.end() > end and _card(x[0], b"") for x in later):
+                yield "card", at, end  # unless it is a chance hit that cuts off the end of a card as they are printed
+
+
 def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
     """Valid (kind, begin, end, surrogate) in order, none overlapping; begin and end in characters."""
     found = []
@@ -257,20 +276,17 @@ def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
             inside.update(range(i, bisect_right(begins, m.end())))
         found = [x for i, x in enumerate(emails) if i not in inside] + secrets
     if _DIGIT.search(text) or any(word in text for word in _KEY_WORDS):
-        taken = {(b, e) for _, b, e, _ in found}
-        spans = sorted(taken)
+        spans = sorted({(b, e) for _, b, e, _ in found})
+        begins = [b for b, _ in spans]
+        free = lambda b, e: (i := bisect_right(begins, e - 1)) == 0 or spans[i - 1][1] <= b
         pos = 0
         while m := _NUMERIC.search(text, pos):
-            pos = m.start() + 1
-            if any(b < m.end() and m.start() < e for b, e in spans):
-                continue
-            for kind, (_, rule) in RULES.items():  # where the first kind fails its check, the next may hold
-                if kind not in _APART and (n := _SINGLE[kind].match(text, m.start())) and (new := surrogate(kind, n[0], key)) is not None:
-                    found.append((kind, n.start(), n.end(), new))
-                    pos = n.end()
+            pos = m.start() + 1  # where nothing holds, the search goes on inside
+            for kind, begin, end in _tries(text, m.start()):
+                if free(begin, end) and (new := surrogate(kind, text[begin:end], key)) is not None:
+                    found.append((kind, begin, end, new))
+                    pos = end
                     break
-            else:
-                pos = m.end()
     return sorted(found, key=lambda x: x[1])
 
 

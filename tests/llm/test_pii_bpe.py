@@ -59,6 +59,26 @@ def test_secrets_of_the_given_table(spark):
     assert hold and all(sum(k == "secret" for k, *_ in pii.find(t, KEY)) == len(bare.findall(t)) for t in hold)
 
 
+@pytest.mark.parametrize("before", ["", "12 ", "123 ", "0 1 2 ", "AB12 ", "300 "])
+@pytest.mark.parametrize("after", ["", " 12/27", " 123", " 5 6 7", "-123", " 12@mail.example.com", " 1234 5678 9012"])
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005"])
+def test_cards_among_other_numbers(before, card, after):
+    text = f"x {before}{card}{after} y"
+    at = text.index(card)
+    found = pii.find(text, KEY)
+    assert any(b <= at and at + len(card) <= e for k, b, e, _ in found if k == "card")
+    assert all(e <= b for (_, _, e, _), (_, b, _, _) in zip(found, found[1:]))
+    new = pii.replace(text, found)
+    assert len(new) == len(text) and card not in new
+
+
+@pytest.mark.parametrize("before", range(100))
+def test_cards_after_any_number(before):
+    """One in ten of the shorter runs holds by chance; it does not cut off the card's end."""
+    text = f"{before:02d} 4111 1111 1111 1111 z"
+    assert "1111" not in pii.replace(text, pii.find(text, KEY))
+
+
 def test_distinct_values_stay_distinct():
     days = {pii.surrogate("date", f"2001-01-{d:02d}", KEY) for d in range(1, 32)}
     assert len(days) == 31
