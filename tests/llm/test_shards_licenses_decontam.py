@@ -1,8 +1,10 @@
 import heapq
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 from edge_cases import ROWS
 
@@ -48,6 +50,24 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty, licenses.known(spark)).count() == 0
 
 
+def test_licenses_in_full(spark):
+    """As files hold them: wrapped, with and without title, copyright and reserved rights; texts from outside the package where the system has them."""
+    wrap = lambda t: "\n\n".join(textwrap.fill(x, 76, break_on_hyphens=False) for x in t.split("\n"))
+    body = {k: licenses.TEXTS.get(k) for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")}
+    titles = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Unlicense": "The Unlicense"}
+    owner = "Copyright (c) 2020, Some One"
+    rows = [(k, f"{head}{wrap(t or '')}\n") for k, t in body.items() for head in ("", f"{owner}\n\n", f"{titles[k]}\n\n{owner}\n\n", f"{titles[k]}\n\n{owner}\nAll rights reserved.\n\n")]
+    rows += [(k, textwrap.fill(t or "", width, break_on_hyphens=False)) for k, t in body.items() for width in (60, 66, 72, 80, 100)]
+    for k, name in [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]:
+        path = Path("/usr/share/common-licenses", name)
+        text = (path if path.exists() else Path(licenses.__file__).parent / "license_texts" / f"{k}.txt").read_text()
+        rows += [(k, text), (k, text.replace("[yyyy]", "2020"))]
+    text = Path(licenses.__file__).parent.joinpath("license_texts", "Apache-2.0.txt").read_text()
+    rows += [("Apache-2.0", text[text.index("TERMS AND") : text.index("APPENDIX")]), (None, text.replace("Grant of Patent", "Grant of No Patent")), (None, "MIT License\n\nnothing else")]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.whole_license for r in licenses.scan(frame, licenses.known(spark)).collect()} == {i: k for i, (k, _) in enumerate(rows)}
+
+
 def brute(rows, items):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
     windows = defaultdict(set)
