@@ -44,3 +44,16 @@ def percent(x: Column) -> Column:
 
 def in_thousands(x: Column) -> Column:
     return F.concat(F.format_number(F.round(x / 1000), 0), F.lit("k"))
+
+
+def title_case(x: Column) -> Column:
+    """Each word with a capital and small letters after it."""
+    return F.initcap(x)
+
+
+def recode(x: Column, names: dict[str, str]) -> Column:
+    """Values by other names; those without one stay."""
+    out = x
+    for old, new in names.items():
+        out = F.when(x == old, new).otherwise(out)
+    return out

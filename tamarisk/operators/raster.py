@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,11 @@ class Grid:
         return n.select((F.col("id") / self.ncol).cast("int").alias("row"), (F.col("id") % self.ncol).cast("int").alias("col"))
 
 
-def grid_of_axes(xs: tuple[float, float, int], ys: tuple[float, float, int], edges: bool = True) -> Grid:
+def grid_of_axes(xs: tuple[float, float, int], ys: tuple[float, float, int], edges: bool = False) -> Grid:
     """A grid from each axis's least and greatest cell centre and count.
 
-    With `edges` false, the centres are taken for the edges, which makes the grid a cell too small in all.
+    As run, the centres are taken for the edges, which makes the grid a cell too small in all; `edges` puts the
+    edges half a cell further out, where they belong.
     """
     (x_lo, x_hi, nx), (y_lo, y_hi, ny) = xs, ys
     if not edges:
@@ -63,7 +65,13 @@ def grid_of_axes(xs: tuple[float, float, int], ys: tuple[float, float, int], edg
 
 
 def on_grid(points: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    return points.withColumns({"row": grid.line(F.col(lat)), "col": grid.column(F.col(lon))})
+    """Points as cells (row, col), null outside the grid.
+
+    The last edge counts as inside, so that a grid whose edges are the outer centres of its axes holds the same array
+    as one with true edges: there are as many cells as centres, in the same order.
+    """
+    place = lambda x, size, n: F.when((x >= 0) & (x <= n * size), F.least(F.lit(n - 1), F.floor(x / size).cast("int")))
+    return points.withColumns({"row": place(F.lit(grid.y0) - F.col(lat), grid.dy, grid.nrow), "col": place(F.col(lon) - grid.x0, grid.dx, grid.ncol)})
 
 
 def within(points: DataFrame, box: tuple[float, float, float, float], lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -112,33 +120,44 @@ def _layers(df: DataFrame, value: str) -> list[str]:
     return [c for c in df.columns if c not in ("row", "col", value)]
 
 
+def _corners(index: Column, n: int) -> Column:
+    """(block, side) along one axis for which a source cell is a corner; blocks -1 and n - 1 lie beyond the outer centres."""
+    near = F.array(F.struct(index.alias("block"), F.lit(0).alias("side")), F.struct((index - 1).alias("block"), F.lit(1).alias("side")))
+    first = F.when(index == 0, F.array(F.struct(F.lit(-1).alias("block"), F.lit(0).alias("side")))).otherwise(F.filter(near, lambda x: F.lit(False)))
+    last = F.when(index == n - 1, F.array(F.struct(F.lit(n - 1).alias("block"), F.lit(1).alias("side")))).otherwise(F.filter(near, lambda x: F.lit(False)))
+    return F.concat(near, first, last)
+
+
 def resample_bilinear(cells: DataFrame, source: Grid, target: Grid, value: str = "value", propagate: bool = True) -> DataFrame:
     """Values at the target's cell centres from the four source centres around, clamped at the edges.
 
-    With `propagate` a target cell is null where any of those that count is null or absent; else the others' weights are scaled up.
+    With `propagate` a target cell is null where any of those that count is null or absent; else the others' weights
+    are scaled up. Four source centres are one block: each source cell goes once to each of its four blocks, and the
+    target cells of a block then share its row, so the shuffle grows with the source and not with the target. The
+    four terms are added in one order, whatever order rows come in.
     """
-    spark = cells.sparkSession
     fx = (target.x(F.col("col")) - source.x0) / source.dx - 0.5
     fy = (F.lit(source.y0) - target.y(F.col("row"))) / source.dy - 0.5
-    at = target.cells(spark).select(F.col("row").alias("r"), F.col("col").alias("c"), F.floor(fx).cast("int").alias("i"), F.floor(fy).cast("int").alias("j"), (fx - F.floor(fx)).alias("wx"), (fy - F.floor(fy)).alias("wy"))
-    side = lambda k, w: [(F.col(k), 1 - F.col(w)), (F.col(k) + 1, F.col(w))]
-    clamp = lambda x, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), x))
-    stencil = F.array(*[F.struct(clamp(y, source.nrow).alias("row"), clamp(x, source.ncol).alias("col"), (u * v).alias("w")) for x, u in side("i", "wx") for y, v in side("j", "wy")])
-    need = at.select("r", "c", F.explode(stencil).alias("s")).select("r", "c", "s.*").where("w > 0").groupBy("r", "c", "row", "col").agg(F.sum("w").alias("w"))
-    need = need.withColumn("n", F.count(F.lit(1)).over(_by("r", "c")))
+    clamp = lambda x, n: F.greatest(F.lit(-1), F.least(F.lit(n - 1), F.floor(x).cast("int")))
+    at = target.cells(cells.sparkSession).select(F.col("row").alias("r"), F.col("col").alias("c"), clamp(fy, source.nrow).alias("__y"), clamp(fx, source.ncol).alias("__x"), (fx - F.floor(fx)).alias("wx"), (fy - F.floor(fy)).alias("wy"))
     layers = _layers(cells, value)
-    met = cells.join(need, ["row", "col"]).groupBy(*layers, "r", "c")
+    spread = cells.withColumn("__i", F.explode(_corners(F.col("col"), source.ncol))).withColumn("__j", F.explode(_corners(F.col("row"), source.nrow)))
+    corners = [(y, x) for y in (0, 1) for x in (0, 1)]
+    pick = [F.max(F.when((F.col("__j.side") == y) & (F.col("__i.side") == x), F.struct(F.col(value).alias("v")))).alias(f"__v{y}{x}") for y, x in corners]
+    blocks = spread.groupBy(*layers, F.col("__j.block").alias("__y"), F.col("__i.block").alias("__x")).agg(*pick)
+    weights = {(y, x): (F.col("wy") if y else 1 - F.col("wy")) * (F.col("wx") if x else 1 - F.col("wx")) for y, x in corners}
+    term = lambda k, none: F.when(weights[k] > 0, F.coalesce(none, F.lit(0.0))).otherwise(0.0)
+    known = lambda k: F.col(f"__v{k[0]}{k[1]}.v")
+    total = reduce(lambda a, b: a + b, [term(k, weights[k] * known(k)) for k in corners])
     if propagate:
-        out = met.agg(F.when(F.count(value) == F.max("n"), F.sum(F.col("w") * F.col(value))).alias(value))
+        whole = reduce(lambda a, b: a & b, [(weights[k] <= 0) | known(k).isNotNull() for k in corners])
+        out = F.when(whole, total)
     else:
-        out = met.agg((F.sum(F.col("w") * F.col(value)) / F.sum(F.when(F.col(value).isNotNull(), F.col("w")))).alias(value))
-    return out.select(*layers, F.col("r").alias("row"), F.col("c").alias("col"), value)
-
-
-def _by(*columns: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(*columns)
+        held = reduce(lambda a, b: a + b, [term(k, F.when(known(k).isNotNull(), weights[k])) for k in corners])
+        out = total / F.when(held > 0, held)
+    there = reduce(lambda a, b: a | b, [(weights[k] > 0) & F.col(f"__v{k[0]}{k[1]}").isNotNull() for k in corners])
+    met = blocks.join(at, ["__y", "__x"]).where(there)
+    return met.select(*layers, F.col("r").alias("row"), F.col("c").alias("col"), out.alias(value))
 
 
 def resample_near(cells: DataFrame, source: Grid, target: Grid, value: str = "value") -> DataFrame:

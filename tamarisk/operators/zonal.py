@@ -80,11 +80,23 @@ def polygon_coverage(zones: DataFrame, grid: Grid, rings: str = "rings") -> Data
     return found.withColumn("coverage", part(rings, "row", "col")).drop(rings).where("coverage > 0")
 
 
-def zonal_sum(coverage: DataFrame, cells: DataFrame, zone: list[str], value: str = "value", to: str = "sum", empty: float | None = 0.0) -> DataFrame:
-    """Coverage-weighted sum of known values for each zone and layer; `empty` where a zone that meets cells has none known."""
+def zonal_sum(coverage: DataFrame, cells: DataFrame, zone: list[str], value: str = "value", to: str = "sum", empty: float | None = 0.0, zones: DataFrame | None = None) -> DataFrame:
+    """Coverage-weighted sum of known values for each zone and layer; `empty` where a zone that meets cells has none known.
+
+    With `zones`, a zone that meets no cell has a row with `empty` in each layer too.
+    """
     layers = [c for c in cells.columns if c not in ("row", "col", value)]
     total = F.sum(F.col("coverage") * F.col(value))
-    return coverage.select(*zone, "row", "col", "coverage").join(cells, ["row", "col"]).groupBy(*zone, *layers).agg(F.coalesce(total, F.lit(empty)).alias(to))
+    met = coverage.select(*zone, "row", "col", "coverage").join(cells, ["row", "col"]).groupBy(*zone, *layers).agg(F.coalesce(total, F.lit(empty)).alias(to))
+    if zones is None:
+        return met
+    same = [F.col(f"z.{c}").eqNullSafe(F.col(f"m.{c}")) for c in zone]
+    bare = zones.select(*zone).distinct().alias("z").join(met.select(*zone).distinct().alias("m"), same, "left_anti")
+    every = F.explode(F.col("all")).alias("layer")
+    # one row that holds the layers' names; a zone without cells is given each of them
+    named = met.select(*layers).distinct().agg(F.collect_list(F.struct(*layers)).alias("all")) if layers else None
+    bare = bare.join(F.broadcast(named)).select(*zone, every).select(*zone, "layer.*") if layers else bare
+    return met.unionByName(bare.withColumn(to, F.lit(empty).cast("double")))
 
 
 def box_rings(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from tamarisk.functions import dates, stats, text
 from tamarisk.operators import raster, relational, zonal
+from tamarisk.operators.raster import Grid
 from tamarisk.plans import inputs
 from tamarisk.plans.inputs import COARSE, FINE, ctes
+from tamarisk.sources.grids import axes
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -160,7 +162,7 @@ def time_index_dates(spark: SparkSession, d: str) -> DataFrame:
     return index.withColumn("date", dates.from_index(F.col("time_index"))).where(F.col("date").between(lo, hi))
 
 
-@query(f"""WITH {ctes('daily', 'boxes')}, b AS (SELECT min(xmin) AS x0, min(ymin) + 4 AS y0, max(xmax) - 16 AS x1, max(ymax) AS y1 FROM boxes), p AS (SELECT date, (col + 0.5) * 4 AS lon, 20 - ("row" + 0.5) * 4 AS lat, value FROM daily)
+@query(f"""WITH {ctes('daily', 'boxes')}, b AS (SELECT min(xmin) AS x0, min(ymin) + 4 AS y0, max(xmax) - 16 AS x1, max(ymax) AS y1 FROM boxes), p AS (SELECT date, CAST((col + 0.5) * 4 AS DOUBLE) AS lon, CAST(20 - ("row" + 0.5) * 4 AS DOUBLE) AS lat, value FROM daily)
 SELECT lon, lat, count(*) AS n, round(sum(value), 4) AS total FROM p, b WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY 1, 2""")
 def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
     zones = inputs.boxes(spark, d)
@@ -207,9 +209,9 @@ _BILINEAR = f"""{_LAYERS}, {_FINE_CELLS}, pts AS (
 )"""
 
 
-@query(f'{_BILINEAR} SELECT date, "row", col, round(value, 6) AS value FROM fine')
+@query(f'{_BILINEAR} SELECT date, "row", col, value FROM fine')
 def resample_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    return raster.resample_bilinear(_layers(spark, d), COARSE, FINE).withColumn("value", r6("value"))
+    return raster.resample_bilinear(_layers(spark, d), COARSE, FINE)
 
 
 @query(f'{_LAYERS}, {_FINE_CELLS} SELECT l.date, c."row", c.col, l.value FROM cells c JOIN layers l ON l."row" = c."row" // 4 AND l.col = c.col // 4')
@@ -222,13 +224,13 @@ def resample_sum(spark: SparkSession, d: str) -> DataFrame:
     return raster.resample_sum(inputs.people(spark, d), FINE, COARSE, "pop").withColumn("pop", F.round("pop", 4))
 
 
-@query(f"""{_BILINEAR} SELECT f.date, f."row", f.col, CASE WHEN f.value IS NULL THEN NULL WHEN f.value >= 0.4 THEN 1.0 ELSE 0.0 END AS flag, round(CASE WHEN f.value IS NOT NULL THEN f.value END * p.pop, 4) AS value
+@query(f"""{_BILINEAR} SELECT f.date, f."row", f.col, CAST(CASE WHEN f.value IS NULL THEN NULL WHEN f.value >= 0.4 THEN 1 ELSE 0 END AS DOUBLE) AS flag, CASE WHEN f.value IS NOT NULL THEN f.value END * p.pop AS value
 FROM fine f JOIN people p ON f."row" = p."row" AND f.col = p.col""")
 def threshold_mask_multiply(spark: SparkSession, d: str) -> DataFrame:
     fine = raster.resample_bilinear(_layers(spark, d), COARSE, FINE)
     flagged = fine.withColumn("flag", raster.at_least(F.col("value"), 0.4))
     kept = flagged.withColumn("value", raster.masked(F.col("value"), F.col("flag")))
-    return raster.multiply(kept, inputs.people(spark, d), "value", "pop").withColumn("value", F.round("value", 4)).select("date", "row", "col", "flag", "value")
+    return raster.multiply(kept, inputs.people(spark, d), "value", "pop").select("date", "row", "col", "flag", "value")
 
 
 # ---- zonal sums --------------------------------------------------------------------------------------------------
@@ -269,24 +271,43 @@ def dissolve(spark: SparkSession, d: str) -> DataFrame:
     return edge.groupBy("adm0_en").agg(F.abs(F.sum(F.col("x1") * F.col("q.y") - F.col("q.x") * F.col("y1")) / 2).alias("area"), F.sum(F.hypot(F.col("q.x") - F.col("x1"), F.col("q.y") - F.col("y1"))).alias("perimeter"))
 
 
-def zonal_exposure(daily: DataFrame, people: DataFrame, coverage: DataFrame, zone: list[str], mode: str = "asrun", threshold: float = 0.005) -> DataFrame:
+def fine_layers(layers: DataFrame, flood_grid: Grid, people_grid: Grid) -> DataFrame:
+    """Flood layers cropped to the population's extent, stretched over it and brought to its cells."""
+    cropped, grid = raster.crop(layers, flood_grid, people_grid.extent)
+    return raster.resample_bilinear(cropped, raster.set_extent(grid, people_grid.extent), people_grid)
+
+
+def zonal_exposure(daily: DataFrame, people: DataFrame, coverage: DataFrame, zone: list[str], flood_grid: Grid, people_grid: Grid, mode: str = "asrun", threshold: float = 0.005, zones: DataFrame | None = None) -> DataFrame:
     """Exposed population by zone and year: zone columns, stat, date, pop_exposed.
 
     `asrun`: flood fraction times population, whatever the threshold; `binary`: population of cells that reach
-    it; `fraction_floor`: fraction times population of those cells.
+    it; `fraction_floor`: fraction times population of those cells. With `zones`, those without cells have rows too.
     """
     layers = raster.layer_max(daily).select("date", "row", "col", "value")
-    fine = raster.resample_bilinear(layers, COARSE, FINE)
+    fine = fine_layers(layers, flood_grid, people_grid)
     flag = raster.at_least(F.col("value"), threshold)
     value = {"asrun": raster.masked(F.col("value"), flag), "binary": flag, "fraction_floor": flag * F.col("value")}[mode]
     exposed = raster.multiply(fine.withColumn("value", value), people, "value", "pop")
-    return zonal.zonal_sum(coverage, exposed, zone, to="pop_exposed").withColumn("stat", F.lit("sum"))
+    return zonal.zonal_sum(coverage, exposed, zone, to="pop_exposed", zones=zones).withColumn("stat", F.lit("sum"))
+
 
+def zonal_pop_exposure(points: DataFrame, tiles: list[DataFrame], people_grid: Grid, zones: DataFrame, zone: list[str], box: tuple[float, float, float, float], mode: str = "asrun", threshold: float = 0.005, edges: bool = False) -> DataFrame:
+    """The exposure analysis from flood readings at (date, lon, lat) to zones, which are boxes.
 
-def threshold_sweep(daily: DataFrame, people: DataFrame, coverage: DataFrame, zone: list[str], thresholds: list[float]) -> DataFrame:
+    Readings in the box around the zones (xmin, ymin, xmax, ymax) make a grid by their axes, as run with the outer
+    centres for edges; population tiles on one grid are put together; then as zonal_exposure.
+    """
+    near = raster.within(points, box)
+    grid = axes(near, edges)
+    daily = raster.on_grid(near, grid).select("date", "row", "col", "value")
+    people = raster.mosaic(*tiles, value="pop")
+    return zonal_exposure(daily, people, zonal.box_coverage(zones, people_grid), zone, grid, people_grid, mode, threshold, zones)
+
+
+def threshold_sweep(daily: DataFrame, people: DataFrame, coverage: DataFrame, zone: list[str], thresholds: list[float], flood_grid: Grid, people_grid: Grid) -> DataFrame:
     """Population of cells that reach each threshold, by zone and year, all in one pass."""
     layers = raster.layer_max(daily).select("date", "row", "col", "value")
-    fine = raster.resample_bilinear(layers, COARSE, FINE).withColumn("thresh", F.explode(F.array(*map(F.lit, thresholds))))
+    fine = fine_layers(layers, flood_grid, people_grid).withColumn("thresh", F.explode(F.array(*map(F.lit, thresholds))))
     exposed = raster.multiply(fine.withColumn("value", raster.at_least(F.col("value"), F.col("thresh"))), people, "value", "pop")
     return zonal.zonal_sum(coverage, exposed, zone, to="pop_exposed").withColumn("stat", F.lit("sum"))
 
@@ -297,7 +318,7 @@ FROM fine f JOIN people p ON f."row" = p."row" AND f.col = p.col JOIN cover c ON
 
 
 def _exposed(spark: SparkSession, d: str, mode: str, threshold: float) -> DataFrame:
-    found = zonal_exposure(inputs.daily(spark, d), inputs.people(spark, d), _coverage(spark, d), ["adm1_en"], mode, threshold)
+    found = zonal_exposure(inputs.daily(spark, d), inputs.people(spark, d), _coverage(spark, d), ["adm1_en"], COARSE, FINE, mode, threshold)
     return found.withColumn("pop_exposed", F.round("pop_exposed", 4)).select("adm1_en", "date", "stat", "pop_exposed")
 
 
@@ -319,28 +340,30 @@ def zonal_exposure_fraction_floor(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_BILINEAR}, {_COVER}, t AS (SELECT unnest([CAST(0.2 AS DOUBLE), 0.6, 0.9]) AS thresh) SELECT adm1_en, date, thresh, 'sum' AS stat, round(coalesce(sum(w * (CASE WHEN f.value >= thresh THEN 1.0 WHEN f.value IS NOT NULL THEN 0.0 END) * pop), 0), 4) AS pop_exposed
 FROM fine f JOIN people p ON f."row" = p."row" AND f.col = p.col JOIN cover c ON c."row" = f."row" AND c.col = f.col, t GROUP BY 1, 2, 3""")
 def threshold_sweep_query(spark: SparkSession, d: str) -> DataFrame:
-    found = threshold_sweep(inputs.daily(spark, d), inputs.people(spark, d), _coverage(spark, d), ["adm1_en"], [0.2, 0.6, 0.9])
+    found = threshold_sweep(inputs.daily(spark, d), inputs.people(spark, d), _coverage(spark, d), ["adm1_en"], [0.2, 0.6, 0.9], COARSE, FINE)
     return found.withColumn("pop_exposed", F.round("pop_exposed", 4)).select("adm1_en", "date", "thresh", "stat", "pop_exposed")
 
 
 QUERIES["q_threshold_sweep"], ORACLE["q_threshold_sweep"] = QUERIES.pop("q_threshold_sweep_query"), ORACLE.pop("q_threshold_sweep_query")
 
 
-def flood_exposure_window(daily: DataFrame, people: DataFrame, zones: DataFrame, zone: list[str], lo: str, hi: str, resample: str = "population", binary: bool = True, fixed: bool = False) -> DataFrame:
+def flood_exposure_window(daily: DataFrame, people: DataFrame, zones: DataFrame, zone: list[str], lo: str, hi: str, flood_grid: Grid, people_grid: Grid, resample: str = "population", binary: bool = True, fixed: bool = False) -> DataFrame:
     """Daily exposure in a window of dates: zone columns, date, sum.
 
-    resample="population" brings population to the flood grid by sums, "floodscan" floods to the population grid
-    by nearest cells. `binary` counts whole cells with any flood; on the floodscan path it has no effect unless `fixed`.
+    Population is cropped to the floods' extent. resample="population" brings it to the flood grid by sums,
+    "floodscan" floods to the population grid by nearest cells. `binary` counts whole cells with any flood; on the
+    floodscan path it has no effect unless `fixed`.
     """
     window = daily.where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    people, cropped = raster.crop(people, people_grid, flood_grid.extent)
     if resample == "population":
-        grid = COARSE
+        grid = flood_grid
         flood = window.withColumn("value", raster.presence(F.col("value"))) if binary else window
-        exposed = raster.multiply(flood, raster.resample_sum(people, FINE, COARSE, "pop"), "value", "pop")
+        exposed = raster.multiply(flood, raster.resample_sum(people, cropped, flood_grid, "pop"), "value", "pop")
     else:
-        grid = FINE
+        grid = cropped
         flood = window.withColumn("value", raster.presence(F.col("value"))) if binary and fixed else window
-        exposed = raster.multiply(raster.resample_near(flood, COARSE, FINE), people, "value", "pop")
+        exposed = raster.multiply(raster.resample_near(flood, flood_grid, cropped), people, "value", "pop")
     return zonal.zonal_sum(zonal.box_coverage(zones, grid), exposed, zone, empty=0.0)
 
 
@@ -356,16 +379,71 @@ _DAY = 'WITH {}, one AS (SELECT date, "row", col, max(value) AS value FROM daily
   WHERE least(xmax, c * 4 + 4) > greatest(xmin, c * 4) AND least(ymax, 20 - r * 4) > greatest(ymin, 16 - r * 4))
 SELECT adm1_en, date, round(coalesce(sum(w * (CASE WHEN value <> 0 THEN 1.0 END) * pop), 0), 4) AS "sum" FROM one o JOIN pop4 p ON o."row" = p."row" AND o.col = p.col JOIN cover c ON c."row" = o."row" AND c.col = o.col GROUP BY 1, 2""")
 def flood_exposure_window_population(spark: SparkSession, d: str) -> DataFrame:
-    found = flood_exposure_window(_one_a_day(spark, d), inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31")
+    found = flood_exposure_window(_one_a_day(spark, d), inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", COARSE, FINE)
     return found.withColumn("sum", F.round("sum", 4))
 
 
 @query(f"""{_DAY}, {_COVER} SELECT adm1_en, date, round(coalesce(sum(w * value * pop), 0), 4) AS "sum" FROM people p JOIN one o ON o."row" = p."row" // 4 AND o.col = p.col // 4 JOIN cover c ON c."row" = p."row" AND c.col = p.col GROUP BY 1, 2""")
 def flood_exposure_window_floodscan(spark: SparkSession, d: str) -> DataFrame:
-    found = flood_exposure_window(_one_a_day(spark, d), inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", "floodscan")
+    found = flood_exposure_window(_one_a_day(spark, d), inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", COARSE, FINE, "floodscan")
     return found.withColumn("sum", F.round("sum", 4))
 
 
+# Readings at the centres of COARSE inside this box make, as run, a grid with the outer centres for edges: x 2 to 38 by
+# 3.6, y 14 to 6 by 8/3. Population is looked at on columns 5 to 30 and rows 4 to 16 of FINE, x 5 to 31, y 16 to 3.
+_BOX = (0.25, 4.7, 39.6, 15.5)
+_STUDY = (5.2, 30.9, 3.1, 16.4)
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.daily(spark, d).select("date", COARSE.x(F.col("col")).alias("lon"), COARSE.y(F.col("row")).alias("lat"), "value")
+
+
+def _zones_and_one_apart(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes, the last one moved off the grid."""
+    off = F.when(F.col("n_nationkey") == 24, 100.0).otherwise(0.0)
+    return inputs.boxes(spark, d).withColumns({"xmin": F.col("xmin") + off, "xmax": F.col("xmax") + off})
+
+
+@query(f"""WITH {ctes('daily', 'people', 'boxes')}, near AS (SELECT date, "row" - 1 AS "row", col, value FROM daily WHERE "row" BETWEEN 1 AND 3
+), yearly AS (SELECT year(date) AS y, "row", col, CASE WHEN count(value) = count(*) THEN max(value) END AS value FROM near GROUP BY 1, 2, 3
+), layers AS (SELECT f.date, "row", col - 1 AS col, value FROM yearly JOIN (SELECT year(date) AS y, min(date) AS date FROM near GROUP BY 1) f USING (y) WHERE col BETWEEN 1 AND 7
+), pts AS (SELECT r, c, (c + CAST(0.5 AS DOUBLE)) / (CAST(26 AS DOUBLE) / 7) - 0.5 AS fx, (r + CAST(0.5 AS DOUBLE)) / (CAST(13 AS DOUBLE) / 3) - 0.5 AS fy FROM range(13) a(r), range(26) b(c)
+), need AS (SELECT r, c, least(2, greatest(0, floor(fy) + b)) AS sj, least(6, greatest(0, floor(fx) + a)) AS si, sum((CASE WHEN a = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) * (CASE WHEN b = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END)) AS w FROM pts, range(2) x(a), range(2) y(b) GROUP BY ALL
+), counted AS (SELECT *, count(*) OVER (PARTITION BY r, c) AS n FROM need WHERE w > 0
+), fine AS (SELECT l.date, r, c, CASE WHEN count(l.value) = max(n) THEN sum(w * l.value) END AS value FROM counted JOIN layers l ON l."row" = sj AND l.col = si GROUP BY ALL
+), tiles AS (SELECT "row" - 4 AS r, col - 5 AS c, avg(pop) AS pop FROM (SELECT "row", col, pop FROM people WHERE col < 24 UNION ALL SELECT "row", col, pop / 2 FROM people WHERE col >= 16) WHERE col BETWEEN 5 AND 30 AND "row" BETWEEN 4 AND 16 GROUP BY 1, 2
+), zones AS (SELECT adm1_en, xmin + CASE WHEN n_nationkey = 24 THEN 100 ELSE 0 END AS xmin, xmax + CASE WHEN n_nationkey = 24 THEN 100 ELSE 0 END AS xmax, ymin, ymax FROM boxes
+), cover AS (SELECT adm1_en, r, c, (least(xmax, c + 6) - greatest(xmin, c + 5)) * (least(ymax, 16 - r) - greatest(ymin, 15 - r)) AS w FROM zones, range(13) a(r), range(26) b(c) WHERE least(xmax, c + 6) > greatest(xmin, c + 5) AND least(ymax, 16 - r) > greatest(ymin, 15 - r)
+), exposed AS (SELECT f.date, f.r, f.c, f.value * t.pop AS value FROM fine f JOIN tiles t USING (r, c)
+), met AS (SELECT adm1_en, date, coalesce(sum(w * value), 0) AS x FROM cover JOIN exposed USING (r, c) GROUP BY 1, 2)
+SELECT z.adm1_en, d.date, 'sum' AS stat, round(coalesce(x, 0), 4) AS pop_exposed FROM (SELECT DISTINCT adm1_en FROM zones) z CROSS JOIN (SELECT DISTINCT date FROM met) d LEFT JOIN met m ON m.adm1_en = z.adm1_en AND m.date = d.date
+WHERE m.adm1_en IS NOT NULL OR z.adm1_en NOT IN (SELECT adm1_en FROM met)""")
+def zonal_pop_exposure_points(spark: SparkSession, d: str) -> DataFrame:
+    """From readings at places to zones: box, axes, mosaic, crop, extent, resampling, zonal sums; one zone lies off the grid."""
+    p = inputs.people(spark, d)
+    people, grid = raster.crop(p, FINE, _STUDY)
+    parts = people.where(F.col("col") < 19), people.where(F.col("col") >= 11).withColumn("pop", F.col("pop") / 2)
+    found = zonal_pop_exposure(_points(spark, d), list(parts), grid, _zones_and_one_apart(spark, d), ["adm1_en"], _BOX)
+    return found.withColumn("pop_exposed", F.round("pop_exposed", 4)).select("adm1_en", "date", "stat", "pop_exposed")
+
+
+@query(f"""WITH {ctes('daily', 'people', 'boxes')}, one AS (SELECT date, "row" - 1 AS j, col AS i, max(value) AS value FROM daily WHERE "row" BETWEEN 1 AND 3 AND date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31' GROUP BY 1, 2, 3
+), part AS (SELECT j, i, pop * (least(col + 1, 2 + 3.6 * (i + 1)) - greatest(col, 2 + 3.6 * i)) * (least(20 - "row", 14 - j * CAST(8 AS DOUBLE) / 3) - greatest(19 - "row", 14 - (j + 1) * CAST(8 AS DOUBLE) / 3)) AS pop FROM people, range(3) a(j), range(10) b(i)
+  WHERE col BETWEEN 2 AND 37 AND "row" BETWEEN 6 AND 13 AND least(col + 1, 2 + 3.6 * (i + 1)) > greatest(col, 2 + 3.6 * i) AND least(20 - "row", 14 - j * CAST(8 AS DOUBLE) / 3) > greatest(19 - "row", 14 - (j + 1) * CAST(8 AS DOUBLE) / 3)
+), people2 AS (SELECT j, i, sum(pop) AS pop FROM part GROUP BY 1, 2
+), cover AS (SELECT adm1_en, j, i, (least(xmax, 2 + 3.6 * (i + 1)) - greatest(xmin, 2 + 3.6 * i)) * (least(ymax, 14 - j * CAST(8 AS DOUBLE) / 3) - greatest(ymin, 14 - (j + 1) * CAST(8 AS DOUBLE) / 3)) / 9.6 AS w FROM boxes, range(3) a(j), range(10) b(i)
+  WHERE least(xmax, 2 + 3.6 * (i + 1)) > greatest(xmin, 2 + 3.6 * i) AND least(ymax, 14 - j * CAST(8 AS DOUBLE) / 3) > greatest(ymin, 14 - (j + 1) * CAST(8 AS DOUBLE) / 3))
+SELECT adm1_en, date, round(coalesce(sum(w * value * pop), 0), 3) AS "sum" FROM one JOIN people2 USING (j, i) JOIN cover USING (j, i) GROUP BY 1, 2""")
+def flood_exposure_window_points(spark: SparkSession, d: str) -> DataFrame:
+    """The window analysis on the grid of the readings' own axes; population is cropped to it and shared out over its cells."""
+    near = raster.within(_points(spark, d), _BOX)
+    grid = axes(near)
+    daily = raster.on_grid(near, grid).groupBy("date", "row", "col").agg(F.max("value").alias("value"))
+    found = flood_exposure_window(daily, inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", grid, FINE, binary=False)
+    return found.withColumn("sum", F.round("sum", 3))
+
+
 # ---- bands and tables --------------------------------------------------------------------------------------------
 
 
@@ -394,12 +472,30 @@ def mean_cl_normal(spark: SparkSession, d: str) -> DataFrame:
     return g.select("adm1_en", "adm2_en", F.round("m", 3).alias("mean"), "n", F.round(F.col("m") - half, 3).alias("lower"), F.round(F.col("m") + half, 3).alias("upper"))
 
 
-def shown_table(means: DataFrame, region: str, district: str | None = None) -> DataFrame:
-    """A means table as shown: labels, three figures, whole percent."""
-    names = [F.col(region).alias("Region"), *([F.col(district).alias("District")] if district else [])]
+def shown_table(means: DataFrame, region: str, district: str | None = None, before: list[Column] | None = None) -> DataFrame:
+    """A means table as shown: labels, three figures, whole percent. `before`: columns to put in front."""
+    names = [*(before or []), F.col(region).alias("Region"), *([F.col(district).alias("District")] if district else [])]
     return means.select(*names, text.three_figures(F.col("mean_exposed")).alias("Average population exposed"), text.three_figures(F.col("total_pop")).alias("Total population"), text.percent(F.col("pct_exposed")).alias("Percent population exposed"))
 
 
+def country_tables(means: DataFrame, country: str, region: str, district: str | None = None) -> DataFrame:
+    """A table for each country, rows grouped by region: shown_table with `country`, `row_group` on a group's first row, and `place`, the row's number in its table.
+
+    The tables lie side by side under one key; `write_tables` gives each its own folder.
+    """
+    order = [F.col(region), *([F.col(district)] if district else [])]
+    first = F.row_number().over(Window.partitionBy(country, region).orderBy(*order)) == 1
+    place = F.row_number().over(Window.partitionBy(country).orderBy(*order))
+    marked = means.withColumns({"__group": F.when(first, F.col(region)), "__place": place})
+    shown = shown_table(marked, region, district, [F.col(country).alias("country"), F.col("__group").alias("row_group"), F.col("__place").alias("place")])
+    return shown
+
+
+def write_tables(tables: DataFrame, path: str, by: str = "country") -> None:
+    """One folder of rows for each key, as splitting a frame by key gives one frame each."""
+    tables.repartition(by).sortWithinPartitions(by, "place").write.mode("overwrite").partitionBy(by).parquet(path)
+
+
 def _figures_sql(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL WHEN abs({x}) >= 100 THEN format('{{:,.0f}}', round({x} * pow(10.0, 2 - floor(log10(abs({x}))))) / pow(10.0, 2 - floor(log10(abs({x}))))) ELSE format('{{:,.2f}}', {x}) END"
 
@@ -428,3 +524,16 @@ def color_ramp(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_STATS} SELECT adm2_pcode, date, round(asinh(pop_exposed_wp / 2), 6) AS pseudo_log, format('{{:,.0f}}', round(pop_exposed_wp / 1000)) || 'k' AS label, format('{{:,.0f}}', round(pct_exposed * 100)) || '%' AS pct FROM d2""")
 def pseudo_log(spark: SparkSession, d: str) -> DataFrame:
     return _d2(spark, d).select("adm2_pcode", "date", r6(stats.pseudo_log(F.col("pop_exposed_wp"))).alias("pseudo_log"), text.in_thousands(F.col("pop_exposed_wp")).alias("label"), text.percent(F.col("pct_exposed")).alias("pct"))
+
+
+_MEANS2 = f"{_STATS}, m AS (SELECT adm0_en, adm1_en, adm2_en, CASE WHEN count(pop_exposed_wp) = count(*) THEN avg(pop_exposed_wp) END AS me, max(total_pop_wp) AS tp FROM d2 GROUP BY 1, 2, 3)"
+
+
+@query(f"""{_MEANS2}, k AS (SELECT *, row_number() OVER (PARTITION BY adm0_en, adm1_en ORDER BY adm2_en) AS n, row_number() OVER (PARTITION BY adm0_en ORDER BY adm1_en, adm2_en) AS place FROM m WHERE me >= 100)
+SELECT adm0_en AS country, CASE WHEN n = 1 THEN adm1_en END AS row_group, CAST(place AS INTEGER) AS place, adm1_en AS "Region", adm2_en AS "District", {_figures_sql('me')} AS "Average population exposed", {_figures_sql('tp')} AS "Total population", format('{{:,.0f}}', round(me / tp * 100)) || '%' AS "Percent population exposed" FROM k""")
+def country_tables_query(spark: SparkSession, d: str) -> DataFrame:
+    means = _d2(spark, d).groupBy("adm0_en", "adm1_en", "adm2_en").agg(stats.mean_strict(F.col("pop_exposed_wp")).alias("mean_exposed"), F.max("total_pop_wp").alias("total_pop")).where("mean_exposed >= 100")
+    return country_tables(means.withColumn("pct_exposed", stats.ratio(F.col("mean_exposed"), F.col("total_pop"))), "adm0_en", "adm1_en", "adm2_en")
+
+
+QUERIES["q_country_tables"], ORACLE["q_country_tables"] = QUERIES.pop("q_country_tables_query"), ORACLE.pop("q_country_tables_query")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.functions import stats
+from tamarisk.functions import stats, text
 from tamarisk.operators import relational
 from tamarisk.plans import inputs
 from tamarisk.plans.inputs import ctes
@@ -25,6 +25,9 @@ REPAIRS = {
 # Choices of the phase menu and the measures they show; the last has no rows under its strict name.
 MEASURES = {"Phase 3+": "phase3plus_num", "Phase 3": "phase3_num_t", "Phase 4+": "phase4plus_num", "Phase 4": "phase4_num_t", "Phase 5": "phase5_num"}
 
+# Countries that the boundary file has under an older name.
+RENAMED = {"Swaziland": "Eswatini"}
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -46,6 +49,21 @@ def repaired(phases: DataFrame, areas: DataFrame, repairs: dict[str, str] = REPA
     return out.withColumn("admin_fixed", fixed.otherwise("")).drop("__known")
 
 
+def area_keys(areas: DataFrame, country: str, area: str, renamed: dict[str, str] = RENAMED) -> DataFrame:
+    """Areas with admin_id, the country's present name and the area's, so that phase rows meet them."""
+    return relational.unite(areas.withColumn(country, text.recode(F.col(country), renamed)), "admin_id", [country, area])
+
+
+def phase_title(phase: str, period: F.Column) -> F.Column:
+    """The heading of a phase map; the period in title case."""
+    return F.concat(F.lit(f"Acute Food Insecurity IPC Phase {phase} ("), text.title_case(period), F.lit(")"))
+
+
+def country_totals(areas: DataFrame, totals: DataFrame, key: str = "iso3") -> DataFrame:
+    """Countries and their totals by the key both have, either side's rows kept; the key comes once."""
+    return relational.merge_outer(areas, totals, key, key)
+
+
 def with_percent(phases: DataFrame) -> DataFrame:
     return phases.withColumn("percent_pop", stats.ratio(stats.as_number(F.col("number")), stats.as_number(F.col("total_country_population"))) * 100)
 
@@ -70,8 +88,8 @@ def phase_totals(df: DataFrame) -> DataFrame:
     return relational.longer(out, ["phase3_num_t", "phase4_num_t", "phase5_num_t", "phase3plus_num", "phase4plus_num"], "labels", "vals")
 
 
-def shown_measure(long: DataFrame, choice: str, strict: bool = False) -> DataFrame:
-    """Rows of a menu choice; `strict` keeps to the name that the menu has for phase 5, which no row has."""
+def shown_measure(long: DataFrame, choice: str, strict: bool = True) -> DataFrame:
+    """Rows of a menu choice. As run, phase 5 keeps to the menu's name, which no row has; without `strict` its rows are found."""
     name = MEASURES[choice]
     return long.where(F.col("labels").isin(name) if strict else F.col("labels").isin(name, f"{name}_t"))
 
@@ -149,7 +167,7 @@ def ipc_rowsums_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_WIDE} SELECT country, \"from\", labels, vals FROM long WHERE labels = 'phase5_num_t'")
 def ipc_menu_choice(spark: SparkSession, d: str) -> DataFrame:
-    return shown_measure(_long(spark, d), "Phase 5")
+    return shown_measure(_long(spark, d), "Phase 5", strict=False)
 
 
 _CODES = ("AO", "SZ", "LS", "MG", "MW", "MZ", "NA", "MW", "MZ", "ZA", "ZM", "ZW", "XX")
@@ -167,3 +185,26 @@ def country_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT * FROM (VALUES {', '.join(str((c, f'adm{i}', n)) for c, names in tables.LAYERS.items() for i, n in enumerate(names))}) t(country, level, layer)")
 def layer_names(spark: SparkSession, d: str) -> DataFrame:
     return tables.layer_names(spark)
+
+
+@query(f"""WITH {ctes('phases')}, c AS (SELECT n_nationkey, ['AGO', 'SWZ', 'LSO', 'ZZZ', NULL][n_nationkey % 5 + 1] AS iso3, n_name FROM nation WHERE n_nationkey < 9
+), t AS (SELECT CASE phase WHEN '1-URGENT' THEN 'AGO' WHEN '2-HIGH' THEN 'SWZ' WHEN '3-MEDIUM' THEN 'MOZ' WHEN '5-LOW' THEN NULL ELSE 'LSO' END AS iso3, count(*) AS n FROM phases GROUP BY 1)
+SELECT coalesce(c.iso3, t.iso3) AS iso3, n_nationkey, n_name, n FROM c FULL JOIN t ON c.iso3 IS NOT DISTINCT FROM t.iso3""")
+def ipc_same_key_outer(spark: SparkSession, d: str) -> DataFrame:
+    """Countries and totals joined in full on the one key they share; null keys meet."""
+    codes = F.array(*[F.lit(c) for c in ("AGO", "SWZ", "LSO", "ZZZ")], F.lit(None).cast("string"))
+    areas = inputs.table(spark, d, "nation").where("n_nationkey < 9").select("n_nationkey", F.get(codes, F.col("n_nationkey") % 5).alias("iso3"), "n_name")
+    iso3 = F.when(F.col("phase") == "1-URGENT", "AGO").when(F.col("phase") == "2-HIGH", "SWZ").when(F.col("phase") == "3-MEDIUM", "MOZ").when(F.col("phase") != "5-LOW", "LSO")
+    return country_totals(areas, inputs.phases(spark, d).groupBy(iso3.alias("iso3")).agg(F.count("*").alias("n")))
+
+
+@query(f"""WITH {ctes('phases')}, a AS (SELECT CASE WHEN n_name = 'CHINA' THEN 'KENYA' ELSE n_name END AS country, s AS admin FROM nation, (VALUES {', '.join(f"('{s}')" for s in _SEGMENTS)}) t(s) WHERE n_name <> 'KENYA'
+), k AS (SELECT country || '_' || admin AS admin_id FROM a), f AS (SELECT country || '_' || level_1 AS admin_id, validity_period, count(*) AS n FROM phases GROUP BY 1, 2)
+SELECT admin_id, 'Acute Food Insecurity IPC Phase 3+ (' || CASE validity_period WHEN 'F' THEN 'First Projection' WHEN 'O' THEN 'Current' END || ')' AS title, n FROM f SEMI JOIN k USING (admin_id)""")
+def ipc_renamed_countries(spark: SparkSession, d: str) -> DataFrame:
+    """Phase rows that meet areas once a country's older name is recoded, under the heading their map has."""
+    n = inputs.table(spark, d, "nation").where("n_name <> 'KENYA'").select(F.col("n_name").alias("country"), F.explode(F.array(*map(F.lit, _SEGMENTS))).alias("admin"))
+    areas = area_keys(n, "country", "admin", {"CHINA": "KENYA"}).select("admin_id").distinct()
+    rows = relational.unite(inputs.phases(spark, d), "admin_id", ["country", "level_1"]).groupBy("admin_id", "validity_period").agg(F.count("*").alias("n"))
+    period = F.when(F.col("validity_period") == "F", "FIRST projection").when(F.col("validity_period") == "O", "current")
+    return rows.join(areas, "admin_id", "left_semi").select("admin_id", phase_title("3+", period).alias("title"), "n")

@@ -39,9 +39,16 @@ def exposure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
-    """Daily flood fraction on the coarse grid: date, row, col, value; null for a few readings."""
+    """Daily flood fraction on the coarse grid: date, row, col, value; null for some readings of three cells.
+
+    A reading is at most a share of 1 that depends on cell and year, so yearly maxima differ. All are multiples of
+    1/128, whose sums with bilinear weights are exact.
+    """
     at = (F.col("l_partkey") % 50).cast("int")
-    return table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.floor(at / 10).cast("int").alias("row"), (at % 10).alias("col"), F.when(F.col("l_orderkey") % 5003 != 0, F.round(F.col("l_discount") * 10, 2)).alias("value"))
+    l = table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.floor(at / 10).cast("int").alias("row"), (at % 10).alias("col"), at.alias("at"), "l_orderkey", F.round(F.col("l_discount") * 100).cast("int").alias("tenths"))
+    most = (F.col("col") + 2 * F.col("row") + F.year("date")) % 12 + 1
+    unknown = (F.col("l_orderkey") % 101 == 0) & (F.col("at") % 17 == 3)
+    return l.select("date", "row", "col", F.when(~unknown, F.col("tenths") * most / 128.0).alias("value"))
 
 
 def people(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +83,8 @@ CTES = {
     "adm": "adm AS (SELECT r_name AS adm0_en, n_name AS adm1_en, n_nationkey AS adm1_pcode, s_name AS adm2_en, s_suppkey AS adm2_pcode FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
     "pops": "pops AS (SELECT adm1_en, adm1_pcode, adm2_en, adm2_pcode, pop FROM adm LEFT JOIN (SELECT l_suppkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS pop FROM lineitem GROUP BY 1) ON l_suppkey = adm2_pcode)",
     "expo": "expo AS (SELECT adm0_en, adm1_en, adm1_pcode, adm2_en, adm2_pcode, 'sum' AS stat, date, pop_exposed FROM adm JOIN (SELECT l_suppkey, CAST(date_trunc('year', CAST(l_shipdate AS DATE)) AS DATE) AS date, CAST(sum(CASE WHEN l_tax <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(6,2)) END) AS DOUBLE) AS pop_exposed FROM lineitem GROUP BY 1, 2) ON l_suppkey = adm2_pcode)",
-    "daily": 'daily AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST((l_partkey % 50) // 10 AS INTEGER) AS "row", CAST(l_partkey % 10 AS INTEGER) AS col, CASE WHEN l_orderkey % 5003 <> 0 THEN round(l_discount * 10, 2) END AS value FROM lineitem)',
+    "daily": """daily AS (SELECT date, "row", col, CASE WHEN l_orderkey % 101 <> 0 OR cell % 17 <> 3 THEN CAST(tenths * ((col + 2 * "row" + year(date)) % 12 + 1) AS DOUBLE) / 128 END AS value
+  FROM (SELECT CAST(l_shipdate AS DATE) AS date, l_partkey % 50 AS cell, CAST((l_partkey % 50) // 10 AS INTEGER) AS "row", CAST(l_partkey % 10 AS INTEGER) AS col, l_orderkey, CAST(round(l_discount * 100) AS INTEGER) AS tenths FROM lineitem))""",
     "people": 'people AS (SELECT CAST((p_partkey % 800) // 40 AS INTEGER) AS "row", CAST(p_partkey % 40 AS INTEGER) AS col, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS pop FROM part GROUP BY 1, 2)',
     "boxes": "boxes AS (SELECT n_nationkey, n_name AS adm1_en, CAST(n_nationkey % 5 * 8 + 0.25 AS DOUBLE) AS xmin, CAST(n_nationkey % 5 * 8 + 7.6 AS DOUBLE) AS xmax, CAST(20 - (n_nationkey // 5 * 4 + 3.3) AS DOUBLE) AS ymin, CAST(20 - (n_nationkey // 5 * 4 + 0.5) AS DOUBLE) AS ymax FROM nation)",
     "rain": "rain AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, l_suppkey AS adm2_pcode, CAST(l_quantity AS DOUBLE) AS r1h, CASE WHEN l_tax <> 0 THEN l_extendedprice END AS r1h_avg, l_discount AS r1q FROM lineitem)",

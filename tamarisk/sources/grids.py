@@ -26,15 +26,19 @@ def read_layers(spark: SparkSession, path: str, band: str, lo: str | None = None
     return cube.select("date", "lon", "lat", clean(F.col(band)).alias("value"))
 
 
-def write_layers(df: DataFrame, path: str) -> None:
-    """Layers partitioned by year and sorted by place, so that dates and boxes prune files and row groups."""
-    df.withColumn("year", F.year("date")).repartition("year").sortWithinPartitions("lat", "lon", "date").write.mode("overwrite").partitionBy("year").parquet(path)
+def write_layers(df: DataFrame, path: str, tile: float = 10.0) -> None:
+    """Layers partitioned by year and sorted by place, so that dates and boxes prune files and row groups.
 
+    A task writes one year of one tile of `tile` degrees.
+    """
+    tiles = [F.floor(F.col(c) / tile) for c in ("lat", "lon")]
+    df.withColumn("year", F.year("date")).repartition("year", *tiles).sortWithinPartitions("year", "lat", "lon", "date").write.mode("overwrite").partitionBy("year").parquet(path)
 
-def axes(cube: DataFrame) -> Grid:
-    """The grid of a table's lon and lat values."""
+
+def axes(cube: DataFrame, edges: bool = False) -> Grid:
+    """The grid of a table's lon and lat values; `edges` as for grid_of_axes."""
     r = cube.agg(F.min("lon"), F.max("lon"), F.count_distinct("lon"), F.min("lat"), F.max("lat"), F.count_distinct("lat")).first()
-    return grid_of_axes((r[0], r[1], r[2]), (r[3], r[4], r[5]))
+    return grid_of_axes((r[0], r[1], r[2]), (r[3], r[4], r[5]), edges)
 
 
 def read_tile(spark: SparkSession, path: str, value: str, to: str = "value") -> DataFrame:
