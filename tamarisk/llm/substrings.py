@@ -1,32 +1,35 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
-A suffix is the rest of a document from one word on. Suffixes are dealt out by a prefix, and each group's sorted
-suffixes with their common-prefix lengths stand for its subtree: neighbours that agree in WINDOW words or more lie
-under one deep internal node, a repeat.
-
-Two things keep this within memory and disk. The prefix that deals a suffix out is the rarest-ranked (least-hashed)
-PREFIX-word sequence among its first WINDOW words, so equal windows meet in the same group at the same place, and
-only suffixes whose prefix occurs in two different texts leave their document at all. Prefixes are of variable
-length: a group of more than GROUP occurrences is split by all WINDOW words, where a node needs no further tree but
-its smallest document, which Spark sums up before the shuffle. Exact copies are found by digest first.
+A suffix is the rest of a document from one word on. Suffixes are dealt out by a prefix into groups that fit a
+task's memory. A group's tree is its sorted suffixes with the common-prefix lengths of neighbours; its deep internal
+nodes, those of WINDOW words or more, are the repeats, and consecutive suffixes under deep nodes make up a maximal one.
+
+The trees are sparse: of each WINDOW consecutive words one place is sampled, where the least-hashed PREFIX-word
+sequence begins, so equal windows are sampled alike. The prefix of the suffix at that place deals out the windows
+around it, as one row of consecutive suffixes, and only rows whose prefix occurs in two different texts leave their
+document at all. Prefixes are of variable length: where the rows of a prefix hold more than GROUP_BYTES, their
+suffixes are dealt out by WINDOW words of their own. All suffixes of such a group are under one deep node, of which
+only the smallest document counts, and Spark sums that up before the shuffle. Exact copies are found by digest first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm._common import Words, bound_batches, mix, rolling, slices, split_words, stage
+from tamarisk.llm._common import Words, bound_batches, by_group, mix, rolling, slices, split_words, stage
 
 #: Words of a repeat, and of the prefix that suffixes are dealt out by.
 WINDOW, PREFIX = 50, 16
-#: Occurrences of a prefix whose subtree one task holds.
-GROUP = 4000
+#: Bytes of words in the group of one prefix, and rows that a task makes trees of at once (more where a group has more).
+GROUP_BYTES, ROWS = 256 << 10, 2000
+#: Steps by which sorted suffixes are compared; their sum is the depth that trees are built to.
+STEPS = (32, 32, 16, 8, 4, 2, 1)
 #: Rows of repeated windows of hot prefixes up to which they go to the tasks as one table, of 12 MB at most.
 TABLE = 500_000
 #: Windows of hot prefixes that a task sums up at once.
@@ -52,17 +55,19 @@ def _index(docs: DataFrame, key_type: str) -> DataFrame:
         for batch in slices(batches):
             words = split_words(batch.column("text"))
             first = words.first
-            found, at, lens = [], [], []
-            for grams, least in prefixes(words):
+            found, at, sizes, lens = [], [], [], []
+            for a, (grams, least) in zip(first[:-1].tolist(), prefixes(words)):
                 places = np.unique(least)
+                lo, hi = np.searchsorted(least, places, "left"), np.searchsorted(least, places, "right") - 1
                 found.append(grams[places])
                 at.append(places)
+                sizes.append(words.ends[a + hi + WINDOW - 1] - words.starts[a + lo])
                 lens.append(len(places))
             offsets = pa.array(np.cumsum([0, *lens]), pa.int32())
-            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))], ["prefix", "at"])
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32))], ["prefix", "at", "size"])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "digest": batch.column("digest"), "n_words": pa.array(np.diff(first)), "anchors": pa.ListArray.from_arrays(offsets, pairs)})
 
-    return docs.mapInArrow(work, f"doc_id {key_type}, h long, digest binary, n_words long, anchors array<struct<prefix:long,at:int>>")
+    return docs.mapInArrow(work, f"doc_id {key_type}, h long, digest binary, n_words long, anchors array<struct<prefix:long,at:int,size:int>>")
 
 
 def _with_words(docs: DataFrame, key_type: str) -> DataFrame:
@@ -104,65 +109,74 @@ def _occurrences(cut: DataFrame, key_type: str) -> DataFrame:
     return cut.where(F.size("cold") > 0).mapInArrow(work, f"prefix long, doc_id {key_type}, h long, begin int, n int, words binary")
 
 
-def deep_nodes(rows: list[dict]) -> Iterator[tuple[int, int]]:
-    """Of one group's occurrences: (row, window) of each suffix under a deep node that a smaller document starts in too.
-
-    The suffixes are sorted; those that agree in their first WINDOW words lie next to each other.
-    """
-    suffixes = []
-    for r, row in enumerate(rows):
-        text = row["words"] + b" "
-        starts, at = [0], 0
-        for _ in range(row["n"] + WINDOW - 1):
-            at = text.index(b" ", at) + 1
-            starts.append(at)
-        suffixes += [(text[starts[i] : starts[i + WINDOW]], r, i) for i in range(row["n"])]
-    suffixes.sort()
-    for _, node in groupby(suffixes, key=lambda s: s[0]):
-        under = list(node)
-        if len(under) > 1:
-            least = min(rows[r]["doc_id"] for _, r, _ in under)
-            yield from ((r, i) for _, r, i in under if rows[r]["doc_id"] > least)
+def ranks(hashes: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
+    """For k = 1, 2, 4 ... 32 the rank of the k words from each place on; what lies beyond a row's end (`ends` by place) ranks lowest."""
+    at = np.arange(len(hashes))
+    found = {1: np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1}
+    k = 1
+    while k < max(STEPS):
+        own, ahead = found[k], np.zeros(len(hashes), np.int64)
+        inside = at + k < ends
+        ahead[inside] = own[at[inside] + k]
+        found[2 * k] = np.unique(own * (len(hashes) + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1
+        k *= 2
+    return found
 
 
-def _subtrees(occurrences: DataFrame, key_type: str) -> DataFrame:
-    """(doc_id, h, starts): windows to remove, found group by group; a task holds one group of at most GROUP occurrences."""
+def suffix_tree(hashes: np.ndarray, ends: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `starts` in order within their groups, and each one's common prefix with the one before it, in words.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flat():
-            for batch in batches:
-                yield from batch.to_pylist()
+    The second is 0 at a group's first suffix. An internal node of depth d is a longest run of suffixes whose common
+    prefixes with the ones before them are d or more, all but the first. Depths stop at the sum of STEPS.
+    """
+    rank = ranks(hashes, ends)
+    widest = max(STEPS)
+    further = np.where(starts + widest < ends[starts], rank[widest][np.minimum(starts + widest, len(hashes) - 1)], 0)
+    order = np.lexsort((starts, further, rank[widest][starts], groups))
+    x, y = starts[order][:-1], starts[order][1:]
+    common = np.zeros(len(x), np.int64)
+    for k in STEPS:
+        i, j = x + common, y + common
+        inside = (i + k <= ends[x]) & (j + k <= ends[y])
+        same = inside.copy()
+        same[inside] = rank[k][i[inside]] == rank[k][j[inside]]
+        common += np.where(same, k, 0)
+    common[groups[order][1:] != groups[order][:-1]] = 0
+    return order, np.concatenate([np.zeros(min(1, len(order)), np.int64), common])
+
+
+def deep_suffixes(docs: np.ndarray, order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which suffixes are under a node of WINDOW words or more that a smaller document starts in too."""
+    begins = np.flatnonzero(common < WINDOW)
+    least = np.minimum.reduceat(docs[order], begins)
+    gone = np.zeros(len(order), bool)
+    gone[order] = docs[order] > np.repeat(least, np.diff(np.concatenate([begins, [len(order)]])))
+    return gone
 
-        kinds: dict = {}
 
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], kinds["doc_id"]), "h": pa.array([r[1] for r in rows], pa.int64()), "starts": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
+def _subtrees(occurrences: DataFrame, key_type: str) -> DataFrame:
+    """(doc_id, h, starts): windows to remove, found tree by tree; a tree's rows hold GROUP_BYTES at most."""
 
-        first = next(batches, None)
-        if first is None:
+    def f(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        one = {c: found.column(c).combine_chunks() if isinstance(found.column(c), pa.ChunkedArray) else found.column(c) for c in found.column_names}
+        words = split_words(one["words"])
+        if not len(words.starts):
             return
-        kinds["doc_id"] = first.schema.field("doc_id").type
-
-        def chained():
-            yield from first.to_pylist()
-            yield from flat()
-
-        out: list[tuple] = []
-        for _, group in groupby(chained(), key=lambda row: row["prefix"]):
-            rows = list(group)
-            if len(rows) < 2:
-                continue
-            gone: dict[int, list[int]] = {}
-            for r, i in deep_nodes(rows):
-                gone.setdefault(r, []).append(rows[r]["begin"] + i)
-            out += [(rows[r]["doc_id"], rows[r]["h"], starts) for r, starts in gone.items()]
-            if len(out) >= 2000:
-                yield emit(out)
-                out = []
-        if out:
-            yield emit(out)
-
-    return occurrences.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(work, f"doc_id {key_type}, h long, starts array<int>")
+        n, prefix = np.asarray(one["n"]).astype(np.int64), np.asarray(one["prefix"])
+        row = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        ends = np.repeat(words.first[1:], np.diff(words.first))
+        group = np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]]))[row]
+        coded = pd.factorize(one["doc_id"].to_pandas(), sort=True)[0]
+        order, common = suffix_tree(words.hashes(), ends, words.first[:-1][row] + within, group)
+        gone = np.flatnonzero(deep_suffixes(coded[row], order, common))
+        if len(gone):
+            of, begins = np.unique(row[gone], return_index=True)
+            starts = (np.asarray(one["begin"])[row[gone]] + within[gone]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begins, [len(gone)]]), pa.int32()), pa.array(starts))
+            yield pa.RecordBatch.from_pydict({"doc_id": one["doc_id"].take(pa.array(of)), "h": one["h"].take(pa.array(of)), "starts": lists})
+
+    return by_group(occurrences, ["prefix"], f, f"doc_id {key_type}, h long, starts array<int>", ROWS)
 
 
 def _hot_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -290,8 +304,8 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     index = stage(_index(source.select("doc_id", "h", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), "text"), kind), "index")
     first = index.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = stage(index.select("doc_id", "h", "digest").join(first, "digest").select("doc_id", "h", (F.col("doc_id") > F.col("first")).alias("copy")), "copies")
-    anchors = index.select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.prefix", "a.at")
-    repeated = stage(anchors.groupBy("prefix").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("prefix", (F.col("n") > GROUP).alias("is_hot")), "repeated")
+    anchors = index.select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.prefix", "a.at", "a.size")
+    repeated = stage(anchors.groupBy("prefix").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("size").alias("bytes")).where("lo < hi").select("prefix", (F.col("bytes") > GROUP_BYTES).alias("is_hot")), "repeated")
     places = anchors.join(repeated, "prefix").groupBy("doc_id", "h").agg(F.collect_set(F.when(F.col("is_hot"), F.col("at"))).alias("hot"), F.collect_set(F.when(~F.col("is_hot"), F.col("at"))).alias("cold"))
     originals = copies.groupBy("doc_id", "h").agg(F.max("copy").alias("copy"))
     none = F.array().cast("array<int>")

@@ -78,12 +78,34 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("group", "table"), [(4000, 500_000), (1, 500_000), (1, 0)])
+@pytest.mark.parametrize(("group", "table"), [(1 << 18, 500_000), (1, 500_000), (1, 0)])
 def test_repeats(docs, empty, monkeypatch, group, table):
-    monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)
     monkeypatch.setattr(substrings, "TABLE", table)
     got = substrings.drop_repeats(docs).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_repeats(ROWS)
     assert all(sum(s.end - s.begin for s in r.spans) == r.n_removed for r in got)
     if group > 1:
         assert substrings.drop_repeats(empty).count() == 0
+
+
+def test_suffix_trees():
+    """Order and common prefixes of random suffixes, against sorted tuples."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        rows = [rng.integers(0, rng.integers(2, 4), rng.integers(55, 120)) for _ in range(4)]
+        rows += [np.concatenate([rows[0][5:60], rng.integers(0, 3, 30)])]
+        first = np.cumsum([0, *map(len, rows)])
+        starts = np.concatenate([np.arange(a, b - 49) for a, b in zip(first[:-1], first[1:])])
+        ends = np.repeat(first[1:], np.diff(first))
+        every = np.concatenate(rows).astype(np.uint64)
+        groups = np.repeat([0, 1, 0, 1, 0], [len(r) - 49 for r in rows])
+        order, common = substrings.suffix_tree(every, ends, starts, groups)
+        text = lambda i: tuple(every[starts[i] : ends[starts[i]]].tolist())
+        keys = [(groups[i], text(i)[:64]) for i in order]
+        assert keys == sorted(keys) and common[0] == 0
+        for x, y, c in zip(order[:-1], order[1:], common[1:]):
+            lcp = next((k for k, (p, q) in enumerate(zip(text(x), text(y))) if p != q), min(len(text(x)), len(text(y))))
+            assert c == (min(lcp, 95) if groups[x] == groups[y] else 0)
