@@ -1,10 +1,15 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, and greedy search over it.
 
-Every distinct direction is a node. Cells of a few random hyperplane trees give each node its first neighbours;
-then rounds of NN-descent join each node's neighbours and reverse neighbours with one another, and a node keeps
-the nearest it meets. Queries walk the graph greedily with a beam: each step joins the beam's unopened nodes to
-their neighbour lists, which lie bucketed by node with the neighbours' vectors, so a step moves queries and not
-the graph. Vectors are compared in single precision along the way and in double precision at the end.
+Every distinct direction is a node. Cells of a few random hyperplane trees give each node its first neighbours; a
+crowded cell is parted by further hyperplanes about its own mean. Rounds of NN-descent then join each node's
+neighbours and reverse neighbours with one another, and a node keeps the nearest it meets, until hardly any
+neighbour changes. Queries walk the graph greedily with a beam: each step joins the beam's unopened nodes to their
+neighbour lists, which lie bucketed by node with the neighbours' vectors, so a step moves queries and not the graph.
+
+How wide the beam must be is measured: for a bounded sample of the queries the true neighbours come from one scan
+over all nodes, and the beam is doubled until the walk finds them often enough. Nearness on the way is the squared
+distance of unit vectors in single precision, from differences or about a common centre, so that tight groups keep
+their order; in the end all that rounding could have put among the nearest is compared in double precision.
 """
 
 from __future__ import annotations
@@ -20,12 +25,18 @@ from pyspark.sql.window import Window
 
 from tamarisk.llm._common import bound_batches, by_group, mix, stage
 
-#: Neighbours of a node and reverse ones besides; trees, nodes of a cell on average, rounds of NN-descent.
-NEIGHBOURS, REVERSE, TREES, CELL, ROUNDS = 24, 24, 8, 800, 1
-#: Width of the beam, nodes opened in a step, steps at most (the beam closes long before), nodes ranked exactly.
-BEAM, OPENED, STEPS, EXACT = 320, 64, 30, 48
+#: Neighbours of a node and reverse ones besides; trees, nodes of a cell on average.
+NEIGHBOURS, REVERSE, TREES, CELL = 24, 24, 8, 800
+#: Rounds of NN-descent go on until fewer than this share of all neighbours is new.
+SETTLED = 0.02
+#: Width of the first beam; queries that its width is fitted on, and the share of their true neighbours to be found.
+BEAM, SAMPLE, TARGET = 64, 256, 0.97
+#: Distance of unit vectors that rounding to single precision may hide, with room.
+ROUNDING = 1e-6
+#: Below any nearness, which is the squared distance of unit vectors, negated.
+FARTHEST = -5.0
 #: Pairs that one numpy step compares, and rows of lists merged at once.
-BLOCK, MERGED = 1 << 22, 20_000
+BLOCK, MERGED = 1 << 21, 20_000
 SEED = 11
 
 
@@ -46,11 +57,22 @@ def _packed(rows) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no digit, so that squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        v = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
-        scaled = v / np.abs(v).max(axis=1, keepdims=True)
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "u": _packed((scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32))})
+        v = _scaled(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1))
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "u": _packed((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))})
+
+
+def _nearness(u: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Of rows begin to end with all rows, taken about the rows' mean so that small distances keep their digits."""
+    x = u - u.mean(axis=0, dtype=np.float64).astype(np.float32)
+    squares = np.einsum("ij,ij->i", x, x)
+    return np.minimum(2 * (x[begin:end] @ x.T) - squares[begin:end, None] - squares, 0)
 
 
 def _edges_of(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,35 +112,78 @@ def merged(lists: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return by_group(lists, ["id"], f, _LISTS, MERGED)
 
 
+def _sums(cells: DataFrame, key: list[str], dim: int) -> DataFrame:
+    """(key, n, mean): rows and mean vector of each cell, first summed up within each batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(k)) for k in key]) if key else np.zeros((1, batch.num_rows), np.int64)
+            order = np.lexsort(keys)
+            begins = np.flatnonzero(np.concatenate([[True], (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(axis=0)]))
+            sums = np.add.reduceat(_matrix(batch.column("u"))[order].astype(np.float64), begins, axis=0)
+            counts = np.diff(np.concatenate([begins, [batch.num_rows]]))
+            yield pa.RecordBatch.from_pydict({k: pa.array(keys[i, order][begins]) for i, k in enumerate(key)} | {"n": pa.array(counts), "total": pa.array(list(sums), pa.list_(pa.float64()))})
+
+    head = "".join(f"{k} long, " for k in key)
+    sums = cells.select(*key, "u").mapInArrow(work, f"{head}n long, total array<double>")
+    means = [F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(dim)]
+    return sums.groupBy(*key).agg(F.sum("n").alias("n"), *means).select(*key, "n", F.array(*[F.col(f"t{i}") / F.col("n") for i in range(dim)]).alias("mean"))
+
+
+def _parted(cells: DataFrame, dim: int, seed: int) -> DataFrame:
+    """Crowded cells (cell, n, mean, id, u) parted by the signs of random directions, seen from the cell's own mean."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = np.random.default_rng(seed).normal(size=(dim, 62)).astype(np.float32)
+        for batch in batches:
+            cell, n = np.asarray(batch.column("cell")), np.asarray(batch.column("n"))
+            away = _matrix(batch.column("u")) - np.asarray(batch.column("mean").flatten()).reshape(batch.num_rows, -1).astype(np.float32)
+            bits = (away @ directions > 0) & (np.arange(62) < np.ceil(np.log2(np.maximum(n / CELL, 1)))[:, None])
+            code = bits @ (np.int64(1) << np.arange(62, dtype=np.int64))
+            new = mix(cell.astype(np.uint64) * np.uint64(3) + mix(code.astype(np.uint64) + np.uint64(seed)))
+            yield pa.RecordBatch.from_pydict({"cell": pa.array((new >> np.uint64(1)).astype(np.int64)), "id": batch.column("id"), "u": batch.column("u")})
+
+    return cells.select("cell", "n", "mean", "id", "u").mapInArrow(work, "cell long, id long, u binary")
+
+
 def _cells(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     """(cell, part, id, u) for each tree: the signs of some random directions, seen from the mean, name the cell.
 
-    A cell far above the average is dealt into parts at random; the rounds that follow join them again.
+    A cell far above the average is parted about its own mean, again and again while that makes cells smaller.
+    What cannot be parted so (equal in single precision) is dealt into parts at random.
     """
     levels = max(0, int(np.ceil(np.log2(max(1, n / CELL)))))
     codes = np.random.default_rng(SEED).normal(size=(TREES, dim, levels)).astype(np.float32)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(dim)
-        for batch in batches:
-            total += _matrix(batch.column("u")).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(dim, dtype=np.int32)), "x": pa.array(total)})
-
-    mean = np.zeros(dim)
-    for row in nodes.select("u").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # one row a dimension
-        mean[row["i"]] = row["x"] / max(n, 1)
+    mean = np.array(_sums(nodes, [], dim).first()["mean"], float)  # one row
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = _matrix(batch.column("u")) - mean.astype(np.float32)
             for t in range(TREES if levels else 1):
                 cell = ((u @ codes[t] > 0) @ (np.int64(1) << np.arange(levels, dtype=np.int64))).astype(np.int64) * TREES + t if levels else np.zeros(len(u), np.int64)
-                dealt = (mix(np.asarray(batch.column("id")).astype(np.uint64) + np.uint64(t * 1000003)) >> np.uint64(33)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "deal": pa.array(dealt), "id": batch.column("id"), "u": batch.column("u")})
-
-    each = stage(nodes.mapInArrow(signs, "cell long, deal long, id long, u binary"), "cells")
-    parts = each.groupBy("cell").agg(F.ceil(F.count("*") / (3 * CELL)).alias("parts"))
-    return each.join(parts, "cell").select("cell", (F.col("deal") % F.col("parts")).alias("part"), "id", "u")
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "id": batch.column("id"), "u": batch.column("u")})
+
+    most = 3 * CELL
+    left = stage(nodes.mapInArrow(signs, "cell long, id long, u binary"), "cells")
+    done = []
+    before = None
+    for again in range(1, 64):
+        sized = stage(_sums(left, ["cell"], dim), "sizes")
+        crowded, largest = sized.where(F.col("n") > most).agg(F.count("*"), F.max("n")).first()
+        if not crowded or largest == before:
+            break
+        met = left.join(sized, "cell")
+        done.append(stage(met.where(F.col("n") <= most).select("cell", "id", "u"), "done"))
+        left = stage(_parted(met.where(F.col("n") > most), dim, SEED + again), "left")
+        before = largest
+    sized = left.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = F.pmod(F.xxhash64("id", "cell"), F.col("parts"))
+    out = left.join(sized, "cell").select("cell", dealt.alias("part"), "id", "u")
+    for d in done:
+        out = out.unionByName(d.select("cell", F.lit(0).cast("long").alias("part"), "id", "u"))
+    return out
 
 
 def _compared(found: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -134,7 +199,7 @@ def _compared(found: pa.Table) -> Iterator[pa.RecordBatch]:
         step = max(1, BLOCK // m)
         for begin in range(a, b, step):
             end = min(b, begin + step)
-            sims = u[begin:end] @ u[a:b].T
+            sims = _nearness(u[a:b], begin - a, end - a)
             sims[np.arange(end - begin), np.arange(begin - a, end - a)] = -np.inf
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids[begin:end]), "others": _packed(ids[a:b][near]), "sims": _packed(np.take_along_axis(sims, near, 1))})
@@ -165,7 +230,7 @@ def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sims = [np.frombuffer(b, np.float32) for b in batch.column("sims").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "least": pa.array([float(s.min()) if len(s) >= NEIGHBOURS else -2.0 for s in sims])})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "least": pa.array([float(s.min()) if len(s) >= NEIGHBOURS else FARTHEST for s in sims])})
 
     bars = graph.mapInArrow(last, "id long, least double")
     known = nodes.join(bars, "id").select(F.col("id").alias("other"), "u", "least")
@@ -177,7 +242,7 @@ def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
         ids, near, sims = [], [], []
         for a, b in zip(edges[:-1], edges[1:]):
-            s = u[a:b] @ u[a:b].T
+            s = _nearness(u[a:b], 0, b - a)
             np.fill_diagonal(s, -np.inf)
             i, j = np.nonzero(s > bars[a:b, None])
             ids.append(others[a:b][i])
@@ -188,19 +253,35 @@ def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return merged(graph.unionByName(by_group(met, ["id"], f, _LISTS, 4000)))
 
 
+def _new_neighbours(old: DataFrame, new: DataFrame) -> float:
+    """The share of all neighbours in `new` that the node did not have before."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            had, has = ([np.frombuffer(b or b"", np.int64) for b in batch.column(c).to_pylist()] for c in ("had", "has"))
+            yield pa.RecordBatch.from_pydict({"fresh": pa.array([len(np.setdiff1d(y, x)) for x, y in zip(had, has)]), "n": pa.array([len(y) for y in has])})
+
+    both = new.select("id", F.col("others").alias("has")).join(old.select("id", F.col("others").alias("had")), "id", "left")
+    fresh, n = both.select("had", "has").mapInArrow(work, "fresh long, n long").agg(F.sum("fresh"), F.sum("n")).first()
+    return (fresh or 0) / max(1, n or 0)
+
+
 def build(nodes: DataFrame, n: int, dim: int) -> DataFrame:
-    """The neighbour graph (id, others, sims) of nodes (id, u)."""
+    """The neighbour graph (id, others, sims) of nodes (id, u). Nearness only grows from round to round, so the rounds end."""
     graph = stage(merged(by_group(_cells(nodes, n, dim), ["cell", "part"], _compared, _LISTS)), "graph")
-    for _ in range(ROUNDS if n > CELL else 0):
-        graph = stage(_descended(graph, nodes), "graph")
+    fresh = 1.0 if n > CELL else 0.0
+    while fresh > SETTLED:
+        better = stage(_descended(graph, nodes), "graph")
+        fresh = _new_neighbours(graph, better)
+        graph = better
     return graph
 
 
 _STATE = "query long, u binary, others binary, sims binary, opened binary, next array<long>, bar double"
 
 
-def _walk(found: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Beams after a step: each query's beam and what it met, the BEAM nearest kept, and the next nodes to open."""
+def _walk(found: pa.Table, beam: int) -> Iterator[pa.RecordBatch]:
+    """Beams after a step: each query's beam and what it met, the `beam` nearest kept, and the next nodes to open."""
     query = np.asarray(found.column("query"))
     edges = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]]))
     columns = {c: found.column(c).to_pylist() for c in ("u", "others", "sims", "opened")}
@@ -213,9 +294,9 @@ def _walk(found: pa.Table) -> Iterator[pa.RecordBatch]:
         others, sims, opened = others[order], sims[order], opened[order]
         new = np.concatenate([[True], others[1:] != others[:-1]])
         others, sims, opened = others[new], sims[new], opened[new]
-        order = np.lexsort((others, -sims))[:BEAM]
+        order = np.lexsort((others, -sims))[:beam]
         others, sims, opened = others[order], sims[order], opened[order].copy()
-        ahead = np.flatnonzero(opened == 0)[:OPENED]
+        ahead = np.flatnonzero(opened == 0)[: max(32, beam // 4)]
         opened[ahead] = 1
         out["query"].append(int(query[a]))
         out["u"].append(next(x for x in columns["u"][a:b] if x is not None))
@@ -223,7 +304,7 @@ def _walk(found: pa.Table) -> Iterator[pa.RecordBatch]:
         out["sims"].append(sims.tobytes())
         out["opened"].append(opened.tobytes())
         out["next"].append(others[ahead].tolist())
-        out["bar"].append(float(sims[-1]) if len(sims) >= BEAM else -2.0)
+        out["bar"].append(float(sims[-1]) if len(sims) >= beam else FARTHEST)
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64())
     yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
 
@@ -234,7 +315,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for q, bar, u, others, near in zip(*(batch.column(c).to_pylist() for c in ("query", "bar", "qu", "others", "near"))):
             v = np.frombuffer(u, np.float32)
-            sims = np.frombuffer(near, np.float32).reshape(-1, len(v)) @ v
+            away = np.frombuffer(near, np.float32).reshape(-1, len(v)) - v
+            sims = -np.einsum("ij,ij->i", away, away)
             keep = sims > bar
             if keep.any():
                 rows.append((q, np.frombuffer(others, np.int64)[keep].tobytes(), sims[keep].tobytes(), bytes(int(keep.sum()))))
@@ -255,39 +337,81 @@ def _with_vectors(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_group(met.select("id", "other", "u"), ["id"], f, "node long, others binary, near binary", 2000)
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, node): the EXACT nearest nodes that greedy search finds for queries (query, node), which start at their own node."""
-    spark = graph.sparkSession
-    name = f"tamarisk_ann_{uuid.uuid4().hex}"
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    _with_vectors(graph, nodes).write.bucketBy(parts, "node").sortBy("node").format("parquet").saveAsTable(name)
-    try:
-        around = spark.table(name)
-        own = queries.join(nodes.select(F.col("id").alias("node"), "u"), "node")
-
-        def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("node").to_pylist()
-                yield pa.RecordBatch.from_pydict({"query": batch.column("query"), "u": batch.column("u"), "others": pa.array([np.int64(i).tobytes() for i in ids], pa.binary()), "sims": pa.array([np.float32(1).tobytes()] * len(ids), pa.binary()), "opened": pa.array([b"\x01"] * len(ids), pa.binary()), "next": pa.array([[i] for i in ids], pa.list_(pa.int64())), "bar": pa.array([-2.0] * len(ids))})
-
-        state = stage(own.select("query", "node", "u").mapInArrow(begun, _STATE), "beams")
-        for _ in range(STEPS):
-            ahead = state.select("query", F.col("u").alias("qu"), "bar", F.explode("next").alias("node"))
-            met = ahead.join(around, "node").select("query", "bar", "qu", "others", "near").mapInArrow(_met, "query long, others binary, sims binary, opened binary")
-            both = state.select("query", "u", "others", "sims", "opened").unionByName(met.withColumn("u", F.lit(None).cast("binary")))
-            state = stage(by_group(both, ["query"], _walk, _STATE, 2000), "beams")
-            if not state.where(F.size("next") > 0).take(1):
-                break
-
-        def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = [np.frombuffer(b, np.int64)[:EXACT] for b in batch.column("others").to_pylist()]
-                lens = np.array([len(x) for x in lists])
-                yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(np.asarray(batch.column("query")), lens)), "node": pa.array(np.concatenate(lists))})
-
-        return stage(state.select("query", "others").mapInArrow(ends, "query long, node long"), "found")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+def search(around: DataFrame, queries: DataFrame, beam: int) -> DataFrame:
+    """(query, others, sims): the nodes in each query's beam, nearest first, once no node in it is left to open.
+
+    `around` holds nodes with their neighbours' vectors; queries (query, node, u) start at their own node. Every
+    step opens nodes that were not opened before, so the walk ends.
+    """
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("node").to_pylist()
+            yield pa.RecordBatch.from_pydict({"query": batch.column("query"), "u": batch.column("u"), "others": pa.array([np.int64(i).tobytes() for i in ids], pa.binary()), "sims": pa.array([np.float32(0).tobytes()] * len(ids), pa.binary()), "opened": pa.array([b"\x01"] * len(ids), pa.binary()), "next": pa.array([[i] for i in ids], pa.list_(pa.int64())), "bar": pa.array([FARTHEST] * len(ids))})
+
+    state = stage(queries.select("query", "node", "u").mapInArrow(begun, _STATE), "beams")
+    while state.where(F.size("next") > 0).take(1):
+        ahead = state.select("query", F.col("u").alias("qu"), "bar", F.explode("next").alias("node"))
+        met = ahead.join(around, "node").select("query", "bar", "qu", "others", "near").mapInArrow(_met, "query long, others binary, sims binary, opened binary")
+        both = state.select("query", "u", "others", "sims", "opened").unionByName(met.withColumn("u", F.lit(None).cast("binary")))
+        state = stage(by_group(both, ["query"], lambda found: _walk(found, beam), _STATE, 2000), "beams")
+    return state.select("query", "others", "sims")
+
+
+def true_distances(nodes: DataFrame, sample: DataFrame, k: int) -> dict[int, np.ndarray]:
+    """For queries (query, node, u), SAMPLE at most: ascending distances of the k nearest other nodes, by a scan over all nodes."""
+    rows = sample.collect()
+    ids, own = [r["query"] for r in rows], np.array([r["node"] for r in rows])
+    at = np.stack([np.frombuffer(r["u"], np.float32) for r in rows]).astype(np.float64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(at), k), np.inf)
+        for batch in batches:
+            x = _matrix(batch.column("u")).astype(np.float64)
+            d = np.maximum(0, (at * at).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * (at @ x.T))
+            d[own[:, None] == np.asarray(batch.column("id"))] = np.inf
+            best = np.sort(np.hstack([best, d]), axis=1)[:, :k]
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.repeat(np.arange(len(at), dtype=np.int32), k)), "d": pa.array(best.ravel())})
+
+    place = F.row_number().over(Window.partitionBy("i").orderBy("d"))
+    found = nodes.select("id", "u").mapInArrow(work, "i int, d double").where(F.col("d") < float("inf")).withColumn("at", place).where(F.col("at") <= k).collect()
+    out: dict[int, list[float]] = {q: [] for q in ids}
+    for r in found:
+        out[ids[r["i"]]].append(r["d"] ** 0.5)
+    return {q: np.sort(v) for q, v in out.items()}
+
+
+def recall(found: DataFrame, truth: dict[int, np.ndarray]) -> float:
+    """The share of the true nearest nodes' distances that beams (query, others, sims) of the sampled queries reach."""
+    hits = n = 0
+    for r in found.collect():
+        true = truth[r["query"]]
+        own = np.sqrt(-np.frombuffer(r["sims"], np.float32).astype(np.float64))[1 : len(true) + 1]  # the first is the query's own node
+        hits += int((own <= true[: len(own)] + 1e-4 * true[: len(own)] + ROUNDING).sum())
+        n += len(true)
+    return hits / max(1, n)
+
+
+def found_nodes(around: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
+    """(query, node): for queries (query, node) all nodes that may be among the k nearest found, by a beam as wide as a sample needs."""
+    own = stage(queries.join(nodes.select(F.col("id").alias("node"), "u"), "node"), "own")
+    sample = stage(own.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
+    truth = true_distances(nodes, sample, k) if sample.take(1) else {}
+    beam = max(BEAM, 4 * k)
+    while truth and recall(search(around, sample, beam), truth) < TARGET and beam < n:
+        beam *= 2
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for others, sims in zip(batch.column("others").to_pylist(), batch.column("sims").to_pylist()):
+                d = np.sqrt(-np.frombuffer(sims, np.float32).astype(np.float64))
+                # k nodes besides the query's own one hold the k nearest rows, up to rounding
+                lists.append(np.frombuffer(others, np.int64)[d <= d[min(k, len(d) - 1)] + ROUNDING])
+            lens = np.array([len(x) for x in lists], int)
+            yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(np.asarray(batch.column("query")), lens)), "node": pa.array(np.concatenate(lists))})
+
+    return search(around, own, beam).mapInArrow(ends, "query long, node long")
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -308,9 +432,19 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_
     dim = len(first[0]["v"])
     members = stage(rows.join(rows.groupBy("v").agg(F.min("id").alias("node")), "v").select("id", "node"), "members")
     nodes = stage(rows.join(members.where("id = node").select("id"), "id", "left_semi").mapInArrow(_unit, "id long, u binary"), "nodes")
-    graph = build(nodes, nodes.count(), dim)
+    n = nodes.count()
+    graph = build(nodes, n, dim)
     queries = stage(members.withColumn(key, F.col("id")).where(is_query).select(F.col("id").alias("query"), "node"), "queries")
-    found = search(graph, nodes, queries) if graph.take(1) else queries
+    name = f"tamarisk_ann_{uuid.uuid4().hex}"
+    try:
+        if graph.take(1):
+            parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            _with_vectors(graph, nodes).write.bucketBy(parts, "node").sortBy("node").format("parquet").saveAsTable(name)
+            found = stage(found_nodes(spark.table(name), nodes, queries, n, k), "found")
+        else:
+            found = queries
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     # of a node's members no more than k and the query itself can be among the k nearest
     some = members.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("at") <= k + 1).select("node", "id")
     some = some.join(rows, "id").select("node", "id", "v")
@@ -318,8 +452,8 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = np.asarray(batch.column("qv").flatten()).reshape(batch.num_rows, -1)
-            b = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+            a = _scaled(np.asarray(batch.column("qv").flatten()).reshape(batch.num_rows, -1))
+            b = _scaled(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1))
             value = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
             yield pa.RecordBatch.from_pydict({"query_id": batch.column("query"), "vec_id": batch.column("id"), "score": pa.array(value)})
 

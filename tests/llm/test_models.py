@@ -101,3 +101,57 @@ def test_recall(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = [len(got[q] & set(ids[np.lexsort((ids, -np.where(ids == q, -9, x @ x[ids == q][0])))[:5]])) for q in ids[ids % 50 == 0]]
     assert np.mean(hits) / 5 >= 0.9
+
+
+def nearest_by_numpy(ids, x, queries, k=5):
+    """Ids of the k nearest by cosine, in blocks, ties to the smaller id."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        sims = u @ u[ids == q][0]
+        sims[ids == q] = -9
+        out[q] = ids[np.lexsort((ids, -sims))[:k]]
+    return out
+
+
+def measured_recall(spark, x):
+    ids = np.arange(len(x))
+    pdf = {"vec_id": pa.array(ids), "embedding": pa.array(list(x), pa.list_(pa.float64()))}
+    frame = spark.createDataFrame(pa.table(pdf)).repartition(8)
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = nearest_by_numpy(ids, x, ids[ids % 50 == 0])
+    return np.mean([len(got[q] & set(t.tolist())) for q, t in truth.items()]) / 5
+
+
+def test_recall_with_a_hot_group(spark):
+    """20,000 vectors, a third of them noise in one tight group that the first hyperplanes do not part."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 20_000)] + 0.6 * rng.normal(size=(20_000, 32))
+    x[::3] = 4 * centres[0] + 1e-3 * rng.normal(size=(len(x[::3]), 32))
+    assert measured_recall(spark, x) >= 0.9
+
+
+def test_very_large_and_very_close_vectors(spark):
+    rng = np.random.default_rng(6)
+    close = 1 + 1e-5 * rng.normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(close)] + [(400, [1e200, 1e200] + [0.0] * 6), (401, [1.0, 1.0] + [0.0] * 6), (402, [1e-200, 1e-200] + [0.0] * 6), (403, [1.0, 0.9] + [0.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(frame, F.col("vec_id") % 50 == 0).collect())
+    huge = [(v, s) for q, _, v, s in got if q == 400]
+    assert {v for v, _ in huge[:2]} == {401, 402} and huge[2][0] == 403 and [s for _, s in huge[:2]] == pytest.approx([1, 1], abs=1e-15)
+    truth = nearest_by_numpy(np.arange(200), close, [0, 50, 100, 150])
+    assert all({v for q, _, v, _ in got if q == i} == set(t.tolist()) for i, t in truth.items())
+
+
+def test_crowded_cells_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 20)
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(300, 8)), 5 + 1e-3 * rng.normal(size=(300, 8))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, u binary")
+    cells = ann._cells(nodes, 600, 8)
+    assert cells.groupBy("cell", "part").count().agg(F.max("count")).first()[0] <= 3 * 20
+    assert cells.where("part > 0").count() == 0 and cells.groupBy("id").count().agg(F.min("count"), F.max("count")).first()[:] == (8, 8)
