@@ -1,21 +1,30 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class comes from a softmax over hashed features of
-the words before: the last word, the last two, the last but one alone (a skip), and the endings of the last three.
-Within a class the model has the unigram feature alone, for which the maximum-entropy fit is the add-one relative
-frequency, so it is counted and not trained. Each partition makes gradient updates over its own documents from
-the round's weights; Spark averages the partitions' rows, each weighted with how often its feature was seen.
-
-Counts are exact over all training documents. A fixed number of frequent words goes to the tasks as a table;
-the others of each document meet the counts in a join.
+A word is reached through classes within classes. At each class a softmax over at most WIDTH children takes the next
+step: the class's most frequent words are children of their own, all its other words share the remaining ones, and
+the last classes hold what is left. So P(word | history) = P(child | class, history) down to the word, and for words
+that never become a child of their own, times their add-one relative frequency within the last class.
+
+Every softmax adds hashed weights of the words before: of the last one, of the last but one alone (a skip), and of
+the endings of the last three, each together with the class, so that the history tells the words of a class apart. How many weights there
+are grows with the training tokens, how many levels with the vocabulary. Each worker makes gradient updates over its
+own documents from the round's weights; Spark averages the workers' rows, each weighted with how often it was seen.
+A round takes a part of the documents; rounds go on over all parts, and from the first again, until the loss before
+updates is flat.
+
+Counts are exact over all training documents. A fixed number of frequent words goes to the tasks as a table; the
+others of each document meet the counts in a join.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +32,25 @@ from pyspark.sql import types as T
 
 from tamarisk.llm._common import bound_batches, mix, slices, split_words, stage
 
-#: Frequent words with a class of their own (the end of a text among them), and classes by ending for all others.
-OWN, ENDINGS = 24, 24
-CLASSES = OWN + ENDINGS
-#: Hashed weight rows a feature; features; minibatch in tokens; step size; rounds of updates and averaging.
-ROWS, FEATURES = 1 << 13, 4
-MINIBATCH, STEP, ROUNDS = 8192, 0.6, 1
+#: Children of the first class that are words, and classes by ending besides; of any other class words, and classes besides.
+FIRST, ENDINGS = 16, 16
+OWN, SHARED = 24, 8
+WIDTH = FIRST + ENDINGS
+#: Features of a history; minibatch in tokens; step size, and what it is damped by beside the times a row was seen.
+FEATURES, MINIBATCH, STEP, DAMPING = 3, 8192, 0.3, 4
+#: Weight rows of a feature: this many times the cube root of the training tokens, to the nearest power of two.
+ROWS_PER_ROOT = 256
+#: Distinct words of the vocabulary for each that becomes a child of its own; so many that levels are added, five at most for a table of HEAD words.
+PER_CHILD, DEEPEST = 128, 5
+#: Parts of the documents that rounds take in turn; rounds end, after one over each, when the loss falls by less than this share.
+PARTS, SETTLED = 4, 0.01
+#: Workers of a round for each core: each sends one set of weights, so their number hangs on the cluster and not on the data.
+WORKERS_PER_CORE = 3
 #: Words that go to tasks as a table: a fixed number whatever the corpus.
 HEAD = 1 << 17
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
+_IMPOSSIBLE = -20.0
 
 
 class Tokens(NamedTuple):
@@ -57,141 +75,242 @@ def tokens(texts: pa.Array) -> Tokens:
     return Tokens(hashes, endings, first)
 
 
+def codes(hashes: np.ndarray) -> np.ndarray:
+    """30 bits that deal a word out to shared classes, three a level."""
+    return (mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(34)).astype(np.int64)
+
+
+def level_nodes(depth: int) -> np.ndarray:
+    """Where each level's classes begin among all: the first class, then ENDINGS, ENDINGS * SHARED ... and after the last level its shared children."""
+    return np.cumsum([0, 1, *(ENDINGS * SHARED**i for i in range(depth))])
+
+
+def place(endings: np.ndarray, code: np.ndarray, level: int) -> np.ndarray:
+    """The class within its level (from 2) that words by these endings and codes are in."""
+    return endings * SHARED ** (level - 2) + code % SHARED ** (level - 2)
+
+
 class Model:
-    """Frequent words with their counts, words with own classes, class totals and weights; all of fixed size."""
+    """Frequent words with counts and places, class totals and weights. Sizes hang on HEAD, the depth and the number of rows."""
 
-    def __init__(self, head: np.ndarray, head_counts: np.ndarray):
+    def __init__(self, head: np.ndarray, counts: np.ndarray, endings: np.ndarray, n_words: int, n_tokens: int):
         order = np.argsort(head)
-        self.head, self.head_counts = head[order], head_counts[order]
-        own = np.argsort(-self.head_counts, kind="stable")[:OWN]
-        order = np.argsort(self.head[own])
-        self.own = self.head[own][order]
-        self.denominators = np.ones(CLASSES)
-        self.weights = np.zeros((FEATURES * ROWS, CLASSES), np.float32)
-        self.bias = np.zeros(CLASSES, np.float32)
-
-    def classes(self, t: Tokens) -> np.ndarray:
-        found = OWN + t.endings
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, t.hashes), len(self.own) - 1)
-            is_own = self.own[at] == t.hashes
-            found[is_own] = at[is_own]
-        return found
-
-    def features(self, t: Tokens) -> np.ndarray:
-        """Weight rows of each token's history."""
+        self.head, self.head_counts, self.head_endings = head[order], counts[order], endings[order].astype(np.int64)
+        self.depth = 2
+        while self.depth < DEEPEST and FIRST + ENDINGS * OWN * (SHARED ** (self.depth - 1) - 1) // (SHARED - 1) < n_words / PER_CHILD:
+            self.depth += 1
+        self.rows = 1 << int(np.round(np.log2(ROWS_PER_ROOT * max(n_tokens, 64) ** (1 / 3))))
+        self.weights = np.zeros((FEATURES * self.rows, WIDTH), np.float32)
+        self.seen = np.zeros(FEATURES * self.rows)
+        # the level at which each frequent word is a child of its own (depth + 1: nowhere), and which child
+        self.level, self.child = np.full(len(head), self.depth + 1), np.zeros(len(head), np.int64)
+        often = np.argsort(-self.head_counts, kind="stable")
+        self.level[often[:FIRST]], self.child[often[:FIRST]] = 1, np.arange(len(often[:FIRST]))
+        code = codes(self.head)
+        for level in range(2, self.depth + 1):
+            left = np.flatnonzero(self.level > self.depth)
+            node = place(self.head_endings[left], code[left], level)
+            order = np.lexsort((-self.head_counts[left], node))
+            left, node = left[order], node[order]
+            rank = np.arange(len(left)) - np.searchsorted(node, node)
+            own = rank < OWN
+            self.level[left[own]], self.child[left[own]] = level, rank[own]
+
+    def set_counts(self, bucket: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
+        """From tokens and distinct words of last classes, without words that are children of their own: biases and denominators."""
+        begins = level_nodes(self.depth)
+        size = ENDINGS * SHARED ** (self.depth - 1)
+        mass, words = np.zeros(size), np.zeros(size)
+        mass[bucket], words[bucket] = n, v
+        self.denominators = mass + words + 1
+        self.bias = np.full((begins[-2], WIDTH), _IMPOSSIBLE, np.float32)
+        code = codes(self.head)
+        for level in range(self.depth, 0, -1):
+            at = np.flatnonzero(self.level == level)
+            nodes, shared = (ENDINGS * SHARED ** (level - 2), SHARED) if level > 1 else (1, ENDINGS)
+            own = np.zeros((nodes, WIDTH - shared))
+            own[place(self.head_endings[at], code[at], level) if level > 1 else 0, self.child[at]] = self.head_counts[at]
+            # bits of a code are used from the low end, so class x of a level has the children x + r * (classes of that ending)
+            below = mass.reshape(ENDINGS, SHARED, -1).transpose(0, 2, 1).reshape(nodes, SHARED) if level > 1 else mass.reshape(1, ENDINGS)
+            total = own.sum(axis=1) + below.sum(axis=1)
+            logs = np.log(np.hstack([own, below]) + np.hstack([np.zeros_like(own), np.ones_like(below)]) + 1e-9) - np.log(total + shared)[:, None]
+            self.bias[begins[level - 1] : begins[level - 1] + nodes] = np.maximum(logs, _IMPOSSIBLE)
+            mass = total
+
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words in the table, and whether they are there."""
+        at = np.minimum(np.searchsorted(self.head, hashes), max(len(self.head) - 1, 0))
+        return at, self.head[at] == hashes if len(self.head) else np.zeros(len(hashes), bool)
+
+    def steps(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, class, child) of every softmax on the way to each token, and each token's last class, -1 for words that are children."""
+        at, there = self.known(t.hashes)
+        level = np.where(there, self.level[at] if len(self.head) else 0, self.depth + 1)
+        child = np.where(there, self.child[at] if len(self.head) else 0, 0)
+        code, begins = codes(t.hashes), level_nodes(self.depth)
+        found = [(np.arange(len(level)), np.zeros(len(level), np.int64), np.where(level == 1, child, FIRST + t.endings))]
+        for k in range(2, self.depth + 1):
+            on = np.flatnonzero(level >= k)
+            shared = code[on] // SHARED ** (k - 2) % SHARED
+            found.append((on, begins[k - 1] + place(t.endings[on], code[on], k), np.where(level[on] == k, child[on], OWN + shared)))
+        bucket = np.where(level > self.depth, place(t.endings, code, self.depth + 1), -1)
+        return (*(np.concatenate(x) for x in zip(*found)), bucket)
+
+    def histories(self, t: Tokens) -> np.ndarray:
+        """Keys of each token's history, one for each feature."""
         n = len(t.hashes)
-        one, two, three = (np.full(n, _START) for _ in range(3))
-        e = [np.full(n, np.uint64(ENDINGS)) for _ in range(3)]
+        one, two, shape = np.full(n, _START), np.full(n, _START), np.zeros(n, np.uint64)
         heads = np.zeros(n, bool)
         heads[t.first[:-1]] = True
         since = np.arange(n) - np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-        for back, (h, shape) in enumerate(zip((one, two, three), e), 1):
+        for back, h in ((1, one), (2, two), (3, None)):
             ok = np.flatnonzero(since >= back)
-            h[ok] = t.hashes[ok - back]
-            shape[ok] = t.endings[ok - back].astype(np.uint64)
-        keys = (one, mix(one * np.uint64(3) + two), two, e[0] + np.uint64(32) * e[1] + np.uint64(1024) * e[2])
-        return np.stack([(mix(k + np.uint64(i + 1)) % np.uint64(ROWS)).astype(np.int32) + i * ROWS for i, k in enumerate(keys)])
-
-    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
-        """Natural logs of all classes' probabilities, for each token."""
-        z = self.bias + self.weights[rows[0]]
-        for r in rows[1:]:
+            shape[ok] = shape[ok] * np.uint64(ENDINGS + 1) + t.endings[ok - back].astype(np.uint64) + np.uint64(1)
+            if h is not None:
+                h[ok] = t.hashes[ok - back]
+        return np.stack([mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(shape + np.uint64(3))])
+
+    def at_rows(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Weight rows of features at classes."""
+        own = mix(nodes.astype(np.uint64) + np.uint64(0x51ED27))
+        return np.stack([((mix(k ^ own) >> np.uint64(20)) % np.uint64(self.rows)).astype(np.int32) + np.int32(i * self.rows) for i, k in enumerate(keys)])
+
+    def log_probabilities(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Natural logs of all children's probabilities, for each step."""
+        z = self.bias[nodes]
+        for r in rows:
             z += self.weights[r]
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
-    def update(self, rows: np.ndarray, classes: np.ndarray, seen: np.ndarray) -> None:
-        """One gradient step over a minibatch; a row's step shrinks with how often it was seen."""
-        gradient = -np.exp(self.log_probabilities(rows))
-        gradient[np.arange(len(classes)), classes] += 1
+    def batches(self, t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, tokens, classes, children) of the steps to MINIBATCH tokens at a time, each step once."""
+        token, node, child, _ = self.steps(t)
+        order = np.argsort(token, kind="stable")
+        token, node, child = token[order], node[order], child[order]
+        keys = self.histories(t)
+        edges = np.searchsorted(token, np.arange(0, len(t.hashes) + MINIBATCH, MINIBATCH))
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a < b:
+                yield self.at_rows(keys[:, token[a:b]], node[a:b]), token[a:b], node[a:b], child[a:b]
+
+    def update(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> float:
+        """One gradient step over a minibatch; a row's step shrinks with how often it was seen. The loss before it, in nats."""
+        logs = self.log_probabilities(rows, nodes)
+        chosen = np.arange(len(children)), children
+        loss = -float(logs[chosen].sum())
+        gradient = -np.exp(logs)
+        gradient[chosen] += 1
         for r in rows:
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r)
             which = r[order]
             begins = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
             which = which[begins]
             sums = np.add.reduceat(gradient[order], begins, axis=0)
-            seen[which] += np.diff(np.concatenate([begins, [len(order)]]))
-            self.weights[which] += (STEP / np.sqrt(seen[which] + 1))[:, None].astype(np.float32) * sums
+            self.seen[which] += np.diff(np.concatenate([begins, [len(order)]]))
+            self.weights[which] += (STEP / np.sqrt(self.seen[which] + DAMPING))[:, None].astype(np.float32) * sums
+        return loss
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(word, ending, n): exact token counts; a task sends each word once for each slice of texts."""
+    """(word, ending, code, n): exact token counts; a task sends each word once for each batch of texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = tokens(batch.column("text"))
             words, first, counts = np.unique(found.hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "ending": pa.array(found.endings[first].astype(np.int32)), "n": pa.array(counts)})
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "ending": pa.array(found.endings[first].astype(np.int32)), "code": pa.array(codes(words).astype(np.int32)), "n": pa.array(counts)})
 
-    return docs.select("text").mapInArrow(work, "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(work, "word long, ending int, code int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.min("code").alias("code"), F.sum("n").alias("n"))
 
 
-def _trained(docs: DataFrame, model: Model) -> Model:
-    """The model after one round: updates within each partition, then the weighted mean of each row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
+def _trained(docs: DataFrame, model: Model) -> tuple[Model, float]:
+    """The model after one round, and the loss a token: updates by each worker, then the weighted mean of each row."""
+    sc = docs.sparkSession.sparkContext
+    shipped = sc.broadcast(model)
 
     def updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import copy
-
         own = copy.copy(shipped.value)
-        own.weights = own.weights.copy()
-        seen = np.zeros(len(own.weights))
+        own.weights, own.seen = own.weights.copy(), own.seen.copy()
+        loss, n = 0.0, 0
         for batch in slices(batches):
             t = tokens(batch.column("text"))
-            rows, classes = own.features(t), own.classes(t)
-            for at in range(0, len(classes), MINIBATCH):
-                own.update(rows[:, at : at + MINIBATCH], classes[at : at + MINIBATCH], seen)
-        used = np.flatnonzero(seen)
+            n += len(t.hashes)
+            for rows, _, nodes, children in own.batches(t):
+                loss += own.update(rows, nodes, children)
+        fresh = own.seen - shipped.value.seen
+        used = np.flatnonzero(fresh)
+        yield pa.RecordBatch.from_pydict({"row": pa.array([-1], pa.int32()), "fresh": pa.array([loss]), "seen": pa.array([float(n)]), "weights": pa.array([b""], pa.binary())})
         for part in np.array_split(used, 1 + len(used) // 4096):
             if len(part):
-                yield pa.RecordBatch.from_pydict({"row": pa.array(part.astype(np.int32)), "seen": pa.array(seen[part]), "weights": pa.array([w.tobytes() for w in own.weights[part].astype(np.float16)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": pa.array(part.astype(np.int32)), "fresh": pa.array(fresh[part]), "seen": pa.array(own.seen[part]), "weights": pa.array([w.tobytes() for w in own.weights[part].astype(np.float16)], pa.binary())})
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = {}, {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row, n, packed in zip(batch.column("row").to_pylist(), batch.column("seen").to_pylist(), batch.column("weights").to_pylist()):
-                values = np.frombuffer(packed, np.float16).astype(np.float64) * n
-                if row in total:
-                    total[row] += values
-                    weight[row] += n
-                else:
-                    total[row], weight[row] = values, n
+            for row, fresh, seen, packed in zip(*(batch.column(c).to_pylist() for c in ("row", "fresh", "seen", "weights"))):
+                values = np.concatenate([[fresh, fresh * seen], np.frombuffer(packed, np.float16).astype(np.float64) * fresh]) if row >= 0 else np.array([1.0, fresh, seen])
+                total[row] = total[row] + values if row in total else values
         if total:
-            yield pa.RecordBatch.from_pydict({"row": pa.array(list(total), pa.int32()), "weights": pa.array([(total[r] / weight[r]).astype(np.float32).tobytes() for r in total], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(updates, "row int, seen double, weights binary")
-    rows = stage(parts.repartition("row").mapInArrow(means, "row int, weights binary"), "weights").toPandas()  # FEATURES * ROWS at most
-    import copy
+            # the mean count and weights of a row; for row -1 the loss and the tokens in all
+            out = {r: v[1:] / v[0] if r >= 0 else v[1:] for r, v in total.items()}
+            yield pa.RecordBatch.from_pydict({"row": pa.array(list(out), pa.int32()), "first": pa.array([v[0] for v in out.values()]), "values": pa.array([v[1:].astype(np.float16 if r >= 0 else np.float64).tobytes() for r, v in out.items()], pa.binary())})
 
+    workers = max(1, WORKERS_PER_CORE * sc.defaultParallelism)
+    parts = docs.select("text").coalesce(workers).mapInArrow(updates, "row int, fresh double, seen double, weights binary")
+    rows = stage(parts.repartition("row").mapInArrow(means, "row int, first double, values binary"), "weights").toPandas()  # as many as the model has rows
     new = copy.copy(model)
-    new.weights = model.weights.copy()
-    if len(rows):
-        new.weights[rows["row"].to_numpy()] = np.stack([np.frombuffer(b, np.float32) for b in rows["weights"]])
-    return new
-
-
-def _scored(docs: DataFrame, model: Model, key_type: str) -> DataFrame:
-    """Per document: tokens, summed logs of classes within denominators, and of the words' counts as far as the table goes; the others in `tail`."""
+    new.weights, new.seen = model.weights.copy(), model.seen.copy()
+    is_row = rows["row"].to_numpy() >= 0
+    if is_row.any():
+        at = rows["row"].to_numpy()[is_row]
+        new.seen[at] = rows["first"].to_numpy()[is_row]
+        new.weights[at] = np.frombuffer(b"".join(rows["values"][is_row]), np.float16).reshape(len(at), WIDTH)
+    loss = rows["first"][~is_row].sum()
+    n = np.frombuffer(b"".join(rows["values"][~is_row])).sum()
+    shipped.unpersist()
+    return new, loss / max(n, 1)
+
+
+def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
+    """A model of training documents (text) and their word counts. How documents lie in partitions moves its weights a little."""
+    n_all, n_distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    model = Model(head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), head["ending"].to_numpy(), n_distinct, n_all)
+    placed = model.head[model.level <= model.depth].view(np.int64)
+    own = train.sparkSession.createDataFrame(pd.DataFrame({"word": placed}), "word long")  # HEAD at most
+    bucket = F.col("ending").cast("long") * SHARED ** (model.depth - 1) + F.pmod("code", F.lit(SHARED ** (model.depth - 1)))
+    totals = vocabulary.join(F.broadcast(own), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # a row for each last class
+    model.set_counts(totals["bucket"].to_numpy(np.int64), totals["n"].to_numpy(float), totals["v"].to_numpy(float))
+    before = np.inf
+    for i in count():
+        model, loss = _trained(train.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == i % PARTS), model)
+        if i + 1 >= PARTS and (not loss or loss >= before * (1 - SETTLED)):
+            return model
+        before = loss or before  # a part without documents has no loss and says nothing
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """Per document: tokens, summed logs of steps within denominators, and of the words' counts as far as the table goes; the others in `tail`."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     tail = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())]))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("class_sum", T.DoubleType()), T.StructField("head_sum", T.DoubleType()), T.StructField("head_known", T.LongType()), T.StructField("tail", tail)])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("step_sum", T.DoubleType()), T.StructField("head_sum", T.DoubleType()), T.StructField("head_known", T.LongType()), T.StructField("tail", tail)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         logs, denominators = np.log10(own.head_counts + 1.0), np.log10(own.denominators)
         for batch in slices(batches):
             t = tokens(batch.column("text"))
-            rows, classes, n = own.features(t), own.classes(t), len(t.hashes)
-            chosen = np.empty(n)
-            for at in range(0, n, MINIBATCH):
-                part = slice(at, at + MINIBATCH)
-                chosen[part] = own.log_probabilities(rows[:, part])[np.arange(len(classes[part])), classes[part]]
-            chosen = chosen / np.log(10) - denominators[classes]
-            at = np.minimum(np.searchsorted(own.head, t.hashes), max(len(own.head) - 1, 0))
-            known = own.head[at] == t.hashes if len(own.head) else np.zeros(n, bool)
+            n = len(t.hashes)
+            at, known = own.known(t.hashes)
             value = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
+            bucket = own.steps(t)[3]
+            # a word that is no child of its own has its count within its last class; that of words beyond the table joins later
+            chosen = np.where(bucket >= 0, value - denominators[bucket], 0.0)
+            for rows, token, nodes, children in own.batches(t):
+                steps = own.log_probabilities(rows, nodes)[np.arange(len(children)), children]
+                chosen[token[0] : token[-1] + 1] += np.bincount(token - token[0], steps, token[-1] - token[0] + 1) / np.log(10)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(t.first))
             rest = np.flatnonzero(~known)
             order = rest[np.lexsort((t.hashes[rest], doc[rest]))]
@@ -207,7 +326,7 @@ def _scored(docs: DataFrame, model: Model, key_type: str) -> DataFrame:
                     "doc_id": batch.column("doc_id"),
                     "held_out": batch.column("held_out"),
                     "n_tokens": pa.array(np.diff(t.first)),
-                    "class_sum": pa.array(add(chosen)),
+                    "step_sum": pa.array(add(chosen)),
                     "head_sum": pa.array(add(value)),
                     "head_known": pa.array(add(known.astype(np.int64))),
                     "tail": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs),
@@ -222,33 +341,20 @@ def score(docs: DataFrame, held_out: F.Column, key: str = "doc_id", text: str =
 
     The model and all counts come from the rows for which `held_out` is false. `base_score` is the add-one unigram
     model's. Null, empty and blank texts are their end alone. Repeated rows count as often as they are there and are
-    scored alike; a null key makes `held_out` null, which trains. Without training rows, counts are zero and the
-    classes equally likely. An empty table gives no rows. Other columns are not read.
+    scored alike; a null key makes `held_out` null, which trains. Without training rows, counts are zero and classes
+    equally likely. An empty table gives no rows. Other columns are not read. Words are told apart by 64-bit hashes:
+    two of 10^9 distinct words share one with a chance of about 3 %. `score` hangs a little on how rows lie in
+    partitions, as workers' weights are averaged; all other columns do not.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    source = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(text, F.lit("")).alias("text"))
     train = source.where("not held_out")
     vocabulary = stage(_counts(train), "vocabulary")
     n_all, n_distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    model = Model(head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64))
-    own = spark.createDataFrame([(int(w),) for w in model.own.view(np.int64)], "word long")
-    places = {int(w): i for i, w in enumerate(model.own.view(np.int64))}
-    for word, count in zip(head["word"], head["n"]):
-        if int(word) in places:
-            model.denominators[places[int(word)]] = count + 2
-            model.bias[places[int(word)]] = np.log((count + 1) / (n_all + CLASSES))
-    totals = {r["ending"]: (r["n"], r["v"]) for r in vocabulary.join(F.broadcast(own), "word", "left_anti").groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    for i in range(ENDINGS):
-        n, v = totals.get(i, (0, 0))
-        model.denominators[OWN + i] = n + v + 1
-        model.bias[OWN + i] = np.log((n + 1) / (n_all + CLASSES))
-    for _ in range(ROUNDS):
-        model = _trained(train, model)
-    scored = stage(_scored(source, model, docs.schema[key].dataType.simpleString()), "scored").withColumn("_row", F.monotonically_increasing_id())
+    scored = stage(_scored(source, fit(train, vocabulary)), "scored").withColumn("_row", F.monotonically_increasing_id())
     tails = scored.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", F.col("t.n").alias("tf"))
     found = tails.join(vocabulary.select("word", "n"), "word").groupBy("_row").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("tail_sum"), F.sum("tf").alias("tail_known"))
-    counted = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0))
-    base = counted - F.col("n_tokens") * F.log10(F.lit(float(n_all + n_distinct + 1)))
-    return scored.join(found, "_row", "left").select(F.col("doc_id").alias(key), "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (counted + F.col("class_sum")).alias("score"))
+    tail = F.coalesce("tail_sum", F.lit(0.0))
+    base = F.col("head_sum") + tail - F.col("n_tokens") * F.log10(F.lit(float(n_all + n_distinct + 1)))
+    return scored.join(found, "_row", "left").select(F.col("doc_id").alias(key), "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("step_sum") + tail).alias("score"))

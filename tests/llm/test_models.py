@@ -31,17 +31,87 @@ def test_language_model(docs, empty, monkeypatch, head):
         assert {r.train_tokens for r in lm.score(docs.where("doc_id is not null"), F.lit(True)).collect()} == {0}
 
 
-def test_class_probabilities_add_up():
-    model = lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    t = lm.tokens(pa.array(["a b c", None, ""]))
-    model.update(model.features(t), model.classes(t), np.zeros(len(model.weights)))
-    assert np.exp(model.log_probabilities(model.features(t))).sum(axis=1) == pytest.approx(1, abs=1e-5)
-    assert len(t.hashes) == 6 and t.first.tolist() == [0, 4, 5, 6]
+def fitted(spark, docs, held_out):
+    train = docs.where(~held_out).select("text")
+    return lm.fit(train, lm.stage(lm._counts(train), "vocabulary"))
+
+
+def naive_scores(model, counts, text):
+    """The summed log10 of a text's words and end, step by step, from the model's tables alone."""
+    total, history, shapes = 0.0, [int(lm._START), int(lm._START)], []
+    m = lambda x: int(lm.mix(np.array([x % 2**64], np.uint64))[0])
+    one_word = lambda w: lm.tokens(pa.array([w]))
+    for w in words(text):
+        t = one_word("" if w is None else w.decode("utf-8", "surrogateescape"))
+        h, ending = int(t.hashes[0]), int(t.endings[0])
+        code = (m(h ^ 0xA5A5A5A5A5A5A5A5) >> 34) & 0x3FFFFFFF
+        table = {int(x): i for i, x in enumerate(model.head)}
+        level = int(model.level[table[h]]) if h in table else model.depth + 1
+        shape = 0
+        for x in shapes[-1:-4:-1]:
+            shape = shape * 17 + x + 1
+        keys = [m(history[-1] + 1), m(history[-2] + 2), m(shape + 3)]
+        node, begin, shift = 0, 0, 0
+        for k in range(1, min(level, model.depth) + 1):
+            child = int(model.child[table[h]]) if level == k else (16 + ending if k == 1 else 24 + code // 8 ** (k - 2) % 8)
+            rows = [(m(key ^ m(begin + node + 0x51ED27)) >> 20) % model.rows + i * model.rows for i, key in enumerate(keys)]
+            z = model.bias[begin + node].astype(float) + sum(model.weights[r].astype(float) for r in rows)
+            total += (z[child] - np.log(np.exp(z - z.max()).sum()) - z.max()) / np.log(10)
+            begin += 1 if k == 1 else 16 * 8 ** (k - 2)
+            node = ending * 8 ** (k - 1) + code % 8 ** (k - 1)
+        if level > model.depth:
+            total += math.log10(counts[w] + 1) - math.log10(model.denominators[node])
+        history, shapes = [history[-1], h], [*shapes, ending]
+    return total
+
+
+def test_language_model_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 900)
+    monkeypatch.setattr(lm, "PER_CHILD", 4)
+    frame = spark.createDataFrame([(i, " ".join(f"w{(i * j * j + j) % (7 + i)}x{j % 3 * (i % 5)} the" + f" u{i}x{j}" * (j < 25) for j in range(40 + i)), i % 3 == 0) for i in range(120)] + [(200, None, True), (201, "", False), (202, "never seen w1x0 the", True)], "doc_id long, text string, h boolean").repartition(1)
+    model = fitted(spark, frame, F.col("h"))
+    monkeypatch.setattr(lm, "fit", lambda *_: model)
+    rows = {r.doc_id: r.score for r in lm.score(frame, F.col("h")).collect()}
+    table = {r.doc_id: (r.text, r.h) for r in frame.collect()}
+    counts = Counter(w for t, h in table.values() if not h for w in words(t))
+    assert len(counts) > 900 and model.depth == 3
+    for i in (0, 3, 30, 61, 200, 201, 202):
+        assert rows[i] == pytest.approx(naive_scores(model, counts, table[i][0]), abs=1e-3)
+
+
+def test_word_probabilities_add_up(spark, docs):
+    """Over all words of the vocabulary, and one unseen word for each last class, after some histories."""
+    model = fitted(spark, docs, F.lit(False))
+    counts = Counter(w for _, t in ROWS for w in words(t))
+    for before in ("base7 base8 ",):
+        logs = []
+        for w in counts:
+            t = lm.tokens(pa.array([before + ("" if w is None else w.decode())]))
+            steps = [np.zeros(len(t.hashes))]
+            for rows, token, nodes, children in model.batches(t):
+                steps[0] += np.bincount(token, model.log_probabilities(rows, nodes)[np.arange(len(children)), children], len(t.hashes))
+            bucket = model.steps(t)[3]
+            at = len(before.split())
+            logs.append(steps[0][at] + (np.log(counts[w] + 1) - np.log(model.denominators[bucket[at]]) if bucket[at] >= 0 else 0))
+        assert 0.5 < np.exp(logs).sum() <= 1 + 1e-4
+    # what is missing from 1 is the unseen word that each last class counts besides its own
+    held = Counter()
+    for w in counts:
+        t = lm.tokens(pa.array(["" if w is None else w.decode()]))
+        held[int(model.steps(t)[3][0])] += counts[w] + 1
+    assert all(model.denominators[b] == n + 1 for b, n in held.items() if b >= 0) and max(held) >= 0
 
 
 def test_language_model_beats_unigrams(spark):
     rows = [r for r in QUERIES["op3_lm"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    gain = (sum(r.score for r in rows) - sum(r.base_score for r in rows)) / sum(r.n_tokens for r in rows) / math.log10(2)
+    print("bits a token gained", gain)
+    assert gain > 0.42
+
+
+def test_rows_and_levels_grow():
+    make = lambda v, n: lm.Model(np.arange(10, dtype=np.uint64), np.ones(10, np.int64), np.zeros(10, int), v, n)
+    assert make(100, 10**5).depth < make(10**6, 10**5).depth and make(100, 10**5).rows < make(100, 10**8).rows < make(100, 10**11).rows
 
 
 def test_quality_on_held_out_documents(spark):
