@@ -9,8 +9,8 @@ Every softmax adds hashed weights of the words before: of the last one, of the l
 the endings of the last three, each together with the class, so that the history tells the words of a class apart. How many weights there
 are grows with the training tokens, how many levels with the vocabulary. Each worker makes gradient updates over its
 own documents from the round's weights; Spark averages the workers' rows, each weighted with how often it was seen.
-A round takes a part of the documents; rounds go on over all parts, and from the first again, until the loss before
-updates is flat.
+A round takes a part of the documents; rounds go on over all parts, and from the first again, until the loss over
+documents that no round takes is flat.
 
 Counts are exact over all training documents. A fixed number of frequent words goes to the tasks as a table; the
 others of each document meet the counts in a join.
@@ -37,15 +37,17 @@ FIRST, ENDINGS = 16, 16
 OWN, SHARED = 24, 8
 WIDTH = FIRST + ENDINGS
 #: Features of a history; minibatch in tokens; step size, and what it is damped by beside the times a row was seen.
-FEATURES, MINIBATCH, STEP, DAMPING = 3, 8192, 0.3, 4
+FEATURES, MINIBATCH, STEP, DAMPING = 3, 8192, 0.5, 4
+#: Steps of a minibatch that meet one row, up to which they are added place by place, which is faster for many rows.
+FEW = 8
 #: Weight rows of a feature: this many times the cube root of the training tokens, to the nearest power of two.
 ROWS_PER_ROOT = 256
 #: Distinct words of the vocabulary for each that becomes a child of its own; so many that levels are added, five at most for a table of HEAD words.
 PER_CHILD, DEEPEST = 128, 5
 #: Parts of the documents that rounds take in turn; rounds end, after one over each, when the loss falls by less than this share.
-PARTS, SETTLED = 4, 0.01
-#: Workers of a round for each core: each sends one set of weights, so their number hangs on the cluster and not on the data.
-WORKERS_PER_CORE = 3
+PARTS, SETTLED = 2, 0.02
+#: One training document in so many only tells when to stop; it is counted, but no gradient comes from it.
+HELD_BACK_ONE_IN = 32
 #: Words that go to tasks as a table: a fixed number whatever the corpus.
 HEAD = 1 << 17
 _END = np.uint64(0x2545F4914F6CDD1D)
@@ -177,11 +179,16 @@ class Model:
 
     def log_probabilities(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Natural logs of all children's probabilities, for each step."""
+        z = self.sums(rows, nodes)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def sums(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Biases and weights of all children, for each step, the largest of which is 0."""
         z = self.bias[nodes]
         for r in rows:
             z += self.weights[r]
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
     def batches(self, t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -195,22 +202,27 @@ class Model:
             if a < b:
                 yield self.at_rows(keys[:, token[a:b]], node[a:b]), token[a:b], node[a:b], child[a:b]
 
-    def update(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> float:
-        """One gradient step over a minibatch; a row's step shrinks with how often it was seen. The loss before it, in nats."""
-        logs = self.log_probabilities(rows, nodes)
+    def update(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> None:
+        """One gradient step over a minibatch; a row's step shrinks with how often it was seen."""
         chosen = np.arange(len(children)), children
-        loss = -float(logs[chosen].sum())
-        gradient = -np.exp(logs)
+        gradient = self.sums(rows, nodes)
+        np.exp(gradient, out=gradient)
+        gradient *= (-1 / gradient.sum(axis=1))[:, None]
         gradient[chosen] += 1
         for r in rows:
             order = np.argsort(r)
             which = r[order]
             begins = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-            which = which[begins]
-            sums = np.add.reduceat(gradient[order], begins, axis=0)
-            self.seen[which] += np.diff(np.concatenate([begins, [len(order)]]))
-            self.weights[which] += (STEP / np.sqrt(self.seen[which] + DAMPING))[:, None].astype(np.float32) * sums
-        return loss
+            which, counts = which[begins], np.diff(np.concatenate([begins, [len(order)]]))
+            sums = gradient[order[begins]]
+            for k in range(1, FEW):
+                more = np.flatnonzero((counts > k) & (counts <= FEW))
+                sums[more] += gradient[order[begins[more] + k]]
+            for i in np.flatnonzero(counts > FEW):
+                sums[i] = gradient[order[begins[i] : begins[i] + counts[i]]].sum(axis=0)
+            self.seen[which] += counts
+            sums *= (STEP / np.sqrt(self.seen[which] + DAMPING))[:, None].astype(np.float32)
+            self.weights[which] += sums
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -225,52 +237,60 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "word long, ending int, code int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.min("code").alias("code"), F.sum("n").alias("n"))
 
 
-def _trained(docs: DataFrame, model: Model) -> tuple[Model, float]:
-    """The model after one round, and the loss a token: updates by each worker, then the weighted mean of each row."""
+def _trained(docs: DataFrame, model: Model) -> Model:
+    """The model after one round: updates by each worker, then the weighted mean of each row.
+
+    A worker sends every row that it has seen. There are as many workers as the cluster has cores, whatever the data.
+    """
     sc = docs.sparkSession.sparkContext
     shipped = sc.broadcast(model)
 
     def updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.copy(shipped.value)
         own.weights, own.seen = own.weights.copy(), own.seen.copy()
-        loss, n = 0.0, 0
         for batch in slices(batches):
-            t = tokens(batch.column("text"))
-            n += len(t.hashes)
-            for rows, _, nodes, children in own.batches(t):
-                loss += own.update(rows, nodes, children)
-        fresh = own.seen - shipped.value.seen
+            for rows, _, nodes, children in own.batches(tokens(batch.column("text"))):
+                own.update(rows, nodes, children)
+        fresh = (own.seen - shipped.value.seen).astype(np.float32)
         used = np.flatnonzero(fresh)
-        yield pa.RecordBatch.from_pydict({"row": pa.array([-1], pa.int32()), "fresh": pa.array([loss]), "seen": pa.array([float(n)]), "weights": pa.array([b""], pa.binary())})
         for part in np.array_split(used, 1 + len(used) // 4096):
             if len(part):
-                yield pa.RecordBatch.from_pydict({"row": pa.array(part.astype(np.int32)), "fresh": pa.array(fresh[part]), "seen": pa.array(own.seen[part]), "weights": pa.array([w.tobytes() for w in own.weights[part].astype(np.float16)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": pa.array(part.astype(np.int32)), "fresh": pa.array(fresh[part]), "weights": pa.array([w.tobytes() for w in own.weights[part].astype(np.float16)], pa.binary())})
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row, fresh, seen, packed in zip(*(batch.column(c).to_pylist() for c in ("row", "fresh", "seen", "weights"))):
-                values = np.concatenate([[fresh, fresh * seen], np.frombuffer(packed, np.float16).astype(np.float64) * fresh]) if row >= 0 else np.array([1.0, fresh, seen])
+            for row, fresh, packed in zip(*(batch.column(c).to_pylist() for c in ("row", "fresh", "weights"))):
+                values = fresh * np.concatenate([[1.0, fresh], np.frombuffer(packed, np.float16).astype(np.float64)])
                 total[row] = total[row] + values if row in total else values
         if total:
-            # the mean count and weights of a row; for row -1 the loss and the tokens in all
-            out = {r: v[1:] / v[0] if r >= 0 else v[1:] for r, v in total.items()}
-            yield pa.RecordBatch.from_pydict({"row": pa.array(list(out), pa.int32()), "first": pa.array([v[0] for v in out.values()]), "values": pa.array([v[1:].astype(np.float16 if r >= 0 else np.float64).tobytes() for r, v in out.items()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row": pa.array(list(total), pa.int32()), "fresh": pa.array([v[1] / v[0] for v in total.values()]), "weights": pa.array([(v[2:] / v[0]).astype(np.float16).tobytes() for v in total.values()], pa.binary())})
 
-    workers = max(1, WORKERS_PER_CORE * sc.defaultParallelism)
-    parts = docs.select("text").coalesce(workers).mapInArrow(updates, "row int, fresh double, seen double, weights binary")
-    rows = stage(parts.repartition("row").mapInArrow(means, "row int, first double, values binary"), "weights").toPandas()  # as many as the model has rows
+    parts = docs.select("text").coalesce(max(1, sc.defaultParallelism)).mapInArrow(updates, "row int, fresh float, weights binary")
+    rows = stage(parts.repartition("row").mapInArrow(means, "row int, fresh double, weights binary"), "weights").toPandas()  # as many as the model has rows
     new = copy.copy(model)
     new.weights, new.seen = model.weights.copy(), model.seen.copy()
-    is_row = rows["row"].to_numpy() >= 0
-    if is_row.any():
-        at = rows["row"].to_numpy()[is_row]
-        new.seen[at] = rows["first"].to_numpy()[is_row]
-        new.weights[at] = np.frombuffer(b"".join(rows["values"][is_row]), np.float16).reshape(len(at), WIDTH)
-    loss = rows["first"][~is_row].sum()
-    n = np.frombuffer(b"".join(rows["values"][~is_row])).sum()
+    at = rows["row"].to_numpy(np.int64)
+    new.seen[at] += rows["fresh"].to_numpy(float)
+    new.weights[at] = np.frombuffer(b"".join(rows["weights"]), np.float16).reshape(len(at), WIDTH)
+    shipped.unpersist()
+    return new
+
+
+def _loss(docs: DataFrame, model: Model) -> float:
+    """The mean loss of a token in nats, as far as it hangs on the weights; 0 without documents."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            t, loss = tokens(batch.column("text")), 0.0
+            for rows, _, nodes, children in shipped.value.batches(t):
+                loss -= float(shipped.value.log_probabilities(rows, nodes)[np.arange(len(children)), children].sum())
+            yield pa.RecordBatch.from_pydict({"loss": pa.array([loss]), "n": pa.array([len(t.hashes)])})
+
+    loss, n = docs.select("text").mapInArrow(work, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
     shipped.unpersist()
-    return new, loss / max(n, 1)
+    return (loss or 0.0) / max(1, n or 0)
 
 
 def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
@@ -283,12 +303,16 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     bucket = F.col("ending").cast("long") * SHARED ** (model.depth - 1) + F.pmod("code", F.lit(SHARED ** (model.depth - 1)))
     totals = vocabulary.join(F.broadcast(own), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # a row for each last class
     model.set_counts(totals["bucket"].to_numpy(np.int64), totals["n"].to_numpy(float), totals["v"].to_numpy(float))
+    hashed = F.xxhash64("text")
+    back, rest = train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) == 0), train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) != 0)
     before = np.inf
-    for i in count():
-        model, loss = _trained(train.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == i % PARTS), model)
-        if i + 1 >= PARTS and (not loss or loss >= before * (1 - SETTLED)):
-            return model
-        before = loss or before  # a part without documents has no loss and says nothing
+    for i in count(1):
+        model = _trained(rest.where(F.pmod(F.floor(hashed / HELD_BACK_ONE_IN), F.lit(PARTS)) == i % PARTS), model)
+        if i >= PARTS - 1:
+            loss = _loss(back, model)
+            if i >= PARTS and loss >= before * (1 - SETTLED):
+                return model
+            before = loss
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
