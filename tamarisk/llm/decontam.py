@@ -15,8 +15,8 @@ from tamarisk.llm._common import stage
 
 #: Words of a window.
 WINDOW = 13
-#: Rows up to which a staged table that comes from the benchmark is broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a staged table that comes from the benchmark is broadcast; beyond it Spark shuffles both sides.
+BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words. A-Z count as word characters here, as they are lower-cased only where words are compared.
@@ -33,9 +33,11 @@ def exact(text: F.Column) -> F.Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def small(staged: DataFrame) -> DataFrame:
-    """A staged table, to be broadcast if it is counted to be small."""
-    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+def small(staged: DataFrame) -> tuple[DataFrame, bool]:
+    """A staged table, to be broadcast if its rows are counted to hold few bytes, and whether they do."""
+    texts = [F.octet_length(f.name) for f in staged.schema.fields if f.dataType.typeName() == "string"]
+    held = staged.agg(F.sum(sum(texts, F.lit(24 * len(staged.columns))))).first()[0] or 0
+    return (F.broadcast(staged), True) if held <= BROADCAST_BYTES else (staged, False)
 
 
 def windows(items: DataFrame, item: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -59,19 +61,25 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("key", F.xxhash64("text").alias("_h"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_n"), words(F.col("text")).alias("w"))
     distinct, held_by = windows(items, item, item_text, size)
     parts = distinct.select("win_id", F.posexplode(F.split("window", " ")).alias("off", "word")).withColumn("word", F.lower("word"))
-    vocabulary = small(stage(parts.select("word").distinct(), "vocabulary"))
+    vocabulary, _ = small(stage(parts.select("word").distinct(), "vocabulary"))
     found = docs.select(F.explode("w").alias("word")).select(F.lower("word").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("seen"))
+    found, _ = small(stage(found, "found"))  # no larger than the vocabulary; broadcast, the commonest word is not one task's
     rarest = parts.join(found, "word", "left").groupBy("win_id").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "off")).alias("p"))
     ends = F.split("window", " ")
     prefix = rarest.where("p.seen > 0").join(distinct, "win_id").select("win_id", "window", "length", F.col("p.word").alias("word"), F.col("p.off").alias("off"), F.lower(F.element_at(ends, 1)).alias("head"), F.lower(F.element_at(ends, -1)).alias("tail"))
-    prefix = small(stage(prefix, "prefix"))
-    placed = docs.select("key", "_h", "_n", "w", F.posexplode("w").alias("pos", "word")).withColumn("word", F.lower("word")).join(prefix, "word")
+    prefix, is_small = small(stage(prefix, "prefix"))
+    row = ["key", "_h", "_n"]
+    placed = docs.select(*row, *(["w"] if is_small else []), F.posexplode("w").alias("pos", "word"))
+    placed = placed.withColumn("word", F.lower("word")).join(prefix, "word")
     start = F.col("pos") - F.col("off")
+    if not is_small:
+        # words meet prefixes by themselves, and only the rows of documents that meet any fetch the words around
+        met = stage(placed.where(start >= 0).select(*row, "win_id", "window", "length", "head", "tail", "pos", "off"), "met")
+        placed = met.alias("m").join(docs.alias("t"), F.col("m.key").eqNullSafe(F.col("t.key")) & (F.col("m._h") == F.col("t._h")) & (F.col("m._n") == F.col("t._n"))).select("m.*", "t.w")
     placed = placed.where((start >= 0) & (start + F.col("length") <= F.size("w"))).where(
         (F.lower(F.get("w", start)) == F.col("head")) & (F.lower(F.get("w", start + F.col("length") - 1)) == F.col("tail")) & (exact(F.array_join(F.slice("w", start + 1, F.col("length")), " ")) == F.col("window"))
     )
     hits = stage(placed.select("key", "_h", "_n", "win_id", start.alias("begin"), (start + F.col("length")).alias("end")).distinct(), "hits")
-    row = ["key", "_h", "_n"]
     zero = F.struct(F.lit(0).alias("until"), F.lit(0).alias("covered"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct(F.greatest(a["until"], s["end"]).alias("until"), (a["covered"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["until"], s["begin"]))).alias("covered")), lambda a: a["covered"])
     spans = hits.groupBy(row).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")).select(*row, covered.cast("long").alias("n_hit"))

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 from pathlib import Path
 
+import pytest
 from edge_cases import ROWS
 
 from tamarisk.llm import decontam, licenses, shards
@@ -87,7 +88,9 @@ def brute(rows, items):
     return sorted(out, key=str)
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_decontamination(spark, docs, empty, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
     items = [(1, "two words"), (2, ROWS[0][1][:200].upper()), (10, ROWS[0][1][:200]), (3, None), (4, ""), (None, "seven eight nine"), (5, "éa ÉA"), (6, "never seen here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontam.contamination(docs, benchmark).collect()
