@@ -34,8 +34,8 @@ MARGIN = 6
 PROBES = 24
 #: Nodes of one band up to which all pairs of different components are compared; larger bands go by rare shingles.
 PAIRWISE = 8
-#: Sets of a component that one test holds.
-CHUNK = 2000
+#: Shingles of all sets that one test holds, on either side; 1 MB.
+CHUNK = 1 << 17
 
 _PROBE = (mix(np.arange(PROBES * REGISTERS, dtype=np.uint64) + np.uint64(99)) % np.uint64(REGISTERS)).astype(np.int64).reshape(PROBES, REGISTERS)
 _RANK = mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(12345)).reshape(REGISTERS, REGISTERS)
@@ -133,34 +133,41 @@ def with_texts(some: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose shingle sets overlap enough, as (a, b).
 
-    `nodes` names a document for each node by key and text hash, and its text is fetched from `texts`.
+    `nodes` names a document for each node by key and text hash, and its text is fetched from `texts`. A text that
+    many are held against goes once to each of the parts that these are dealt into, and parts hold CHUNK shingles.
     """
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     held = stage(with_texts(ends, nodes, texts), "held")
-    sides = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta"):
-            left = shingle_sets(batch.column("ta"))
-            seen: dict[str, tuple] = {}
-            keep = []
-            least = THRESHOLD / 100 - MARGIN * (THRESHOLD / 100 * (1 - THRESHOLD / 100) / REGISTERS) ** 0.5
-            for i, other in enumerate(batch.column("tb")):
-                value = other.as_py()
-                if value not in seen:
-                    if len(seen) > 200:
-                        seen.clear()
-                    one = shingle_sets(pa.array([value], pa.string()))[0]
-                    seen[value] = (one, sketch(one))
-                right, sketched = seen[value]
-                ok = estimate(sketch(left[i]), sketched) >= least
-                if ok:
-                    both = len(np.intersect1d(left[i], right, assume_unique=True))
-                    ok = 100 * both >= THRESHOLD * (len(left[i]) + len(right) - both)
-                keep.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return sides.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+    sizes = nodes.select(F.col("node").alias("a"), "n_shingles")
+    parts = stage(pairs.join(sizes, "a").groupBy("b").agg(F.ceil(F.sum("n_shingles") / CHUNK).alias("parts")), "parts")
+    asking = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    left = asking.join(held.select(F.col("node").alias("a"), "text"), "a").select("b", "part", "a", "text")
+    right = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(held.select(F.col("node").alias("b"), "text"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    return by_group(left.unionByName(right), ["b", "part"], _confirmed, "a long, b long", 100)
+
+
+def _confirmed(found: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of each part, the nodes whose sets overlap enough with that of the row without `a`."""
+    least = THRESHOLD / 100 - MARGIN * (THRESHOLD / 100 * (1 - THRESHOLD / 100) / REGISTERS) ** 0.5
+    b, part, one = np.asarray(found.column("b")), np.asarray(found.column("part")), found.column("a").combine_chunks()
+    a, is_hub = one.fill_null(0).to_numpy(), one.is_null().to_numpy(zero_copy_only=False)
+    texts = found.column("text").combine_chunks()
+    edges = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (part[1:] != part[:-1]), [True]]))
+    keep = np.zeros(len(b), bool)
+    for begin, end in zip(edges[:-1], edges[1:]):
+        hubs = begin + np.flatnonzero(is_hub[begin:end])
+        if not len(hubs):
+            continue
+        hub = shingle_sets(texts.slice(hubs[0], 1))[0]
+        sketched = sketch(hub)
+        at = begin
+        for batch in slices(iter([pa.RecordBatch.from_pydict({"text": texts.slice(begin, end - begin)})])):
+            for own in shingle_sets(batch.column("text")):
+                if not is_hub[at] and len(own) and estimate(sketch(own), sketched) >= least:
+                    both = len(np.intersect1d(own, hub, assume_unique=True))
+                    keep[at] = 100 * both >= THRESHOLD * (len(own) + len(hub) - both)
+                at += 1
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,12 +233,13 @@ def crowd_links(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFra
     cond &= (F.col("x.n") * 100 >= F.col("z.least") * THRESHOLD) & (F.col("z.greatest") * 100 >= F.col("x.n") * THRESHOLD)
     cond &= _reaches(F.least("x.most", "z.most"), F.col("x.n") + F.col("z.least"))
     tests = stage(x.join(z, cond).select("x.node", F.col("z.component").alias("other")).distinct(), "tests")
-    parts = stage(tests.groupBy("other").agg(F.ceil(F.count("*") / (4 * CHUNK)).alias("lefts")), "parts")
-    chunk = lambda of, n: F.pmod(F.xxhash64(of), n)
-    rights = sets.join(parts, sets["component"] == parts["other"]).withColumn("chunk", chunk("node", F.ceil(F.col("size") / CHUNK))).withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
-    lefts = tests.join(parts, "other").withColumn("left", chunk("node", F.col("lefts"))).join(sets.select("node", "set"), "node")
-    chunks = stage(sets.groupBy(F.col("component").alias("other")).agg(F.ceil(F.max("size") / CHUNK).alias("chunks")), "chunks")
-    lefts = lefts.join(chunks, "other").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    parts = stage(tests.join(sets.select("node", "n"), "node").groupBy("other").agg(F.ceil(F.sum("n") / (4 * CHUNK)).alias("lefts")), "parts")
+    chunks = stage(sets.groupBy(F.col("component").alias("other")).agg(F.ceil(F.sum("n") / CHUNK).alias("chunks")), "chunks")
+    dealt = lambda of, n: F.pmod(F.xxhash64(of), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    both = parts.join(chunks, "other")
+    rights = sets.join(both, sets["component"] == both["other"]).withColumn("chunk", dealt("node", F.col("chunks"))).withColumn("left", every("lefts"))
+    lefts = tests.join(both, "other").withColumn("left", dealt("node", F.col("lefts"))).join(sets.select("node", "set"), "node").withColumn("chunk", every("chunks"))
     sides = rights.select("other", "chunk", "left", F.lit(False).alias("asks"), "node", "set").union(lefts.select("other", "chunk", "left", F.lit(True).alias("asks"), "node", "set"))
     return by_group(sides, ["other", "chunk", "left"], _tested, "a long, b long", 500)
 

@@ -41,7 +41,7 @@ def test_near_duplicates(docs, empty):
 def test_crowds(spark, monkeypatch):
     """A group whose copies differ more and more, and texts that share a passage; all bands go by rare shingles."""
     monkeypatch.setattr(neardup, "PAIRWISE", 1)
-    monkeypatch.setattr(neardup, "CHUNK", 7)
+    monkeypatch.setattr(neardup, "CHUNK", 700)
     rows = []
     for i in range(60):
         w = BASE.split()
