@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarisk.llm._common import bound_batches, mix, slices, split_words, stage
+from tamarisk.llm._common import bound_batches, mix, slices, split_words, stage, text_bytes
 
 #: Children of the first class that are words, and classes by ending besides; of any other class words, and classes besides.
 FIRST, ENDINGS = 16, 16
@@ -40,12 +40,12 @@ WIDTH = FIRST + ENDINGS
 FEATURES, MINIBATCH, STEP, DAMPING = 3, 8192, 0.5, 4
 #: Steps of a minibatch that meet one row, up to which they are added place by place, which is faster for many rows.
 FEW = 8
-#: Weight rows of a feature: this many times the cube root of the training tokens, to the nearest power of two.
-ROWS_PER_ROOT = 256
-#: Distinct words of the vocabulary for each that becomes a child of its own; so many that levels are added, five at most for a table of HEAD words.
-PER_CHILD, DEEPEST = 128, 5
+#: Weight rows of a feature: this many times the fourth root of the training tokens, to the nearest power of two.
+ROWS_PER_ROOT = 640
+#: Words that are children of their own are at least so many times the square root of all distinct ones, by more levels; five at most, for a table of HEAD words.
+PER_ROOT, DEEPEST = 3, 5
 #: Parts of the documents that rounds take in turn; rounds end, after one over each, when the loss falls by less than this share.
-PARTS, SETTLED = 2, 0.02
+PARTS, SETTLED = 2, 0.03
 #: One training document in so many only tells when to stop; it is counted, but no gradient comes from it.
 HELD_BACK_ONE_IN = 32
 #: Words that go to tasks as a table: a fixed number whatever the corpus.
@@ -99,9 +99,9 @@ class Model:
         order = np.argsort(head)
         self.head, self.head_counts, self.head_endings = head[order], counts[order], endings[order].astype(np.int64)
         self.depth = 2
-        while self.depth < DEEPEST and FIRST + ENDINGS * OWN * (SHARED ** (self.depth - 1) - 1) // (SHARED - 1) < n_words / PER_CHILD:
+        while self.depth < DEEPEST and FIRST + ENDINGS * OWN * (SHARED ** (self.depth - 1) - 1) // (SHARED - 1) < PER_ROOT * n_words**0.5:
             self.depth += 1
-        self.rows = 1 << int(np.round(np.log2(ROWS_PER_ROOT * max(n_tokens, 64) ** (1 / 3))))
+        self.rows = 1 << int(np.round(np.log2(ROWS_PER_ROOT * max(n_tokens, 64) ** (1 / 4))))
         self.weights = np.zeros((FEATURES * self.rows, WIDTH), np.float32)
         self.seen = np.zeros(FEATURES * self.rows)
         # the level at which each frequent word is a child of its own (depth + 1: nowhere), and which child
@@ -191,9 +191,9 @@ class Model:
         z -= z.max(axis=1, keepdims=True)
         return z
 
-    def batches(self, t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def batches(self, t: Tokens, steps: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, tokens, classes, children) of the steps to MINIBATCH tokens at a time, each step once."""
-        token, node, child, _ = self.steps(t)
+        token, node, child, _ = steps or self.steps(t)
         order = np.argsort(token, kind="stable")
         token, node, child = token[order], node[order], child[order]
         keys = self.histories(t)
@@ -267,13 +267,14 @@ def _trained(docs: DataFrame, model: Model) -> Model:
             yield pa.RecordBatch.from_pydict({"row": pa.array(list(total), pa.int32()), "fresh": pa.array([v[1] / v[0] for v in total.values()]), "weights": pa.array([(v[2:] / v[0]).astype(np.float16).tobytes() for v in total.values()], pa.binary())})
 
     parts = docs.select("text").coalesce(max(1, sc.defaultParallelism)).mapInArrow(updates, "row int, fresh float, weights binary")
-    rows = stage(parts.repartition("row").mapInArrow(means, "row int, fresh double, weights binary"), "weights").toPandas()  # as many as the model has rows
+    rows = stage(parts.repartition("row").mapInArrow(means, "row int, fresh double, weights binary"), "weights").toArrow()  # as many as the model has rows
     new = copy.copy(model)
     new.weights, new.seen = model.weights.copy(), model.seen.copy()
-    at = rows["row"].to_numpy(np.int64)
-    new.seen[at] += rows["fresh"].to_numpy(float)
-    new.weights[at] = np.frombuffer(b"".join(rows["weights"]), np.float16).reshape(len(at), WIDTH)
-    shipped.unpersist()
+    for part in rows.to_batches():
+        at = np.asarray(part.column("row"))
+        new.seen[at] += np.asarray(part.column("fresh"))
+        new.weights[at] = text_bytes(part.column("weights"))[0].view(np.float16).reshape(len(at), WIDTH)
+    shipped.destroy()
     return new
 
 
@@ -289,7 +290,7 @@ def _loss(docs: DataFrame, model: Model) -> float:
             yield pa.RecordBatch.from_pydict({"loss": pa.array([loss]), "n": pa.array([len(t.hashes)])})
 
     loss, n = docs.select("text").mapInArrow(work, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
-    shipped.unpersist()
+    shipped.destroy()
     return (loss or 0.0) / max(1, n or 0)
 
 
@@ -329,12 +330,13 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             n = len(t.hashes)
             at, known = own.known(t.hashes)
             value = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
-            bucket = own.steps(t)[3]
+            steps = own.steps(t)
+            bucket = steps[3]
             # a word that is no child of its own has its count within its last class; that of words beyond the table joins later
             chosen = np.where(bucket >= 0, value - denominators[bucket], 0.0)
-            for rows, token, nodes, children in own.batches(t):
-                steps = own.log_probabilities(rows, nodes)[np.arange(len(children)), children]
-                chosen[token[0] : token[-1] + 1] += np.bincount(token - token[0], steps, token[-1] - token[0] + 1) / np.log(10)
+            for rows, token, nodes, children in own.batches(t, steps):
+                logs_of = own.log_probabilities(rows, nodes)[np.arange(len(children)), children]
+                chosen[token[0] : token[-1] + 1] += np.bincount(token - token[0], logs_of, token[-1] - token[0] + 1) / np.log(10)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(t.first))
             rest = np.flatnonzero(~known)
             order = rest[np.lexsort((t.hashes[rest], doc[rest]))]

@@ -67,7 +67,7 @@ def naive_scores(model, counts, text):
 
 def test_language_model_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 900)
-    monkeypatch.setattr(lm, "PER_CHILD", 4)
+    monkeypatch.setattr(lm, "PER_ROOT", 20)
     frame = spark.createDataFrame([(i, " ".join(f"w{(i * j * j + j) % (7 + i)}x{j % 3 * (i % 5)} the" + f" u{i}x{j}" * (j < 25) for j in range(40 + i)), i % 3 == 0) for i in range(120)] + [(200, None, True), (201, "", False), (202, "never seen w1x0 the", True)], "doc_id long, text string, h boolean").repartition(1)
     model = fitted(spark, frame, F.col("h"))
     monkeypatch.setattr(lm, "fit", lambda *_: model)
