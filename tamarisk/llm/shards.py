@@ -1,14 +1,17 @@
 """Sharding by longest processing time: groups of equal texts, largest first, each to the least-loaded shard.
 
-Groups are not placed one by one on the driver. Groups of one size class are alike to the rule, so the driver
-sees only (class, number of groups, bytes), which is bounded whatever the number of documents, runs the heap over
-these, and gives each class its quota of each shard; the groups then take their places within the quotas on Spark.
+Groups are not placed one by one on the driver. Groups of one size are alike to the rule, so the driver sees only
+(size, number of groups), largest first and a few at a time, and gives each size its quota of each shard: a heap of
+loads that is popped n times for groups of one size takes the n least of all load + j * size, ties to the smaller
+shard, which is found by bisection. The groups then take their places within the quotas on Spark. Sizes are exact,
+and the loads are those of a heap over all groups.
 """
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,63 +20,51 @@ from pyspark.sql.window import Window
 
 from tamarisk.llm._common import stage
 
-#: Group sizes below this are classes of their own; above it a class spans a 1/EXACT part of its size.
-EXACT = 1 << 14
-#: Groups of one class that one task ranks at most, on average; larger classes are dealt in parts.
+#: Groups of one size that one task ranks at most, on average; those of more frequent sizes are dealt in parts.
 RANKED = 500_000
+#: Quotas that the driver holds at once.
+HELD = 50_000
 #: Rows of one shard that one task numbers, on average.
 NUMBERED = 500_000
 
 
-def size_class(size: F.Column) -> F.Column:
-    """Size below EXACT as it is; above, rounded down to 15 significant bits. At most about 16 000 classes a doubling."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int") - 13)
-    return F.call_function("shiftleft", F.call_function("shiftright", size, shift), shift)
+def takes(loads: np.ndarray, size: int, n: int) -> np.ndarray:
+    """How many of n groups of one size each shard takes, if each group goes to the least-loaded shard, ties to the smaller one."""
+    taken = np.zeros(len(loads), np.int64)
+    if n == 1 or not size:
+        taken[loads.argmin()] = n
+        return taken
+    below = lambda level: np.maximum(0, -((loads - level) // size))  # noqa: E731  places of each shard that are lower than the level
+    lo = int(loads.min())
+    hi = lo + size * n
+    while lo < hi:  # the highest level with no more than n places below it
+        middle = (lo + hi + 1) // 2
+        lo, hi = (middle, hi) if below(middle).sum() <= n else (lo, middle - 1)
+    taken = below(lo)
+    at_level = np.flatnonzero((loads <= lo) & ((lo - loads) % size == 0))
+    taken[at_level[: n - taken.sum()]] += 1
+    return taken
 
 
-def quotas(classes: list[tuple[int, int, int, int]], shards: int) -> dict[tuple[int, int], tuple[list[int], list[int]]]:
-    """For (class, part) in descending size: the shards that take its groups and where each one's run of ranks ends.
+def quotas(classes: DataFrame, shards: int) -> DataFrame:
+    """(_size, _part, _shards, _ends): for groups of a size, the shards that take them and where each one's run of ranks ends."""
+    schema = T.StructType([T.StructField("_size", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("_shards", T.ArrayType(T.IntegerType())), T.StructField("_ends", T.ArrayType(T.LongType()))])
+    loads, done, held = np.zeros(shards, np.int64), [], []
 
-    `classes` holds (class, part, groups, bytes). Each group of a class counts with the class's mean size. The heap
-    gives the next group to the least-loaded shard, ties to the smaller shard; where a class has many groups, whole
-    rounds over all shards are taken at once, after which the heap goes on.
-    """
-    heap = [(0, s) for s in range(shards)]
-    found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-    for size, part, groups, total in sorted(classes, key=lambda c: (-c[0], c[1])):
-        each, taken = total / groups, [0] * shards
-        left = groups
-        if left > 4 * shards and each > 0:
-            loads = dict((s, load) for load, s in heap)
-            level = (sum(loads.values()) + total) / shards
-            for s, load in loads.items():
-                taken[s] = max(0, int((level - load) / each) - 1)
-            over = sum(taken) - left
-            for s in sorted(range(shards), key=lambda s: -taken[s]):  # shards above the level take none, so the sum can be high
-                if over <= 0:
-                    break
-                less = min(taken[s], over // shards + 1)
-                taken[s] -= less
-                over -= less
-            while over > 0:
-                s = max(range(shards), key=lambda s: loads[s] + taken[s] * each if taken[s] else -1)
-                taken[s] -= 1
-                over -= 1
-            left -= sum(taken)
-            heap = [(loads[s] + taken[s] * each, s) for s in range(shards)]
-            heapq.heapify(heap)
-        while left:
-            load, s = heap[0]
-            heapq.heapreplace(heap, (load + each, s))
-            taken[s] += 1
-            left -= 1
-        used = [s for s in range(shards) if taken[s]]
-        ends, end = [], 0
-        for s in used:
-            end += taken[s]
-            ends.append(end)
-        found[size, part] = (used, ends)
-    return found
+    def put() -> None:
+        rows = pd.DataFrame({f.name: [r[i] for r in held] for i, f in enumerate(schema.fields)})
+        done.append(stage(classes.sparkSession.createDataFrame(rows if held else [], schema), "quotas"))
+        held.clear()
+
+    for size, part, n in classes.orderBy(F.desc("_size"), "_part").select("_size", "_part", "n").toLocalIterator():
+        taken = takes(loads, size, n)
+        loads += taken * size
+        used = np.flatnonzero(taken)
+        held.append((size, part, used.tolist(), np.cumsum(taken[used]).tolist()))
+        if len(held) >= HELD:
+            put()
+    put()
+    return reduce(DataFrame.unionByName, done)
 
 
 def shard_by_size(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
@@ -85,21 +76,16 @@ def shard_by_size(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
     repeated rows and null keys get slots like any other. An empty table gives no rows. Other columns of the
     input are not read.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + F.lit(overhead).cast("long")
     digest = F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b"").cast("binary"))
     rows = stage(docs.select(F.col(key).alias("_key"), size.alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), digest.alias("_digest")), "rows")
-    groups = stage(rows.groupBy("_digest", "size").agg(F.count("*").alias("_rows")).select("_digest", "_rows", (F.col("size") * F.col("_rows")).alias("group_bytes")).withColumn("_class", size_class(F.col("group_bytes"))), "groups")
-    counted = groups.groupBy("_class").agg(F.count("*").alias("n"))
+    groups = stage(rows.groupBy("_digest", "size").agg(F.count("*").alias("_rows")).select("_digest", "_rows", (F.col("size") * F.col("_rows")).alias("_size")), "groups")
+    counted = groups.groupBy("_size").agg(F.count("*").alias("n"))
     parts = 1 + max([0, *(r[0] or 0 for r in counted.agg(F.max("n")).collect())]) // RANKED
     part = F.pmod(F.xxhash64("_digest"), F.lit(parts)).cast("int")
-    classes = groups.groupBy("_class", part.alias("_part")).agg(F.count("*").alias("n"), F.sum("group_bytes").alias("total"))
-    plan = quotas([tuple(r) for r in classes.collect()], shards)  # bounded: size classes times parts
-    told = pd.DataFrame({"_class": [k[0] for k in plan], "_part": [k[1] for k in plan], "_shards": [v[0] for v in plan.values()], "_ends": [v[1] for v in plan.values()]})
-    schema = T.StructType([T.StructField("_class", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("_shards", T.ArrayType(T.IntegerType())), T.StructField("_ends", T.ArrayType(T.LongType()))])
-    places = spark.createDataFrame(told, schema) if len(told) else spark.createDataFrame([], schema)
-    ranked = groups.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_digest")) - 1)
-    placed = ranked.join(places, ["_class", "_part"]).select("_digest", "group_bytes", F.element_at("_shards", F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))) + 1).alias("shard"))
+    places = quotas(groups.groupBy("_size", part.alias("_part")).agg(F.count("*").alias("n")), shards)
+    ranked = groups.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("_size", "_part").orderBy("_digest")) - 1)
+    placed = ranked.join(places, ["_size", "_part"]).select("_digest", F.col("_size").alias("group_bytes"), F.element_at("_shards", F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))) + 1).alias("shard"))
     dealt = stage(rows.join(placed, "_digest").drop("_digest"), "dealt")
     runs = 1 + rows.count() // NUMBERED
     run = F.pmod(F.xxhash64("_key", "text_crc32"), F.lit(16 * runs)).cast("int")

@@ -6,26 +6,42 @@ import zlib
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from edge_cases import ROWS
 
 from tamarisk.llm import decontam, licenses, shards
 
 
-def test_quotas_are_those_of_a_heap():
+def heap_takes(loads, size, n):
+    heap, taken = [(x, s) for s, x in enumerate(loads)], [0] * len(loads)
+    heapq.heapify(heap)
+    for _ in range(n):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + size, s))
+        taken[s] += 1
+    return taken
+
+
+def test_takes_are_those_of_a_heap():
     random.seed(3)
-    classes = [(s, 0, n, s * n) for s, n in sorted({random.randint(1, 400): random.randint(1, 900) for _ in range(60)}.items())]
-    loads = [(0, s) for s in range(7)]
-    for size, _, n, _ in sorted(classes, reverse=True):
-        for _ in range(n):
-            load, s = loads[0]
-            heapq.heapreplace(loads, (load + size, s))
-    got = [0.0] * 7
-    for (size, _), (used, ends) in shards.quotas(classes, 7).items():
-        for s, n in zip(used, [b - a for a, b in zip([0, *ends], ends)]):
-            got[s] += n * size
-    assert sum(got) == sum(load for load, _ in loads)
-    assert max(got) - min(got) <= max(load for load, _ in loads) - min(load for load, _ in loads) + 1
+    for _ in range(300):
+        loads = [random.randint(0, 60) for _ in range(random.randint(1, 9))]
+        size, n = random.randint(1, 30), random.randint(1, 90)
+        assert shards.takes(np.array(loads), size, n).tolist() == heap_takes(loads, size, n)
+
+
+def test_loads_are_those_of_a_heap(spark, monkeypatch):
+    """Loads of shards against a heap over all groups, one by one, with sizes up to 100,000 bytes."""
+    monkeypatch.setattr(shards, "HELD", 50)
+    random.seed(4)
+    texts = ["x" * random.choice([random.randint(0, 40), random.randint(0, 3000), random.randint(50_000, 100_000)]) + str(random.randint(0, 9)) for _ in range(600)]
+    rows = shards.shard_by_size(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 7).collect()
+    got = [sum(r.size for r in rows if r.shard == s) for s in range(7)]
+    loads = [0] * 7
+    for size in sorted((sum(16 + len(t) for t in texts if t == u) for u in set(texts)), reverse=True):
+        loads[loads.index(min(loads))] += size
+    assert got == loads
 
 
 def test_shards(docs, empty):
