@@ -12,6 +12,8 @@ from importlib.resources import files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.llm._common import stage
+
 # Equivalent spellings, each replaced by the second form.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"), ("non commercial", "noncommercial"),
@@ -94,6 +96,8 @@ FILES = {
 
 #: A line that holds a copyright statement and nothing else, not a sentence of a licence that is wrapped before the word.
 _COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright(?![ \t]+(?:notices?|holders?|owners?|interests?|laws?)\b)|\(c\)|©)[^\n]*"
+#: Licences up to which their table, of some 100 bytes a row, is broadcast.
+BROADCAST_ROWS = 200_000
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -134,13 +138,17 @@ def scan(docs: DataFrame, licenses: DataFrame, key: str = "doc_id", text: str =
     `whole_license` is the licence whose canonical digest the whole text has, else null. Lines are looked up the
     same way; `line_licenses` holds their licences, sorted and joined by commas, '' for none. Null and empty texts
     have none: an empty canonical form is no licence. Repeated rows get the same result each; keys need not be
-    unique. Other columns are not read. The licence table is joined by digest and left to Spark to broadcast.
+    unique. Texts are taken whole, however long; an empty table gives no rows. Other columns are not read. The licence
+    table is broadcast if its rows are counted to be few, so that lines meet it where they are; beyond that both shuffle.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row = ["key", "_h", "_n"]
     ids = [F.col("key"), F.xxhash64("text").alias("_h"), F.octet_length("text").alias("_n")]
+    licenses = stage(licenses.select("digest", "license").where("digest is not null and license is not null"), "licenses")
+    licenses = F.broadcast(licenses) if licenses.count() <= BROADCAST_ROWS else licenses
     whole = docs.select(*ids, digest(F.col("text")).alias("digest")).join(licenses, "digest", "left").select(*row, F.col("license").alias("whole_license"))
-    lines = docs.select(*ids, F.posexplode(F.split("text", "\n")).alias("at", "line")).select(*row, "at", digest(F.col("line")).alias("digest"))
+    lines = docs.select(*ids, F.posexplode(F.split("text", "\n")).alias("at", "line")).select(*row, "at", canonical(F.col("line")).alias("form"))
+    lines = lines.where("form <> ''").select(*row, "at", F.sha2("form", 256).alias("digest"))
     found = lines.join(licenses, "digest").select(*row, "at", "license").distinct().groupBy(row).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("names"))
     same = F.col("w.key").eqNullSafe(F.col("l.key")) & (F.col("w._h") == F.col("l._h")) & (F.col("w._n") == F.col("l._n"))
     return whole.alias("w").join(found.alias("l"), same, "left").select(F.col("w.key").alias(key), "whole_license", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses"))
