@@ -147,10 +147,14 @@ def _matrix(column) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fits on rows of (statistics, label 0/1, calibrate boolean). With no rows, every score is 0.5."""
+    """Fits on rows of (statistics, label 0/1, calibrate boolean).
+
+    Where only one of the two parts has rows, they serve for both fits; with no rows, every score is 0.5.
+    """
     n = len(STATISTICS)
     at = [F.element_at("statistics", i + 1) for i in range(n)]
-    row = labelled.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(at)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(at)]).first()
+    row = labelled.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(at)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(at)], F.count(F.when(F.col("calibrate"), 1)).alias("back"), F.count("*").alias("all")).first()
+    learn, back = (F.lit(True), F.lit(True)) if row["back"] in (0, row["all"]) else (~F.col("calibrate"), F.col("calibrate"))
     centre = np.array([row[f"m{i}"] or 0.0 for i in range(n)])
     scale = np.array([max(row[f"s{i}"] or 0.0, 1e-6) for i in range(n)])
     model = Model(centre, scale)
@@ -164,7 +168,7 @@ def fit(labelled: DataFrame) -> Model:
         i, j = np.triu_indices(size)
         yield pa.RecordBatch.from_pydict({"cell": pa.array((i * size + j).astype(np.int32)), "value": pa.array(total[i, j])})
 
-    cells = labelled.where("not calibrate").select("statistics", "label").mapInArrow(normal_equations, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    cells = labelled.where(learn).select("statistics", "label").mapInArrow(normal_equations, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     full = np.zeros(size * size)
     full[cells["cell"]] = cells["value"]
     full = full.reshape(size, size)
@@ -178,7 +182,7 @@ def fit(labelled: DataFrame) -> Model:
             raw = model.raw(_matrix(batch.column("statistics")))
             yield pa.RecordBatch.from_pydict({"bin": pa.array(np.floor(np.clip(raw, -1, 2) * BINS / 3).astype(np.int32)), "raw": pa.array(raw), "label": pa.array(np.asarray(batch.column("label"), float))})
 
-    bins = labelled.where("calibrate").select("statistics", "label").mapInArrow(binned, "bin int, raw double, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("raw").alias("raw"), F.sum("label").alias("label")).orderBy("bin").toPandas()
+    bins = labelled.where(back).select("statistics", "label").mapInArrow(binned, "bin int, raw double, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("raw").alias("raw"), F.sum("label").alias("label")).orderBy("bin").toPandas()
     if len(bins):
         model.curve = isotonic(bins["raw"].to_numpy() / bins["n"].to_numpy(), bins["label"].to_numpy(), bins["n"].to_numpy())
     return model
@@ -235,13 +239,22 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, train: F.Column, key: str
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text") -> Model:
-    """A model from the documents with labels for which `train` holds."""
+    """A model from the documents with labels for which `train` holds.
+
+    Documents and labels with a null key, and labels other than 0 and 1, take no part; null and empty texts learn
+    from their zero statistics; repeated rows count as often as they are there; without any labelled row, and so on
+    an empty table, scores are 0.5. Other columns are not read.
+    """
     some = labels.where(F.col("quality").isin(0, 1)).select(F.col(key)).distinct()
     stats = with_statistics(docs.select(key, text).where(train).join(some, key, "left_semi"), text)
     return fit(stage(labelled_rows(stats, labels, train, key), "labelled"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:
-    """Scores of all documents by a model that learns from the rows for which `train` holds. `keep`: columns passed through."""
+    """Scores of all documents by a model that learns from the rows for which `train` holds. `keep`: columns passed through.
+
+    A null or empty text is scored like any other, repeated rows alike, and a row with a null key is scored and not
+    learnt from. Long texts are read whole. An empty table gives no rows. For the model see fit_on.
+    """
     stats = stage(with_statistics(docs.select(*dict.fromkeys([key, *(keep or []), text]))), "statistics")
     return score(stats, fit(stage(labelled_rows(stats, labels, train, key), "labelled")), to)
