@@ -1,11 +1,13 @@
 """The corpus pipeline: quality, near copies, benchmark passages, personal data, tokens.
 
-Each stage works on all rows its predecessor kept; all but the last give back the columns of documents.
+Each stage works on all rows its predecessor kept; all but the last give back the columns of documents. Null texts
+count as empty, but stay null: they are scored by the classifier, are linked with nothing, hit nothing, hold no
+personal data and have no tokens. Rows with a null doc_id pass through all stages; rows that repeat whole are one
+document to near_duplicates. An empty table stays empty at every stage. Columns beyond those of documents pass through.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to the text again."""
+    import public_tokenizers
+
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text", F.sha2("text", 256).alias("_sha")), path, pattern)
     back = bpe.decode(ids, path, pattern)
