@@ -157,7 +157,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     ordinary text. `offsets`: a column of packed int32 pairs, each token's begin and end in characters;
     tokens that split a character share that character's span. A column of the same name is replaced;
     all others, whatever their names, pass through. Each row stands for itself: repeated rows and ids
-    need no care.
+    need no care. An empty table gives an empty one with the same columns.
     """
     bound_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))  # as large as the vocabulary, whatever the data

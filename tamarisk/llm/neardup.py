@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     is that. A null, empty or blank text has no shingles and is linked with nothing; a text of fewer than five
     words is one shingle. Rows with equal shingle sets are linked, repeated rows among them; rows that share a key
     but not their texts each have the component of their own text. A null key is never the smallest one unless no
-    other is there. An empty table gives no rows. Other columns are not read.
+    other is there. Texts are taken whole, however long. An empty table gives no rows. Other columns are not read.
     """
     rows = stage(signatures(docs, key, text), "signatures")
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))

@@ -303,7 +303,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
 
     `spans`: a column of (kind, begin, end, surrogate), in characters of the text; one of that name is replaced.
     Null texts stay null and have null spans, empty ones stay empty; texts are read whole. Each row stands for
-    itself, so repeated rows come out alike. The same key gives the same surrogates in every table and run.
+    itself, so repeated rows come out alike. An empty table gives no rows. The same key gives the same surrogates in every table and run.
     """
     if not 1 <= len(key) <= 64:
         raise ValueError("the key has 1 to 64 bytes")
