@@ -1,11 +1,14 @@
 """Zonal sums: cells meet zones by an equi-join on row and column, weighted with the part of the cell inside.
 
-Zones are boxes, whose coverage is plain column arithmetic, or polygons of rings, clipped cell by cell in an
-Arrow UDF. Zones are exploded over the cells of their bounding box, so no range join is needed.
+Zones are boxes, whose coverage is plain column arithmetic, or polygons of rings, each gone over once, row by row of
+the grid: cells that an edge crosses are clipped, those between crossings are inside whole. Boxes are exploded over
+their cells, so no range join is needed.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,22 +65,60 @@ def clipped_area(rings: list[list[tuple[float, float]]], x0: float, y0: float, x
     return max(0.0, areas[0] - sum(areas[1:])) if areas else 0.0
 
 
+def covered_cells(rings: list[list[tuple[float, float]]], grid: Grid) -> list[tuple[int, int, float]]:
+    """(row, col, coverage) of the cells that a polygon meets: strips of one grid row are cut first, then only the cells that an edge crosses."""
+    out = []
+    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+    if not xs:
+        return out
+    first, last = max(0, math.floor((grid.y0 - max(ys)) / grid.dy)), min(grid.nrow - 1, math.ceil((grid.y0 - min(ys)) / grid.dy) - 1)
+    size = grid.dx * grid.dy
+    for row in range(first, last + 1):
+        top = grid.y0 - row * grid.dy
+        strip = [_clip(_clip(r, 1, top - grid.dy, True), 1, top, False) for r in rings]
+        crossed: set[int] = set()
+        for ring in strip:
+            for i, b in enumerate(ring):
+                a = ring[i - 1]
+                # an edge along the strip's upper or lower side crosses no cell
+                if a[1] == b[1] and a[1] in (top, top - grid.dy):
+                    continue
+                lo, hi = sorted((a[0], b[0]))
+                crossed.update(range(math.floor((lo - grid.x0) / grid.dx), math.floor((hi - grid.x0) / grid.dx) + 1))
+        cut = sorted(c for c in crossed if 0 <= c < grid.ncol)
+        for c in cut:
+            x = grid.x0 + c * grid.dx
+            area = clipped_area(strip, x, top - grid.dy, x + grid.dx, top)
+            if area > 0:
+                out.append((row, c, area / size))
+        # between crossed cells, and from the grid's edges to them, cells are all inside or all outside
+        bounds = [-1, *cut, grid.ncol]
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a > 1 and _inside(rings, grid.x0 + (a + 1.5) * grid.dx, top - grid.dy / 2):
+                out += [(row, c, 1.0) for c in range(a + 1, b)]
+    return out
+
+
+def _inside(rings: list[list[tuple[float, float]]], x: float, y: float) -> bool:
+    """Whether a point that no edge meets is inside, by the edges to its right."""
+    odd = False
+    for ring in rings:
+        for i, b in enumerate(ring):
+            a = ring[i - 1]
+            if (a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]):
+                odd = not odd
+    return odd
+
+
 def polygon_coverage(zones: DataFrame, grid: Grid, rings: str = "rings") -> DataFrame:
-    """As box_coverage for polygons; `rings` is dropped after use."""
-    xs = F.flatten(F.transform(F.col(rings), lambda r: F.transform(r, lambda p: p["x"])))
-    ys = F.flatten(F.transform(F.col(rings), lambda r: F.transform(r, lambda p: p["y"])))
-
-    @F.pandas_udf("double")
-    def part(shape: pd.Series, row: pd.Series, col: pd.Series) -> pd.Series:
-        out = []
-        for polygon, r, c in zip(shape, row, col):
-            x, y = grid.x0 + c * grid.dx, grid.y0 - r * grid.dy
-            out.append(clipped_area([[(p["x"], p["y"]) for p in ring] for ring in polygon], x, y - grid.dy, x + grid.dx, y) / (grid.dx * grid.dy))
-        return pd.Series(out, dtype=float)
-
-    boxed = zones.where(F.size(rings) > 0)
-    found = _cells(boxed, grid, F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys))
-    return found.withColumn("coverage", part(rings, "row", "col")).drop(rings).where("coverage > 0")
+    """As box_coverage for polygons; `rings` is dropped after use. A polygon is sent to Python once, whatever cells it covers."""
+
+    @F.pandas_udf("array<struct<row:int,col:int,coverage:double>>")
+    def cells(shapes: pd.Series) -> pd.Series:
+        return pd.Series([[{"row": r, "col": c, "coverage": v} for r, c, v in covered_cells([[(p["x"], p["y"]) for p in ring] for ring in shape], grid)] for shape in shapes])
+
+    found = zones.where(F.size(rings) > 0).withColumn("__cell", F.explode(cells(rings))).drop(rings)
+    return found.select(*[c for c in found.columns if c != "__cell"], "__cell.*").where("coverage > 0")
 
 
 def zonal_sum(coverage: DataFrame, cells: DataFrame, zone: list[str], value: str = "value", to: str = "sum", empty: float | None = 0.0, zones: DataFrame | None = None) -> DataFrame:

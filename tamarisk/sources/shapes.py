@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,20 @@ def records_of(dbf: bytes, encoding: str = "utf-8") -> Iterator[list[str | None]
         yield row
 
 
+def part_of(path: str, suffix: str) -> bytes:
+    """One file of a shapefile: beside it, or inside a zip archive (`a.zip`, or `a.zip/layer` where it holds several)."""
+    if ".zip" not in path:
+        with open(f"{path.removesuffix('.shp')}.{suffix}", "rb") as f:
+            return f.read()
+    archive, _, layer = path.partition(".zip")
+    layer = layer.strip("/").removesuffix(".shp")
+    with zipfile.ZipFile(f"{archive}.zip") as z:
+        names = [n for n in z.namelist() if n.lower().endswith(f".{suffix}") and (not layer or n.rsplit("/", 1)[-1][: -len(suffix) - 1] == layer)]
+        if len(names) != 1:
+            raise ValueError(f"{path} holds {len(names)} layers; name one of them")
+        return z.read(names[0])
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -65,10 +80,8 @@ class ShapeReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        base = partition.path.removesuffix(".shp")
-        with open(f"{base}.shp", "rb") as shp, open(f"{base}.dbf", "rb") as dbf:
-            for rings, row in zip(rings_of(shp.read()), records_of(dbf.read(), self.encoding)):
-                yield (*row, rings)
+        for rings, row in zip(rings_of(part_of(partition.path, "shp")), records_of(part_of(partition.path, "dbf"), self.encoding)):
+            yield (*row, rings)
 
 
 class ShapeSource(DataSource):
@@ -79,9 +92,7 @@ class ShapeSource(DataSource):
         return "shapes"
 
     def schema(self) -> str:
-        base = self.options["path"].split(",")[0].removesuffix(".shp")
-        with open(f"{base}.dbf", "rb") as dbf:
-            names = [f"`{name}` string" for name, _ in fields_of(dbf.read(32 * 257))]
+        names = [f"`{name}` string" for name, _ in fields_of(part_of(self.options["path"].split(",")[0], "dbf"))]
         return ", ".join([*names, "rings array<array<struct<x:double,y:double>>>"])
 
     def reader(self, schema: StructType) -> ShapeReader:

@@ -11,11 +11,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _sources(f: Callable, seen: set | None = None) -> list[str]:
+    """Source of a function and of the plain functions that it names, one after another."""
+    seen = set() if seen is None else seen
+    if f in seen:
+        return []
+    seen.add(f)
+    try:
+        found = [inspect.getsource(f)]
+    except (OSError, TypeError):
+        return []
+    named = {**getattr(f, "__globals__", {}), **inspect.getclosurevars(f).nonlocals}
+    for name in f.__code__.co_names + f.__code__.co_freevars:
+        called = named.get(name)
+        if inspect.isfunction(called) and called.__module__ == f.__module__:
+            found += _sources(called, seen)
+    return found
+
+
 class Store:
     """Results as Parquet below a folder that Spark can reach, each with a row of metadata beside it."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, inputs: dict[str, str] | None = None):
+        """`inputs`: folders or files by the names that results take them by; they are read as Parquet."""
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.inputs = dict(inputs or {})
         self.nodes: dict[str, tuple[Callable[..., DataFrame], list[str]]] = {}
 
     def node(self, f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -24,9 +44,20 @@ class Store:
         return f
 
     def digest(self, name: str) -> str:
-        """Of the source of a result and of all it comes from."""
+        """Of the source of a result, of the functions of its module that it calls, and of all it comes from; of an input, its files' names, sizes and times."""
+        if name in self.inputs:
+            return hashlib.sha256("|".join(sorted(self._files(self.inputs[name]))).encode()).hexdigest()
         f, needs = self.nodes[name]
-        return hashlib.sha256("|".join([inspect.getsource(f), *map(self.digest, needs)]).encode()).hexdigest()
+        return hashlib.sha256("|".join([*_sources(f), *map(self.digest, needs)]).encode()).hexdigest()
+
+    def _files(self, path: str) -> list[str]:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found, files = [], system.listFiles(there, True)
+        while files.hasNext():
+            one = files.next()
+            found.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+        return found
 
     def _exists(self, path: str) -> bool:
         there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -41,6 +72,8 @@ class Store:
 
     def make(self, name: str) -> DataFrame:
         """The named result; what it needs first. Kept ones with the same digest are read."""
+        if name in self.inputs:
+            return self.spark.read.parquet(self.inputs[name])
         f, needs = self.nodes[name]
         inputs = [self.make(n) for n in needs]
         digest, known = self.digest(name), self.metadata(name)

@@ -80,3 +80,14 @@ def test_seasons(spark):
 def test_day_indices(spark):
     assert [r[0] for r in column(spark, [0, 365], "int").select(dates.from_index(F.col("x"))).collect()] == [date(1998, 1, 12), date(1999, 1, 12)]
     assert len(dates.MONTH_DEKADS) == 18 and dates.MONTH_DEKADS[0] == "Oct 01"
+
+
+def test_day_sequences(spark):
+    frame = spark.createDataFrame([(date(2020, 2, 27), date(2020, 3, 1))], "lo date, hi date")
+    assert [str(x) for x in one(frame.select(dates.day_sequence(F.col("lo"), F.col("hi"))))] == ["2020-02-27", "2020-02-28", "2020-02-29", "2020-03-01"]
+
+
+def test_recoding_and_titles(spark):
+    frame = spark.createDataFrame([("Swaziland",), ("Zambia",), (None,)], "x string")
+    assert [r[0] for r in frame.select(text.recode(F.col("x"), {"Swaziland": "Eswatini"})).collect()] == ["Eswatini", "Zambia", None]
+    assert one(spark.createDataFrame([("first projection",)], "x string").select(text.title_case(F.col("x")))) == "First Projection"

@@ -106,6 +106,25 @@ def test_polygon_coverage():
     assert zonal.clipped_area(holed, 0, 0, 2, 2) == pytest.approx(3)
 
 
+def test_covered_cells_are_those_of_clipping_each():
+    import math
+    import random
+
+    random.seed(5)
+    grid = Grid(0, 6, 1, 1.5, 4, 7)
+    for _ in range(60):
+        n = random.randint(3, 9)
+        angles = sorted(random.uniform(0, 2 * math.pi) for _ in range(n))
+        ring = [(3.3 + random.uniform(0.5, 4) * math.cos(t), 3 + random.uniform(0.5, 3.5) * math.sin(t)) for t in angles]
+        hole = [(3.3 + 0.3 * math.cos(t), 3 + 0.3 * math.sin(t)) for t in angles]
+        rings = random.choice([[ring], [[(1.0, 1.5), (5.0, 1.5), (5.0, 4.5), (1.0, 4.5)], hole], [[(1.0, 1.0), (6.0, 1.0), (6.0, 5.0), (1.0, 5.0)]]])
+        got = {(r, c): v for r, c, v in zonal.covered_cells(rings, grid)}
+        for r in range(4):
+            for c in range(7):
+                area = zonal.clipped_area(rings, c, 6 - (r + 1) * 1.5, c + 1, 6 - r * 1.5) / 1.5
+                assert got.get((r, c), 0) == pytest.approx(area, abs=1e-9)
+
+
 def test_dissolve(spark):
     box = lambda i: [[(i, 0.0), (i + 1.0, 0.0), (i + 1.0, 1.0), (i, 1.0)]]
     zones = spark.createDataFrame([("a", box(0.0)), ("a", box(1.0)), ("b", box(5.0))], f"k string, rings {zonal.RINGS}")
@@ -196,3 +215,10 @@ def test_renamed_country_meets_its_phases(spark):
     areas = spark.createDataFrame([("Swaziland", "Hhohho"), ("Zambia", "Lusaka")], "COUNTRY string, Admin string")
     assert {r.admin_id for r in food.area_keys(areas, "COUNTRY", "Admin").collect()} == {"Eswatini_Hhohho", "Zambia_Lusaka"}
     assert areas.select(food.phase_title("3+", F.lit("first projection"))).first()[0] == "Acute Food Insecurity IPC Phase 3+ (First Projection)"
+
+
+def test_geometry_keeps_its_rings_beside_stats(spark):
+    zones = spark.createDataFrame([("A", [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]]), ("B", [])], f"adm1_en string, rings {zonal.RINGS}")
+    stats = spark.createDataFrame([("A", 2.0)], "adm1_en string, mean_exposed double")
+    rows = {r.adm1_en: (len(r.rings), r.mean_exposed) for r in relational.natural_left_join(zones, stats).collect()}
+    assert rows == {"A": (1, 2.0), "B": (0, None)}

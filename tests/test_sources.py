@@ -1,4 +1,5 @@
 import struct
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,12 @@ def test_shapefile(spark, tmp_path):
     (tmp_path / "a.shp").write_bytes(b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body)
     field = b"ADM1_EN".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([10, 0]) + b"\0" * 14
     (tmp_path / "a.dbf").write_bytes(b"\x03" + b"\0" * 3 + struct.pack("<IHH", 1, 32 + 32 + 1, 11) + b"\0" * 20 + field + b"\r" + b" " + b"Gaza".ljust(10))
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for suffix in ("shp", "dbf"):
+            z.write(tmp_path / f"a.{suffix}", f"inside/a.{suffix}")
+    assert [r.adm1_en for path in ("z.zip", "z.zip/a.shp") for r in shapes.read_shapes(spark, str(tmp_path / path)).collect()] == ["Gaza"] * 2
+    levels = shapes.read_levels(spark, str(tmp_path), {"x": ("a", "a"), "y": ("a",)})
+    assert (sorted(levels), levels["adm0"].count(), levels["adm1"].count()) == (["adm0", "adm1"], 2, 1)
     row = shapes.read_shapes(spark, str(tmp_path / "a.shp"), r"^adm\d_").first()
     assert row.adm1_en == "Gaza" and [(p.x, p.y) for p in row.rings[0]] == ring[:-1]
 
@@ -47,3 +54,26 @@ def test_store_keeps_results(spark, tmp_path):
 
     assert s.make("total").first().s == 3 and s.make("total").first().s == 3
     assert runs == ["numbers", "total"] and s.metadata("total")["depends"] == ["numbers"]
+
+
+def test_store_sees_changed_inputs(spark, tmp_path):
+    spark.range(3).write.parquet(f"file://{tmp_path}/numbers")
+    s, runs = store.Store(spark, f"file://{tmp_path}/store", {"numbers": f"file://{tmp_path}/numbers"}), []
+
+    @s.node
+    def total(numbers):
+        runs.append("total")
+        return numbers.agg(F.sum("id").alias("s"))
+
+    assert [s.make("total").first().s, s.make("total").first().s] == [3, 3] and runs == ["total"]
+    spark.range(5).write.mode("overwrite").parquet(f"file://{tmp_path}/numbers")
+    assert s.make("total").first().s == 10 and runs == ["total", "total"]
+
+
+def test_paths_need_a_root(monkeypatch):
+    import pytest
+
+    monkeypatch.delenv("TAMARISK_DATA_DIR", raising=False)
+    assert tables.data_path("a", "b.csv", root="/data/") == "/data/a/b.csv"
+    with pytest.raises(ValueError):
+        tables.data_path("a")
