@@ -43,7 +43,9 @@ FEW = 8
 #: Weight rows of a feature: this many times the fourth root of the training tokens, to the nearest power of two.
 ROWS_PER_ROOT = 640
 #: Words that are children of their own are at least so many times the square root of all distinct ones, by more levels; five at most, for a table of HEAD words.
-PER_ROOT, DEEPEST = 3, 5
+PER_ROOT, DEEPEST = 1.5, 5
+#: Workers of a round: as many as the cluster has cores, or one for so many partitions where these are more.
+PARTITIONS_A_WORKER = 16
 #: Parts of the documents that rounds take in turn; rounds end, after one over each, when the loss falls by less than this share.
 PARTS, SETTLED = 2, 0.03
 #: One training document in so many only tells when to stop; it is counted, but no gradient comes from it.
@@ -177,19 +179,18 @@ class Model:
         own = mix(nodes.astype(np.uint64) + np.uint64(0x51ED27))
         return np.stack([((mix(k ^ own) >> np.uint64(20)) % np.uint64(self.rows)).astype(np.int32) + np.int32(i * self.rows) for i, k in enumerate(keys)])
 
-    def log_probabilities(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Natural logs of all children's probabilities, for each step."""
-        z = self.sums(rows, nodes)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
-
-    def sums(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Biases and weights of all children, for each step, the largest of which is 0."""
+    def logits(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Biases and weights of all children, for each step."""
         z = self.bias[nodes]
         for r in rows:
             z += self.weights[r]
-        z -= z.max(axis=1, keepdims=True)
-        return z
+        return np.minimum(z, 80, out=z)  # beyond, single precision overflows
+
+    def log_probabilities(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> np.ndarray:
+        """The natural log of each step's probability."""
+        z = self.logits(rows, nodes)
+        taken = z[np.arange(len(children)), children]
+        return taken - np.log(np.exp(z, out=z).sum(axis=1))
 
     def batches(self, t: Tokens, steps: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, tokens, classes, children) of the steps to MINIBATCH tokens at a time, each step once."""
@@ -205,7 +206,7 @@ class Model:
     def update(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> None:
         """One gradient step over a minibatch; a row's step shrinks with how often it was seen."""
         chosen = np.arange(len(children)), children
-        gradient = self.sums(rows, nodes)
+        gradient = self.logits(rows, nodes)
         np.exp(gradient, out=gradient)
         gradient *= (-1 / gradient.sum(axis=1))[:, None]
         gradient[chosen] += 1
@@ -240,7 +241,7 @@ def _counts(docs: DataFrame) -> DataFrame:
 def _trained(docs: DataFrame, model: Model) -> Model:
     """The model after one round: updates by each worker, then the weighted mean of each row.
 
-    A worker sends every row that it has seen. There are as many workers as the cluster has cores, whatever the data.
+    A worker sends every row that it has seen, so there are fewer workers than partitions.
     """
     sc = docs.sparkSession.sparkContext
     shipped = sc.broadcast(model)
@@ -266,7 +267,8 @@ def _trained(docs: DataFrame, model: Model) -> Model:
         if total:
             yield pa.RecordBatch.from_pydict({"row": pa.array(list(total), pa.int32()), "fresh": pa.array([v[1] / v[0] for v in total.values()]), "weights": pa.array([(v[2:] / v[0]).astype(np.float16).tobytes() for v in total.values()], pa.binary())})
 
-    parts = docs.select("text").coalesce(max(1, sc.defaultParallelism)).mapInArrow(updates, "row int, fresh float, weights binary")
+    workers = max(1, sc.defaultParallelism, docs.rdd.getNumPartitions() // PARTITIONS_A_WORKER)
+    parts = docs.select("text").coalesce(workers).mapInArrow(updates, "row int, fresh float, weights binary")
     rows = stage(parts.repartition("row").mapInArrow(means, "row int, fresh double, weights binary"), "weights").toArrow()  # as many as the model has rows
     new = copy.copy(model)
     new.weights, new.seen = model.weights.copy(), model.seen.copy()
@@ -286,7 +288,7 @@ def _loss(docs: DataFrame, model: Model) -> float:
         for batch in slices(batches):
             t, loss = tokens(batch.column("text")), 0.0
             for rows, _, nodes, children in shipped.value.batches(t):
-                loss -= float(shipped.value.log_probabilities(rows, nodes)[np.arange(len(children)), children].sum())
+                loss -= float(shipped.value.log_probabilities(rows, nodes, children).sum())
             yield pa.RecordBatch.from_pydict({"loss": pa.array([loss]), "n": pa.array([len(t.hashes)])})
 
     loss, n = docs.select("text").mapInArrow(work, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
@@ -308,7 +310,7 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     back, rest = train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) == 0), train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) != 0)
     before = np.inf
     for i in count(1):
-        model = _trained(rest.where(F.pmod(F.floor(hashed / HELD_BACK_ONE_IN), F.lit(PARTS)) == i % PARTS), model)
+        model = _trained(rest.where(F.pmod(F.shiftright(hashed, 8), F.lit(PARTS)) == i % PARTS), model)
         if i >= PARTS - 1:
             loss = _loss(back, model)
             if i >= PARTS and loss >= before * (1 - SETTLED):
@@ -335,7 +337,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             # a word that is no child of its own has its count within its last class; that of words beyond the table joins later
             chosen = np.where(bucket >= 0, value - denominators[bucket], 0.0)
             for rows, token, nodes, children in own.batches(t, steps):
-                logs_of = own.log_probabilities(rows, nodes)[np.arange(len(children)), children]
+                logs_of = own.log_probabilities(rows, nodes, children)
                 chosen[token[0] : token[-1] + 1] += np.bincount(token - token[0], logs_of, token[-1] - token[0] + 1) / np.log(10)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(t.first))
             rest = np.flatnonzero(~known)

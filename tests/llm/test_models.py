@@ -89,7 +89,7 @@ def test_word_probabilities_add_up(spark, docs):
             t = lm.tokens(pa.array([before + ("" if w is None else w.decode())]))
             steps = [np.zeros(len(t.hashes))]
             for rows, token, nodes, children in model.batches(t):
-                steps[0] += np.bincount(token, model.log_probabilities(rows, nodes)[np.arange(len(children)), children], len(t.hashes))
+                steps[0] += np.bincount(token, model.log_probabilities(rows, nodes, children), len(t.hashes))
             bucket = model.steps(t)[3]
             at = len(before.split())
             logs.append(steps[0][at] + (np.log(counts[w] + 1) - np.log(model.denominators[bucket[at]]) if bucket[at] >= 0 else 0))
