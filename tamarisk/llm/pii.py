@@ -26,8 +26,19 @@ FEISTEL_ROUNDS = 10
 YEARS = (1900, 2099)
 
 
+@lru_cache(maxsize=1000)
+def _shuffled(n: int, key: bytes, tweak: str) -> tuple[int, ...]:
+    """range(n) in the order of its values' keyed digests."""
+    return tuple(sorted(range(n), key=lambda v: blake2b(f"{tweak}|{n}|{v}".encode(), key=key, digest_size=16).digest()))
+
+
 def permute(value: int, left: int, right: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(left * right): an alternating Feistel network over Z_left x Z_right."""
+    """A keyed permutation of range(left * right): an alternating Feistel network over Z_left x Z_right.
+
+    A half of one value would leave a network nothing but a shift, so there the few values are put in a keyed order.
+    """
+    if min(left, right) == 1 and left * right <= 4096:
+        return _shuffled(left * right, key, tweak)[value]
     a, b = divmod(value, right)
     for i in range(FEISTEL_ROUNDS):
         half = b if i % 2 == 0 else a

@@ -133,6 +133,38 @@ def test_quality_edges(spark, docs, empty):
     assert quality.score_texts(docs, quality.fit_on(docs, labels, F.lit(True))).columns == [*docs.columns, "score"]
 
 
+def test_quality_by_brute_force(spark, sf_dir):
+    """Ridge and calibration solved anew from the labelled rows' statistics, by least squares and by a plain search for isotonic means."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_on(docs, labels, F.lit(True))
+    rows = quality.labelled_rows(quality.with_statistics(docs.select("doc_id", "text")), labels, F.lit(True)).collect()
+    x, y, back = np.array([r.statistics for r in rows]), np.array([r.label for r in rows], float), np.array([r.calibrate for r in rows])
+    assert model.centre == pytest.approx(x.mean(axis=0), abs=1e-6) and back.any() and not back.all()
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6), -4, 4)
+    phi = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(z @ model.directions + model.phases), np.ones((len(z), 1))])
+    learn = phi[~back]
+    stacked = np.vstack([learn, np.sqrt(quality.RIDGE * len(learn)) * np.eye(learn.shape[1])])
+    weights = np.linalg.lstsq(stacked, np.concatenate([y[~back], np.zeros(learn.shape[1])]), rcond=None)[0]
+    raw = phi @ weights
+    assert model.features(x) @ model.weights == pytest.approx(raw, abs=1e-4)
+    order = np.argsort(raw[back])
+    ys = y[back][order]
+    # the isotonic fit is, at each place, the largest over starts of the smallest mean over ends
+    fit = [max(min(ys[a : b + 1].mean() for b in range(i, len(ys))) for a in range(i + 1)) for i in range(len(ys))]
+    blocks = [np.flatnonzero(np.isclose(fit, v)) for v in sorted(set(np.round(fit, 9)))]
+    assert model.curve[0] == pytest.approx([raw[back][order][k].mean() for k in blocks], abs=2e-3)
+    assert model.curve[1] == pytest.approx(np.maximum.accumulate([(ys[k].sum() + 0.5) / (len(k) + 1) for k in blocks]), abs=1e-9)
+
+
+def test_one_part_alone_still_learns(spark, docs):
+    """Labels that all fall in the part for calibration, or all outside it."""
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 4, 8, 10, 14)], "doc_id long, quality int")
+    stats = quality.labelled_rows(quality.with_statistics(docs.select("doc_id", "text")), labels, F.lit(True))
+    for part in (True, False):
+        model = quality.fit(stats.withColumn("calibrate", F.lit(part)))
+        assert np.abs(model.weights).max() > 0 and len(model.curve[0]) > 1
+
+
 def test_isotonic_rises():
     x, y = quality.isotonic(np.arange(6.0), np.array([0, 3, 1, 5, 4, 9.0]), np.full(6, 10))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()

@@ -79,6 +79,21 @@ def test_cards_after_any_number(before):
     assert "1111" not in pii.replace(text, pii.find(text, KEY))
 
 
+def test_single_symbols_are_not_only_shifted():
+    shifts = {k: {(pii.permute(v, 1, 26, k, "t") - v) % 26 for v in range(26)} for k in (b"a", b"b")}
+    assert all(len(s) > 5 for s in shifts.values()) and sorted(pii.permute(v, 1, 26, b"a", "t") for v in range(26)) == list(range(26))
+
+
+def test_very_long_text_with_entities(spark):
+    """Entities at the beginning, the middle and the end of a text of some megabytes, and its other words as they were."""
+    filler = "plain words and more of them " * 60_000
+    values = ["a.bcd@mail.example.com", "4111 1111 1111 1111", "TOKEN = \"908038b7daa908038b7daa\""]
+    text = f"{values[0]} {filler}{values[1]} {filler}{values[2]}"
+    row = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first()
+    assert [e.kind for e in row.entities] == ["email", "card", "secret"] and len(row.text) == len(text)
+    assert not any(v in row.text for v in values) and row.text.count(filler) == 2
+
+
 def test_distinct_values_stay_distinct():
     days = {pii.surrogate("date", f"2001-01-{d:02d}", KEY) for d in range(1, 32)}
     assert len(days) == 31

@@ -85,6 +85,34 @@ def test_licenses_in_full(spark):
     assert {r.doc_id: r.whole_license for r in licenses.scan(frame, licenses.known(spark)).collect()} == {i: k for i, (k, _) in enumerate(rows)}
 
 
+def plain_form(text):
+    """A text without copyright lines, in equivalent spellings, lower case and single blanks, made line by line and word by word."""
+    kept = []
+    for line in (text or "").lower().split("\n"):
+        bare = line.lstrip(" \t")
+        follows = bare[len("copyright") :].strip(" \t").split(" ")[0].rstrip(".,;:") if bare.startswith("copyright") else None
+        is_statement = bare.startswith(("(c)", "©")) or follows is not None and not (bare[len("copyright") : len("copyright") + 1] in (" ", "\t") and re.fullmatch(r"(notice|holder|owner|interest|law)s?\b.*", follows))
+        kept.append("" if is_statement else line)
+    out = "\n".join(kept)
+    for form, to in licenses.SPELLINGS:
+        out = to.join(out.split(form))
+    return " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in out).split())
+
+
+def test_licenses_by_brute_force(spark, sf_dir):
+    rows = [(r.license, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("'' AS license", "text").collect()]
+    known = {}
+    for name, text in [*licenses.TEXTS.items(), *licenses.full_texts(), *((k, form.format(name)) for k, names in licenses.NAMES.items() for name in names for form in licenses.NOTICES)]:
+        known[plain_form(text)] = min(name, known.get(plain_form(text), name))
+    want = []
+    for _, text in rows:
+        found = [known[f] for line in (text or "").split("\n") if (f := plain_form(line)) and f in known]
+        want.append((known.get(plain_form(text)) if plain_form(text) else None, len(found), ",".join(sorted(set(found)))))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.whole_license, r.n_license_lines, r.line_licenses) for r in licenses.scan(docs, licenses.known(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == want and sum(n for _, n, _ in want) > 0
+
+
 def brute(rows, items):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
     windows = defaultdict(set)
