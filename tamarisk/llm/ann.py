@@ -30,7 +30,7 @@ NEIGHBOURS, REVERSE, TREES, CELL = 24, 24, 8, 800
 #: Rounds of NN-descent go on until fewer than this share of all neighbours is new.
 SETTLED = 0.15
 #: Width of the first beam; queries that its width is fitted on, and the share of their true neighbours to be found.
-BEAM, SAMPLE, TARGET = 64, 256, 0.94
+BEAM, SAMPLE, TARGET = 256, 256, 0.94
 #: Distance of unit vectors that rounding to single precision may hide, with room.
 ROUNDING = 1e-6
 #: Below any nearness, which is the squared distance of unit vectors, negated.
