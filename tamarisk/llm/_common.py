@@ -40,7 +40,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes a table that stage() wrote, where no later job reads it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(conf).delete(path.getParent(), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

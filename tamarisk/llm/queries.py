@@ -115,6 +115,31 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+@query
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings, from four rounds over 256 entries a part."""
+    from tamarisk.llm import codes
+
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and the component of fingerprints that differ in three bits or fewer."""
+    from tamarisk.llm import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of two and three words of each language."""
+    from tamarisk.llm import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents"), best=2000)
+
+
 ORACLE["op10_decontam"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -197,3 +222,57 @@ WITH d AS MATERIALIZED (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+ORACLE["op13_phrases"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), g AS MATERIALIZED (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m) GROUP BY lang, m, phrase
+), n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang
+), c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 10
+), k AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), s AS (
+  SELECT k.lang, k.m, k.phrase, a, k, x.f AS l, y.f AS r, CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM k JOIN g x ON x.lang = k.lang AND x.phrase = k.x JOIN g y ON y.lang = k.lang AND y.phrase = k.y
+), b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s
+), z AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3
+), y AS (SELECT lang, phrase, max(a) AS longer FROM z GROUP BY lang, phrase
+), f AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN y ON y.lang = b.lang AND y.phrase = b.phrase WHERE cut = 1 AND (longer IS NULL OR 100 * longer < 50 * a)
+)
+SELECT f.lang, rank, f.phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM f JOIN n ON n.lang = f.lang WHERE rank <= 2000
+"""
+
+
+def _codes_sql() -> str:
+    """Four rounds over codebooks of 256 entries, written out; vectors without a length that four divides are beyond it."""
+    nearest = """
+a{i} AS MATERIALIZED (
+  SELECT id, p, arg_min(j, d * 256 + j) AS j, min(d) AS d
+  FROM (SELECT x.id, x.p, c.j, CAST(list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v) AS BIGINT) AS d FROM x JOIN c{i} c ON c.p = x.p) GROUP BY id, p
+)"""
+    update = """
+t{i} AS (
+  SELECT p, j, q, sum(CAST(y AS HUGEINT)) AS s, count(*) AS n
+  FROM (SELECT x.p, a.j, unnest(x.v) AS y, unnest(range(1, len(x.v) + 1)) AS q FROM x JOIN a{i} a ON a.id = x.id AND a.p = x.p) GROUP BY p, j, q
+), m{i} AS (SELECT p, j, list(CAST((s - ((s % n + n) % n)) // n AS DOUBLE) ORDER BY q) AS v FROM t{i} GROUP BY p, j
+), c{k} AS MATERIALIZED (SELECT c.p, c.j, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.p = c.p AND m.j = c.j)"""
+    steps = ",".join(nearest.format(i=i) + "," + update.format(i=i, k=i + 1) for i in range(4)) + "," + nearest.format(i=4)
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda y: floor(1024 * CAST(y AS DOUBLE))) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), x AS MATERIALIZED (SELECT id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM (SELECT id, v, unnest(range(4)) AS p FROM e)
+), c0 AS MATERIALIZED (SELECT p, id - 1 AS j, v FROM x WHERE id <= 256),{steps},
+o AS (SELECT id, string_agg(printf('%02x', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY id
+), h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN o USING (id), h
+"""
+
+
+ORACLE["op11_codes"] = _codes_sql()
