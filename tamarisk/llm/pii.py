@@ -13,8 +13,10 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
+from ipaddress import AddressValueError, IPv6Address
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -51,22 +53,26 @@ def permute(value: int, left: int, right: int, key: bytes, tweak: str) -> int:
 
 
 def permute_symbols(symbols: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
-    """The same over sequences whose i-th symbol is below radices[i]."""
+    """The same over sequences whose i-th symbol is below radices[i] (65,536 at most), in time that grows with their length.
+
+    The halves are sequences too: in each round every symbol of one is shifted by noise of its own, drawn from a
+    digest of the whole other half, so that each place hangs on all others however long the value is.
+    """
+    if len(radices) < 2:
+        return [_shuffled(r, key, tweak)[s] for s, r in zip(symbols, radices)]
     half = len(radices) // 2
-    left = right = 1
-    for r in radices[:half]:
-        left *= r
-    for r in radices[half:]:
-        right *= r
-    value = 0
-    for s, r in zip(symbols, radices):
-        value = value * r + s
-    value = permute(value, left, right, key, tweak)
-    out = []
-    for r in reversed(radices):
-        value, s = divmod(value, r)
-        out.append(s)
-    return out[::-1]
+    sizes = np.array(radices, np.uint64)
+    value = np.array(symbols, np.uint64)
+    sides = (value[:half], sizes[:half]), (value[half:], sizes[half:])
+    begun = blake2b(f"{tweak}|{len(radices)}|".encode(), key=key, digest_size=32)
+    begun.update(sizes.astype("<u2").tobytes())
+    for i in range(FEISTEL_ROUNDS):
+        (own, radix), (other, _) = sides if i % 2 == 0 else sides[::-1]
+        digest = begun.copy()
+        digest.update(bytes([i]) + other.astype("<u2").tobytes())
+        noise = np.frombuffer(shake_256(digest.digest()).digest(8 * len(own)), "<u8")
+        own[:] = (own + noise % radix) % radix
+    return value.tolist()
 
 
 # Alphabets that characters are permuted within.
@@ -186,12 +192,29 @@ def _date(text: str, key: bytes) -> str | None:
             return out
 
 
+def _ip6(text: str, key: bytes) -> str | None:
+    try:
+        IPv6Address(text)
+    except AddressValueError:
+        return None
+    groups = re.split("(:+)", text.lower())
+    digits = [(g, i) for g, group in enumerate(groups) for i, c in enumerate(group) if c != ":"]
+    padded = ["0" if len(g) > 1 and g[0] == "0" else "" for g in groups]  # such a zero stays, and no other comes to be
+    lows = [1 if i == 0 and len(groups[g]) > 1 and not padded[g] else 0 for g, i in digits]
+    sizes = [1 if i == 0 and padded[g] else 16 - low for (g, i), low in zip(digits, lows)]
+    shape = ",".join(g if ":" in g else f"{len(g)}{zero}" for g, zero in zip(groups, padded))
+    new = permute_symbols([int(groups[g][i], 16) - low for (g, i), low in zip(digits, lows)], sizes, key, f"ip6|{shape}")
+    drawn = iter(f"{x + low:x}" for x, low in zip(new, lows))
+    out = "".join(":" if c == ":" else next(drawn) for c in text)
+    return out.upper() if text != text.lower() else out
+
+
 def _iban(text: str, key: bytes) -> str | None:
     value = lambda s: int("".join(str(int(c, 36)) for c in s))
     packed = text.replace(" ", "")
     if not 15 <= len(packed) <= 34 or value(packed[4:] + packed[:4]) % 97 != 1:
         return None
-    body = permute_text(packed[4:], key, f"iban|{packed[:2]}")
+    body = permute_text(packed[4:], key, f"iban|{packed[:2]}")  # the case of letters stays
     new = iter(packed[:2] + f"{98 - value(body + packed[:2] + '00') % 97:02d}" + body)
     return "".join(c if c == " " else next(new) for c in text)
 
@@ -208,16 +231,25 @@ def _key_id(text: str, key: bytes) -> str | None:
 
 def _secret(text: str, key: bytes) -> str | None:
     mark = text[-1]
+    if mark not in "\"'":
+        begin = _BARE_VALUE.match(text).start("value")
+        return text[:begin] + permute_text(text[begin:], key, "secret")
     begin = text.index(mark, 0, len(text) - 1) + 1
     return text[:begin] + permute_text(text[begin:-1], key, "secret") + mark
 
 
+#: Names of secrets; a value without quotes is told from prose by its digits and letters together.
+_SECRET_NAME = r"(?i:token|secret|password|passwd|api[_\-]?key)[\"']? ?[=:] ?"
+_BARE_VALUE = re.compile(_SECRET_NAME + r"(?P<value>(?=[A-Za-z_+/=.~!#$%^&*\-]*\d)(?=[\d_+/=.~!#$%^&*\-]*[A-Za-z])[A-Za-z0-9_+/=.~!#$%^&*\-]{7,}[A-Za-z0-9_+/=])(?![\"'])", re.ASCII)
+
+
 #: Kinds in the order in which they are tried where several begin.
 RULES: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "email": (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", _email),
     "secret": (r"(?i:token|secret|password|passwd|api[_\-]?key)[\"']? ?[=:] ?(?P<mark>[\"'])[^\"'\s]{16,}(?P=mark)", _secret),
-    "key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _key_id),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    "key": (r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9\-]{10,255})(?![A-Za-z0-9])", _key_id),
+    "iban": (r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}[a-z0-9]{11,30})(?![A-Za-z0-9])", _iban),
+    "ip6": (r"(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])|(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f:]*\d)(?=(?:::?[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}::?){3})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![A-Za-z0-9:])", _ip6),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", _ip),
     "date": (r"(?<![\d/.\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/\-]|\.\d)", _date),
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _ssn),
@@ -229,7 +261,7 @@ _APART = ("email", "secret")
 _NUMERIC = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, (pattern, _) in RULES.items() if kind not in _APART), re.ASCII)
 #: What every secret holds in lower case, and every key as it is; one of them is asked for before the search.
 _SECRET_WORDS = ("token", "secret", "password", "passwd", "api")
-_KEY_WORDS = ("AKIA", "ASIA")
+_KEY_WORDS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")
 _EMAIL = re.compile(RULES["email"][0], re.ASCII)
 _DIGIT = re.compile("[0-9]")
 _GROUP = re.compile("[0-9]+")
@@ -237,10 +269,18 @@ _PRINTED = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[
 _SINGLE = {kind: re.compile(pattern, re.ASCII) for kind, (pattern, _) in RULES.items()}
 
 
+#: Characters of a value up to which its surrogate is remembered, so that what a worker holds is bounded.
+_REMEMBERED = 256
+
+
 @lru_cache(maxsize=100_000)
+def _short_surrogate(kind: str, text: str, key: bytes) -> str | None:
+    return RULES[kind][1](text, key)
+
+
 def surrogate(kind: str, text: str, key: bytes) -> str | None:
     """The pseudonym, or None where the text breaks the kind's own rules."""
-    return RULES[kind][1](text, key)
+    return _short_surrogate(kind, text, key) if len(text) <= _REMEMBERED else RULES[kind][1](text, key)
 
 
 def _tries(text: str, at: int) -> Iterator[tuple[str, int, int]]:
@@ -279,7 +319,15 @@ def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
     if any(word in lower for word in _SECRET_WORDS):
         emails, inside, secrets = found, set(), []
         begins = [x[1] for x in emails]
-        for m in _SINGLE["secret"].finditer(text):
+        quoted = list(_SINGLE["secret"].finditer(text))
+        begins_quoted = {m.start() for m in quoted}
+        bare = [m for m in _BARE_VALUE.finditer(text) if m.start() not in begins_quoted]
+        outer, at = [], 0
+        for m in sorted([*quoted, *bare], key=lambda m: m.start()):
+            if m.start() >= at:  # a name inside another's value goes with it
+                outer.append(m)
+                at = m.end()
+        for m in outer:
             # an address inside a secret goes with it; a name of a secret that ends an address stays with the address
             i = bisect_right(begins, m.start())
             begin = max(m.start(), emails[i - 1][2] if i else 0)

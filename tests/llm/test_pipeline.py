@@ -45,5 +45,8 @@ def test_stages_on_edges(spark, docs, empty, sf_dir):
         out = f(spark, frame, sf_dir)
         assert name == "tokens" or out.columns == frame.columns
         assert len(out.collect()) == len(ROWS) or name in ("near_duplicates", "quality")
+    long = frame.limit(1).withColumn("text", F.concat(F.lit("name "), F.repeat(F.lit("abc"), 5000), F.lit("@mail.example.com")))
+    hidden = cp.pseudonyms(spark, long, sf_dir).first().text
+    assert len(hidden) == 5 + 15_000 + 17 and "abcabcabc" not in hidden
     once = cp.one_of_each(spark, frame, sf_dir).collect()
     assert sum(r.doc_id == 13 for r in once) == 0 and sum(r.doc_id == 1 for r in once) == 1
