@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -34,6 +34,41 @@ def sum_known(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0.0))
 
 
+def _whole(x: Column) -> tuple[Column, Column]:
+    """A finite double as m * 2^k: m a long below 2^57, and k."""
+    size = F.abs(x)
+    k = F.when(size > 0, F.floor(F.log2(size)).cast("int") - 54).otherwise(0)
+    half = F.floor(k / 2).cast("int")
+    # powers of two are exact, and in two steps none is beyond a double's range
+    return (x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - k)).cast("long"), k
+
+
+def sum_exactly(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums of doubles by group that are the same bits whatever order rows come in: keys and the named sums.
+
+    Each value is a whole number times a power of two. These are added as decimals, by powers 32 apart, without
+    rounding; the few totals of a group are then added from the largest power down. Null where none is known; values that are not finite add up as Spark adds them.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), x.cast("double").alias("x")) for i, x in enumerate(sums.values())])
+    each = df.select(*keys, F.explode(pairs).alias("__p")).select(*keys, F.col("__p.i").alias("__i"), F.col("__p.x").alias("__x"))
+    x = F.col("__x")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    m, k = _whole(x)
+    each = each.withColumns({"__m": F.when(finite, m), "__k": F.when(finite, k)})
+    limb = F.floor(F.col("__k") / 32).cast("int")
+    amount = F.col("__m").cast("decimal(18,0)") * F.expr("shiftleft(1L, pmod(__k, 32))").cast("decimal(10,0)")
+    parts = each.groupBy(*keys, "__i", limb.alias("__limb")).agg(F.sum(amount).alias("__s"), F.sum(F.when(~finite, x)).alias("__odd"))
+    own = lambda i, c: F.when(F.col("__i") == i, c)
+
+    def total(i: int) -> Column:
+        held = F.sort_array(F.collect_list(own(i, F.when(F.col("__s").isNotNull(), F.struct("__limb", "__s")))), asc=False)
+        added = F.aggregate(held, F.lit(0.0), lambda acc, p: acc + p["__s"].cast("double") * F.pow(F.lit(2.0), p["__limb"] * 16) * F.pow(F.lit(2.0), p["__limb"] * 16))
+        odd = F.sum(own(i, F.col("__odd")))
+        return F.when(odd.isNotNull(), odd).when(F.size(held) > 0, added)
+
+    return parts.groupBy(*keys).agg(*[total(i).alias(name) for i, name in enumerate(sums)])
+
+
 def all_known(value: Column, x: Column) -> Column:
     """An aggregate, but null as soon as one value of x is null."""
     return F.when(F.count(x) == F.count(F.lit(1)), value)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.functions.stats import max_strict
+from tamarisk.functions.stats import max_strict, sum_exactly
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,7 @@ def resample_near(cells: DataFrame, source: Grid, target: Grid, value: str = "va
 
 
 def resample_sum(cells: DataFrame, source: Grid, target: Grid, value: str = "value") -> DataFrame:
-    """Each source value is shared out over target cells by area; null values count for nothing."""
+    """Each source value is shared out over target cells by area; null values count for nothing. Sums don't hang on the order of rows."""
 
     def shares(index: Column, a0: float, da: float, b0: float, db: float, n: int, sign: int) -> Column:
         """(cell, share) along one axis, where positions grow with the index."""
@@ -180,7 +180,8 @@ def resample_sum(cells: DataFrame, source: Grid, target: Grid, value: str = "val
     ys = shares(F.col("row"), source.y0, source.dy, target.y0, target.dy, target.nrow, -1)
     layers = _layers(cells, value)
     parts = cells.where(F.col(value).isNotNull()).withColumn("__x", F.explode(xs)).withColumn("__y", F.explode(ys)).where("__x.share > 0 and __y.share > 0")
-    return parts.groupBy(*layers, F.col("__y.at").alias("row"), F.col("__x.at").alias("col")).agg(F.sum(F.col(value) * F.col("__x.share") * F.col("__y.share")).alias(value))
+    shared = parts.select(*layers, F.col("__y.at").alias("row"), F.col("__x.at").alias("col"), (F.col(value) * F.col("__x.share") * F.col("__y.share")).alias("__share"))
+    return sum_exactly(shared, [*layers, "row", "col"], {value: F.col("__share")})
 
 
 def at_least(value: Column, threshold: Column | float) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import shown
+from tamarisk.operators.staging import settled
 
 
 def matching(df: DataFrame, pattern: str) -> list[str]:
@@ -56,13 +57,40 @@ def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return join_suffixed(left, right, keys)
 
 
+#: Rows of one key on a side, from which an outer join deals them over several tasks.
+HOT = 1 << 17
+
+
 def merge_outer(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Full outer join; the key comes once, under the left name, and right columns that clash get `_y`."""
+    """Full outer join, null matching null; the key comes once, under the left name, and right columns that clash get `_y`.
+
+    Adaptive execution does not split skewed full outer joins. Where a side has more than HOT rows of a key, rows that
+    match and the rest of either side are found apart: the rests by anti joins, which it does split, and matches of hot
+    keys over a grid of parts, in which each pair of rows meets once.
+    """
     renamed = {c: "__key" if c == right_key else (f"{c}_y" if c in left.columns else c) for c in right.columns}
     other = right.select([F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
-    joined = left.join(other, left[left_key].eqNullSafe(other["__key"]), "full_outer")
-    key = F.coalesce(left[left_key], other["__key"]).alias(left_key)
-    return joined.select(key, *[left[c] for c in left.columns if c != left_key], *[other[n] for n in renamed.values() if n != "__key"])
+    rest = [c for c in left.columns if c != left_key]
+    theirs = [n for n in renamed.values() if n != "__key"]
+    sizes = left.groupBy(F.col(left_key).alias("__k")).agg(F.count(F.lit(1)).alias("__l")), other.groupBy(F.col("__key").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+    hot = any(s.where(F.col(n) > HOT).take(1) for s, n in zip(sizes, ("__l", "__n")))
+    if not hot:
+        joined = left.join(other, left[left_key].eqNullSafe(other["__key"]), "full_outer")
+        key = F.coalesce(left[left_key], other["__key"]).alias(left_key)
+        return joined.select(key, *[left[c] for c in rest], *[other[n] for n in theirs])
+    both = sizes[0].join(sizes[1], F.col("__k").eqNullSafe(F.col("__r")))
+    both = settled(both.select("__k", *[F.ceil(F.col(n) / HOT).alias(to) for n, to in (("__l", "__parts_l"), ("__n", "__parts_r"))]))
+    # numbered once and for all, so that a task that runs again deals rows as before
+    mine, own = (settled(df.withColumn("__at", F.monotonically_increasing_id())) for df in (left, other))
+    only_left = mine.join(both, F.col(left_key).eqNullSafe(F.col("__k")), "left_anti")
+    only_right = own.join(both, F.col("__key").eqNullSafe(F.col("__k")), "left_anti")
+    part = lambda n: F.pmod(F.xxhash64("__at"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = mine.join(both, F.col(left_key).eqNullSafe(F.col("__k"))).withColumn("__a", part("__parts_l")).withColumn("__b", every("__parts_r")).select(left_key, *rest, "__a", "__b")
+    y = own.join(both, F.col("__key").eqNullSafe(F.col("__k"))).withColumn("__b", part("__parts_r")).withColumn("__a", every("__parts_l")).select("__key", *theirs, "__a", "__b")
+    meets = x[left_key].eqNullSafe(y["__key"]) & (x["__a"] == y["__a"]) & (x["__b"] == y["__b"])
+    matched = x.join(y, meets).select(x[left_key], *[x[c] for c in rest], *[y[n] for n in theirs])
+    return matched.unionByName(only_left.select(left_key, *rest), allowMissingColumns=True).unionByName(only_right.select(F.col("__key").alias(left_key), *theirs), allowMissingColumns=True)
 
 
 def flag_in(df: DataFrame, key: str, other: DataFrame, other_key: str, flag: str) -> DataFrame:

@@ -1,21 +1,27 @@
 """Zonal sums: cells meet zones by an equi-join on row and column, weighted with the part of the cell inside.
 
-Zones are boxes, whose coverage is plain column arithmetic, or polygons of rings, each gone over once, row by row of
-the grid: cells that an edge crosses are clipped, those between crossings are inside whole. Boxes are exploded over
-their cells, so no range join is needed.
+Zones are boxes, whose coverage is plain column arithmetic, or polygons. A polygon is its edges, cut at the rows of
+the grid and then at its columns: each piece says how much of its own cell lies to its right, and how far all cells
+further right are turned inside or outside by it. Sums over cells and a running sum along each row give the coverage,
+so that work grows with edges and covered cells, and neither a polygon nor a cell's edges are ever in one place. Boxes
+are exploded over their cells, so no range join is needed.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tamarisk.functions.stats import sum_exactly
 from tamarisk.operators.raster import Grid
+from tamarisk.operators.staging import settled
 
-#: Rings of a polygon; the first is the outline, the others are holes.
+#: Rings of a shape, in any order and either way round: outlines, holes in them, islands in those.
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -36,158 +42,147 @@ def box_coverage(zones: DataFrame, grid: Grid, xmin: str = "xmin", ymin: str = "
     return _cells(zones, grid, x0, x1, y0, y1).withColumn("coverage", w * h / (grid.dx * grid.dy)).where("coverage > 0")
 
 
-def _clip(ring: list[tuple[float, float]], axis: int, bound: float, keep_above: bool) -> list[tuple[float, float]]:
-    """The part of a ring on one side of a line parallel to an axis."""
-    out = []
-    for i, b in enumerate(ring):
-        a = ring[i - 1]
-        a_in = a[axis] >= bound if keep_above else a[axis] <= bound
-        b_in = b[axis] >= bound if keep_above else b[axis] <= bound
-        if a_in != b_in:
-            t = (bound - a[axis]) / (b[axis] - a[axis])
-            out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-        if b_in:
-            out.append(b)
-    return out
-
-
-def _area(ring: list[tuple[float, float]]) -> float:
-    return abs(sum(ring[i - 1][0] * p[1] - p[0] * ring[i - 1][1] for i, p in enumerate(ring))) / 2
-
-
-def clipped_area(rings: list[list[tuple[float, float]]], x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area of a polygon inside a box: the outline's less the holes'."""
-    areas = []
-    for ring in rings:
-        for axis, bound, above in ((0, x0, True), (0, x1, False), (1, y0, True), (1, y1, False)):
-            ring = _clip(ring, axis, bound, above) if ring else ring
-        areas.append(_area(ring))
-    return max(0.0, areas[0] - sum(areas[1:])) if areas else 0.0
-
-
-def covered_cells(rings: list[list[tuple[float, float]]], grid: Grid) -> list[tuple[int, int, float]]:
-    """(row, col, coverage) of the cells that a polygon meets: strips of one grid row are cut first, then only the cells that an edge crosses."""
-    out = []
-    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
-    if not xs:
-        return out
-    first, last = max(0, math.floor((grid.y0 - max(ys)) / grid.dy)), min(grid.nrow - 1, math.ceil((grid.y0 - min(ys)) / grid.dy) - 1)
-    size = grid.dx * grid.dy
-    for row in range(first, last + 1):
-        top = grid.y0 - row * grid.dy
-        strip = [_clip(_clip(r, 1, top - grid.dy, True), 1, top, False) for r in rings]
-        crossed: set[int] = set()
-        for ring in strip:
-            for i, b in enumerate(ring):
-                a = ring[i - 1]
-                # an edge along the strip's upper or lower side crosses no cell
-                if a[1] == b[1] and a[1] in (top, top - grid.dy):
-                    continue
-                lo, hi = sorted((a[0], b[0]))
-                crossed.update(range(math.floor((lo - grid.x0) / grid.dx), math.floor((hi - grid.x0) / grid.dx) + 1))
-        cut = sorted(c for c in crossed if 0 <= c < grid.ncol)
-        for c in cut:
-            x = grid.x0 + c * grid.dx
-            area = clipped_area(strip, x, top - grid.dy, x + grid.dx, top)
-            if area > 0:
-                out.append((row, c, area / size))
-        # between crossed cells, and from the grid's edges to them, cells are all inside or all outside
-        bounds = [-1, *cut, grid.ncol]
-        for a, b in zip(bounds, bounds[1:]):
-            if b - a > 1 and _inside(rings, grid.x0 + (a + 1.5) * grid.dx, top - grid.dy / 2):
-                out += [(row, c, 1.0) for c in range(a + 1, b)]
-    return out
-
-
-def _inside(rings: list[list[tuple[float, float]]], x: float, y: float) -> bool:
-    """Whether a point that no edge meets is inside, by the edges to its right."""
-    odd = False
-    for ring in rings:
-        for i, b in enumerate(ring):
-            a = ring[i - 1]
-            if (a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]):
-                odd = not odd
-    return odd
+def signed_area(ring: np.ndarray) -> float:
+    """Area of a ring (n, 2), positive where it runs anticlockwise."""
+    if len(ring) < 3:
+        return 0.0
+    x, y = (ring - ring[0]).T
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
-def polygon_coverage(zones: DataFrame, grid: Grid, rings: str = "rings") -> DataFrame:
-    """As box_coverage for polygons; `rings` is dropped after use. A polygon is sent to Python once, whatever cells it covers."""
+def _crossings(ring: np.ndarray, y: float) -> np.ndarray:
+    """Where a ring meets a horizontal line that none of its vertices is on."""
+    a, b = ring, np.roll(ring, -1, axis=0)
+    over = (a[:, 1] > y) != (b[:, 1] > y)
+    a, b = a[over], b[over]
+    return np.sort(a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0]))
+
+
+def _inner_point(ring: np.ndarray, others: list[np.ndarray]) -> tuple[float, float]:
+    """A point inside a ring on a line that meets no vertex of any ring."""
+    lo, hi = ring[:, 1].min(), ring[:, 1].max()
+    ys = np.unique(np.concatenate([ring[:, 1], *(r[(r[:, 1] >= lo) & (r[:, 1] <= hi), 1] for r in others)]))
+    at = int(np.argmax(np.diff(ys)))
+    y = (ys[at] + ys[at + 1]) / 2
+    xs = _crossings(ring, y)
+    widest = int(np.argmax(xs[1::2] - xs[::2]))
+    return (xs[2 * widest] + xs[2 * widest + 1]) / 2, y
 
-    @F.pandas_udf("array<struct<row:int,col:int,coverage:double>>")
-    def cells(shapes: pd.Series) -> pd.Series:
-        return pd.Series([[{"row": r, "col": c, "coverage": v} for r, c, v in covered_cells([[(p["x"], p["y"]) for p in ring] for ring in shape], grid)] for shape in shapes])
 
-    found = zones.where(F.size(rings) > 0).withColumn("__cell", F.explode(cells(rings))).drop(rings)
-    return found.select(*[c for c in found.columns if c != "__cell"], "__cell.*").where("coverage > 0")
+def turned(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Rings with the inside to their left: those within an even number of larger ones run anticlockwise, others clockwise.
+
+    Which way round they came does not matter. Rings may touch, but not cross; those without area are left out.
+    """
+    areas = [signed_area(r) for r in rings]
+    kept = sorted((i for i, a in enumerate(areas) if a), key=lambda i: (-abs(areas[i]), i))
+    found, boxes = [], []
+    for place, i in enumerate(kept):
+        ring = rings[i]
+        low, high = ring.min(axis=0), ring.max(axis=0)
+        around = [k for k in range(place) if (boxes[k][0] <= low).all() and (boxes[k][1] >= high).all()]
+        depth = 0
+        if around:
+            x, y = _inner_point(ring, [rings[kept[k]] for k in around])
+            depth = sum(int((_crossings(rings[kept[k]], y) > x).sum()) % 2 for k in around)
+        boxes.append((low, high))
+        found.append(ring if (areas[i] > 0) == (depth % 2 == 0) else ring[::-1])
+    return found
+
+
+def edges(zones: DataFrame, rings: str = "rings") -> DataFrame:
+    """Zones without their rings times the edges (x1, y1, x2, y2) of these, the inside to the left."""
+    keep = [f for f in zones.schema.fields if f.name != rings]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shape = batch.column(rings)[i]
+                if not shape.is_valid:
+                    continue
+                points = [r for r in (shape.values[k].values for k in range(len(shape.values))) if r is not None and len(r)]
+                own = turned([np.stack([np.asarray(p.field("x")), np.asarray(p.field("y"))], axis=1) for p in points])
+                if not own:
+                    continue
+                a, b = np.concatenate(own), np.concatenate([np.roll(r, -1, axis=0) for r in own])
+                for begin in range(0, len(a), 50_000):
+                    some, to = a[begin : begin + 50_000], b[begin : begin + 50_000]
+                    row = pa.array(np.full(len(some), i))
+                    yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name).take(row) for f in keep} | {"x1": some[:, 0], "y1": some[:, 1], "x2": to[:, 0], "y2": to[:, 1]})
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in keep]
+    return zones.where(F.size(rings) > 0).mapInArrow(work, ", ".join([*kinds, "x1 double, y1 double, x2 double, y2 double"]))
+
+
+def polygon_coverage(zones: DataFrame, grid: Grid, rings: str = "rings") -> DataFrame:
+    """As box_coverage for polygons; `rings` is dropped after use. Rows that agree in all other columns are one zone."""
+    zone = [c for c in zones.columns if c != rings]
+    e = edges(zones, rings)
+    # in cells from the grid's upper left corner, downwards
+    u = lambda x: (F.col(x) - grid.x0) / grid.dx
+    v = lambda y: (F.lit(grid.y0) - F.col(y)) / grid.dy
+    e = e.select(*zone, u("x1").alias("u1"), v("y1").alias("v1"), u("x2").alias("u2"), v("y2").alias("v2")).where("v1 <> v2")
+    # an edge that runs down has the inside to its right
+    e = e.withColumn("__way", F.when(F.col("v2") > F.col("v1"), 1.0).otherwise(-1.0))
+    down = F.col("__way") > 0
+    e = e.select(*zone, "__way", *[F.when(down, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("ua", "u1", "u2"), ("va", "v1", "v2"), ("ub", "u2", "u1"), ("vb", "v2", "v1"))])
+    first_row, last_row = F.greatest(F.lit(0), F.floor("va")).cast("int"), F.least(F.lit(grid.nrow - 1), F.ceil("vb") - 1).cast("int")
+    strips = e.where((F.col("vb") > 0) & (F.col("va") < grid.nrow)).withColumn("row", F.explode(F.sequence(first_row, last_row)))
+    # u at a height, exact at both ends
+    at = lambda y: F.when(y <= F.col("va"), F.col("ua")).when(y >= F.col("vb"), F.col("ub")).otherwise(F.col("ua") + (y - F.col("va")) / (F.col("vb") - F.col("va")) * (F.col("ub") - F.col("ua")))
+    y0, y1 = F.greatest(F.col("va"), F.col("row").cast("double")), F.least(F.col("vb"), F.col("row") + F.lit(1.0))
+    strips = strips.select(*zone, "row", (F.col("__way") * (y1 - y0)).alias("h"), F.least(at(y0), at(y1)).alias("lo"), F.greatest(at(y0), at(y1)).alias("hi"))
+    # pieces right of the grid change nothing; what is left of it turns the whole row
+    strips = strips.where(F.col("lo") < grid.ncol)
+    first_col = F.greatest(F.lit(-1), F.floor("lo")).cast("int")
+    last_col = F.greatest(first_col, F.least(F.lit(grid.ncol - 1), F.ceil("hi") - 1)).cast("int")
+    pieces = strips.withColumn("col", F.explode(F.sequence(first_col, last_col)))
+    a = F.when(F.col("col") < 0, F.col("lo")).otherwise(F.greatest(F.col("lo"), F.col("col").cast("double")))
+    b = F.greatest(a, F.least(F.col("hi"), F.col("col") + F.lit(1.0)))
+    height = F.when(F.col("hi") > F.col("lo"), F.col("h") * (b - a) / (F.col("hi") - F.col("lo"))).otherwise(F.col("h"))
+    inner = F.when(F.col("col") < 0, 0.0).otherwise(height * (F.col("col") + 1 - (a + b) / 2))
+    met = sum_exactly(pieces.select(*zone, "row", "col", inner.alias("__in"), height.alias("__turn")), [*zone, "row", "col"], {"__in": F.col("__in"), "__turn": F.col("__turn")})
+    along = Window.partitionBy(*zone, "row").orderBy("col")
+    before = F.coalesce(F.sum("__turn").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    swept = met.select(*zone, "row", "col", (before + F.col("__in")).alias("__own"), F.sum("__turn").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("__after"), F.lead("col", 1, grid.ncol).over(along).alias("__next"))
+    # between pieces the turns so far are the coverage: that part of the row's height is inside; a whole row but for rounding is whole
+    inside = F.when(F.abs(F.col("__after") - F.round("__after")) < LEAST_COVER, F.round("__after")).otherwise(F.col("__after"))
+    own = F.when(F.col("col") >= 0, F.array(F.struct(F.col("col").alias("col"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__own"))).alias("coverage"))))
+    run = F.when((inside > 0) & (F.col("__next") > F.col("col") + 1), F.transform(F.sequence(F.col("col") + 1, F.col("__next") - 1), lambda c: F.struct(c.alias("col"), F.least(F.lit(1.0), inside).alias("coverage"))))
+    none = F.array().cast("array<struct<col:int,coverage:double>>")
+    cells = swept.withColumn("__cell", F.explode(F.concat(F.coalesce(own, none), F.coalesce(run, none))))
+    return cells.select(*zone, "row", F.col("__cell.col").alias("col"), F.col("__cell.coverage").alias("coverage")).where(F.col("coverage") > LEAST_COVER)
+
+
+#: Coverage up to which a cell counts as only touched; far above what rounding leaves of nothing.
+LEAST_COVER = 1e-12
 
 
 def zonal_sum(coverage: DataFrame, cells: DataFrame, zone: list[str], value: str = "value", to: str = "sum", empty: float | None = 0.0, zones: DataFrame | None = None) -> DataFrame:
     """Coverage-weighted sum of known values for each zone and layer; `empty` where a zone that meets cells has none known.
 
-    With `zones`, a zone that meets no cell has a row with `empty` in each layer too.
+    With `zones`, a zone that meets no cell has a row with `empty` in each layer too. Sums are exact before they are
+    rounded once, so they don't hang on how rows lie in partitions.
     """
     layers = [c for c in cells.columns if c not in ("row", "col", value)]
-    total = F.sum(F.col("coverage") * F.col(value))
-    met = coverage.select(*zone, "row", "col", "coverage").join(cells, ["row", "col"]).groupBy(*zone, *layers).agg(F.coalesce(total, F.lit(empty)).alias(to))
+    joined = coverage.select(*zone, "row", "col", "coverage").join(cells, ["row", "col"])
+    met = sum_exactly(joined, [*zone, *layers], {to: F.col("coverage") * F.col(value)})
+    met = met.withColumn(to, F.coalesce(to, F.lit(empty)))
     if zones is None:
         return met
+    met = settled(met)
     same = [F.col(f"z.{c}").eqNullSafe(F.col(f"m.{c}")) for c in zone]
     bare = zones.select(*zone).distinct().alias("z").join(met.select(*zone).distinct().alias("m"), same, "left_anti")
-    every = F.explode(F.col("all")).alias("layer")
-    # one row that holds the layers' names; a zone without cells is given each of them
-    named = met.select(*layers).distinct().agg(F.collect_list(F.struct(*layers)).alias("all")) if layers else None
-    bare = bare.join(F.broadcast(named)).select(*zone, every).select(*zone, "layer.*") if layers else bare
+    if layers:
+        bare = bare.crossJoin(met.select(*layers).distinct())  # each pair is a row of the result
     return met.unionByName(bare.withColumn(to, F.lit(empty).cast("double")))
 
 
 def box_rings(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """A box as a polygon."""
-    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    return F.array(F.array(point(xmin, ymin), point(xmax, ymin), point(xmax, ymax), point(xmin, ymax)))
+    return F.array(ring_of((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax)))
 
 
-def outline(zones: DataFrame, by: list[str], rings: str = "rings") -> DataFrame:
-    """Edges (x1, y1, x2, y2) of each group's union: those that no neighbour runs back along.
-
-    Right where neighbours share their vertices and run the same way round, as boundaries cut from one map do.
-    """
-    ring = zones.select(*by, F.explode(rings).alias("r")).where(F.size("r") > 2)
-    edge = F.transform(F.col("r"), lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.get(F.col("r"), (i + 1) % F.size("r"))["x"].alias("x2"), F.get(F.col("r"), (i + 1) % F.size("r"))["y"].alias("y2")))
-    edges = ring.select(*by, F.explode(edge).alias("e")).select(*by, "e.*")
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
-    low = lambda a, b: F.when(forward, F.col(a)).otherwise(F.col(b))
-    turned = edges.select(*by, low("x1", "x2").alias("xa"), low("y1", "y2").alias("ya"), low("x2", "x1").alias("xb"), low("y2", "y1").alias("yb"), F.when(forward, 1).otherwise(-1).alias("way"))
-    left = turned.groupBy(*by, "xa", "ya", "xb", "yb").agg(F.sum("way").alias("way")).where("way <> 0")
-    back = F.col("way") < 0
-    pick = lambda a, b: F.when(back, F.col(a)).otherwise(F.col(b))
-    return left.select(*by, pick("xb", "xa").alias("x1"), pick("yb", "ya").alias("y1"), pick("xa", "xb").alias("x2"), pick("ya", "yb").alias("y2"))
-
-
-def dissolve(zones: DataFrame, by: list[str], rings: str = "rings") -> DataFrame:
-    """Union of each group's polygons: (by, rings), outlines chained from the edges that are left.
-
-    One group's outline is chained in one task; it is as long as that group's border.
-    """
-    kinds = ", ".join(f"`{c}` {zones.schema[c].dataType.simpleString()}" for c in by)
-
-    def chain(edges: pd.DataFrame) -> pd.DataFrame:
-        after: dict[tuple, list[tuple]] = {}
-        for a, b in zip(zip(edges.x1, edges.y1), zip(edges.x2, edges.y2)):
-            after.setdefault(a, []).append(b)
-        found = []
-        while after:
-            start = min(after)
-            ring, at = [], start
-            while True:
-                ring.append({"x": float(at[0]), "y": float(at[1])})
-                nexts = after[at]
-                to = nexts.pop()
-                if not nexts:
-                    del after[at]
-                at = to
-                if at == start or at not in after:
-                    break
-            found.append(ring)
-        return pd.DataFrame({**{c: [edges[c].iloc[0]] for c in by}, rings: [found]})
-
-    return outline(zones, by, rings).groupBy(*by).applyInPandas(chain, f"{kinds}, `{rings}` {RINGS}")
+def ring_of(*points: tuple[Column, Column]) -> Column:
+    """A ring of corners."""
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points])

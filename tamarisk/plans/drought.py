@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamarisk.functions import dates, stats, text
-from tamarisk.operators import relational
+from tamarisk.operators import ordered, relational
 from tamarisk.plans import inputs
 from tamarisk.plans.inputs import ctes
 
@@ -31,7 +31,7 @@ def province_medians(readings: DataFrame, dims: DataFrame, measures: dict[str, s
     """Median of each measure (new name: text column) by province and date; what is no number counts as unknown."""
     joined = relational.join_suffixed(readings, dims, ["adm2_pcode"], "_shp")
     numbers = joined.withColumns({c: stats.as_number(F.col(c)) for c in measures.values()})
-    return numbers.groupBy("adm1_pcode", "adm1_pt", "date").agg(*[F.median(c).alias(n) for n, c in measures.items()])
+    return ordered.medians(numbers, ["adm1_pcode", "adm1_pt", "date"], {n: F.col(c) for n, c in measures.items()})
 
 
 def in_season(df: DataFrame, dekads: tuple[str, ...] = ("21",)) -> DataFrame:
@@ -58,8 +58,8 @@ def season_totals(df: DataFrame, by: list[str], total: Column) -> DataFrame:
 
 def national_ranks(totals: DataFrame) -> DataFrame:
     """Median over provinces by season, and its rank among the seasons."""
-    national = totals.groupBy("season").agg(F.median("adm1_ssn_avg").alias("moz_ssn_avg"))
-    return national.withColumn("rank", stats.rank_mean_ties(F.col("moz_ssn_avg"), [F.lit(1)]))
+    national = ordered.medians(totals, ["season"], {"moz_ssn_avg": F.col("adm1_ssn_avg")})
+    return ordered.ranked(national, [], "moz_ssn_avg")
 
 
 def return_periods(df: DataFrame, by: list[str], value: str, years: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamarisk.functions import dates, stats, text
+from tamarisk.operators import dissolve as union
 from tamarisk.operators import raster, relational, zonal
 from tamarisk.operators.raster import Grid
 from tamarisk.plans import inputs
@@ -253,7 +254,7 @@ def zonal_sum_box(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ZONAL)
 def zonal_sum_polygon(spark: SparkSession, d: str) -> DataFrame:
-    """The same zones as polygons, clipped cell by cell."""
+    """The same zones as polygons."""
     zones = inputs.boxes(spark, d).select("n_nationkey", "adm1_en", zonal.box_rings(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("rings"))
     return zonal.zonal_sum(zonal.polygon_coverage(zones, FINE), inputs.people(spark, d), ["n_nationkey", "adm1_en"], "pop").withColumn("sum", F.round("sum", 4))
 
@@ -266,11 +267,84 @@ def dissolve(spark: SparkSession, d: str) -> DataFrame:
     n, r = inputs.table(spark, d, "nation"), inputs.table(spark, d, "region")
     i, j = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
     squares = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("adm0_en"), zonal.box_rings(i, j, i + 1, j + 1).alias("rings"))
-    united = zonal.dissolve(squares, ["adm0_en"])
+    united = union.dissolve(squares, ["adm0_en"])
     edge = united.select("adm0_en", F.explode("rings").alias("r")).select("adm0_en", "r", F.posexplode("r").alias("i", "p")).select("adm0_en", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.get("r", (F.col("i") + 1) % F.size("r")).alias("q"))
     return edge.groupBy("adm0_en").agg(F.abs(F.sum(F.col("x1") * F.col("q.y") - F.col("q.x") * F.col("y1")) / 2).alias("area"), F.sum(F.hypot(F.col("q.x") - F.col("x1"), F.col("q.y") - F.col("y1"))).alias("perimeter"))
 
 
+def _two_triangles_and_an_island(spark: SparkSession, d: str) -> DataFrame:
+    """For each nation a square of 3.5 with a square hole of 2 and an island of 1 in it, and a right triangle apart; rings either way round."""
+    n = inputs.table(spark, d, "nation")
+    x = (F.col("n_nationkey") % 5).cast("double") * 8
+    y = F.floor(F.col("n_nationkey") / 5).cast("double") * 4
+    square = lambda x, y, size: zonal.ring_of((x, y), (x + size, y), (x + size, y + size), (x, y + size))
+    triangle = zonal.ring_of((x + 4.25, y + 0.25), (x + 4.25, y + 3.25), (x + 7.25, y + 0.25))
+    rings = F.array(square(x + 1.0, y + 1.25, 2.0), triangle, F.reverse(square(x + 0.25, y + 0.25, 3.5)), square(x + 1.5, y + 1.75, 1.0))
+    return n.select(F.col("n_name").alias("adm1_en"), rings.alias("rings"))
+
+
+@query(f"""WITH {ctes('people')}, z AS (SELECT n_name AS adm1_en, CAST(n_nationkey % 5 * 8 AS DOUBLE) AS x, CAST(n_nationkey // 5 * 4 AS DOUBLE) AS y FROM nation
+), c AS (SELECT adm1_en, p."row", p.col, p.pop, p.col - x AS a, 19 - p."row" - y AS b FROM z, people p
+), boxed AS (SELECT *, 
+    greatest(0, least(a + 1, 3.75) - greatest(a, 0.25)) * greatest(0, least(b + 1, 3.75) - greatest(b, 0.25)) - greatest(0, least(a + 1, 3) - greatest(a, 1)) * greatest(0, least(b + 1, 3.25) - greatest(b, 1.25))
+    + greatest(0, least(a + 1, 2.5) - greatest(a, 1.5)) * greatest(0, least(b + 1, 2.75) - greatest(b, 1.75)) AS squares,
+    greatest(a, 4.25) AS l, least(a + 1, 7.25) AS r, greatest(b, 0.25) AS lo, least(b + 1, 3.25) AS hi FROM c
+), half AS (
+  -- below the line u + v = 7.5: from a corner's triangle those beyond the other corners go
+  SELECT *, CASE WHEN r > l AND hi > lo THEN (power(greatest(0, 7.5 - l - lo), 2) - power(greatest(0, 7.5 - r - lo), 2) - power(greatest(0, 7.5 - l - hi), 2) + power(greatest(0, 7.5 - r - hi), 2)) / 2 ELSE 0 END AS tri FROM boxed
+)
+SELECT adm1_en, sum((squares + tri) * pop) AS "sum", round(sum(squares + tri), 6) AS cells FROM half WHERE squares + tri > 0 GROUP BY 1""")
+def zonal_sum_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes of several parts: an island in a lake, a triangle beside; SQL goes by boxes and a half-plane."""
+    cover = zonal.polygon_coverage(_two_triangles_and_an_island(spark, d), FINE)
+    cells = inputs.people(spark, d).select("row", "col", F.col("pop").alias("value"))
+    area = zonal.zonal_sum(cover, cells.withColumn("value", F.lit(1.0)), ["adm1_en"], to="cells")
+    return zonal.zonal_sum(cover, cells, ["adm1_en"]).join(area, "adm1_en").select("adm1_en", "sum", F.round("cells", 6).alias("cells"))
+
+
+@query("""SELECT r_name AS adm0_en, count(*) AS parts, CAST(sum(24 * power(1 + n_nationkey % 3, 2)) AS DOUBLE) AS area, CAST(sum(20 * (1 + n_nationkey % 3)) AS DOUBLE) AS perimeter
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def dissolve_unlike(spark: SparkSession, d: str) -> DataFrame:
+    """For each nation a square with two half as wide beside it, whose common corner lies on its border; dissolved to regions."""
+    n, r = inputs.table(spark, d, "nation"), inputs.table(spark, d, "region")
+    x, size = F.col("n_nationkey").cast("double") * 100, (1 + F.col("n_nationkey") % 3).cast("double") * 2
+    box = lambda dx, dy, side: zonal.box_rings(x + size * dx, size * dy, x + size * (dx + side), size * (dy + side))
+    each = F.explode(F.array(box(0, 0, 2), box(2, 0, 1), box(2, 1, 1)))
+    corners = union.chained(union.outline(n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("adm0_en"), each.alias("rings")), ["adm0_en"]), ["adm0_en"])
+    own = Window.partitionBy("adm0_en", "ring").orderBy("place")
+    first = [F.first(c).over(own) for c in ("x", "y")]
+    edge = corners.select("adm0_en", "ring", "x", "y", *[F.coalesce(F.lead(c).over(own), f).alias(f"{c}2") for c, f in zip(("x", "y"), first)])
+    area, length = F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2, F.sum(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")))
+    return edge.groupBy("adm0_en").agg(F.count_distinct("ring").alias("parts"), area.alias("area"), length.alias("perimeter"))
+
+
+@query(f"""{_STATS}, m AS (SELECT adm1_en, sum(pop_exposed_wp) AS exposed FROM d2 GROUP BY 1)
+SELECT adm1_en, CAST(1 AS INTEGER) AS n_rings, CAST((xmax - xmin) * (ymax - ymin) AS DOUBLE) AS area, round(exposed, 3) AS exposed FROM (SELECT adm1_en, xmin, xmax, ymin, ymax FROM (WITH {ctes('boxes')} SELECT * FROM boxes)) LEFT JOIN m USING (adm1_en)""")
+def geometry_with_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Zones' shapes beside their figures, as maps need them; a zone without figures keeps its shape."""
+    shapes = inputs.boxes(spark, d).select("adm1_en", zonal.box_rings(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("geom"))
+    totals = _d2(spark, d).groupBy("adm1_en").agg(F.sum("pop_exposed_wp").alias("exposed"))
+    corner = lambda i: F.col("geom")[0][i]
+    area = (corner(2)["x"] - corner(0)["x"]) * (corner(2)["y"] - corner(0)["y"])
+    return relational.natural_left_join(shapes, totals).select("adm1_en", F.size("geom").alias("n_rings"), area.alias("area"), F.round("exposed", 3).alias("exposed"))
+
+
+@query("SELECT n_nationkey AS adm1_pcode, n_name AS adm1_en, n_regionkey AS adm1_en_2, n_nationkey + 1 AS shape_area FROM nation")
+def snake_case(spark: SparkSession, d: str) -> DataFrame:
+    """Names as boundary files have them, in snake case and distinct."""
+    n = inputs.table(spark, d, "nation")
+    return relational.snake_names(n.select(F.col("n_nationkey").alias("ADM1_PCode"), F.col("n_name").alias("ADM1 EN"), F.col("n_regionkey").alias("ADM1-EN"), (F.col("n_nationkey") + 1).alias("ShapeArea")))
+
+
+@query("""SELECT o_orderpriority, CAST(day AS DATE) AS day FROM (SELECT o_orderpriority, unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS day FROM orders GROUP BY 1)
+WHERE (o_orderpriority, CAST(day AS DATE)) NOT IN (SELECT o_orderpriority, CAST(o_orderdate AS DATE) FROM orders)""")
+def days_without_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Days from each priority's first order to its last, that have none."""
+    o = inputs.table(spark, d, "orders").select("o_orderpriority", F.col("o_orderdate").cast("date").alias("day"))
+    days = o.groupBy("o_orderpriority").agg(F.explode(dates.day_sequence(F.min("day"), F.max("day"))).alias("day"))
+    return days.join(o, ["o_orderpriority", "day"], "left_anti")
+
+
 def fine_layers(layers: DataFrame, flood_grid: Grid, people_grid: Grid) -> DataFrame:
     """Flood layers cropped to the population's extent, stretched over it and brought to its cells."""
     cropped, grid = raster.crop(layers, flood_grid, people_grid.extent)
@@ -383,10 +457,9 @@ def flood_exposure_window_population(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("sum", F.round("sum", 4))
 
 
-@query(f"""{_DAY}, {_COVER} SELECT adm1_en, date, round(coalesce(sum(w * value * pop), 0), 4) AS "sum" FROM people p JOIN one o ON o."row" = p."row" // 4 AND o.col = p.col // 4 JOIN cover c ON c."row" = p."row" AND c.col = p.col GROUP BY 1, 2""")
+@query(f"""{_DAY}, {_COVER} SELECT adm1_en, date, coalesce(sum(w * value * pop), 0) AS "sum" FROM people p JOIN one o ON o."row" = p."row" // 4 AND o.col = p.col // 4 JOIN cover c ON c."row" = p."row" AND c.col = p.col GROUP BY 1, 2""")
 def flood_exposure_window_floodscan(spark: SparkSession, d: str) -> DataFrame:
-    found = flood_exposure_window(_one_a_day(spark, d), inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", COARSE, FINE, "floodscan")
-    return found.withColumn("sum", F.round("sum", 4))
+    return flood_exposure_window(_one_a_day(spark, d), inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", COARSE, FINE, "floodscan")
 
 
 # Readings at the centres of COARSE inside this box make, as run, a grid with the outer centres for edges: x 2 to 38 by
@@ -434,14 +507,13 @@ def zonal_pop_exposure_points(spark: SparkSession, d: str) -> DataFrame:
 ), people2 AS (SELECT j, i, sum(pop) AS pop FROM part GROUP BY 1, 2
 ), cover AS (SELECT adm1_en, j, i, (least(xmax, 2 + 3.6 * (i + 1)) - greatest(xmin, 2 + 3.6 * i)) * (least(ymax, 14 - j * CAST(8 AS DOUBLE) / 3) - greatest(ymin, 14 - (j + 1) * CAST(8 AS DOUBLE) / 3)) / 9.6 AS w FROM boxes, range(3) a(j), range(10) b(i)
   WHERE least(xmax, 2 + 3.6 * (i + 1)) > greatest(xmin, 2 + 3.6 * i) AND least(ymax, 14 - j * CAST(8 AS DOUBLE) / 3) > greatest(ymin, 14 - (j + 1) * CAST(8 AS DOUBLE) / 3))
-SELECT adm1_en, date, round(coalesce(sum(w * value * pop), 0), 3) AS "sum" FROM one JOIN people2 USING (j, i) JOIN cover USING (j, i) GROUP BY 1, 2""")
+SELECT adm1_en, date, coalesce(sum(w * value * pop), 0) AS "sum" FROM one JOIN people2 USING (j, i) JOIN cover USING (j, i) GROUP BY 1, 2""")
 def flood_exposure_window_points(spark: SparkSession, d: str) -> DataFrame:
     """The window analysis on the grid of the readings' own axes; population is cropped to it and shared out over its cells."""
     near = raster.within(_points(spark, d), _BOX)
     grid = axes(near)
     daily = raster.on_grid(near, grid).groupBy("date", "row", "col").agg(F.max("value").alias("value"))
-    found = flood_exposure_window(daily, inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", grid, FINE, binary=False)
-    return found.withColumn("sum", F.round("sum", 3))
+    return flood_exposure_window(daily, inputs.people(spark, d), inputs.boxes(spark, d), ["adm1_en"], "1998-03-01", "1998-03-31", grid, FINE, binary=False)  # not rounded: many sums lie halfway
 
 
 # ---- bands and tables --------------------------------------------------------------------------------------------

@@ -182,9 +182,11 @@ def country_lookup(spark: SparkSession, d: str) -> DataFrame:
     return relational.lookup(named, "iso3", codes, "iso3", "country_name", "country_name")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(str((c, f'adm{i}', n)) for c, names in tables.LAYERS.items() for i, n in enumerate(names))}) t(country, level, layer)")
+@query(f"""SELECT n_nationkey, country, level, layer FROM nation JOIN (VALUES {', '.join(str((c, f'adm{i}', n)) for c, names in tables.LAYERS.items() for i, n in enumerate(names))}) t(country, level, layer) ON upper(country) = n_name""")
 def layer_names(spark: SparkSession, d: str) -> DataFrame:
-    return tables.layer_names(spark)
+    """Boundary layers of the nations that have some."""
+    n, layers = inputs.table(spark, d, "nation"), tables.layer_names(spark)
+    return n.join(layers, F.upper("country") == F.col("n_name")).select("n_nationkey", "country", "level", "layer")
 
 
 @query(f"""WITH {ctes('phases')}, c AS (SELECT n_nationkey, ['AGO', 'SWZ', 'LSO', 'ZZZ', NULL][n_nationkey % 5 + 1] AS iso3, n_name FROM nation WHERE n_nationkey < 9

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tamarisk.operators import raster, relational, zonal
+from tamarisk.functions import stats
+from tamarisk.operators import dissolve, ordered, raster, relational, zonal
 from tamarisk.operators.raster import Grid
 from tamarisk.plans import flood, food
 
@@ -97,39 +98,184 @@ def test_zonal_sums(spark):
     assert [tuple(r) for r in found.collect()] == [("z", 2.5)]
 
 
-def test_polygon_coverage():
-    triangle = [[(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)]]
-    assert zonal.clipped_area(triangle, 0, 0, 1, 1) == pytest.approx(1)
-    assert zonal.clipped_area(triangle, 1, 0, 2, 1) == pytest.approx(0.5)
-    assert zonal.clipped_area(triangle, 1, 1, 2, 2) == pytest.approx(0)
-    holed = [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)]]
-    assert zonal.clipped_area(holed, 0, 0, 2, 2) == pytest.approx(3)
+def covered(spark, shapes, grid):
+    """{(zone, row, col): coverage} of {zone: rings}."""
+    zones = spark.createDataFrame([(k, [[(float(x), float(y)) for x, y in r] for r in rings]) for k, rings in shapes.items()], f"k string, rings {zonal.RINGS}")
+    return {(r.k, r.row, r.col): r.coverage for r in zonal.polygon_coverage(zones, grid).collect()}
 
 
-def test_covered_cells_are_those_of_clipping_each():
+def square(x, y, side, back=False):
+    ring = [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+    return ring[::-1] if back else ring
+
+
+def clipped(ring, x0, y0, x1, y1):
+    """Signed area of a ring inside a box, by cutting it at each side in turn."""
+    for axis, bound, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        out = []
+        for i, b in enumerate(ring):
+            a = ring[i - 1]
+            a_in, b_in = (a[axis] - bound) * keep >= 0, (b[axis] - bound) * keep >= 0
+            if a_in != b_in:
+                t = (bound - a[axis]) / (b[axis] - a[axis])
+                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+            if b_in:
+                out.append(b)
+        ring = out
+    return sum(ring[i - 1][0] * p[1] - p[0] * ring[i - 1][1] for i, p in enumerate(ring)) / 2
+
+
+def test_polygon_coverage(spark):
+    grid = Grid(0, 2, 1, 1, 2, 2)
+    got = covered(spark, {"triangle": [[(0, 0), (2, 0), (0, 2)]], "holed": [square(0, 0, 2), square(0.5, 0.5, 1)], "none": [], "flat": [[(0, 0), (1, 1)]], "empty ring": [[], square(0, 0, 1)]}, grid)
+    assert {k[1:]: v for k, v in got.items() if k[0] == "triangle"} == pytest.approx({(1, 0): 1, (1, 1): 0.5, (0, 0): 0.5})
+    assert {k[1:]: v for k, v in got.items() if k[0] == "holed"} == pytest.approx({(r, c): 0.75 for r in (0, 1) for c in (0, 1)})
+    assert {k[0] for k in got} == {"triangle", "holed", "empty ring"}
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_shapes_of_several_parts(spark, order):
+    """Outlines apart, holes, islands in lakes and lakes on those, in any order and either way round."""
+    grid = Grid(0, 12, 1, 1, 12, 12)
+    parts = {"apart": [square(0.5, 0.5, 4), square(7, 7, 2)], "island": [square(0.5, 0.5, 10), square(1.5, 1.5, 8), square(3, 3, 4), square(4.25, 4.25, 1)], "touching": [square(1, 1, 2), square(3, 3, 2), square(3, 1, 1)]}
+    turn = lambda rings: [r[::-1] if (order + i) % 2 else r for i, r in enumerate(rings[order % len(rings) :] + rings[: order % len(rings)])]
+    got = covered(spark, {k: turn(v) for k, v in parts.items()}, grid)
+    areas = {k: sum(v for key, v in got.items() if key[0] == k) for k in parts}
+    assert areas == pytest.approx({"apart": 20, "island": 100 - 64 + 16 - 1, "touching": 9})
+
+
+def test_covered_cells_are_those_of_clipping_each(spark):
+    """Stars with holes, in part beyond the grid, against each ring clipped to each cell."""
     import math
     import random
 
     random.seed(5)
     grid = Grid(0, 6, 1, 1.5, 4, 7)
-    for _ in range(60):
+    shapes = {}
+    for k in range(40):
         n = random.randint(3, 9)
         angles = sorted(random.uniform(0, 2 * math.pi) for _ in range(n))
         ring = [(3.3 + random.uniform(0.5, 4) * math.cos(t), 3 + random.uniform(0.5, 3.5) * math.sin(t)) for t in angles]
         hole = [(3.3 + 0.3 * math.cos(t), 3 + 0.3 * math.sin(t)) for t in angles]
-        rings = random.choice([[ring], [[(1.0, 1.5), (5.0, 1.5), (5.0, 4.5), (1.0, 4.5)], hole], [[(1.0, 1.0), (6.0, 1.0), (6.0, 5.0), (1.0, 5.0)]]])
-        got = {(r, c): v for r, c, v in zonal.covered_cells(rings, grid)}
+        shapes[str(k)] = random.choice([[ring], [[(1.0, 1.5), (5.0, 1.5), (5.0, 4.5), (1.0, 4.5)], hole], [[(1.0, 1.0), (6.0, 1.0), (6.0, 5.0), (1.0, 5.0)]], [[(-3.0, -2.0), (9.0, -2.0), (9.0, 9.0), (-3.0, 8.0)]]])
+    got = covered(spark, shapes, grid)
+    for k, rings in shapes.items():
         for r in range(4):
             for c in range(7):
-                area = zonal.clipped_area(rings, c, 6 - (r + 1) * 1.5, c + 1, 6 - r * 1.5) / 1.5
-                assert got.get((r, c), 0) == pytest.approx(area, abs=1e-9)
+                areas = [abs(clipped(ring, c, 6 - (r + 1) * 1.5, c + 1, 6 - r * 1.5)) / 1.5 for ring in rings]
+                assert got.get((k, r, c), 0) == pytest.approx(areas[0] - sum(areas[1:]), abs=1e-9)
+
+
+def test_coverage_of_a_hundred_thousand_edges(spark):
+    """A comb's area, and its row that teeth cross; work grows with edges, not with edges times rows."""
+    import math
+
+    n = 100_000
+    ring = [(50 + (40 + math.sin(40 * t)) * math.cos(t), 50 + (40 + math.sin(40 * t)) * math.sin(t)) for t in (2 * math.pi * i / n for i in range(n))]
+    true = abs(sum(ring[i - 1][0] * p[1] - p[0] * ring[i - 1][1] for i, p in enumerate(ring))) / 2
+    got = covered(spark, {"a": [ring]}, Grid(0, 100, 0.25, 0.25, 400, 400))
+    assert sum(got.values()) / 16 == pytest.approx(true, rel=1e-9) and max(got.values()) == 1 and min(got.values()) > 0
+
+
+def test_sums_do_not_hang_on_partitions(spark):
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(9)
+    rows = [(i % 3, rng.choice([1, -1]) * rng.random() * 10.0 ** rng.randint(-30, 30) if i % 50 else None) for i in range(3000)]
+    rows += [(4, 1e308), (4, -1e308), (4, 5e-324), (5, None), (6, float("inf")), (6, 1.0), (7, 0.0), (7, -0.0), (8, 0.1), (8, 0.2), (8, -0.3)]
+    seen = set()
+    for parts in (1, 2, 3, 7, 16):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "k int, x double").repartition(parts)
+        out = stats.sum_exactly(df, ["k"], {"s": F.col("x"), "t": F.col("x") / 4}).collect()
+        seen.add(tuple(sorted((r.k, str(r.s), str(r.t)) for r in out)))
+    assert len(seen) == 1
+    got = {r.k: r.s for r in out}
+    for k in (0, 1, 2, 8):
+        assert got[k] == pytest.approx(float(sum(Fraction(x) for i, x in rows if i == k and x is not None)), rel=1e-15)
+    assert got[4] == 5e-324 and got[5] is None and got[6] == float("inf") and got[7] == 0
+
+
+@pytest.mark.parametrize("large", [1 << 20, 5])
+def test_ranks_and_medians(spark, monkeypatch, large):
+    """Also where all groups count as too large for one sort, so that parts begin from the counts before them."""
+    import random
+    import statistics
+
+    monkeypatch.setattr(ordered, "SORTED", large)
+    rng = random.Random(10)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randint(0, 9) / 4, rng.random() * 100]), float(i)) for i in range(900)] + [("c", None, 1.0), ("d", 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    got = {r.k: (r.mx, r.my) for r in ordered.medians(df, ["k"], {"mx": F.col("x"), "my": F.col("y")}).collect()}
+    own = lambda k, i: [r[i] for r in rows if r[0] == k and r[i] is not None]
+    assert got == {k: tuple(statistics.median(own(k, i)) if own(k, i) else None for i in (1, 2)) for k in {r[0] for r in rows}}
+    for keys in ([], ["k"]):
+        out = ordered.ranked(df, keys, "x").collect()
+        assert len(out) == len(rows)
+        for r in rng.sample(out, 60):
+            among = own(r.k, 1) if keys else [x for _, x, _ in rows if x is not None]
+            assert r.rank == (None if r.x is None else sum(x < r.x for x in among) + (sum(x == r.x for x in among) + 1) / 2)
+
+
+def test_large_groups_have_no_single_window(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SORTED", 100)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).cast("double").alias("x"))
+    out = ordered.ranked(df, [], "x")
+    plan = str(out._jdf.queryExecution().executedPlan())
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    # values go by part; only the parts' totals, one row each, are in one task
+    assert len(windows) == 2 and sum("windowspecdefinition(__part" in w and "sum(n" in w for w in windows) == 1 and sum("sum(__n" in w for w in windows) == 1
+    assert sorted(r["rank"] for r in out.collect()) == [float(i) for i in range(1, 5001)]
+
+
+def test_full_outer_join_with_a_hot_key(spark, monkeypatch):
+    """Half of all rows on one key, with and without partners; parts meet once."""
+    left = [("" if i % 2 else f"k{i % 7}", i) for i in range(200)] + [(None, 900), ("only left", 901)]
+    for rights in ([("k0", 1), ("k1", 2), ("k1", 3), ("zz", 4), (None, 5)], [("", 1), ("", 2), ("zz", 4)], [("", i) for i in range(25)], []):
+        frames = spark.createDataFrame(left, "k string, v int").repartition(4), spark.createDataFrame(rights, "key string, v int")
+        found = []
+        for hot in (1 << 17, 10):
+            monkeypatch.setattr(relational, "HOT", hot)
+            out = relational.merge_outer(*frames, "k", "key")
+            assert out.columns == ["k", "v", "v_y"]
+            found.append(sorted(map(str, out.collect())))
+        assert found[0] == found[1]
+
+
+def rings_of(df):
+    return {r.k: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in df.collect()}
+
+
+def area(ring):
+    return sum(ring[i - 1][0] * p[1] - p[0] * ring[i - 1][1] for i, p in enumerate(ring)) / 2
 
 
 def test_dissolve(spark):
-    box = lambda i: [[(i, 0.0), (i + 1.0, 0.0), (i + 1.0, 1.0), (i, 1.0)]]
-    zones = spark.createDataFrame([("a", box(0.0)), ("a", box(1.0)), ("b", box(5.0))], f"k string, rings {zonal.RINGS}")
-    rings = {r.k: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in zonal.dissolve(zones, ["k"]).collect()}
-    assert zonal._area(rings["a"][0]) == 2 and len(rings["a"]) == 1 and zonal._area(rings["b"][0]) == 1
+    shapes = [("a", [square(0, 0, 1)]), ("a", [square(1, 0, 1, back=True)]), ("b", [square(5, 0, 1)])]
+    # squares of unlike size side by side; squares that meet in a corner; a frame of four boxes around a hole
+    shapes += [("unlike", [square(0, 0, 4)]), ("unlike", [square(4, 0, 2)]), ("unlike", [square(4, 2, 1)]), ("unlike", [square(4, 3, 1)]), ("corner", [square(0, 0, 1)]), ("corner", [square(1, 1, 1)])]
+    shapes += [("frame", [[(0, 0), (3, 0), (3, 1), (0, 1)]]), ("frame", [[(0, 2), (3, 2), (3, 3), (0, 3)]]), ("frame", [square(0, 1, 1)]), ("frame", [square(2, 1, 1)])]
+    shapes += [("parts", [square(0, 0, 1), square(9, 9, 1)]), ("parts", [square(1, 0, 1)])]
+    rows = [(k, [[(float(x), float(y)) for x, y in r] for r in rings]) for k, rings in shapes]
+    got = rings_of(dissolve.dissolve(spark.createDataFrame(rows, f"k string, rings {zonal.RINGS}").repartition(3), ["k"]))
+    areas = {k: sorted(area(r) for r in rings) for k, rings in got.items()}
+    assert areas == {"a": [2], "b": [1], "unlike": [22], "corner": [1, 1], "frame": [-1, 9], "parts": [1, 2]}
+    perimeter = lambda rings: sum(abs(r[i][0] - r[i - 1][0]) + abs(r[i][1] - r[i - 1][1]) for r in rings for i in range(len(r)))
+    assert perimeter(got["unlike"]) == 20 and perimeter(got["a"]) == 6
+
+
+def test_a_long_border_is_chained(spark):
+    """A ring of thousands of edges in one order, by rounds that double how far each edge sees."""
+    import math
+
+    n = 5000
+    points = [(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
+    borders = spark.createDataFrame([("a", *points[i], *points[(i + 1) % n]) for i in range(n)], "k string, x1 double, y1 double, x2 double, y2 double").repartition(4)
+    out = sorted(dissolve.chained(borders, ["k"]).collect(), key=lambda r: r.place)
+    assert [r.place for r in out] == list(range(n)) and len({r.ring for r in out}) == 1
+    at = points.index((out[0].x, out[0].y))
+    assert [(r.x, r.y) for r in out] == points[at:] + points[:at]
 
 
 def test_exposure_modes(spark):

@@ -5,8 +5,9 @@ from tamarisk.plans import catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
-def test_query_matches_sql(name, spark, sf_dir):
-    assert_same(catalogue.QUERIES[name], catalogue.ORACLE[name], spark, sf_dir)
+def test_query_matches_sql(name, spark):
+    """At the size at which rows fall on ties and unlike zones, which the smallest has too few of."""
+    assert_same(catalogue.QUERIES[name], catalogue.ORACLE[name], spark, "/root/testdata/sf0.01")
 
 
 def test_entry(spark):
