@@ -92,7 +92,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-def _power(which: str, n: int) -> np.ndarray:
+def powers(which: str, n: int) -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
         base = np.uint64(_BASE if which == "up" else _INVERSE)
@@ -114,8 +114,8 @@ class Words(NamedTuple):
         """A 64-bit hash for each word."""
         n = len(self.data)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * _power("up", n), out=sums[1:])
-        found = (sums[self.ends] - sums[self.starts]) * _power("down", n + 1)[self.starts]
+        np.cumsum(_BYTES[self.data] * powers("up", n), out=sums[1:])
+        found = (sums[self.ends] - sums[self.starts]) * powers("down", n + 1)[self.starts]
         return mix(found + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -168,8 +168,8 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _power("up", len(hashes)), out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * _power("down", n))
+    np.cumsum(hashes * powers("up", len(hashes)), out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * powers("down", n))
 
 
 def by_group(df: DataFrame, key: list[str], f: Callable, schema: str, at_least: int = 1) -> DataFrame:

@@ -4,12 +4,13 @@ Each n-gram belongs to its rarest word, the pivot. Around each occurrence of a w
 pivot: words rarer than it are blanks and end the fragment, as nothing that spans them is its own. Fragments go to
 their pivot's part, equal ones as one row with a count, and are mined there: an n-gram is counted at the first
 occurrence of the pivot in it, so each one is counted once, in one part. Parts of common pivots are split, so their
-counts are summed once more.
+counts are summed once more. Within a task, rows are told apart by 64-bit hashes; between tasks, by their texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarisk.llm._common import Words, bound_batches, by_group, is_word, mix, slices, split_words, stage
+from tamarisk.llm._common import Words, bound_batches, by_group, is_word, mix, powers, slices, split_words, stage
 
 #: Bytes that end a piece, and with space and tab those that end a word.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _WORD, _BREAK = is_word(BREAKS + b"\x20\x09"), ~is_word(BREAKS)
-#: Words whose ranks go to every task, commonest first, at 16 bytes each. Rarer words come after all of them, by hash.
+#: Words whose ranks go to every task, commonest first, at 24 bytes each. Rarer words come after all of them, by hash.
 RANKED = 1 << 20
-#: Fragments of one pivot that a part holds at about.
+#: Occurrences of a pivot for which it has one part.
 PART = 1 << 16
 #: Parts that each language's phrases are dealt into for the first cut of its best.
 BEST_PARTS = 64
@@ -45,13 +46,13 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
     return mix(found + np.uint64(1))[np.asarray(encoded.indices)]
 
 
-def _packed(words: Words, extra: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
+def _packed(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """All words one after another, each behind one separator, and where each separator is."""
     lens = words.ends - words.starts + 1
     at = np.concatenate([[0], np.cumsum(lens)])
     source = np.arange(at[-1]) + np.repeat(words.starts - 1 - at[:-1], lens)
     out = words.data[np.maximum(source, 0)] if at[-1] else np.zeros(0, np.uint8)
-    out[at[:-1]] = extra[0]
+    out[at[:-1]] = 32
     return out, at
 
 
@@ -66,29 +67,47 @@ def _array(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _summed(tables: list[pa.Table]) -> pa.Table:
-    found = pa.concat_tables(tables)
-    keys = [c for c in found.column_names if c != "n"]
-    return found.group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"]) if found.num_rows else found
+class Counted(NamedTuple):
+    """Distinct rows of a slice: a hash that tells them apart, how often each is there, and the rows themselves."""
 
+    hash: np.ndarray
+    n: np.ndarray
+    rows: pa.Table
 
-def _counted(batches: Iterator[pa.RecordBatch], f) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, ..., n) of f over slices, equal ones summed up while few enough are held."""
-    held, rows = [], 0
+
+def _counts(hashes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct hash, in ascending order of hashes, and how often it is there."""
+    if n is None:
+        return np.unique(hashes, return_index=True, return_counts=True)[1:]
+    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, group, n)
+    return first, total
+
+
+def _merged(held: list[Counted]) -> Counted:
+    hashes = np.concatenate([c.hash for c in held])
+    first, n = _counts(hashes, np.concatenate([c.n for c in held]))
+    return Counted(hashes[first], n, pa.concat_tables([c.rows for c in held]).take(pa.array(first)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], f: Callable[[pa.RecordBatch], Counted]) -> Iterator[pa.RecordBatch]:
+    """Rows of f over slices with their number `n`, equal ones once while few enough are held."""
+    held: list[Counted] = []
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        whole = _merged(held)
+        yield from whole.rows.append_column("n", pa.array(whole.n)).to_batches(max_chunksize=20_000)
+
+    rows = 0
     for batch in slices(batches):
-        found = f(batch)
-        if not found.num_rows:
-            continue
-        held.append(_summed([found]))
-        rows += held[-1].num_rows
-        if rows > 2 * HELD:
-            held = [_summed(held)]
-            rows = held[0].num_rows
-            if rows > HELD:
-                yield from held.pop().to_batches(max_chunksize=20_000)
-                rows = 0
-    if held:
-        yield from _summed(held).to_batches(max_chunksize=20_000)
+        held.append(f(batch))
+        rows += len(held[-1].hash)
+        if rows > HELD:
+            yield from sent()
+            held, rows = [], 0
+    if rows:
+        yield from sent()
 
 
 def _langs(batch: pa.RecordBatch) -> pa.Array:
@@ -98,89 +117,102 @@ def _langs(batch: pa.RecordBatch) -> pa.Array:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, h, n) of docs (lang, text): occurrences of each word, lower-cased, and its hash."""
 
-    def of(batch: pa.RecordBatch) -> pa.Table:
+    def of(batch: pa.RecordBatch) -> Counted:
         words = split_words(batch.column("text"), _WORD, lower=True)
-        data, at = _packed(words)
         langs = _langs(batch)
-        return pa.table({"lang": langs.take(pa.array(words.doc)), "word": _array(*_strings(data, at[:-1] + 1, at[1:])), "h": _hashes(words, _lang_hashes(langs)).view(np.int64), "n": np.ones(len(words.starts), np.int64)})
+        own = _hashes(words, _lang_hashes(langs))
+        first, n = _counts(own)
+        word = _array(*_strings(words.data, words.starts[first], words.ends[first]))
+        return Counted(own[first], n, pa.table({"lang": langs.take(pa.array(words.doc[first])), "word": word, "h": own[first].view(np.int64)}))
 
     found = docs.mapInArrow(lambda batches: _counted(batches, of), "lang string, word string, h long, n long")
     return found.groupBy("lang", "word").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
 
 
-def fragments(docs: DataFrame, hashes: np.ndarray, ranks: np.ndarray, whole: bool, longest: int) -> DataFrame:
-    """(lang, fragment, n): each pivot with the words around it that are commoner than it, up to longest - 1 on each side.
+def _spans(hashes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (begins, ends) that gives a hash of the words between, from the words' own hashes."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers("up", len(hashes)), out=sums[1:])
+    down = powers("down", len(hashes) + 1)
+    return lambda b, e: mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
+
+
+def fragments(docs: DataFrame, hashes: np.ndarray, ranks: np.ndarray, parts: np.ndarray, whole: bool, longest: int) -> DataFrame:
+    """(h, part, split, lang, fragment, n): each pivot with the words around it that are commoner, up to longest - 1 on each side.
 
-    `hashes`, ascending, and `ranks` (0: commonest) say how common words are; `whole` says that others are too rare to
-    count. A fragment's words follow a space each, its pivot a tab. The pivot itself may come again behind it, not before.
+    `hashes`, ascending, with `ranks` (0: commonest) and `parts` say how common words are and over how many parts each
+    is dealt; `whole` says that other words are too rare to count. `h` is the pivot's hash, `split` says that it has
+    several parts. A fragment's words follow a space each, its pivot a tab. The pivot may come again behind it, not before.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((hashes, ranks))
+    sent = spark.sparkContext.broadcast((hashes, ranks, parts))
     rarest = np.uint64(np.iinfo(np.uint64).max)
 
-    def of(batch: pa.RecordBatch) -> pa.Table:
-        known, rank_of = sent.value
+    def of(batch: pa.RecordBatch) -> Counted:
+        known, rank_of, parts_of = sent.value
         words = split_words(batch.column("text"), _WORD, lower=True)
         langs = _langs(batch)
         n = len(words.starts)
-        if not n:
-            return pa.table({"lang": pa.array([], pa.large_string()), "fragment": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})
         own = _hashes(words, _lang_hashes(langs))
         rank = np.full(n, rarest) if whole else own >> np.uint64(1) | np.uint64(1 << 63)
-        if len(known):
+        dealt = np.ones(n, np.uint64)
+        if len(known) and n:
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             hit = known[at] == own
             rank[hit] = rank_of[at[hit]]
+            dealt[hit] = parts_of[at[hit]]
         breaks = np.concatenate([[0], np.cumsum(_BREAK[words.data])])
         piece = breaks[words.starts] + words.doc  # both only grow, so equal sums are equal pairs
         left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for side, step in ((left, -1), (right, 1)):
             open_ = rank != rarest
-            for k in range(1, longest):
+            for k in range(1, min(longest, n)):
                 fits = np.zeros(n, bool)
                 a, b = (slice(k, n), slice(0, n - k)) if step < 0 else (slice(0, n - k), slice(k, n))
-                if n > k:
-                    fits[a] = (piece[a] == piece[b]) & ((rank[b] < rank[a]) if step < 0 else (rank[b] <= rank[a]))
+                fits[a] = (piece[a] == piece[b]) & ((rank[b] < rank[a]) if step < 0 else (rank[b] <= rank[a]))
                 open_ &= fits
                 side += open_
         keep = np.flatnonzero(left + right)
+        text = mix(_spans(own)(keep - left[keep], keep + right[keep] + 1) + left[keep].astype(np.uint64))
+        first, count = _counts(text)
+        keep, text = keep[first], text[first]
         data, at = _packed(words)
         begins, ends = at[keep - left[keep]], at[keep + right[keep] + 1]
         bytes_, offsets = _strings(data, begins, ends)
         bytes_[offsets[:-1] + at[keep] - begins] = 9
-        return pa.table({"lang": langs.take(pa.array(words.doc[keep])), "fragment": _array(bytes_, offsets), "n": np.ones(len(keep), np.int64)})
+        rows = pa.table({"h": own[keep].view(np.int64), "part": (text % dealt[keep]).astype(np.int64), "split": dealt[keep] > 1, "lang": langs.take(pa.array(words.doc[keep])), "fragment": _array(bytes_, offsets)})
+        return Counted(text, count, rows)
 
-    found = docs.mapInArrow(lambda batches: _counted(batches, of), "lang string, fragment string, n long")
-    return found.groupBy("lang", "fragment").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lambda batches: _counted(batches, of), "h long, part long, split boolean, lang string, fragment string, n long")
 
 
-def _mined(longest: int):
-    """Of a part's fragments, the n-grams that its pivot owns with their counts: (lang, phrase, words, n, split)."""
+def _mined(longest: int, least: int):
+    """Of a part's fragments, the n-grams that its pivot owns: (lang, phrase, words, n), without rare ones where the part is all there is."""
 
     def work(found: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for at in range(0, found.num_rows, HELD):
-            some = found.slice(at, HELD).combine_chunks()
-            text = some.column("fragment").cast(pa.large_string()).combine_chunks()
-            words = split_words(text, is_word(b"\x20\x09"))
-            first, pivot = words.first, np.zeros(len(text), np.int64)
-            tabbed = np.flatnonzero(words.data[words.starts - 1] == 9)
-            pivot[words.doc[tabbed]] = tabbed
-            clear = words.data.copy()
-            clear[clear == 9] = 32
-            for left in range(longest):
-                for right in range(longest - left):
-                    if left + right == 0:
-                        continue
+        text = found.column("fragment").cast(pa.large_string()).combine_chunks()
+        words = split_words(text, is_word(b"\x20\x09"))
+        first, pivot = words.first, np.zeros(len(text), np.int64)
+        tabbed = np.flatnonzero(words.data[words.starts - 1] == 9)
+        pivot[words.doc[tabbed]] = tabbed
+        key = np.asarray(found.column("h")).view(np.uint64)
+        times, split = np.asarray(found.column("n")), found.column("split").combine_chunks().to_numpy(zero_copy_only=False)
+        span = _spans(words.hashes())
+        rows, begins, ends = [], [], []
+        for left in range(longest):
+            for right in range(longest - left):
+                if left + right:
                     has = np.flatnonzero((pivot - left >= first[:-1]) & (pivot + right < first[1:]))
-                    if len(has):
-                        phrase = _array(*_strings(clear, words.starts[pivot[has] - left], words.ends[pivot[has] + right]))
-                        parts.append(pa.table({"lang": some.column("lang").take(has), "split": some.column("split").take(has), "phrase": phrase, "words": np.full(len(has), left + right + 1), "n": some.column("n").take(has)}))
-            if len(parts) > longest * longest:
-                parts = [_summed(parts)]
-        if parts:
-            done = _summed(parts)
-            yield from done.select(["lang", "phrase", "words", "n", "split"]).combine_chunks().to_batches()
+                    rows.append(has)
+                    begins.append(pivot[has] - left)
+                    ends.append(pivot[has] + right + 1)
+        row, begin, end = map(np.concatenate, (rows, begins, ends))
+        at, n = _counts(mix(span(begin, end) + key[row]), times[row])
+        keep = (n >= least) | split[row[at]]
+        at, n = at[keep], n[keep]
+        clear = np.where(words.data == 9, np.uint8(32), words.data)
+        phrase = _array(*_strings(clear, words.starts[begin[at]], words.ends[end[at] - 1]))
+        yield from pa.table({"lang": found.column("lang").take(pa.array(row[at])), "phrase": phrase, "words": end[at] - begin[at], "n": n}).combine_chunks().to_batches(max_chunksize=20_000)
 
     return work
 
@@ -192,16 +224,10 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, longest: int, least: int)
     held = head.orderBy(F.desc("n"), "lang", "word").select("h", "n").limit(RANKED + 1).toPandas() if head.take(1) else None
     whole = held is None or len(held) <= RANKED
     hashes = np.array([] if held is None else held["h"].to_numpy()[:RANKED], np.int64).view(np.uint64)
+    parts = np.array([] if held is None else -(-held["n"].to_numpy()[:RANKED] // PART), np.uint64)
     order = np.argsort(hashes, kind="stable")
-    found = fragments(docs, hashes[order], order.astype(np.uint64), whole, longest)
-    pivot = F.substring_index(F.substring_index("fragment", "\t", -1), " ", 1)
-    found = stage(found.withColumn("pivot", pivot), "fragments")
-    sizes = stage(found.groupBy("lang", "pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > PART), "common")
-    parts = F.coalesce(F.ceil(F.col("rows") / PART), F.lit(1))
-    dealt = found.join(sizes, ["lang", "pivot"], "left").withColumn("split", parts > 1)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fragment"), parts)).select("lang", "pivot", "part", "split", "fragment", "n")
-    mined = by_group(dealt, ["lang", "pivot", "part"], _mined(longest), "lang string, phrase string, words long, n long, split boolean", 20_000)
-    mined = mined.where(F.col("split") | (F.col("n") >= least))
+    found = fragments(docs, hashes[order], order.astype(np.uint64), parts[order], whole, longest)
+    mined = by_group(found, ["h", "part"], _mined(longest, least), "lang string, phrase string, words long, n long", 20_000)
     return mined.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
