@@ -11,10 +11,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tamarisk.operators.relational import matching, snake_names
+from tamarisk.sources.files import opened
 
 
 def rings_of(shp: bytes) -> Iterator[list[list[dict]]]:
-    """Polygons of a .shp file, each a list of rings without the repeated last point; none for null shapes."""
+    """Polygons of a .shp file, each a list of rings without the repeated last point; none for null shapes.
+
+    Rings come as the file has them: outlines of several parts, and holes, which operators tell apart by how they nest.
+    """
     at = 100
     while at + 8 <= len(shp):
         (words,) = struct.unpack(">i", shp[at + 4 : at + 8])
@@ -56,11 +60,11 @@ def records_of(dbf: bytes, encoding: str = "utf-8") -> Iterator[list[str | None]
 def part_of(path: str, suffix: str) -> bytes:
     """One file of a shapefile: beside it, or inside a zip archive (`a.zip`, or `a.zip/layer` where it holds several)."""
     if ".zip" not in path:
-        with open(f"{path.removesuffix('.shp')}.{suffix}", "rb") as f:
+        with opened(f"{path.removesuffix('.shp')}.{suffix}") as f:
             return f.read()
     archive, _, layer = path.partition(".zip")
     layer = layer.strip("/").removesuffix(".shp")
-    with zipfile.ZipFile(f"{archive}.zip") as z:
+    with opened(f"{archive}.zip") as f, zipfile.ZipFile(f) as z:
         names = [n for n in z.namelist() if n.lower().endswith(f".{suffix}") and (not layer or n.rsplit("/", 1)[-1][: -len(suffix) - 1] == layer)]
         if len(names) != 1:
             raise ValueError(f"{path} holds {len(names)} layers; name one of them")
@@ -85,7 +89,7 @@ class ShapeReader(DataSourceReader):
 
 
 class ShapeSource(DataSource):
-    """spark.read.format("shapes").load(path): paths that every executor can open, comma-joined."""
+    """spark.read.format("shapes").load(path): paths or URIs that every executor can open, comma-joined."""
 
     @classmethod
     def name(cls) -> str:
