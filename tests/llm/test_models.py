@@ -236,6 +236,55 @@ def test_recall_with_a_hot_group(spark):
     assert measured_recall(spark, x) >= 0.9
 
 
+def test_recall_of_noise(spark):
+    """Gaussian noise has no near neighbours to speak of, which is the hardest case for a graph."""
+    assert measured_recall(spark, np.random.default_rng(14).normal(size=(6_000, 48))) >= 0.9
+
+
+def apart(n=4_000):
+    """Forty tight groups far from one another, so that no edge joins them, and a hub that is nearest to many."""
+    rng = np.random.default_rng(15)
+    centres = 50 * rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 16))
+    x[7] = centres.mean(axis=0)
+    return x
+
+
+def test_recall_of_parts_that_no_edge_joins(spark):
+    assert measured_recall(spark, apart()) >= 0.9
+
+
+def test_search_beyond_the_widest_beam_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "WIDEST", 1)
+    monkeypatch.setattr(ann, "TARGET", 2.0)
+    monkeypatch.setattr(ann, "SCANNED", 40)
+    assert measured_recall(spark, apart(3_000)) == 1
+
+
+@pytest.mark.parametrize("direct", [128, 0])
+def test_a_hubs_lists_are_bounded(spark, monkeypatch, tmp_path, direct):
+    """All nodes name one hub: each task sends at most REVERSE of them, and the hub keeps the nearest."""
+    monkeypatch.setattr(ann, "DIRECT", direct)
+    n = 3_000
+    rows = [(i, np.int64(0).tobytes(), np.float32(-i).tobytes(), b"\x01") for i in range(1, n)]
+    spark.createDataFrame(rows, ann._LISTS).repartition(6).write.parquet(f"file://{tmp_path}/graph")
+    hub = ann._around(spark.read.parquet(f"file://{tmp_path}/graph")).where("id = 0").collect()
+    assert len(hub) == 1 and np.frombuffer(hub[0].others, np.int64).tolist() == list(range(1, ann.REVERSE + 1))
+
+
+def test_pairs_without_new_ends_are_not_compared(spark):
+    """A graph none of whose neighbours is new stays as it is; with one new neighbour, its pairs are compared."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, u binary")
+    lists = lambda flag: spark.createDataFrame([(i, np.array([(i + 1) % 60, (i + 7) % 60], np.int64).tobytes(), np.array([-4, -4], np.float32).tobytes(), bytes([flag, 0])) for i in range(60)], ann._LISTS)
+    from tamarisk.llm._common import stage
+
+    old, new = (ann._descended(stage(lists(flag), "lists"), nodes).collect() for flag in (0, 1))
+    assert all(len(r.others) == 16 for r in old) and all(len(r.others) > 16 for r in new)
+
+
 def test_very_large_and_very_close_vectors(spark):
     rng = np.random.default_rng(6)
     close = 1 + 1e-5 * rng.normal(size=(200, 8))
