@@ -1,8 +1,9 @@
 """Licence scans: canonical digests of entire texts, hash-joined to the digests of known licences and notices.
 
-Spark SQL functions only. A text is brought to a canonical form - case, copyright lines, equivalent spellings,
-punctuation and white space - and its SHA-256 looked up. Whole documents are looked up, and each of their lines
-as a text of its own, so that one-line notices inside longer documents are found.
+Spark SQL functions only. A text is brought to a canonical form - case, copyright lines, numbers of list items,
+equivalent spellings, punctuation of any script and white space, comment marks and bullets among it - and its SHA-256
+looked up. Whole documents are looked up, and each of their lines as a text of its own, so that one-line notices inside
+longer documents are found.
 """
 
 from __future__ import annotations
@@ -91,19 +92,30 @@ FILES = {
     "GPL-3.0": (("Preamble",), "END OF TERMS AND CONDITIONS"),
     "LGPL-3.0": (("This version of the GNU Lesser",), None),
     "MPL-2.0": (("1. Definitions",), None),
+    "GPL-1.0": (("Preamble",), "END OF TERMS AND CONDITIONS"),
+    "LGPL-2.0": (("Preamble",), "END OF TERMS AND CONDITIONS"),
+    "LGPL-2.1": (("Preamble",), "END OF TERMS AND CONDITIONS"),
+    "MPL-1.1": (("1. Definitions",), "EXHIBIT A"),
+    "GFDL-1.2": (("0. PREAMBLE",), "ADDENDUM"),
+    "GFDL-1.3": (("0. PREAMBLE",), "ADDENDUM"),
+    "Artistic-1.0": (("Preamble",), None),
+    "BSD-3-Clause": (("Redistribution and use",), None),
     "CC0-1.0": (("CC0 1.0 Universal", "CREATIVE COMMONS CORPORATION IS NOT", "Statement of Purpose"), None),
 }
 
-#: A line that holds a copyright statement and nothing else, not a sentence of a licence that is wrapped before the word.
-_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright(?![ \t]+(?:notices?|holders?|owners?|interests?|laws?)\b)|\(c\)|©)[^\n]*"
+#: A line that holds a copyright statement and nothing else, behind any comment mark; not a sentence of a licence that is wrapped before the word.
+_COPYRIGHT_LINE = r"(^|\n)[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*(copyright(?![ \t]+(?:notices?|holders?|owners?|interests?|laws?)\b)|\(c\)|©)[^\n]*"
+#: The number of a list item: behind the end of a sentence or the text's beginning, whatever lines and marks lie between.
+_ITEM = r"(^|[.:;])([\x00-\x2F\x3A-\x60\x7B-\x7F]*)\b[0-9]{1,2}[.)]([ \t\r\n])"
 #: Licences up to which their table, of some 100 bytes a row, is broadcast.
 BROADCAST_ROWS = 200_000
-_PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All that is no word: of ASCII, and the punctuation of Latin-1, of general use and of CJK (curly quotes, dashes, bullets, wide marks).
+_PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}-\x{BF}\x{2000}-\x{206F}\x{25A0}-\x{25FF}\x{3000}-\x{303F}\x{FEFF}]+"
 
 
 def canonical(text: F.Column) -> F.Column:
-    """Lower case, no copyright lines, one spelling, words of letters and digits joined by one space."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "$1")
+    """Lower case, no copyright lines or numbers of items, one spelling, words of letters and digits joined by one space."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "$1"), _ITEM, "$1$2$3")
     for form, kept in SPELLINGS:
         out = F.replace(out, F.lit(form), F.lit(kept))
     return F.trim(F.regexp_replace(out, _PUNCTUATION, " "))

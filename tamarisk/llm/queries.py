@@ -168,13 +168,17 @@ def _license_sql() -> str:
     from tamarisk.llm import licenses as l
 
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = [(k, v) for k, v in l.TEXTS.items()] + [(k, form.format(name)) for k, names in l.NAMES.items() for name in names for form in l.NOTICES]
+    rows = [(k, v) for k, v in l.TEXTS.items()] + l.full_texts() + [(k, form.format(name)) for k, names in l.NAMES.items() for name in names for form in l.NOTICES]
+    rows = sorted(set(rows))
 
     def digest(x: str) -> str:
-        x = rf"regexp_replace(lower({x}), '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
+        # a word that goes on as `copyright notice` is marked while lines that begin with the bare word are taken out
+        x = rf"regexp_replace(lower({x}), 'copyright([ \t]+(?:notices?|holders?|owners?|interests?|laws?)\b)', 'copy~~right\1', 'g')"
+        x = rf"regexp_replace({x}, '(^|\n)[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
+        x = rf"regexp_replace(replace({x}, 'copy~~right', 'copyright'), '(^|[.:;])([\x00-\x2F\x3A-\x60\x7B-\x7F]*)\b[0-9]{{1,2}}[.)]([ \t\r\n])', '\1\2\3', 'g')"
         for a, b in l.SPELLINGS:
             x = f"replace({x}, {quote(a)}, {quote(b)})"
-        return rf"sha256(trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')))"
+        return rf"sha256(trim(regexp_replace({x}, '{l._PUNCTUATION}', ' ', 'g')))"
 
     return f"""
 WITH k AS (SELECT digest, min(license) AS license FROM (SELECT license, {digest('text')} AS digest FROM (VALUES {', '.join(f'({quote(a)}, {quote(b)})' for a, b in rows)}) AS t(license, text)) GROUP BY digest),

@@ -75,7 +75,7 @@ def test_licenses_in_full(spark):
     owner = "Copyright (c) 2020, Some One"
     rows = [(k, f"{head}{wrap(t or '')}\n") for k, t in body.items() for head in ("", f"{owner}\n\n", f"{titles[k]}\n\n{owner}\n\n", f"{titles[k]}\n\n{owner}\nAll rights reserved.\n\n")]
     rows += [(k, textwrap.fill(t or "", width, break_on_hyphens=False)) for k, t in body.items() for width in (60, 66, 72, 80, 100)]
-    for k, name in [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]:
+    for k, name in [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("LGPL-2.0", "LGPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("GPL-1.0", "GPL-1"), ("MPL-1.1", "MPL-1.1"), ("GFDL-1.2", "GFDL-1.2"), ("GFDL-1.3", "GFDL-1.3"), ("Artistic-1.0", "Artistic"), ("BSD-3-Clause", "BSD")]:
         path = Path("/usr/share/common-licenses", name)
         text = (path if path.exists() else Path(licenses.__file__).parent / "license_texts" / f"{k}.txt").read_text()
         rows += [(k, text), (k, text.replace("[yyyy]", "2020"))]
@@ -85,18 +85,46 @@ def test_licenses_in_full(spark):
     assert {r.doc_id: r.whole_license for r in licenses.scan(frame, licenses.known(spark)).collect()} == {i: k for i, (k, _) in enumerate(rows)}
 
 
+def test_licenses_as_source_files_hold_them(spark):
+    """Curly quotes, bullets for numbers, items on one line, and comment blocks of several styles with their copyright line."""
+    mit, bsd = licenses.TEXTS["MIT"], licenses.TEXTS["BSD-3-Clause"]
+    wrapped = lambda t, mark: "\n".join(f"{mark}{line}" for x in t.split("\n") for line in textwrap.wrap(x, 60, break_on_hyphens=False))
+    owned = lambda t: "MIT License\nCopyright (c) 2020 Some One\n" + t
+    curly = mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u00abAS IS\u00bb")
+    bullets = re.sub(r"(?m)^\d\. ", "* ", bsd)
+    rows = [("MIT", curly), ("BSD-3-Clause", bullets), ("BSD-3-Clause", bullets.replace("* ", "\u2022 ")), ("BSD-3-Clause", re.sub(r"(?m)^(\d)\. ", r"(\1) ", bsd)), ("BSD-3-Clause", bsd.replace("\n", " ")), ("BSD-3-Clause", wrapped(bsd, " * "))]
+    rows += [("MIT", f"/*\n{wrapped(owned(mit), ' * ')}\n */")] + [("MIT", wrapped(owned(mit), mark)) for mark in ("# ", "// ", "-- ", ";; ", "% ")]
+    rows += [(None, "GPL version 2."), ("GPL-2.0", "Licensed under GNU General Public License, version 2."), ("GPL-3.0", "Licensed under GNU General Public License, version 3.")]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.whole_license for r in licenses.scan(frame, licenses.known(spark)).collect()} == {i: k for i, (k, _) in enumerate(rows)}
+
+
 def plain_form(text):
     """A text without copyright lines, in equivalent spellings, lower case and single blanks, made line by line and word by word."""
     kept = []
     for line in (text or "").lower().split("\n"):
-        bare = line.lstrip(" \t")
+        bare = line.lstrip("".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in "\n"))
+        bare = "(c)" if line.lstrip(" \t*#/-;%").startswith("(c)") else bare
         follows = bare[len("copyright") :].strip(" \t").split(" ")[0].rstrip(".,;:") if bare.startswith("copyright") else None
         is_statement = bare.startswith(("(c)", "©")) or follows is not None and not (bare[len("copyright") : len("copyright") + 1] in (" ", "\t") and re.fullmatch(r"(notice|holder|owner|interest|law)s?\b.*", follows))
         kept.append("" if is_statement else line)
     out = "\n".join(kept)
+    # numbers of items: behind the end of a sentence, or at the beginning
+    words, ended = [], True
+    for piece in re.split(r"(\s+)", out):
+        number = piece.strip("".join(c for c in map(chr, range(128)) if not c.isalnum()))
+        if ended and re.fullmatch(r"[^0-9a-z]*\d\d?[.)]", piece):
+            piece = piece.replace(number, "").replace(".", " ").replace(")", " ")
+        if piece.strip() and not re.fullmatch(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]*", piece):
+            ended = re.search(r"[.:;][\x00-\x2f\x3a-\x60\x7b-\x7f]*$", piece) is not None
+        elif re.search("[.:;]", piece):
+            ended = True
+        words.append(piece)
+    out = "".join(words)
     for form, to in licenses.SPELLINGS:
         out = to.join(out.split(form))
-    return " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in out).split())
+    odd = {*range(0xA0, 0xC0), *range(0x2000, 0x2070), *range(0x25A0, 0x2600), *range(0x3000, 0x3040), 0xFEFF}
+    return " ".join(x for x in "".join(c if (c.isalnum() or ord(c) > 127) and ord(c) not in odd else " " for c in out).split(" ") if x)
 
 
 def test_licenses_by_brute_force(spark, sf_dir):
