@@ -39,13 +39,13 @@ BEAM, SAMPLE, TARGET = 256, 256, 0.97
 #: Width of the last beam tried; entry nodes, and how many of them each query starts from.
 WIDEST, ENTRIES, STARTS = 4096, 1024, 8
 #: Edges that a task holds before it cuts reverse lists, and queries that one scan over all nodes serves.
-HELD, SCANNED = 1 << 20, 4096
+HELD, SCANNED = 1 << 18, 4096
 #: Distance of unit vectors that rounding to single precision may hide, with room.
 ROUNDING = 1e-6
 #: Below any nearness, which is the squared distance of unit vectors, negated.
 FARTHEST = -5.0
 #: Pairs that one numpy step compares, and rows of lists merged at once.
-BLOCK, MERGED = 1 << 21, 20_000
+BLOCK, MERGED = 1 << 20, 5_000
 SEED = 11
 
 
