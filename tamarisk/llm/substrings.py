@@ -9,7 +9,8 @@ sequence begins, so equal windows are sampled alike. The prefix of the suffix at
 around it, as one row of consecutive suffixes, and only rows whose prefix occurs in two different texts leave their
 document at all. Prefixes are of variable length: where the rows of a prefix hold more than GROUP_BYTES, their
 suffixes are dealt out by WINDOW words of their own. All suffixes of such a group are under one deep node, of which
-only the smallest document counts, and Spark sums that up before the shuffle. Exact copies are found by digest first.
+only the smallest document counts, and Spark sums that up before the shuffle. Exact copies of texts that have a window are
+found by digest first.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from tamarisk.llm._common import Words, bound_batches, by_group, mix, rolling, s
 
 #: Words of a repeat, and of the prefix that suffixes are dealt out by.
 WINDOW, PREFIX = 50, 16
-#: Bytes of words in the group of one prefix, and rows that a task makes trees of at once (more where a group has more).
-GROUP_BYTES, ROWS = 256 << 10, 2000
+#: Bytes of words in the group of one prefix, which a task can make a tree of, and rows that it makes trees of at once (more where a group has more).
+GROUP_BYTES, ROWS = 4 << 20, 2000
+#: Digests of repeated texts, of some 40 bytes each, that go to every task as a table; more are joined by a shuffle.
+DIGESTS = 200_000
 #: Steps by which sorted suffixes are compared; their sum is the depth that trees are built to.
 STEPS = (32, 32, 16, 8, 4, 2, 1)
 #: Rows of repeated windows of hot prefixes up to which they go to the tasks as one table, of 12 MB at most.
@@ -302,8 +305,11 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     index = stage(_index(source.select("doc_id", "h", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), "text"), kind), "index")
-    first = index.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = stage(index.select("doc_id", "h", "digest").join(first, "digest").select("doc_id", "h", (F.col("doc_id") > F.col("first")).alias("copy")), "copies")
+    # short texts, null and empty ones among them, have no window and so no copies
+    long = index.where(F.col("n_words") >= WINDOW).select("doc_id", "h", "digest")
+    first = stage(long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
+    first = F.broadcast(first) if first.count() <= DIGESTS else first
+    copies = stage(long.join(first, "digest", "left").select("doc_id", "h", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")), "copies")
     anchors = index.select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.prefix", "a.at", "a.size")
     repeated = stage(anchors.groupBy("prefix").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("size").alias("bytes")).where("lo < hi").select("prefix", (F.col("bytes") > GROUP_BYTES).alias("is_hot")), "repeated")
     places = anchors.join(repeated, "prefix").groupBy("doc_id", "h").agg(F.collect_set(F.when(F.col("is_hot"), F.col("at"))).alias("hot"), F.collect_set(F.when(~F.col("is_hot"), F.col("at"))).alias("cold"))
