@@ -5,12 +5,13 @@ step: the class's most frequent words are children of their own, all its other w
 the last classes hold what is left. So P(word | history) = P(child | class, history) down to the word, and for words
 that never become a child of their own, times their add-one relative frequency within the last class.
 
-Every softmax adds hashed weights of the words before: of the last one, of the last but one alone (a skip), and of
-the endings of the last three, each together with the class, so that the history tells the words of a class apart. How many weights there
-are grows with the training tokens, how many levels with the vocabulary. Each worker makes gradient updates over its
+Every softmax adds hashed weights of the words before: of the last one, of the last two together, and of the last but
+one alone (a skip), each together with the class, so that the history tells the words of a class apart; the first class
+also has the endings of the last three. How many weights there are grows with the training tokens, how many levels with
+the vocabulary. Each worker makes gradient updates over its
 own documents from the round's weights; Spark averages the workers' rows, each weighted with how often it was seen.
 A round takes a part of the documents; rounds go on over all parts, and from the first again, until the loss over
-documents that no round takes is flat.
+documents that no round takes is flat. These documents then make up the last round.
 
 Counts are exact over all training documents. A fixed number of frequent words goes to the tasks as a table; the
 others of each document meet the counts in a join.
@@ -37,7 +38,9 @@ FIRST, ENDINGS = 16, 16
 OWN, SHARED = 24, 8
 WIDTH = FIRST + ENDINGS
 #: Features of a history; minibatch in tokens; step size, and what it is damped by beside the times a row was seen.
-FEATURES, MINIBATCH, STEP, DAMPING = 3, 8192, 0.5, 4
+FEATURES, MINIBATCH, STEP, DAMPING = 4, 8192, 0.5, 4
+#: The feature that only the first class has: endings say which ending comes next, and little about the words that share it.
+SHAPE = 3
 #: Steps of a minibatch that meet one row, up to which they are added place by place, which is faster for many rows.
 FEW = 8
 #: Weight rows of a feature: this many times the fourth root of the training tokens, to the nearest power of two.
@@ -48,10 +51,11 @@ PER_ROOT, DEEPEST = 1.5, 5
 PARTITIONS_A_WORKER = 16
 #: Parts of the documents that rounds take in turn; rounds end, after one over each, when the loss falls by less than this share.
 PARTS, SETTLED = 2, 0.03
-#: One training document in so many only tells when to stop; it is counted, but no gradient comes from it.
+#: One training document in so many tells when to stop, and is learnt from after that.
 HELD_BACK_ONE_IN = 32
 #: Words that go to tasks as a table: a fixed number whatever the corpus.
 HEAD = 1 << 17
+_GOLDEN = 0x9E3779B97F4A7C15
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
 _IMPOSSIBLE = -20.0
@@ -146,9 +150,9 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, hashes), max(len(self.head) - 1, 0))
         return at, self.head[at] == hashes if len(self.head) else np.zeros(len(hashes), bool)
 
-    def steps(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def steps(self, t: Tokens, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token, class, child) of every softmax on the way to each token, and each token's last class, -1 for words that are children."""
-        at, there = self.known(t.hashes)
+        at, there = self.known(t.hashes) if known is None else known
         level = np.where(there, self.level[at] if len(self.head) else 0, self.depth + 1)
         child = np.where(there, self.child[at] if len(self.head) else 0, 0)
         code, begins = codes(t.hashes), level_nodes(self.depth)
@@ -172,7 +176,7 @@ class Model:
             shape[ok] = shape[ok] * np.uint64(ENDINGS + 1) + t.endings[ok - back].astype(np.uint64) + np.uint64(1)
             if h is not None:
                 h[ok] = t.hashes[ok - back]
-        return np.stack([mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(shape + np.uint64(3))])
+        return np.stack([mix(one + np.uint64(1)), mix(mix(one) + two * np.uint64(_GOLDEN) + np.uint64(4)), mix(two + np.uint64(2)), mix(shape + np.uint64(3))])
 
     def at_rows(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Weight rows of features at classes."""
@@ -182,8 +186,12 @@ class Model:
     def logits(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Biases and weights of all children, for each step."""
         z = self.bias[nodes]
-        for r in rows:
-            z += self.weights[r]
+        for i, r in enumerate(rows):
+            if i == SHAPE:
+                first = np.flatnonzero(nodes == 0)
+                z[first] += self.weights[r[first]]
+            else:
+                z += self.weights[r]
         return np.minimum(z, 80, out=z)  # beyond, single precision overflows
 
     def log_probabilities(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> np.ndarray:
@@ -210,8 +218,12 @@ class Model:
         np.exp(gradient, out=gradient)
         gradient *= (-1 / gradient.sum(axis=1))[:, None]
         gradient[chosen] += 1
-        for r in rows:
-            order = np.argsort(r)
+        for i, r in enumerate(rows):
+            if i == SHAPE:
+                first = np.flatnonzero(nodes == 0)
+                order = first[np.argsort(r[first])]
+            else:
+                order = np.argsort(r)
             which = r[order]
             begins = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
             which, counts = which[begins], np.diff(np.concatenate([begins, [len(order)]]))
@@ -219,8 +231,8 @@ class Model:
             for k in range(1, FEW):
                 more = np.flatnonzero((counts > k) & (counts <= FEW))
                 sums[more] += gradient[order[begins[more] + k]]
-            for i in np.flatnonzero(counts > FEW):
-                sums[i] = gradient[order[begins[i] : begins[i] + counts[i]]].sum(axis=0)
+            for k in np.flatnonzero(counts > FEW):
+                sums[k] = gradient[order[begins[k] : begins[k] + counts[k]]].sum(axis=0)
             self.seen[which] += counts
             sums *= (STEP / np.sqrt(self.seen[which] + DAMPING))[:, None].astype(np.float32)
             self.weights[which] += sums
@@ -314,7 +326,7 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
         if i >= PARTS - 1:
             loss = _loss(back, model)
             if i >= PARTS and loss >= before * (1 - SETTLED):
-                return model
+                return _trained(back, model)
             before = loss
 
 
@@ -332,7 +344,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             n = len(t.hashes)
             at, known = own.known(t.hashes)
             value = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
-            steps = own.steps(t)
+            steps = own.steps(t, (at, known))
             bucket = steps[3]
             # a word that is no child of its own has its count within its last class; that of words beyond the table joins later
             chosen = np.where(bucket >= 0, value - denominators[bucket], 0.0)
