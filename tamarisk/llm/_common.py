@@ -195,5 +195,7 @@ def by_group(df: DataFrame, key: list[str], f: Callable, schema: str, at_least:
                 n -= cut
         if n:
             yield from f(pa.Table.from_batches(held).combine_chunks())
+        held = []
+        pa.default_memory_pool().release_unused()  # the worker lives on beside those of other stages
 
     return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, schema)

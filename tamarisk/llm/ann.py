@@ -116,13 +116,25 @@ _LISTS = "id long, others binary, sims binary, fresh binary"
 DIRECT = 128
 
 
-def merged(lists: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """One list for each id: the k nearest of all its lists."""
+def merged(lists: DataFrame, k: int = NEIGHBOURS, opened: str | None = None) -> DataFrame:
+    """One list for each id: the k nearest of all its lists.
+
+    `opened`: edges (id, other, fresh) in place of lists, of "all" ids or of those with a "fresh" edge. They are opened
+    where they are merged, as each further Python function in a stage is a worker more for each core.
+    """
 
     def f(found: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield _lists(*_best(*_edges_of(found), k))
+        ids, others, sims, fresh = _best(*_edges_of(found), k)
+        if opened is None:
+            yield _lists(ids, others, sims, fresh)
+            return
+        if opened == "fresh":
+            keep = np.isin(ids, ids[fresh > 0])
+            ids, others, fresh = ids[keep], others[keep], fresh[keep]
+        for a in range(0, len(ids), 50_000):
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[a : a + 50_000]), "other": pa.array(others[a : a + 50_000]), "fresh": pa.array(fresh[a : a + 50_000] > 0)})
 
-    return by_group(lists, ["id"], f, _LISTS, MERGED)
+    return by_group(lists, ["id"], f, _LISTS if opened is None else "id long, other long, fresh boolean", MERGED)
 
 
 def _sums(cells: DataFrame, key: list[str], dim: int) -> DataFrame:
@@ -218,8 +230,8 @@ def _compared(found: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids[begin:end]), "others": _packed(ids[a:b][near]), "sims": _packed(np.take_along_axis(sims, near, 1)), "fresh": pa.array([b"\x01" * k] * (end - begin), pa.binary())})
 
 
-def _around(graph: DataFrame) -> DataFrame:
-    """Each node's neighbours and its nearest reverse neighbours: (id, others, sims, fresh)."""
+def _around(graph: DataFrame, opened: str | None = None) -> DataFrame:
+    """Each node's neighbours and its nearest reverse neighbours: (id, others, sims, fresh), or edges as merged() opens them."""
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -245,19 +257,7 @@ def _around(graph: DataFrame) -> DataFrame:
     if len(graph.inputFiles()) > DIRECT:  # a hub has a list from each task: these are cut once more on the way
         some = back.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(32)).cast("long"))
         back = by_group(some, ["id", "deal"], lambda found: iter([_lists(*_best(*_edges_of(found), REVERSE))]), _LISTS, MERGED)
-    return merged(graph.unionByName(merged(back, REVERSE)), NEIGHBOURS + REVERSE)
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, others, _, fresh = _edges_of(pa.Table.from_batches([batch]))
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "other": pa.array(others), "fresh": pa.array(fresh > 0)})
-
-
-def _with_fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists around which something is new."""
-    for batch in batches:
-        yield batch.filter(pa.array([any(b) for b in batch.column("fresh").to_pylist()], pa.bool_()))
+    return merged(graph.unionByName(merged(back, REVERSE)), NEIGHBOURS + REVERSE, opened)
 
 
 def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -270,8 +270,7 @@ def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
     bars = graph.mapInArrow(last, "id long, least double")
     known = nodes.join(bars, "id").select(F.col("id").alias("other"), "u", "least")
-    around = _around(graph).mapInArrow(_with_fresh, _LISTS).mapInArrow(_opened, "id long, other long, fresh boolean")
-    met = around.join(known, "other").select("id", "other", "u", "least", "fresh")
+    met = _around(graph, "fresh").join(known, "other").select("id", "other", "u", "least", "fresh")
 
     def f(found: pa.Table) -> Iterator[pa.RecordBatch]:
         at, others, bars, fresh = (np.asarray(found.column(c)) for c in ("id", "other", "least", "fresh"))
@@ -367,7 +366,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_vectors(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, others, near): each node's neighbours and reverse neighbours, with their vectors packed in the same order."""
-    met = _around(graph).mapInArrow(_opened, "id long, other long, fresh boolean").join(nodes.select(F.col("id").alias("other"), "u"), "other")
+    met = _around(graph, "all").join(nodes.select(F.col("id").alias("other"), "u"), "other")
 
     def f(found: pa.Table) -> Iterator[pa.RecordBatch]:
         at, others, u = np.asarray(found.column("id")), np.asarray(found.column("other")), found.column("u").to_pylist()
