@@ -1,4 +1,5 @@
 import datetime
+import inspect
 import struct
 import zipfile
 import zlib
@@ -77,6 +78,66 @@ def test_store_sees_changed_inputs(spark, tmp_path):
     assert s.make("total").first().s == 10 and runs == ["total", "total"]
 
 
+def test_a_new_year_costs_a_year(spark, tmp_path):
+    days, at = f"file://{tmp_path}/days", f"file://{tmp_path}/store"
+    write = lambda rows, mode="overwrite": spark.createDataFrame(rows, "year int, v double").write.mode(mode).partitionBy("year").parquet(days)
+    write([(2000, 1.0), (2000, 5.0), (2001, 2.0)])
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        runs.add(1)
+        return v
+
+    s = store.Store(spark, at, {"days": days})
+
+    @s.node(by="year")
+    def most(days):
+        return days.withColumn("v", F.udf(counted, "double")("v")).groupBy("year").agg(F.max("v").alias("most"))
+
+    def made():
+        before = runs.value
+        rows = sorted((r.year, r.most) for r in s.make("most").collect())
+        return rows, runs.value - before
+
+    assert made() == ([(2000, 5.0), (2001, 2.0)], 3)
+    assert made() == ([(2000, 5.0), (2001, 2.0)], 0)
+    write([(2002, 7.0)], "append")
+    assert made() == ([(2000, 5.0), (2001, 2.0), (2002, 7.0)], 1)
+    write([(2001, 9.0)], "append")
+    assert made() == ([(2000, 5.0), (2001, 9.0), (2002, 7.0)], 2)
+    s._drop(f"{days}/year=2000")
+    assert made() == ([(2001, 9.0), (2002, 7.0)], 0)
+    assert s.metadata("most")["bytes"] > 0
+
+
+def test_store_keeps_errors_and_warnings(spark, tmp_path):
+    import warnings
+
+    s, fail = store.Store(spark, f"file://{tmp_path}/store"), [True]
+
+    @s.node
+    def odd():
+        warnings.warn("a few rows look odd")
+        if fail[0]:
+            raise ValueError("no rows")
+        return spark.range(3)
+
+    with pytest.raises(ValueError):
+        s.make("odd")
+    assert s.metadata("odd")["error"] == "ValueError: no rows"
+    fail[0] = False
+    assert s.make("odd").count() == 3
+    assert (s.metadata("odd")["error"], s.metadata("odd")["warnings"]) == (None, ["a few rows look odd"]) and s.metadata("odd")["bytes"] > 0
+
+
+def test_store_sees_functions_of_other_modules():
+    from tamarisk.operators import raster
+    from tamarisk.plans import flood
+
+    found = "".join(store._sources(flood.zonal_exposure))
+    assert "def layer_max(" in found and "def sum_exactly(" in found and inspect.getsource(raster.resample_bilinear) in found
+
+
 def test_paths_need_a_root(monkeypatch):
     monkeypatch.delenv("TAMARISK_DATA_DIR", raising=False)
     assert tables.data_path("a", "b.csv", root="/data/") == "/data/a/b.csv"
