@@ -185,13 +185,14 @@ class Model:
 
     def logits(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Biases and weights of all children, for each step."""
-        z = self.bias[nodes]
+        z = self.bias.take(nodes, axis=0)
+        held = np.empty_like(z)
         for i, r in enumerate(rows):
             if i == SHAPE:
                 first = np.flatnonzero(nodes == 0)
-                z[first] += self.weights[r[first]]
+                z[first] += self.weights.take(r[first], axis=0)
             else:
-                z += self.weights[r]
+                z += self.weights.take(r, axis=0, out=held, mode="clip")  # rows are within the table; clipping saves a copy
         return np.minimum(z, 80, out=z)  # beyond, single precision overflows
 
     def log_probabilities(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> np.ndarray:
@@ -227,10 +228,13 @@ class Model:
             which = r[order]
             begins = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
             which, counts = which[begins], np.diff(np.concatenate([begins, [len(order)]]))
-            sums = gradient[order[begins]]
+            sums = gradient.take(order[begins], axis=0)
+            few = np.flatnonzero((counts > 1) & (counts <= FEW))
             for k in range(1, FEW):
-                more = np.flatnonzero((counts > k) & (counts <= FEW))
-                sums[more] += gradient[order[begins[more] + k]]
+                few = few[counts[few] > k]
+                if not len(few):
+                    break
+                sums[few] += gradient.take(order[begins[few] + k], axis=0)
             for k in np.flatnonzero(counts > FEW):
                 sums[k] = gradient[order[begins[k] : begins[k] + counts[k]]].sum(axis=0)
             self.seen[which] += counts
