@@ -106,7 +106,7 @@ FILES = {
 #: A line that holds a copyright statement and nothing else, behind any comment mark; not a sentence of a licence that is wrapped before the word.
 _COPYRIGHT_LINE = r"(^|\n)[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*(copyright(?![ \t]+(?:notices?|holders?|owners?|interests?|laws?)\b)|\(c\)|©)[^\n]*"
 #: The number of a list item: behind the end of a sentence or the text's beginning, whatever lines and marks lie between.
-_ITEM = r"(^|[.:;])([\x00-\x2F\x3A-\x60\x7B-\x7F]*)\b[0-9]{1,2}[.)]([ \t\r\n])"
+_ITEM = r"(^|[.:;])([\x00-\x2D\x2F\x3C-\x60\x7B-\x7F]*)\b[0-9]{1,2}[.)]([ \t\r\n])"  # marks up to the last one, so that runs of dots cost no more
 #: Licences up to which their table, of some 100 bytes a row, is broadcast.
 BROADCAST_ROWS = 200_000
 #: All that is no word: of ASCII, and the punctuation of Latin-1, of general use and of CJK (curly quotes, dashes, bullets, wide marks).

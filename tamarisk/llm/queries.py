@@ -175,7 +175,7 @@ def _license_sql() -> str:
         # a word that goes on as `copyright notice` is marked while lines that begin with the bare word are taken out
         x = rf"regexp_replace(lower({x}), 'copyright([ \t]+(?:notices?|holders?|owners?|interests?|laws?)\b)', 'copy~~right\1', 'g')"
         x = rf"regexp_replace({x}, '(^|\n)[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
-        x = rf"regexp_replace(replace({x}, 'copy~~right', 'copyright'), '(^|[.:;])([\x00-\x2F\x3A-\x60\x7B-\x7F]*)\b[0-9]{{1,2}}[.)]([ \t\r\n])', '\1\2\3', 'g')"
+        x = rf"regexp_replace(replace({x}, 'copy~~right', 'copyright'), '(^|[.:;])([\x00-\x2D\x2F\x3C-\x60\x7B-\x7F]*)\b[0-9]{{1,2}}[.)]([ \t\r\n])', '\1\2\3', 'g')"
         for a, b in l.SPELLINGS:
             x = f"replace({x}, {quote(a)}, {quote(b)})"
         return rf"sha256(trim(regexp_replace({x}, '{l._PUNCTUATION}', ' ', 'g')))"
