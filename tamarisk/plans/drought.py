@@ -14,6 +14,8 @@ from tamarisk.plans.inputs import ctes
 # Seasons shown apart from the long-term average, and years of the rain and vegetation records.
 HIGHLIGHTED = ("2015/2016", "2022/2023", "2023/2024")
 RAIN_YEARS, NDVI_YEARS = 45, 23
+#: Districts up to which their table, of some 100 bytes a row, is broadcast.
+BROADCAST_ROWS = 1 << 20
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -29,7 +31,8 @@ def query(sql: str):
 
 def province_medians(readings: DataFrame, dims: DataFrame, measures: dict[str, str]) -> DataFrame:
     """Median of each measure (new name: text column) by province and date; what is no number counts as unknown."""
-    joined = relational.join_suffixed(readings, dims, ["adm2_pcode"], "_shp")
+    few = dims.count() <= BROADCAST_ROWS
+    joined = relational.join_suffixed(readings, F.broadcast(dims) if few else dims, ["adm2_pcode"], "_shp")
     numbers = joined.withColumns({c: stats.as_number(F.col(c)) for c in measures.values()})
     return ordered.medians(numbers, ["adm1_pcode", "adm1_pt", "date"], {n: F.col(c) for n, c in measures.items()})
 

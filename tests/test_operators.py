@@ -229,6 +229,18 @@ def test_large_groups_have_no_single_window(spark, monkeypatch):
     assert sorted(r["rank"] for r in out.collect()) == [float(i) for i in range(1, 5001)]
 
 
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Whatever the number of shuffle partitions (4 here); half of all rows have one value, and a group has none."""
+    import statistics
+
+    monkeypatch.setattr(ordered, "ROWS", 100, raising=False)
+    df = spark.range(5000).select((F.col("id") % 40).alias("k"), F.when(F.col("id") % 40 != 7, F.when(F.col("id") % 80 < 40, 3.0).otherwise(F.col("id") / 2)).alias("x"))
+    out = ordered.medians(df, ["k"], {"m": F.col("x")})
+    assert out.rdd.getNumPartitions() >= 50
+    own = lambda k: [3.0 if i % 80 < 40 else i / 2 for i in range(k, 5000, 40)]
+    assert {r.k: r.m for r in out.collect()} == {k: None if k == 7 else statistics.median(own(k)) for k in range(40)}
+
+
 def test_full_outer_join_with_a_hot_key(spark, monkeypatch):
     """Half of all rows on one key, with and without partners; parts meet once."""
     left = [("" if i % 2 else f"k{i % 7}", i) for i in range(200)] + [(None, 900), ("only left", 901)]
