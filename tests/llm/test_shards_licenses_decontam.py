@@ -67,6 +67,15 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty, licenses.known(spark)).count() == 0
 
 
+def test_licenses_bring_a_line_to_its_form_once(spark):
+    """In the optimized plan, one form of whole texts and one of lines; a filter on digests must not hold another."""
+    docs = spark.createDataFrame([(1, "text\n\nMIT License")], "doc_id long, text string")
+    out = licenses.scan(docs, licenses.known(spark))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sub-license") == 2
+    assert [(r.whole_license, r.n_license_lines) for r in out.collect()] == [(None, 1)]
+
+
 def test_licenses_in_full(spark):
     """As files hold them: wrapped, with and without title, copyright and reserved rights; texts from outside the package where the system has them."""
     wrap = lambda t: "\n\n".join(textwrap.fill(x, 76, break_on_hyphens=False) for x in t.split("\n"))
