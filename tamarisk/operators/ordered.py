@@ -20,6 +20,8 @@ from tamarisk.operators.staging import settled
 SORTED = 1 << 20
 #: Rows, one for each value, that a task gets on average.
 ROWS = 1 << 18
+#: Files that so many rows are written to at least.
+FILES = 4
 
 
 def parts_for(df: DataFrame, rows: int) -> int:
@@ -35,9 +37,10 @@ def counted(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> tuple
     """How many rows of each group have a value: keys, __which (column), __v (null for unknown), n; and tasks for them.
 
     Rows are dealt evenly and counted within a task, then by value, so that a value that many rows have is few rows in
-    the task where its counts meet.
+    the task where its counts meet. The tasks that deal them hold what they read until it is sorted by receiver, and so
+    read small files.
     """
-    wide = settled(df.select(*keys, *[value.alias(f"__v{i}") for i, value in enumerate(columns.values())]), plain=True)
+    wide = settled(df.select(*keys, *[value.alias(f"__v{i}") for i, value in enumerate(columns.values())]), plain=True, rows=ROWS // FILES)
     parts = parts_for(df, wide.count() * len(columns))
     pairs = F.array(*[F.struct(F.lit(name).alias("which"), F.col(f"__v{i}").alias("v")) for i, name in enumerate(columns)])
     long = binned(wide, parts, [F.monotonically_increasing_id()]).select(*keys, "__bin", F.explode(pairs).alias("__p"))

@@ -241,6 +241,17 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     assert {r.k: r.m for r in out.collect()} == {k: None if k == 7 else statistics.median(own(k)) for k in range(40)}
 
 
+def test_tasks_that_deal_rows_read_small_files(spark, monkeypatch):
+    """A task that deals rows out holds what it reads; rows pack well here, so one split of the files would hold them all."""
+    written = []
+    kept = ordered.settled
+    monkeypatch.setattr(ordered, "ROWS", 4000)
+    monkeypatch.setattr(ordered, "settled", lambda *a, **more: written.append(kept(*a, **more)) or written[-1])
+    out = ordered.medians(spark.range(0, 20_000, 1, 1).select(F.lit("k").alias("k"), F.lit(1.5).alias("x")), ["k"], {"m": F.col("x")})
+    assert [tuple(r) for r in out.collect()] == [("k", 1.5)]
+    assert written[0].count() == 20_000 and max(r["count"] for r in written[0].groupBy(F.input_file_name()).count().collect()) <= 1000
+
+
 def test_full_outer_join_with_a_hot_key(spark, monkeypatch):
     """Half of all rows on one key, with and without partners; parts meet once."""
     left = [("" if i % 2 else f"k{i % 7}", i) for i in range(200)] + [(None, 900), ("only left", 901)]
