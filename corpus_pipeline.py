@@ -51,8 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text", F.sha2("text", 256).alias("_sha")), path, pattern)
-    back = bpe.decode(ids, path, pattern)
+    back = bpe.encode(docs.select("doc_id", "lang", "source", "text", F.sha2("text", 256).alias("_sha")), path, pattern, data="decoded_bytes")
     n = (F.octet_length("token_ids") / 4).cast("long")
     return back.select("doc_id", "lang", "source", n.alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded_bytes", 256).alias("decoded_sha256"), F.sha2("decoded_bytes", 256).eqNullSafe(F.coalesce("_sha", F.sha2(F.lit(""), 256))).alias("round_trip"))
 

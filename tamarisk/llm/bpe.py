@@ -11,7 +11,7 @@ import base64
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -150,22 +150,30 @@ def _schema_with(df: DataFrame, drop: list[str], *fields: T.StructField) -> T.St
     return T.StructType([f for f in df.schema.fields if f.name not in drop] + list(fields))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", offsets: str | None = None, keep_text: bool = False) -> DataFrame:
+def _joined(packed: bytes, of: Callable[[int], bytes]) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(map(of, np.frombuffer(packed, "<u4").tolist()))
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", offsets: str | None = None, keep_text: bool = False, data: str | None = None) -> DataFrame:
     """Adds the ids of each whole text as packed little-endian unsigned 32-bit integers (binary).
 
     A null text counts as empty and has no ids. No special tokens are added, and their strings are
     ordinary text. `offsets`: a column of packed int32 pairs, each token's begin and end in characters;
-    tokens that split a character share that character's span. A column of the same name is replaced;
-    all others, whatever their names, pass through. Each row stands for itself: repeated rows and ids
+    tokens that split a character share that character's span. `data`: a column of the bytes that the ids stand
+    for, as decode() gives them, by the same worker: one after it would be a second one for each core, with tables of
+    its own. A column of the same name is replaced; all others, whatever their names, pass through. Each row stands for itself: repeated rows and ids
     need no care. An empty table gives an empty one with the same columns.
     """
     bound_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))  # as large as the vocabulary, whatever the data
-    drop = [ids, *([offsets] if offsets else []), *([] if keep_text else [text])]
-    schema = _schema_with(df, drop, T.StructField(ids, T.BinaryType()), *([T.StructField(offsets, T.BinaryType())] if offsets else []))
+    more = [c for c in (offsets, data) if c]
+    drop = [ids, *more, *([] if keep_text else [text])]
+    schema = _schema_with(df, drop, *[T.StructField(c, T.BinaryType()) for c in (ids, *more)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, pack = _loaded(shipped.value), _encoder(shipped.value, pattern)
+        of = _byte_table(shipped.value).__getitem__ if data else None
         for whole in batches:
             for begin in range(0, whole.num_rows, PART_ROWS):
                 batch = whole.slice(begin, PART_ROWS)
@@ -176,6 +184,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 arrays[ids] = pa.array(packed, pa.binary())
                 if offsets:
                     arrays[offsets] = pa.array(spans, pa.binary())
+                if data:
+                    arrays[data] = pa.array([_joined(p, of) for p in packed], pa.binary())
                 yield pa.RecordBatch.from_pydict(arrays)
 
     return df.mapInArrow(work, schema)
@@ -198,7 +208,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", data:
         for whole in batches:
             for begin in range(0, whole.num_rows, PART_ROWS):
                 batch = whole.slice(begin, PART_ROWS)
-                found = [None if p is None else b"".join(map(of, np.frombuffer(p, "<u4").tolist())) for p in batch.column(ids).to_pylist()]
+                found = [None if p is None else _joined(p, of) for p in batch.column(ids).to_pylist()]
                 arrays = {n: batch.column(n) for n in batch.schema.names if n not in drop}
                 arrays[data] = pa.array(found, pa.binary())
                 if text:

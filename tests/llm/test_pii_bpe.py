@@ -247,3 +247,12 @@ def test_split_characters(spark):
     assert len(ids) > 1
     frame = spark.createDataFrame([(np.array(ids, "<u4").tobytes(),), (np.array(ids[:1], "<u4").tobytes(),), (None,)], "token_ids binary")
     assert [r.t for r in bpe.decode(frame, PATH, PATTERN, text="t").collect()] == ["漢", "�", None]
+
+
+def test_decoded_by_the_same_worker(spark, docs):
+    both = bpe.encode(docs.select("doc_id", "text"), PATH, PATTERN, data="decoded_bytes")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    want = bpe.decode(bpe.encode(docs.select("doc_id", "text"), PATH, PATTERN), PATH, PATTERN)
+    key = lambda r: (str(r.doc_id), bytes(r.token_ids), bytes(r.decoded_bytes))
+    assert sorted(map(key, both.select(want.columns).collect())) == sorted(map(key, want.collect()))
