@@ -25,7 +25,6 @@ from itertools import count
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,7 @@ FEATURES, MINIBATCH, STEP, DAMPING = 4, 8192, 0.5, 4
 #: The feature that only the first class has: endings say which ending comes next, and little about the words that share it.
 SHAPE = 3
 #: Steps of a minibatch that meet one row, up to which they are added place by place, which is faster for many rows.
-FEW = 8
+FEW = 16
 #: Weight rows of a feature: this many times the fourth root of the training tokens, to the nearest power of two.
 ROWS_PER_ROOT = 640
 #: Words that are children of their own are at least so many times the square root of all distinct ones, by more levels; five at most, for a table of HEAD words.
@@ -59,6 +58,9 @@ _GOLDEN = 0x9E3779B97F4A7C15
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
 _IMPOSSIBLE = -20.0
+_ONES = np.ones(WIDTH, np.float32)
+#: A minibatch has a step for each level of its tokens at most, so its steps' places take so many bits.
+PLACE_BITS = 20
 
 
 class Tokens(NamedTuple):
@@ -124,6 +126,18 @@ class Model:
             own = rank < OWN
             self.level[left[own]], self.child[left[own]] = level, rank[own]
 
+    def packed(self) -> Model:
+        """To ship: half precision holds the weights as they are, as the means of a round come in it."""
+        small = copy.copy(self)
+        small.weights = self.weights.astype(np.float16)
+        return small
+
+    def opened(self) -> Model:
+        """A worker's own copy of a packed model."""
+        own = copy.copy(self)
+        own.weights, own.seen = self.weights.astype(np.float32), self.seen.copy()
+        return own
+
     def set_counts(self, bucket: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
         """From tokens and distinct words of last classes, without words that are children of their own: biases and denominators."""
         begins = level_nodes(self.depth)
@@ -181,7 +195,7 @@ class Model:
     def at_rows(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Weight rows of features at classes."""
         own = mix(nodes.astype(np.uint64) + np.uint64(0x51ED27))
-        return np.stack([((mix(k ^ own) >> np.uint64(20)) % np.uint64(self.rows)).astype(np.int32) + np.int32(i * self.rows) for i, k in enumerate(keys)])
+        return np.stack([((mix(k ^ own) >> np.uint64(20)) & np.uint64(self.rows - 1)).astype(np.int32) + np.int32(i * self.rows) for i, k in enumerate(keys)])
 
     def logits(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Biases and weights of all children, for each step."""
@@ -199,7 +213,7 @@ class Model:
         """The natural log of each step's probability."""
         z = self.logits(rows, nodes)
         taken = z[np.arange(len(children)), children]
-        return taken - np.log(np.exp(z, out=z).sum(axis=1))
+        return taken - np.log(np.exp(z, out=z) @ _ONES)
 
     def batches(self, t: Tokens, steps: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, tokens, classes, children) of the steps to MINIBATCH tokens at a time, each step once."""
@@ -217,26 +231,29 @@ class Model:
         chosen = np.arange(len(children)), children
         gradient = self.logits(rows, nodes)
         np.exp(gradient, out=gradient)
-        gradient *= (-1 / gradient.sum(axis=1))[:, None]
+        gradient *= (-1 / (gradient @ _ONES))[:, None]
         gradient[chosen] += 1
+        place = np.arange(len(children))
         for i, r in enumerate(rows):
-            if i == SHAPE:
-                first = np.flatnonzero(nodes == 0)
-                order = first[np.argsort(r[first])]
-            else:
-                order = np.argsort(r)
-            which = r[order]
+            at = np.flatnonzero(nodes == 0) if i == SHAPE else place
+            packed = np.sort(r[at].astype(np.int64) << PLACE_BITS | at)
+            order, which = packed & ((1 << PLACE_BITS) - 1), packed >> PLACE_BITS
             begins = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
             which, counts = which[begins], np.diff(np.concatenate([begins, [len(order)]]))
             sums = gradient.take(order[begins], axis=0)
             few = np.flatnonzero((counts > 1) & (counts <= FEW))
-            for k in range(1, FEW):
-                few = few[counts[few] > k]
-                if not len(few):
-                    break
-                sums[few] += gradient.take(order[begins[few] + k], axis=0)
-            for k in np.flatnonzero(counts > FEW):
-                sums[k] = gradient[order[begins[k] : begins[k] + counts[k]]].sum(axis=0)
+            few = few[np.argsort(-counts[few].astype(np.int16), kind="stable")]
+            part, first = sums[few], begins[few]
+            for k, n in enumerate(np.searchsorted(-counts[few], -np.arange(1, FEW), side="left").tolist(), 1):
+                part[:n] += gradient.take(order[first[:n] + k], axis=0)  # those met more than k times
+            sums[few] = part
+            many = counts > FEW
+            if many.any():
+                held = gradient.take(order[np.repeat(many, counts)], axis=0)
+                ends = np.cumsum(counts[many])
+                ones = np.ones(counts.max(), np.float32)
+                for k, n, end in zip(np.flatnonzero(many).tolist(), counts[many].tolist(), ends.tolist()):
+                    np.matmul(ones[:n], held[end - n : end], out=sums[k])  # a sum of rows, faster than sum()
             self.seen[which] += counts
             sums *= (STEP / np.sqrt(self.seen[which] + DAMPING))[:, None].astype(np.float32)
             self.weights[which] += sums
@@ -260,11 +277,10 @@ def _trained(docs: DataFrame, model: Model) -> Model:
     A worker sends every row that it has seen, so there are fewer workers than partitions.
     """
     sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast(model)
+    shipped = sc.broadcast(model.packed())
 
     def updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = copy.copy(shipped.value)
-        own.weights, own.seen = own.weights.copy(), own.seen.copy()
+        own = shipped.value.opened()
         for batch in slices(batches):
             for rows, _, nodes, children in own.batches(tokens(batch.column("text"))):
                 own.update(rows, nodes, children)
@@ -298,13 +314,14 @@ def _trained(docs: DataFrame, model: Model) -> Model:
 
 def _loss(docs: DataFrame, model: Model) -> float:
     """The mean loss of a token in nats, as far as it hangs on the weights; 0 without documents."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value.opened()
         for batch in slices(batches):
             t, loss = tokens(batch.column("text")), 0.0
-            for rows, _, nodes, children in shipped.value.batches(t):
-                loss -= float(shipped.value.log_probabilities(rows, nodes, children).sum())
+            for rows, _, nodes, children in own.batches(t):
+                loss -= float(own.log_probabilities(rows, nodes, children).sum())
             yield pa.RecordBatch.from_pydict({"loss": pa.array([loss]), "n": pa.array([len(t.hashes)])})
 
     loss, n = docs.select("text").mapInArrow(work, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
@@ -318,7 +335,7 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
     model = Model(head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), head["ending"].to_numpy(), n_distinct, n_all)
     placed = model.head[model.level <= model.depth].view(np.int64)
-    own = train.sparkSession.createDataFrame(pd.DataFrame({"word": placed}), "word long")  # HEAD at most
+    own = train.sparkSession.createDataFrame(pa.table({"word": placed}))  # HEAD at most
     bucket = F.col("ending").cast("long") * SHARED ** (model.depth - 1) + F.pmod("code", F.lit(SHARED ** (model.depth - 1)))
     totals = vocabulary.join(F.broadcast(own), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # a row for each last class
     model.set_counts(totals["bucket"].to_numpy(np.int64), totals["n"].to_numpy(float), totals["v"].to_numpy(float))
@@ -336,12 +353,12 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: tokens, summed logs of steps within denominators, and of the words' counts as far as the table goes; the others in `tail`."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(model.packed())
     tail = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())]))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("step_sum", T.DoubleType()), T.StructField("head_sum", T.DoubleType()), T.StructField("head_known", T.LongType()), T.StructField("tail", tail)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = shipped.value.opened()
         logs, denominators = np.log10(own.head_counts + 1.0), np.log10(own.denominators)
         for batch in slices(batches):
             t = tokens(batch.column("text"))

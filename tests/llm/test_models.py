@@ -306,3 +306,13 @@ def test_crowded_cells_are_parted(spark, monkeypatch):
     cells = ann._cells(nodes, 600, 8)
     assert cells.groupBy("cell", "part").count().agg(F.max("count")).first()[0] <= 3 * 20
     assert cells.where("part > 0").count() == 0 and cells.groupBy("id").count().agg(F.min("count"), F.max("count")).first()[:] == (8, 8)
+
+
+def test_shipped_weights_are_whole(spark):
+    """Half precision holds all weights that a round gives, so the shipped model is the model."""
+    from tamarisk.llm import lm
+
+    train = spark.createDataFrame([(f"a b c{i % 7} d {i % 5} e",) for i in range(200)], "text string")
+    model = lm.fit(train, lm.stage(lm._counts(train), "vocabulary"))
+    small = model.packed()
+    assert model.weights.any() and small.weights.itemsize == 2 and (small.opened().weights == model.weights).all()
