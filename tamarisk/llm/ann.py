@@ -38,8 +38,10 @@ SETTLED = 0.02
 BEAM, SAMPLE, TARGET = 256, 256, 0.97
 #: Width of the last beam tried; entry nodes, and how many of them each query starts from.
 WIDEST, ENTRIES, STARTS = 4096, 1024, 8
-#: Edges that a task holds before it cuts reverse lists, and queries that one scan over all nodes serves.
+#: Edges that a task holds before it cuts reverse lists and sends them, and queries that one scan over all nodes serves.
 HELD, SCANNED = 1 << 18, 4096
+#: Nodes of a bucket in which the edges around them meet.
+BUCKET = 8192
 #: Distance of unit vectors that rounding to single precision may hide, with room.
 ROUNDING = 1e-6
 #: Below any nearness, which is the squared distance of unit vectors, negated.
@@ -112,29 +114,27 @@ def _lists(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, fresh: np.ndar
 
 
 _LISTS = "id long, others binary, sims binary, fresh binary"
-#: Files of a graph up to which the lists of one id come from few enough tasks to be merged at once.
-DIRECT = 128
+_OPENED = "id long, other long, fresh boolean"
 
 
-def merged(lists: DataFrame, k: int = NEIGHBOURS, opened: str | None = None) -> DataFrame:
-    """One list for each id: the k nearest of all its lists.
+def _handed_on(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, fresh: np.ndarray, opened: str | None) -> Iterator[pa.RecordBatch]:
+    """Edges that are sorted by id, as lists; or `opened`, as edges of "all" ids or of those with a "fresh" edge.
 
-    `opened`: edges (id, other, fresh) in place of lists, of "all" ids or of those with a "fresh" edge. They are opened
-    where they are merged, as each further Python function in a stage is a worker more for each core.
+    They are opened where they are merged, as each further Python function in a stage is a worker more for each core.
     """
+    if opened is None:
+        yield _lists(ids, others, sims, fresh)
+        return
+    if opened == "fresh":
+        keep = np.isin(ids, ids[fresh > 0])
+        ids, others, fresh = ids[keep], others[keep], fresh[keep]
+    for a in range(0, len(ids), 50_000):
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[a : a + 50_000]), "other": pa.array(others[a : a + 50_000]), "fresh": pa.array(fresh[a : a + 50_000] > 0)})
 
-    def f(found: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, others, sims, fresh = _best(*_edges_of(found), k)
-        if opened is None:
-            yield _lists(ids, others, sims, fresh)
-            return
-        if opened == "fresh":
-            keep = np.isin(ids, ids[fresh > 0])
-            ids, others, fresh = ids[keep], others[keep], fresh[keep]
-        for a in range(0, len(ids), 50_000):
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[a : a + 50_000]), "other": pa.array(others[a : a + 50_000]), "fresh": pa.array(fresh[a : a + 50_000] > 0)})
 
-    return by_group(lists, ["id"], f, _LISTS if opened is None else "id long, other long, fresh boolean", MERGED)
+def merged(lists: DataFrame) -> DataFrame:
+    """One list for each id: the nearest NEIGHBOURS of all its lists."""
+    return by_group(lists, ["id"], lambda found: iter([_lists(*_best(*_edges_of(found), NEIGHBOURS))]), _LISTS, MERGED)
 
 
 def _sums(cells: DataFrame, key: list[str], dim: int) -> DataFrame:
@@ -230,37 +230,49 @@ def _compared(found: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids[begin:end]), "others": _packed(ids[a:b][near]), "sims": _packed(np.take_along_axis(sims, near, 1)), "fresh": pa.array([b"\x01" * k] * (end - begin), pa.binary())})
 
 
-def _around(graph: DataFrame, opened: str | None = None) -> DataFrame:
-    """Each node's neighbours and its nearest reverse neighbours: (id, others, sims, fresh), or edges as merged() opens them."""
+def _around(graph: DataFrame, opened: str | None = None, n: int = 0) -> DataFrame:
+    """Each of n nodes' neighbours and its nearest reverse neighbours: (id, others, sims, fresh), or edges as merged() opens them.
+
+    Edges go to buckets of nodes, packed: a task sends one row to each bucket for HELD edges, and not one for each node
+    that it met, of which more tasks would meet each more often. A bucket's tasks' reverse lists are cut once more there.
+    """
+    buckets = max(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def cut() -> tuple[np.ndarray, ...]:
-            return _best(*(np.concatenate(x) for x in zip(*held)), REVERSE)
+        def dealt() -> pa.RecordBatch:
+            ids, others, sims, fresh = (np.concatenate(x) for x in zip(*held))
+            back = _best(others, ids, sims, fresh, REVERSE)
+            edges = [np.concatenate(x) for x in zip((ids, others, sims, fresh), back)] + [np.repeat(np.array([0, 1], np.uint8), [len(ids), len(back[0])])]
+            bucket = (mix(edges[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, edges = bucket[order], [x[order] for x in edges]
+            begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+            ends = np.concatenate([begins[1:], [len(bucket)]])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), *(pa.array([x[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()) for x in edges)], names=["bucket", "ids", "others", "sims", "fresh", "back"])
 
         for batch in batches:
-            ids, others, sims, fresh = _edges_of(pa.Table.from_batches([batch]))
-            held.append((others, ids, sims, fresh))
-            size += len(ids)
+            held.append(_edges_of(pa.Table.from_batches([batch])))
+            size += len(held[-1][0])
             if size > HELD:
-                held = [cut()]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield _lists(*held.pop())
-                    size = 0
+                yield dealt()
+                held, size = [], 0
         if held:
-            yield _lists(*cut())
+            yield dealt()
+
+    def around(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = {"ids": np.int64, "others": np.int64, "sims": np.float32, "fresh": np.uint8, "back": np.uint8}
+        *edges, back = (np.frombuffer(b"".join(found.column(c).to_pylist()), kind) for c, kind in kinds.items())
+        nearest_back = _best(*(x[back > 0] for x in edges), REVERSE)
+        yield from _handed_on(*_best(*(np.concatenate([x[back == 0], y]) for x, y in zip(edges, nearest_back)), NEIGHBOURS + REVERSE), opened)
 
-    back = graph.mapInArrow(turned, _LISTS)
-    if len(graph.inputFiles()) > DIRECT:  # a hub has a list from each task: these are cut once more on the way
-        some = back.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(32)).cast("long"))
-        back = by_group(some, ["id", "deal"], lambda found: iter([_lists(*_best(*_edges_of(found), REVERSE))]), _LISTS, MERGED)
-    return merged(graph.unionByName(merged(back, REVERSE)), NEIGHBOURS + REVERSE, opened)
+    schema = "bucket long, ids binary, others binary, sims binary, fresh binary, back binary"
+    return by_group(graph.mapInArrow(turned, schema), ["bucket"], around, _LISTS if opened is None else _OPENED)
 
 
-def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def _descended(graph: DataFrame, nodes: DataFrame, n: int = 0) -> DataFrame:
     """One round: around each node, its neighbours are compared with those that are new, and each keeps the nearest it meets."""
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +282,7 @@ def _descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
     bars = graph.mapInArrow(last, "id long, least double")
     known = nodes.join(bars, "id").select(F.col("id").alias("other"), "u", "least")
-    met = _around(graph, "fresh").join(known, "other").select("id", "other", "u", "least", "fresh")
+    met = _around(graph, "fresh", n).join(known, "other").select("id", "other", "u", "least", "fresh")
 
     def f(found: pa.Table) -> Iterator[pa.RecordBatch]:
         at, others, bars, fresh = (np.asarray(found.column(c)) for c in ("id", "other", "least", "fresh"))
@@ -309,7 +321,7 @@ def build(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     graph = stage(merged(by_group(_cells(nodes, n, dim), ["cell", "part"], _compared, _LISTS)), "graph")
     share = 1.0 if n > CELL else 0.0
     while share > SETTLED:
-        better = stage(_flagged(graph, _descended(graph, nodes)), "graph")
+        better = stage(_flagged(graph, _descended(graph, nodes, n)), "graph")
         fresh, every = better.agg(F.sum("n_fresh"), F.sum("n")).first()
         share = (fresh or 0) / max(1, every or 0)
         graph = better.select("id", "others", "sims", "fresh")
@@ -335,7 +347,7 @@ def _walk(found: pa.Table, beam: int) -> Iterator[pa.RecordBatch]:
         others, sims, opened = others[new], sims[new], opened[new]
         order = np.lexsort((others, -sims))[:beam]
         others, sims, opened = others[order], sims[order], opened[order].copy()
-        ahead = np.flatnonzero(opened == 0)[: max(32, beam // 4)]
+        ahead = np.flatnonzero(opened == 0)[: max(32, beam // 2)]
         opened[ahead] = 1
         out["query"].append(int(query[a]))
         out["u"].append(next(x for x in columns["u"][a:b] if x is not None))
@@ -364,9 +376,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"query": pa.array(q, pa.int64()), "others": pa.array(o, pa.binary()), "sims": pa.array(s, pa.binary()), "opened": pa.array(done, pa.binary())})
 
 
-def _with_vectors(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def _with_vectors(graph: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, others, near): each node's neighbours and reverse neighbours, with their vectors packed in the same order."""
-    met = _around(graph, "all").join(nodes.select(F.col("id").alias("other"), "u"), "other")
+    met = _around(graph, "all", n).join(nodes.select(F.col("id").alias("other"), "u"), "other")
 
     def f(found: pa.Table) -> Iterator[pa.RecordBatch]:
         at, others, u = np.asarray(found.column("id")), np.asarray(found.column("other")), found.column("u").to_pylist()
@@ -477,10 +489,15 @@ def found_nodes(around: DataFrame, nodes: DataFrame, queries: DataFrame, n: int,
     sample = stage(own.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
     truth = true_distances(nodes, sample, k) if sample.take(1) else {}
     beam = max(BEAM, 4 * k)
-    while truth and recall(search(around, sample, beam), truth) < TARGET and beam < n:
+    walked = search(around, sample, beam)
+    while truth and recall(walked, truth) < TARGET and beam < n:
         beam *= 2
         if beam > max(WIDEST, 4 * k):
             return scanned(nodes, own, k)
+        walked = search(around, sample, beam)
+    rest = own.join(F.broadcast(sample.select("query")), "query", "left_anti")  # the sample has been walked
+    if rest.take(1):
+        walked = walked.unionByName(search(around, rest, beam))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -492,7 +509,7 @@ def found_nodes(around: DataFrame, nodes: DataFrame, queries: DataFrame, n: int,
             lens = np.array([len(x) for x in lists], int)
             yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(np.asarray(batch.column("query")), lens)), "node": pa.array(np.concatenate(lists))})
 
-    return search(around, own, beam).mapInArrow(ends, "query long, node long")
+    return walked.mapInArrow(ends, "query long, node long")
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -520,7 +537,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_
     try:
         if graph.take(1):
             parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-            lists = _with_vectors(graph, nodes).write.bucketBy(parts, "node").sortBy("node").format("parquet")
+            lists = _with_vectors(graph, nodes, n).write.bucketBy(parts, "node").sortBy("node").format("parquet")
             lists.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)  # files go to the shared folder, not to a warehouse
             found = stage(found_nodes(spark.table(name), nodes, queries, n, k), "found")
         else:

@@ -308,6 +308,40 @@ def test_crowded_cells_are_parted(spark, monkeypatch):
     assert cells.where("part > 0").count() == 0 and cells.groupBy("id").count().agg(F.min("count"), F.max("count")).first()[:] == (8, 8)
 
 
+def test_rows_around_nodes_do_not_grow_with_tasks(spark, tmp_path):
+    """The same graph in 2 and in 12 tasks: packed edges are few rows for each task, and what is around each node is the same."""
+    from tamarisk.llm import ann
+
+    rng = np.random.default_rng(5)
+    others = [rng.choice(np.delete(np.arange(1200), i), ann.NEIGHBOURS, replace=False) for i in range(1200)]
+    rows = [(i, o.astype(np.int64).tobytes(), np.sort(-rng.random(len(o))).astype(np.float32)[::-1].tobytes(), b"\x01" * len(o)) for i, o in enumerate(others)]
+    found = []
+    for tasks in (2, 12):
+        graph = spark.createDataFrame(rows, ann._LISTS).repartition(tasks, "id")
+        sent = []
+        inner = ann.by_group
+        try:
+            ann.by_group = lambda df, *a, **more: sent.append(df) or inner(df, *a, **more)
+            found.append({r.id: bytes(r.others) for r in ann._around(graph).collect()})
+        finally:
+            ann.by_group = inner
+        assert sum(df.count() for df in sent) <= 4 * tasks  # the session has 4 shuffle partitions
+    assert found[0] == found[1] and len(found[0]) == 1200
+
+
+def test_a_sampled_query_is_walked_once(spark, monkeypatch):
+    from tamarisk.llm import ann
+
+    walked = []
+    search = ann.search
+    monkeypatch.setattr(ann, "search", lambda around, queries, beam: walked.extend(r.query for r in queries.select("query").collect()) or search(around, queries, beam))
+    monkeypatch.setattr(ann, "SAMPLE", 5)
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(900)], "vec_id long, embedding array<double>")
+    assert ann.nearest(frame, F.col("vec_id") % 50 == 0).count() == 18 * 5
+    assert sorted(walked) == list(range(0, 900, 50))
+
+
 def test_shipped_weights_are_whole(spark):
     """Half precision holds all weights that a round gives, so the shipped model is the model."""
     from tamarisk.llm import lm
