@@ -115,6 +115,8 @@ def _lists(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, fresh: np.ndar
 
 _LISTS = "id long, others binary, sims binary, fresh binary"
 _OPENED = "id long, other long, fresh boolean"
+#: Files of a graph up to which the lists of one id come from few enough tasks to be merged at once.
+DIRECT = 128
 
 
 def _handed_on(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, fresh: np.ndarray, opened: str | None) -> Iterator[pa.RecordBatch]:
@@ -238,20 +240,23 @@ def _around(graph: DataFrame, opened: str | None = None, n: int = 0) -> DataFram
     """
     buckets = max(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
+    def packed(ahead: tuple[np.ndarray, ...], back: tuple[np.ndarray, ...] | None) -> pa.RecordBatch:
+        ids, others, sims, fresh = ahead
+        back = _best(*(back or (others, ids, sims, fresh)), REVERSE)
+        edges = [np.concatenate(x) for x in zip(ahead, back)] + [np.repeat(np.array([0, 1], np.uint8), [len(ids), len(back[0])])]
+        bucket = (mix(edges[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, edges = bucket[order], [x[order] for x in edges]
+        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+        ends = np.concatenate([begins[1:], [len(bucket)]])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), *(pa.array([x[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()) for x in edges)], names=["bucket", "ids", "others", "sims", "fresh", "back"])
+
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def dealt() -> pa.RecordBatch:
-            ids, others, sims, fresh = (np.concatenate(x) for x in zip(*held))
-            back = _best(others, ids, sims, fresh, REVERSE)
-            edges = [np.concatenate(x) for x in zip((ids, others, sims, fresh), back)] + [np.repeat(np.array([0, 1], np.uint8), [len(ids), len(back[0])])]
-            bucket = (mix(edges[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, edges = bucket[order], [x[order] for x in edges]
-            begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-            ends = np.concatenate([begins[1:], [len(bucket)]])
-            return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), *(pa.array([x[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()) for x in edges)], names=["bucket", "ids", "others", "sims", "fresh", "back"])
+            return packed(tuple(np.concatenate(x) for x in zip(*held)), None)
 
         for batch in batches:
             held.append(_edges_of(pa.Table.from_batches([batch])))
@@ -262,14 +267,21 @@ def _around(graph: DataFrame, opened: str | None = None, n: int = 0) -> DataFram
         if held:
             yield dealt()
 
-    def around(found: pa.Table) -> Iterator[pa.RecordBatch]:
+    def opened_up(found: pa.Table) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
         kinds = {"ids": np.int64, "others": np.int64, "sims": np.float32, "fresh": np.uint8, "back": np.uint8}
         *edges, back = (np.frombuffer(b"".join(found.column(c).to_pylist()), kind) for c, kind in kinds.items())
-        nearest_back = _best(*(x[back > 0] for x in edges), REVERSE)
-        yield from _handed_on(*_best(*(np.concatenate([x[back == 0], y]) for x, y in zip(edges, nearest_back)), NEIGHBOURS + REVERSE), opened)
+        return tuple(x[back == 0] for x in edges), tuple(x[back > 0] for x in edges)
+
+    def around(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        ahead, back = opened_up(found)
+        yield from _handed_on(*_best(*map(np.concatenate, zip(ahead, _best(*back, REVERSE))), NEIGHBOURS + REVERSE), opened)
 
     schema = "bucket long, ids binary, others binary, sims binary, fresh binary, back binary"
-    return by_group(graph.mapInArrow(turned, schema), ["bucket"], around, _LISTS if opened is None else _OPENED)
+    sent = graph.mapInArrow(turned, schema)
+    if len(graph.inputFiles()) > DIRECT:  # a hub has a list from each task: these are cut once more on the way
+        some = sent.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(32)).cast("long"))
+        sent = by_group(some, ["bucket", "deal"], lambda found: iter([packed(*opened_up(found))]), schema)
+    return by_group(sent, ["bucket"], around, _LISTS if opened is None else _OPENED)
 
 
 def _descended(graph: DataFrame, nodes: DataFrame, n: int = 0) -> DataFrame:
