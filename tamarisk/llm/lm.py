@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -61,6 +61,10 @@ _IMPOSSIBLE = -20.0
 _ONES = np.ones(WIDTH, np.float32)
 #: A minibatch has a step for each level of its tokens at most, so its steps' places take so many bits.
 PLACE_BITS = 20
+#: Leading bits of a hash by which frequent words are looked up: some half a word for each value of these.
+PREFIX_BITS = 18
+#: Rows of weights that a task holds at least before it adds up those of one place.
+FOLDED = 1 << 14
 
 
 class Tokens(NamedTuple):
@@ -100,12 +104,34 @@ def place(endings: np.ndarray, code: np.ndarray, level: int) -> np.ndarray:
     return endings * SHARED ** (level - 2) + code % SHARED ** (level - 2)
 
 
+def put_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """table[at] = values for contiguous tables; a row is written as one item, which is faster than place by place."""
+    item = np.dtype((np.void, table.strides[0]))
+    table.view(item)[:, 0][at] = values.view(item)[:, 0]
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """table[at] += values for distinct rows."""
+    new = table.take(at, axis=0, mode="clip")
+    new += values
+    put_rows(table, at, new)
+
+
+def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, ascending, and their summed values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[begins], np.add.reduceat(values[order], begins, axis=0)
+
+
 class Model:
     """Frequent words with counts and places, class totals and weights. Sizes hang on HEAD, the depth and the number of rows."""
 
     def __init__(self, head: np.ndarray, counts: np.ndarray, endings: np.ndarray, n_words: int, n_tokens: int):
         order = np.argsort(head)
         self.head, self.head_counts, self.head_endings = head[order], counts[order], endings[order].astype(np.int64)
+        self.begins = np.searchsorted(self.head >> np.uint64(64 - PREFIX_BITS), np.arange(1 << PREFIX_BITS, dtype=np.uint64)).astype(np.int32)
         self.depth = 2
         while self.depth < DEEPEST and FIRST + ENDINGS * OWN * (SHARED ** (self.depth - 1) - 1) // (SHARED - 1) < PER_ROOT * n_words**0.5:
             self.depth += 1
@@ -161,8 +187,18 @@ class Model:
 
     def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of words in the table, and whether they are there."""
-        at = np.minimum(np.searchsorted(self.head, hashes), max(len(self.head) - 1, 0))
-        return at, self.head[at] == hashes if len(self.head) else np.zeros(len(hashes), bool)
+        last = len(self.head) - 1
+        if last < 0:
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(self.begins.take((hashes >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)), last).astype(np.int64)
+        # most are the first word with these leading bits, or the next; the others are searched for
+        behind = np.flatnonzero(self.head.take(at) < hashes)
+        if len(behind):
+            at[behind] += 1
+            far = behind[self.head.take(np.minimum(at[behind], last)) < hashes[behind]]
+            at[far] = np.searchsorted(self.head, hashes[far])
+        np.minimum(at, last, out=at)
+        return at, self.head.take(at) == hashes
 
     def steps(self, t: Tokens, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token, class, child) of every softmax on the way to each token, and each token's last class, -1 for words that are children."""
@@ -246,7 +282,7 @@ class Model:
             part, first = sums[few], begins[few]
             for k, n in enumerate(np.searchsorted(-counts[few], -np.arange(1, FEW), side="left").tolist(), 1):
                 part[:n] += gradient.take(order[first[:n] + k], axis=0)  # those met more than k times
-            sums[few] = part
+            put_rows(sums, few, part)
             many = counts > FEW
             if many.any():
                 held = gradient.take(order[np.repeat(many, counts)], axis=0)
@@ -254,9 +290,10 @@ class Model:
                 ones = np.ones(counts.max(), np.float32)
                 for k, n, end in zip(np.flatnonzero(many).tolist(), counts[many].tolist(), ends.tolist()):
                     np.matmul(ones[:n], held[end - n : end], out=sums[k])  # a sum of rows, faster than sum()
-            self.seen[which] += counts
-            sums *= (STEP / np.sqrt(self.seen[which] + DAMPING))[:, None].astype(np.float32)
-            self.weights[which] += sums
+            seen = self.seen[which] + counts
+            self.seen[which] = seen
+            sums *= (STEP / np.sqrt(seen + DAMPING))[:, None].astype(np.float32)
+            add_rows(self.weights, which, sums)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -291,13 +328,21 @@ def _trained(docs: DataFrame, model: Model) -> Model:
                 yield pa.RecordBatch.from_pydict({"row": pa.array(part.astype(np.int32)), "fresh": pa.array(fresh[part]), "weights": pa.array([w.tobytes() for w in own.weights[part].astype(np.float16)], pa.binary())})
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row, fresh, packed in zip(*(batch.column(c).to_pylist() for c in ("row", "fresh", "weights"))):
-                values = fresh * np.concatenate([[1.0, fresh], np.frombuffer(packed, np.float16).astype(np.float64)])
-                total[row] = total[row] + values if row in total else values
-        if total:
-            yield pa.RecordBatch.from_pydict({"row": pa.array(list(total), pa.int32()), "fresh": pa.array([v[1] / v[0] for v in total.values()]), "weights": pa.array([(v[2:] / v[0]).astype(np.float16).tobytes() for v in total.values()], pa.binary())})
+        rows, sums = np.zeros(0, np.int32), np.zeros((0, WIDTH + 2))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                fresh = np.asarray(batch.column("fresh")).astype(np.float64)[:, None]
+                packed = text_bytes(batch.column("weights"))[0].view(np.float16).reshape(-1, WIDTH)
+                held.append((np.asarray(batch.column("row")), fresh * np.hstack([np.ones_like(fresh), fresh, packed])))
+                n += batch.num_rows
+            if held and (batch is None or n >= max(FOLDED, len(rows))):  # what is held stays in proportion to the task's own rows
+                rows, sums = row_sums(*(np.concatenate(x) for x in zip((rows, sums), *held)))
+                held, n = [], 0
+        if len(rows):
+            weights = (sums[:, 2:] / sums[:, :1]).astype(np.float16)
+            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "fresh": pa.array(sums[:, 1] / sums[:, 0]), "weights": pa.array([w.tobytes() for w in weights], pa.binary())})
 
     workers = max(1, sc.defaultParallelism, docs.rdd.getNumPartitions() // PARTITIONS_A_WORKER)
     parts = docs.select("text").coalesce(workers).mapInArrow(updates, "row int, fresh float, weights binary")

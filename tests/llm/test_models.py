@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -114,6 +115,48 @@ def test_rows_and_levels_grow():
     assert make(100, 10**5).depth < make(10**6, 10**5).depth and make(100, 10**5).rows < make(100, 10**8).rows < make(100, 10**11).rows
 
 
+def test_frequent_words_are_found():
+    """Places are those of a search, also for words with the same leading bits and beyond the last; rows add up as one by one."""
+    rng = np.random.default_rng(3)
+    near = np.uint64(1 << 63) + np.arange(0, 40, 2, dtype=np.uint64)
+    for head in (np.concatenate([near, rng.integers(0, 1 << 64, 5000, np.uint64)]), near[:1], near[:0]):
+        model = lm.Model(head, np.ones(len(head), np.int64), np.zeros(len(head), int), 100, 100)
+        asked = np.concatenate([head, near + np.uint64(1), rng.integers(0, 1 << 64, 5000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, there = model.known(asked)
+        assert (there == np.isin(asked, head)).all() and (np.sort(head)[at[there]] == asked[there]).all()
+        assert len(head) == 0 or (at == np.minimum(np.searchsorted(np.sort(head), asked), len(head) - 1)).all()
+
+
+def test_rows_are_added_fast():
+    """A row is written as one item: that took over twice as long place by place."""
+    rng = np.random.default_rng(4)
+    table, at, values = rng.random((1 << 17, lm.WIDTH), np.float32), np.sort(rng.choice(1 << 17, 20_000, False)), rng.random((20_000, lm.WIDTH), np.float32)
+    want, own, took = table.copy(), table.copy(), {"want": [], "own": []}
+    for _ in range(7):
+        began = time.process_time()
+        want[at] += values
+        took["want"].append(time.process_time() - began)
+        began = time.process_time()
+        lm.add_rows(own, at, values)
+        took["own"].append(time.process_time() - began)
+    assert (want == own).all() and min(took["own"]) < 0.85 * min(took["want"])
+
+
+def test_means_of_workers_rows(spark, monkeypatch):
+    """However many rows a task holds before it adds them up."""
+    train = spark.createDataFrame([(f"w{i % 7} w{i % 5} w{i % 3} tail{i}",) for i in range(600)], "text string").repartition(6).cache()
+    vocabulary = lm.stage(lm._counts(train), "vocabulary")
+    model = lm.fit(train, vocabulary)
+    found = []
+    for folded in (1 << 14, 2):
+        monkeypatch.setattr(lm, "FOLDED", folded)
+        found.append(lm._trained(train, model))
+    assert (found[0].seen == found[1].seen).all() and (found[0].seen > model.seen).any()
+    assert np.allclose(found[0].weights, found[1].weights, atol=2e-3)
+    rows, sums = lm.row_sums(np.array([5, 2, 5, 9, 2, 5]), np.arange(12.0).reshape(6, 2))
+    assert rows.tolist() == [2, 5, 9] and sums.tolist() == [[10, 12], [14, 17], [6, 7]]
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
