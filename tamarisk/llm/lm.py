@@ -34,14 +34,17 @@ from tamarisk.llm._common import bound_batches, mix, slices, split_words, stage,
 
 #: Children of the first class that are words, and classes by ending besides; of any other class words, and classes besides.
 FIRST, ENDINGS = 16, 16
-OWN, SHARED = 24, 8
+OWN, SHARED_BITS = 24, 3
+SHARED = 1 << SHARED_BITS
 WIDTH = FIRST + ENDINGS
 #: Features of a history; minibatch in tokens; step size, and what it is damped by beside the times a row was seen.
 FEATURES, MINIBATCH, STEP, DAMPING = 4, 8192, 0.5, 4
 #: The feature that only the first class has: endings say which ending comes next, and little about the words that share it.
 SHAPE = 3
 #: Steps of a minibatch that meet one row, up to which they are added place by place, which is faster for many rows.
-FEW = 16
+FEW = 32
+#: Steps whose weights are worked on at a time, so that these stay in a core's own cache.
+BLOCK = 4096
 #: Weight rows of a feature: this many times the fourth root of the training tokens, to the nearest power of two.
 ROWS_PER_ROOT = 640
 #: Words that are children of their own are at least so many times the square root of all distinct ones, by more levels; five at most, for a table of HEAD words.
@@ -85,7 +88,7 @@ def tokens(texts: pa.Array) -> Tokens:
     last = words.data[words.ends - 1].astype(np.uint64)
     before = np.where(words.ends - words.starts > 1, words.data[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
     endings = np.zeros(first[-1], np.int64)
-    endings[at] = (mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(ENDINGS)).astype(np.int64)
+    endings[at] = (mix(last * np.uint64(256) + before + np.uint64(1)) & np.uint64(ENDINGS - 1)).astype(np.int64)
     return Tokens(hashes, endings, first)
 
 
@@ -101,7 +104,8 @@ def level_nodes(depth: int) -> np.ndarray:
 
 def place(endings: np.ndarray, code: np.ndarray, level: int) -> np.ndarray:
     """The class within its level (from 2) that words by these endings and codes are in."""
-    return endings * SHARED ** (level - 2) + code % SHARED ** (level - 2)
+    bits = SHARED_BITS * (level - 2)
+    return (endings << bits) + (code & ((1 << bits) - 1))
 
 
 def put_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
@@ -110,13 +114,19 @@ def put_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     table.view(item)[:, 0][at] = values.view(item)[:, 0]
 
 
-def add_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """table[at] += values for distinct rows."""
-    new = table.take(at, axis=0, mode="clip")
+def add_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray, held: np.ndarray | None = None) -> None:
+    """table[at] += values for distinct rows; `held`: table[at], where it is at hand, and is used up."""
+    new = table.take(at, axis=0, mode="clip") if held is None else held
     new += values
     put_rows(table, at, new)
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, ascending, and their summed values."""
     order = np.argsort(rows, kind="stable")
@@ -135,6 +145,7 @@ class Model:
         self.depth = 2
         while self.depth < DEEPEST and FIRST + ENDINGS * OWN * (SHARED ** (self.depth - 1) - 1) // (SHARED - 1) < PER_ROOT * n_words**0.5:
             self.depth += 1
+        self.node_keys = mix(np.arange(level_nodes(self.depth)[-2], dtype=np.uint64) + np.uint64(0x51ED27))
         self.rows = 1 << int(np.round(np.log2(ROWS_PER_ROOT * max(n_tokens, 64) ** (1 / 4))))
         self.weights = np.zeros((FEATURES * self.rows, WIDTH), np.float32)
         self.seen = np.zeros(FEATURES * self.rows)
@@ -161,7 +172,7 @@ class Model:
     def opened(self) -> Model:
         """A worker's own copy of a packed model."""
         own = copy.copy(self)
-        own.weights, own.seen = self.weights.astype(np.float32), self.seen.copy()
+        own.weights, own.seen, own.step_of = self.weights.astype(np.float32), self.seen.copy(), np.zeros(self.rows, np.int32)
         return own
 
     def set_counts(self, bucket: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
@@ -203,14 +214,15 @@ class Model:
     def steps(self, t: Tokens, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token, class, child) of every softmax on the way to each token, and each token's last class, -1 for words that are children."""
         at, there = self.known(t.hashes) if known is None else known
-        level = np.where(there, self.level[at] if len(self.head) else 0, self.depth + 1)
-        child = np.where(there, self.child[at] if len(self.head) else 0, 0)
+        level = np.where(there, self.level.take(at) if len(self.head) else 0, self.depth + 1)
+        child = np.where(there, self.child.take(at) if len(self.head) else 0, 0)
         code, begins = codes(t.hashes), level_nodes(self.depth)
         found = [(np.arange(len(level)), np.zeros(len(level), np.int64), np.where(level == 1, child, FIRST + t.endings))]
         for k in range(2, self.depth + 1):
             on = np.flatnonzero(level >= k)
-            shared = code[on] // SHARED ** (k - 2) % SHARED
-            found.append((on, begins[k - 1] + place(t.endings[on], code[on], k), np.where(level[on] == k, child[on], OWN + shared)))
+            code_on = code.take(on)
+            shared = code_on >> SHARED_BITS * (k - 2) & (SHARED - 1)
+            found.append((on, begins[k - 1] + place(t.endings.take(on), code_on, k), np.where(level.take(on) == k, child.take(on), OWN + shared)))
         bucket = np.where(level > self.depth, place(t.endings, code, self.depth + 1), -1)
         return (*(np.concatenate(x) for x in zip(*found)), bucket)
 
@@ -228,72 +240,99 @@ class Model:
                 h[ok] = t.hashes[ok - back]
         return np.stack([mix(one + np.uint64(1)), mix(mix(one) + two * np.uint64(_GOLDEN) + np.uint64(4)), mix(two + np.uint64(2)), mix(shape + np.uint64(3))])
 
-    def at_rows(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Weight rows of features at classes."""
-        own = mix(nodes.astype(np.uint64) + np.uint64(0x51ED27))
-        return np.stack([((mix(k ^ own) >> np.uint64(20)) & np.uint64(self.rows - 1)).astype(np.int32) + np.int32(i * self.rows) for i, k in enumerate(keys)])
-
-    def logits(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Biases and weights of all children, for each step."""
-        z = self.bias.take(nodes, axis=0)
-        held = np.empty_like(z)
-        for i, r in enumerate(rows):
-            if i == SHAPE:
-                first = np.flatnonzero(nodes == 0)
-                z[first] += self.weights.take(r[first], axis=0)
-            else:
-                z += self.weights.take(r, axis=0, out=held, mode="clip")  # rows are within the table; clipping saves a copy
-        return np.minimum(z, 80, out=z)  # beyond, single precision overflows
-
-    def log_probabilities(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> np.ndarray:
+    def at_rows(self, keys: np.ndarray, tokens: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+        """For each feature its weight rows, counted from its own first, at tokens and classes; those of SHAPE for the leading steps only, one a token."""
+        own, found = self.node_keys.take(nodes), []
+        for i, k in enumerate(keys):
+            x = mix(k ^ own[: len(k)] if i == SHAPE else k.take(tokens) ^ own)
+            x >>= np.uint64(20)
+            x &= np.uint64(self.rows - 1)
+            found.append(x.astype(np.int64))
+        return found
+
+    def of(self, feature: int) -> np.ndarray:
+        """A feature's weights."""
+        return self.weights[feature * self.rows : (feature + 1) * self.rows]
+
+    def logits(self, tables: list[np.ndarray], rows: list[np.ndarray], nodes: np.ndarray, into: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, behind the last, biases and weights of all children) for BLOCK steps at a time; `into` holds all steps, or one block after the other."""
+        held = np.empty((min(BLOCK, len(nodes)), WIDTH), np.float32)
+        for a in range(0, len(nodes), BLOCK):
+            b = min(a + BLOCK, len(nodes))
+            z = into[a:b] if len(into) == len(nodes) else into[: b - a]
+            self.bias.take(nodes[a:b], axis=0, out=z, mode="clip")  # rows are within the table; clipping saves a copy
+            for table, r in zip(tables, rows):
+                r = r[a:b]
+                if len(r):
+                    z[: len(r)] += table.take(r, axis=0, out=held[: len(r)], mode="clip")
+            yield a, b, np.minimum(z, 80, out=z) if z.max() > 80 else z  # beyond, single precision overflows
+
+    def log_probabilities(self, rows: list[np.ndarray], nodes: np.ndarray, children: np.ndarray) -> np.ndarray:
         """The natural log of each step's probability."""
-        z = self.logits(rows, nodes)
-        taken = z[np.arange(len(children)), children]
-        return taken - np.log(np.exp(z, out=z) @ _ONES)
-
-    def batches(self, t: Tokens, steps: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, tokens, classes, children) of the steps to MINIBATCH tokens at a time, each step once."""
+        found = np.empty(len(nodes), np.float32)
+        for a, b, z in self.logits([self.of(i) for i in range(FEATURES)], rows, nodes, np.empty((min(BLOCK, len(nodes)), WIDTH), np.float32)):
+            taken = z.reshape(-1).take(np.arange(0, (b - a) * WIDTH, WIDTH) + children[a:b])
+            found[a:b] = taken - np.log(np.exp(z, out=z) @ _ONES)
+        return found
+
+    def batches(self, t: Tokens, steps: tuple | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, tokens, classes, children) of the steps to MINIBATCH tokens at a time, each step once; those of the first class lead, one a token."""
         token, node, child, _ = steps or self.steps(t)
-        order = np.argsort(token, kind="stable")
-        token, node, child = token[order], node[order], child[order]
         keys = self.histories(t)
-        edges = np.searchsorted(token, np.arange(0, len(t.hashes) + MINIBATCH, MINIBATCH))
-        for a, b in zip(edges[:-1], edges[1:]):
-            if a < b:
-                yield self.at_rows(keys[:, token[a:b]], node[a:b]), token[a:b], node[a:b], child[a:b]
-
-    def update(self, rows: np.ndarray, nodes: np.ndarray, children: np.ndarray) -> None:
-        """One gradient step over a minibatch; a row's step shrinks with how often it was seen."""
-        chosen = np.arange(len(children)), children
-        gradient = self.logits(rows, nodes)
-        np.exp(gradient, out=gradient)
-        gradient *= (-1 / (gradient @ _ONES))[:, None]
-        gradient[chosen] += 1
-        place = np.arange(len(children))
-        for i, r in enumerate(rows):
-            at = np.flatnonzero(nodes == 0) if i == SHAPE else place
-            packed = np.sort(r[at].astype(np.int64) << PLACE_BITS | at)
-            order, which = packed & ((1 << PLACE_BITS) - 1), packed >> PLACE_BITS
-            begins = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-            which, counts = which[begins], np.diff(np.concatenate([begins, [len(order)]]))
-            sums = gradient.take(order[begins], axis=0)
-            few = np.flatnonzero((counts > 1) & (counts <= FEW))
-            few = few[np.argsort(-counts[few].astype(np.int16), kind="stable")]
-            part, first = sums[few], begins[few]
-            for k, n in enumerate(np.searchsorted(-counts[few], -np.arange(1, FEW), side="left").tolist(), 1):
-                part[:n] += gradient.take(order[first[:n] + k], axis=0)  # those met more than k times
-            put_rows(sums, few, part)
-            many = counts > FEW
-            if many.any():
-                held = gradient.take(order[np.repeat(many, counts)], axis=0)
-                ends = np.cumsum(counts[many])
-                ones = np.ones(counts.max(), np.float32)
-                for k, n, end in zip(np.flatnonzero(many).tolist(), counts[many].tolist(), ends.tolist()):
-                    np.matmul(ones[:n], held[end - n : end], out=sums[k])  # a sum of rows, faster than sum()
-            seen = self.seen[which] + counts
-            self.seen[which] = seen
-            sums *= (STEP / np.sqrt(seen + DAMPING))[:, None].astype(np.float32)
-            add_rows(self.weights, which, sums)
+        levels = [0, *(np.flatnonzero(token[1:] <= token[:-1]) + 1).tolist(), len(token)]
+        edges = np.append(np.arange(0, len(t.hashes), MINIBATCH), len(t.hashes))
+        at = [a + np.searchsorted(token[a:b], edges) for a, b in zip(levels[:-1], levels[1:])]
+        for i, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            tokens, nodes, children = (np.concatenate([x[e[i] : e[i + 1]] for e in at]) for x in (token, node, child))
+            yield self.at_rows(keys[:, lo:hi], tokens - lo, nodes), tokens, nodes, children
+
+    def met(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The last step at each distinct row, first of those met most often (over FEW times in any order), how often it is met, and each step's place among these."""
+        self.step_of[rows] = np.arange(len(rows))
+        one = self.step_of.take(rows)
+        times = np.bincount(one, minlength=len(rows))
+        more = np.flatnonzero(times > 1)
+        more = more[np.argsort(-np.minimum(times.take(more), FEW + 1).astype(np.int16), kind="stable")]
+        distinct = np.concatenate([more, np.flatnonzero(times == 1)])
+        at = np.empty(len(rows), np.int64)
+        at[distinct] = np.arange(len(distinct))
+        return distinct, times.take(distinct), at.take(one)
+
+    def update(self, rows: list[np.ndarray], nodes: np.ndarray, children: np.ndarray) -> None:
+        """One gradient step over a minibatch; a row's step shrinks with how often it was seen.
+
+        Each distinct row is fetched from the table once: steps take it from the few fetched, and it goes back changed.
+        """
+        gradient = np.empty((len(nodes), WIDTH), np.float32)
+        met = [self.met(r) for r in rows]
+        fetched = [self.of(i).take(r.take(distinct), axis=0, mode="clip") for i, (r, (distinct, _, _)) in enumerate(zip(rows, met))]
+        for _, _, z in self.logits(fetched, [at for _, _, at in met], nodes, gradient):
+            np.exp(z, out=z)
+            z *= (-1 / (z @ _ONES))[:, None]
+        gradient.reshape(-1)[np.arange(0, len(nodes) * WIDTH, WIDTH) + children] += 1
+        for i, (r, (distinct, counts, at), held) in enumerate(zip(rows, met, fetched)):
+            which, own = r.take(distinct), self.seen[i * self.rows : (i + 1) * self.rows]
+            seen = own.take(which) + counts
+            own[which] = seen
+            scale = (STEP / np.sqrt(seen + DAMPING)).astype(np.float32)[:, None]
+            more = np.searchsorted(-np.minimum(counts, FEW + 1), -np.arange(FEW + 1)).tolist()  # rows met more than k times
+            again, few, n = np.flatnonzero(at < more[1]), more[FEW], more[1]
+            order = np.sort(at.take(again) << PLACE_BITS | again) & ((1 << PLACE_BITS) - 1)
+            begins = np.cumsum(counts[:n]) - counts[:n]
+            sums = gradient.take(distinct[:n], axis=0)
+            for k in range(1, FEW):
+                if few < more[k]:
+                    sums[few : more[k]] += gradient.take(order.take(begins[few : more[k]] + (k - 1)), axis=0)  # a row's last step is there already
+            if few:
+                ones = np.ones(counts[:few].max(), np.float32)
+                for k, (begin, times) in enumerate(zip(begins[:few].tolist(), counts[:few].tolist())):
+                    np.matmul(ones[:times], gradient.take(order[begin : begin + times], axis=0), out=sums[k])  # a sum of rows, faster than sum()
+            sums *= scale[:n]
+            add_rows(self.of(i), which[:n], sums, held[:n])
+            for a in range(n, len(which), BLOCK):
+                sums = gradient.take(distinct[a : a + BLOCK], axis=0)
+                sums *= scale[a : a + BLOCK]
+                add_rows(self.of(i), which[a : a + BLOCK], sums, held[a : a + BLOCK])
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -302,8 +341,11 @@ def _counts(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = tokens(batch.column("text"))
-            words, first, counts = np.unique(found.hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "ending": pa.array(found.endings[first].astype(np.int32)), "code": pa.array(codes(words).astype(np.int32)), "n": pa.array(counts)})
+            order = np.argsort(found.hashes)
+            hashes = found.hashes.take(order)
+            begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]]))
+            words, endings = hashes.take(begins), found.endings.take(order.take(begins))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "ending": pa.array(endings.astype(np.int32)), "code": pa.array(codes(words).astype(np.int32)), "n": pa.array(np.diff(begins, append=len(hashes)))})
 
     return docs.select("text").mapInArrow(work, "word long, ending int, code int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.min("code").alias("code"), F.sum("n").alias("n"))
 
@@ -325,7 +367,7 @@ def _trained(docs: DataFrame, model: Model) -> Model:
         used = np.flatnonzero(fresh)
         for part in np.array_split(used, 1 + len(used) // 4096):
             if len(part):
-                yield pa.RecordBatch.from_pydict({"row": pa.array(part.astype(np.int32)), "fresh": pa.array(fresh[part]), "weights": pa.array([w.tobytes() for w in own.weights[part].astype(np.float16)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": pa.array(part.astype(np.int32)), "fresh": pa.array(fresh[part]), "weights": binaries(own.weights[part].astype(np.float16))})
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sums = np.zeros(0, np.int32), np.zeros((0, WIDTH + 2))
@@ -341,8 +383,7 @@ def _trained(docs: DataFrame, model: Model) -> Model:
                 rows, sums = row_sums(*(np.concatenate(x) for x in zip((rows, sums), *held)))
                 held, n = [], 0
         if len(rows):
-            weights = (sums[:, 2:] / sums[:, :1]).astype(np.float16)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "fresh": pa.array(sums[:, 1] / sums[:, 0]), "weights": pa.array([w.tobytes() for w in weights], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "fresh": pa.array(sums[:, 1] / sums[:, 0]), "weights": binaries((sums[:, 2:] / sums[:, :1]).astype(np.float16))})
 
     workers = max(1, sc.defaultParallelism, docs.rdd.getNumPartitions() // PARTITIONS_A_WORKER)
     parts = docs.select("text").coalesce(workers).mapInArrow(updates, "row int, fresh float, weights binary")
@@ -385,7 +426,7 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     totals = vocabulary.join(F.broadcast(own), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # a row for each last class
     model.set_counts(totals["bucket"].to_numpy(np.int64), totals["n"].to_numpy(float), totals["v"].to_numpy(float))
     hashed = F.xxhash64("text")
-    back, rest = train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) == 0), train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) != 0)
+    back, rest = stage(train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) == 0).select("text"), "held-back"), train.where(F.pmod(hashed, F.lit(HELD_BACK_ONE_IN)) != 0)
     before = np.inf
     for i in count(1):
         model = _trained(rest.where(F.pmod(F.shiftright(hashed, 8), F.lit(PARTS)) == i % PARTS), model)
@@ -415,8 +456,8 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             # a word that is no child of its own has its count within its last class; that of words beyond the table joins later
             chosen = np.where(bucket >= 0, value - denominators[bucket], 0.0)
             for rows, token, nodes, children in own.batches(t, steps):
-                logs_of = own.log_probabilities(rows, nodes, children)
-                chosen[token[0] : token[-1] + 1] += np.bincount(token - token[0], logs_of, token[-1] - token[0] + 1) / np.log(10)
+                sums = np.bincount(token - token[0], own.log_probabilities(rows, nodes, children)) / np.log(10)
+                chosen[token[0] : token[0] + len(sums)] += sums
             doc = np.repeat(np.arange(batch.num_rows), np.diff(t.first))
             rest = np.flatnonzero(~known)
             order = rest[np.lexsort((t.hashes[rest], doc[rest]))]

@@ -393,3 +393,53 @@ def test_shipped_weights_are_whole(spark):
     model = lm.fit(train, lm.stage(lm._counts(train), "vocabulary"))
     small = model.packed()
     assert model.weights.any() and small.weights.itemsize == 2 and (small.opened().weights == model.weights).all()
+
+
+def test_an_update_fetches_each_row_once(monkeypatch):
+    """A minibatch's steps share what is fetched from the table; rows then hold what a sum over all their steps gives."""
+    from tamarisk.llm import lm
+
+    rng = np.random.default_rng(5)
+    model = lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 10**6, 10**6)
+    model.set_counts(*(np.zeros(0, np.int64) for _ in range(3)))
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    own = model.opened()
+    texts = pa.array(["".join(f" {'a' if i % 3 else 'b'} w{rng.zipf(1.3) % 900}" for i in range(4000))])
+    want, seen = own.weights.astype(float), own.seen.copy()
+    for rows, tokens, nodes, children in own.batches(lm.tokens(texts)):
+        full = [r + i * own.rows for i, r in enumerate(rows)]
+        z = own.bias[nodes].astype(float)
+        for f in full:
+            z[: len(f)] += want[f]
+        gradient = -np.exp(z - z.max(axis=1, keepdims=True))
+        gradient /= -gradient.sum(axis=1, keepdims=True)
+        gradient[np.arange(len(nodes)), children] += 1
+        assert (np.diff(tokens[: len(rows[lm.SHAPE])]) == 1).all() and (nodes[: len(rows[lm.SHAPE])] == 0).all() and (nodes[len(rows[lm.SHAPE]) :] > 0).all()
+        for f in full:
+            sums = np.zeros_like(want)
+            np.add.at(sums, f, gradient[: len(f)])
+            times = np.bincount(f, minlength=len(seen))
+            seen += times
+            want += sums * (lm.STEP / np.sqrt(seen + lm.DAMPING) * (times > 0))[:, None]
+        most = max(np.bincount(f).max() for f in full)
+        own.update(rows, nodes, children)
+        assert most > lm.FEW and (own.seen == seen).all() and np.allclose(own.weights, want, atol=1e-3)
+    assert lm.binaries(np.arange(6, dtype=np.float16).reshape(3, 2)).to_pylist() == [np.array(x, np.float16).tobytes() for x in ([0, 1], [2, 3], [4, 5])]
+    with monkeypatch.context() as held:
+        taken = Counter()
+        held.setattr(lm.Model, "of", lambda self, i: Watched(self.weights[i * self.rows : (i + 1) * self.rows], i, taken))
+        held.setattr(lm, "add_rows", lambda table, *_: None)
+        rows, _, nodes, children = next(own.batches(lm.tokens(texts)))
+        own.update(rows, nodes, children)
+    assert taken == {i: len(np.unique(r)) for i, r in enumerate(rows)}
+
+
+class Watched:
+    """Weights of a feature that count the rows taken from them."""
+
+    def __init__(self, table, feature, taken):
+        self.table, self.feature, self.taken = table, feature, taken
+
+    def take(self, at, **how):
+        self.taken[self.feature] += len(at)
+        return self.table.take(at, **how)
